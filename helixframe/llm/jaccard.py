@@ -36,6 +36,8 @@ STEP = 2.0
 #: Parts for each element of a scheme's largest set.
 DENSITY = 0.45
 
+_ALL, _LOW40, _SCHEME = (1 << 64) - 1, np.uint64((1 << 40) - 1), np.uint64(31)
+
 
 def sets(batch: pa.RecordBatch, n: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct n-gram hashes) of each text with at least one word."""
@@ -76,10 +78,14 @@ def differences(size: int, t: float) -> int:
     return int(np.floor((size + size / t) * (1 - t) / (1 + t) + 1e-9))
 
 
+def _part(s: np.ndarray, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(s * np.uint64(3)) >> np.uint64(11)) % np.uint64(n)
+
+
 def signatures(s: np.ndarray, scheme: int, t: float) -> np.ndarray:
-    n = parts(scheme, t)
     with np.errstate(over="ignore"):
-        p = (mix(s * np.uint64(3)) >> np.uint64(11)) % np.uint64(n)
+        p = _part(s, parts(scheme, t))
         order = np.argsort(p, kind="stable")
         p = p[order]
         first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
@@ -87,133 +93,142 @@ def signatures(s: np.ndarray, scheme: int, t: float) -> np.ndarray:
 
 
 def _describe(n: int, t: float):
-    """Batches of (doc_id, text) to (doc_id, size, f1, f2, spare): spare has each scheme's parts beyond the differences."""
+    """Batches of (doc_id, text) to (doc_id, size, f1, f2, low, high): the non-empty parts in the set's schemes (low: 0 if only one)."""
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                m = batch.num_rows
-                size, f1, f2 = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+                out = np.zeros((5, batch.num_rows), np.int64)
                 for row, s in sets(batch, n):
-                    size[row] = len(s)
-                    f1[row], f2[row] = fingerprint(s)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(f1), pa.array(f2)], ["doc_id", "size", "f1", "f2"])
+                    f = fingerprint(s)
+                    made = [len(np.unique(_part(s, parts(g, t)))) for g in schemes(len(s), t)]
+                    out[:, row] = len(s), *f, made[0] if len(made) > 1 else 0, made[-1]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], ["doc_id", "size", "f1", "f2", "low", "high"])
 
     return run
 
 
+def _planes(x: np.ndarray, n: int = 5) -> bytes:
+    """The n low bytes of each number, all lowest bytes first; long runs of equal bytes compress well."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def _unplanes(raw: bytes, n: int = 5) -> np.ndarray:
+    out = np.zeros((len(raw) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(n, -1).T
+    return out.view("<u8").ravel()
+
+
 def _sign(n: int, t: float, buckets: int):
-    """Batches of texts to packed signatures: one row for each bucket and batch, with its signatures and set ids.
+    """Batches of texts to packed signatures: one row for each bucket and batch.
 
-    A signature that more than HOT sets of one batch have is hot for certain: its members go to
-    buckets by set instead (kind 1), and only a marker goes to its own bucket.
+    sig: 40 bits beside the bucket (35 of the hash, 5 of the scheme), sorted, as differences; fid: 40
+    bits of each set's fingerprint. Too short a hash adds candidates only. A signature that more
+    than HOT sets of one batch have is hot for certain: its members go to buckets by set instead
+    (kind 1, with their bucket), and only a marker (fid 0) goes to its own bucket.
     """
 
-    def pack(kind: int, bucket: np.ndarray, cols: list[np.ndarray]):
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        cols = [x[order] for x in cols]
-        at = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-        rows = [(int(bucket[i]), *[x[i:j].tobytes() for x in cols]) for i, j in zip(at[:-1], at[1:])]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, len(cols) + 1)]],
-            ["kind", "bucket", "sig", "fid", "meta"],
-        )
-
     def run(batches):
         for whole in batches:
             seen: set[int] = set()
-            sig, fid, meta = [], [], []
+            sig, fid = [], []
             for batch in slices(whole, "text"):
                 for _, s in sets(batch, n):
-                    f, _ = fingerprint(s)
+                    f = (fingerprint(s)[0] & _ALL) >> 24
                     if f in seen:
                         continue
                     seen.add(f)
-                    k = differences(len(s), t)
                     for g in schemes(len(s), t):
                         x = signatures(s, g, t)
-                        sig.append(x)
-                        fid.append(np.full(len(x), f, np.int64))
-                        # what remains if all cold signatures are gone: k + 1 - parts, and the scheme
-                        meta.append(np.full(len(x), (g << 24) | max(len(x) - k - 1 + (1 << 22), 0), np.int32))
+                        sig.append(((x % np.uint64(buckets)) << np.uint64(40)) | ((x >> np.uint64(29)) << np.uint64(5)) | np.uint64(g))
+                        fid.append(np.full(len(x), f, np.uint64))
             if not sig:
                 continue
-            sig, fid, meta = np.concatenate(sig), np.concatenate(fid), np.concatenate(meta)
+            sig, fid = np.concatenate(sig), np.concatenate(fid)
             order = np.argsort(sig, kind="stable")
-            sig, fid, meta = sig[order], fid[order], meta[order]
+            sig, fid = sig[order], fid[order]
             first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             count = np.diff(np.r_[first, len(sig)])
             hot = np.repeat(count > HOT, count)
             keep = ~hot
             keep[first] = True
-            lone = hot & keep  # the marker
-            out_fid, out_meta = fid[keep], np.where(lone, -1, meta)[keep]
-            yield pack(0, (sig[keep] % np.uint64(buckets)).astype(np.int64), [sig[keep], out_fid, out_meta])
+            rows = [(0, sig[keep], np.where(hot, np.uint64(0), fid)[keep], sig[keep] >> np.uint64(40))]
             if hot.any():
-                yield pack(1, (mix(fid[hot].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [sig[hot], fid[hot], meta[hot]])
+                by = mix(fid[hot]) % np.uint64(buckets)
+                order = np.argsort(by, kind="stable")
+                rows.append((1, sig[hot][order], fid[hot][order], by[order]))
+            for kind, sig, fid, bucket in rows:
+                at = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+                packed = [(_planes(np.diff(sig[i:j] & _LOW40, prepend=np.uint64(0))) if not kind else sig[i:j].tobytes(), _planes(fid[i:j])) for i, j in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(packed), pa.int32()), pa.array(bucket[at[:-1]].astype(np.int32)), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())],
+                    ["kind", "bucket", "sig", "fid"],
+                )
 
     return run
 
 
 def _match(batches):
-    """Packed signatures of whole buckets to pairs of cold groups (kind 0) and members of hot groups (kind 1)."""
-    sig, fid, meta = [], [], []
+    """Packed signatures of whole buckets to pairs of cold groups (kind 0: two sets, scheme, shared signatures) and members of hot groups (kind 1: signature, set, scheme)."""
+    sig, fid = [], []
     for b in batches:
-        for kind, s, f, m in zip(*(b.column(c).to_pylist() for c in ("kind", "sig", "fid", "meta"))):
-            s, f, m = np.frombuffer(s, np.uint64), np.frombuffer(f, np.int64), np.frombuffer(m, np.int32)
+        for kind, bucket, s, f in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "sig", "fid"))):
+            f = _unplanes(f)
             if kind:
-                yield _rows(1, s.view(np.int64), f, m)
+                s = np.frombuffer(s, np.uint64)
+                yield _rows(1, s, f, s & _SCHEME)
             else:
-                sig.append(s), fid.append(f), meta.append(m)
+                sig.append(np.cumsum(_unplanes(s), dtype=np.uint64) | np.uint64(bucket << 40)), fid.append(f)
     if not sig:
         return
-    sig, fid, meta = np.concatenate(sig), np.concatenate(fid), np.concatenate(meta)
+    sig, fid = np.concatenate(sig), np.concatenate(fid)
     order = np.argsort(sig, kind="stable")
-    sig, fid, meta = sig[order], fid[order], meta[order]
+    sig, fid = sig[order], fid[order]
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     count = np.diff(np.r_[first, len(sig)])
     many = np.repeat(count > 1, count)
-    sig, fid, meta = sig[many], fid[many], meta[many]
-    if not len(sig):
-        return
+    sig, fid = sig[many], fid[many]
     order = np.lexsort((fid, sig))
-    sig, fid, meta = sig[order], fid[order], meta[order]
-    marker = meta < 0
-    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    marked = np.repeat(np.logical_or.reduceat(marker, starts), np.diff(np.r_[starts, len(sig)]))
-    same = np.r_[False, (sig[1:] == sig[:-1]) & (fid[1:] == fid[:-1])]
-    keep = ~same & ~marker
-    sig, fid, meta, marked = sig[keep], fid[keep], meta[keep], marked[keep]
-    if not len(sig):
-        return
-    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    count = np.diff(np.r_[starts, len(sig)])
-    hot = np.repeat(count > HOT, count) | marked
-    if hot.any():
-        yield _rows(1, sig[hot].view(np.int64), fid[hot], meta[hot])
-    a, b = [], []
-    cold = ~marked[starts] & (count <= HOT) & (count > 1)
-    starts, count = starts[cold], count[cold]
-    for size in np.unique(count):
-        at = starts[count == size]
-        for i in range(size):
-            for j in range(i + 1, size):
-                a.append(fid[at + i]), b.append(fid[at + j])
-    if a:
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        yield _rows(0, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs), np.int32))
-
-
-def _rows(kind: int, x: np.ndarray, y: np.ndarray, meta: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y)), pa.array(meta)], ["kind", "x", "y", "meta"])
+    sig, fid = sig[order], fid[order]
+    if len(sig):
+        keep = np.r_[True, (sig[1:] != sig[:-1]) | (fid[1:] != fid[:-1])]
+        sig, fid = sig[keep], fid[keep]
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        count = np.diff(np.r_[starts, len(sig)])
+        marked = fid[starts] == 0
+        hot = np.repeat(marked | (count > HOT), count) & (fid > 0)
+        if hot.any():
+            yield _rows(1, sig[hot], fid[hot], sig[hot] & _SCHEME)
+        cold = ~marked & (count <= HOT) & (count > 1)
+        starts, count = starts[cold], count[cold]
+        a, b, g = [], [], []
+        for size in np.unique(count):
+            at = starts[count == size]
+            for i in range(size):
+                for j in range(i + 1, size):
+                    a.append(fid[at + i]), b.append(fid[at + j]), g.append(sig[at] & _SCHEME)
+        if a:
+            a, b, g = np.concatenate(a), np.concatenate(b), np.concatenate(g)
+            order = np.lexsort((g, b, a))
+            a, b, g = a[order], b[order], g[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (g[1:] != g[:-1])])
+            yield _rows(0, a[first], b[first], g[first], np.diff(np.r_[first, len(a)]))
+
+
+def _rows(kind: int, x: np.ndarray, y: np.ndarray, scheme: np.ndarray, shared: np.ndarray | None = None) -> pa.RecordBatch:
+    shared = np.zeros(len(x)) if shared is None else shared
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64)), pa.array(scheme.astype(np.int32)), pa.array(shared.astype(np.int32))], ["kind", "x", "y", "scheme", "shared"])
 
 
 def _bytes_of_sets(n: int):
+    """(doc_id, text) to (doc_id, f1, set); each document once in a task."""
+
     def run(batches):
         for whole in batches:
+            seen: set[tuple] = set()
             for batch in slices(whole, "text"):
-                rows = [(row, s.tobytes(), fingerprint(s)) for row, s in sets(batch, n)]
+                ids = batch.column("doc_id").to_pylist()
+                rows = [(row, s.tobytes(), f) for row, s in sets(batch, n) if (key := (ids[row], f := fingerprint(s))) not in seen and not seen.add(key)]
                 ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([r[2][0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "f1", "grams"])
 
@@ -241,7 +256,7 @@ def _verify(t: int):
 
 def _check(pairs: DataFrame, grams: DataFrame, t: int, name: str) -> DataFrame:
     """The pairs (a, b) of set representatives that are similar enough."""
-    left = pairs.join(grams.select(F.col("rep").alias("b"), F.col("grams").alias("sb")), "b")
+    left = grams.select(F.col("rep").alias("b"), F.col("grams").alias("sb")).join(small(pairs), "b")
     both = left.join(grams.select(F.col("rep").alias("a"), F.col("grams").alias("sa")), "a")
     return stage(both.select("a", "b", "sa", "sb").mapInArrow(_verify(t), "a long, b long"), name)
 
@@ -257,55 +272,77 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame
     """
     spark, t = docs.sparkSession, percent / 100
     docs = docs.select("doc_id", "text")
-    told = stage(docs.mapInArrow(_describe(n, t), "doc_id long, size long, f1 long, f2 long"), "jaccard-sets")
-    reps = stage(told.where("size > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
-    buckets = 4 * partitions(spark)
-    packed = docs.where("doc_id IS NOT NULL").mapInArrow(_sign(n, t, buckets), "kind int, bucket int, sig binary, fid binary, meta binary")
-    found = stage(packed.repartition(partitions(spark), "bucket").mapInArrow(_match, "kind int, x long, y long, meta int"), "jaccard-found")
-
-    cold = found.where("kind = 0").selectExpr("x AS fa", "y AS fb").distinct()
-    hot = _hot_rows(found.where("kind = 1").selectExpr("x AS sig", "y AS fid", "meta >> 24 AS scheme", "(meta & 16777215) - 4194304 AS spare"))
-    star = hot.join(stage(hot.groupBy("sig").agg(F.min("fid").alias("fa"), F.count("*").alias("members")).where("members > 1"), "jaccard-stars"), "sig").where("fid <> fa").selectExpr("fa", "fid AS fb")
-    by = reps.select("f1", "rep", "size")
-    first = stage(_with_reps(cold.union(star).distinct(), by, t), "jaccard-pairs")
-
-    need = first.select(F.col("a").alias("rep")).union(first.select(F.col("b").alias("rep")))
-    need = need.union(hot.select(F.col("fid").alias("f1")).distinct().join(by, "f1").select("rep")).distinct()
-    need = stage(need.join(by, "rep").selectExpr("rep", "f1"), "jaccard-need")
-    wanted = docs.join(small(need.selectExpr("rep AS doc_id").distinct()), "doc_id", "left_semi")
-    grams = wanted.mapInArrow(_bytes_of_sets(n), "doc_id long, f1 long, grams binary")
-    grams = grams.join(small(need.selectExpr("rep AS doc_id", "f1")), ["doc_id", "f1"], "left_semi")
-    grams = stage(grams.groupBy("doc_id", "f1").agg(F.any_value("grams").alias("grams")).selectExpr("doc_id AS rep", "grams"), "jaccard-grams")
+    told = stage(docs.mapInArrow(_describe(n, t), "doc_id long, size long, f1 long, f2 long, low long, high long"), "jaccard-sets")
+    reps = told.where("size > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("rep"), F.max("low").alias("low"), F.max("high").alias("high"))
+    reps = stage(reps.withColumn("fid", F.shiftrightunsigned("f1", 24)), "jaccard-reps")
+    top = F.floor(F.log(STEP, F.col("size").cast("double")) + 1e-9).cast("int")
+    top = F.when(F.pow(F.lit(STEP), top) > F.col("size"), top - 1).when(F.pow(F.lit(STEP), top + 1) <= F.col("size"), top + 1).otherwise(top)
+    by = reps.withColumn("top", top).selectExpr("fid", "rep", "size", "inline(array(struct(top AS scheme, high AS parts), struct(top - 1 AS scheme, low AS parts)))").where("parts > 0")
+    by = stage(by, "jaccard-members")
 
+    buckets = 4 * partitions(spark)
+    packed = docs.where("doc_id IS NOT NULL").mapInArrow(_sign(n, t, buckets), "kind int, bucket int, sig binary, fid binary")
+    found = stage(packed.repartition(partitions(spark), "bucket").mapInArrow(_match, "kind int, x long, y long, scheme int, shared int"), "jaccard-found")
+    hot, often_hot = _hot_rows(found.where("kind = 1").selectExpr("x AS sig", "y AS fid", "scheme"), by, t)
+    cold = found.where("kind = 0").groupBy("x", "y", "scheme").agg(F.sum("shared").alias("shared"))
+    cold = _likely(cold, by, often_hot, t)
+    lead = stage(hot.groupBy("sig").agg(F.min("rep").alias("a"), F.count("*").alias("members")).where("members > 1").select("sig", "a"), "jaccard-leads")
+    star = hot.join(lead, "sig").where("rep <> a").select("a", F.col("rep").alias("b"))
+    pairs = stage(cold.select("a", "b").union(star).distinct(), "jaccard-pairs")
+
+    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("rep")).distinct()
+    need = small(stage(need.join(reps.select(F.col("rep").alias("doc_id"), "f1"), "doc_id"), "jaccard-need"))
+    wanted = docs.join(need.select("doc_id"), "doc_id", "left_semi").mapInArrow(_bytes_of_sets(n), "doc_id long, f1 long, grams binary")
+    grams = stage(wanted.join(need, ["doc_id", "f1"], "left_semi").selectExpr("doc_id AS rep", "grams"), "jaccard-grams")
+    if grams.groupBy("rep").count().where("count > 1").limit(1).count():
+        grams = stage(grams.groupBy("rep").agg(F.any_value("grams").alias("grams")), "jaccard-grams")
+
+    # each set with its smallest partner first; then what still lies in different components
+    first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
     links = _check(first, grams, percent, "jaccard-links")
     label = stage(components(links, "jaccard"), "jaccard-labels")
-    # hot groups: pairs that still lie in different components
-    member = hot.join(by.withColumnRenamed("f1", "fid"), "fid").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).select("sig", "rep", "size", "label")
+    rest = _torn(pairs.join(first, ["a", "b"], "left_anti"), label)
+    member = hot.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     torn = member.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    member = stage(member.join(torn, "sig", "left_semi"), "jaccard-torn")
-    if member.limit(1).count():
-        x, y = member.select("sig", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("size").alias("na")), member.select("sig", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("size").alias("nb"))
-        rest = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        rest = stage(rest.select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-rest")
-        more = _check(rest, grams, percent, "jaccard-links")
-        label = stage(components(links.union(more), "jaccard"), "jaccard-labels")
+    member = stage(member.join(torn, "sig", "left_semi").select("sig", "rep", "size", "label"), "jaccard-torn")
+    x, y = member.toDF("sig", "a", "na", "la"), member.toDF("sig", "b", "nb", "lb")
+    cross = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
+    rest = stage(rest.union(cross.select("a", "b")).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-rest")
+    if rest.limit(1).count():
+        links = links.union(_check(rest, grams, percent, "jaccard-links"))
+        label = stage(components(links, "jaccard"), "jaccard-labels")
     classes = stage(reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("label", "rep").alias("class")), "jaccard-classes")
-    return told.join(classes, ["f1", "f2", "size"], "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
+    out = told.select("doc_id", "size", "f1", "f2").join(classes, ["f1", "f2", "size"], "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
 
 
-def _hot_rows(rows: DataFrame) -> DataFrame:
-    """Of the sets that lack cold signatures, their k - cold + 1 rarest hot signatures: spare is parts - k - 1."""
+def _torn(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components."""
+    pairs = pairs.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
+    return pairs.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _hot_rows(rows: DataFrame, by: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """Of the sets that lack cold signatures, their k - cold + 1 rarest hot ones (sig, rep, size); and (fid, scheme, h): each set's hot ones."""
     rows = stage(rows.distinct(), "jaccard-hot")
-    short = rows.groupBy("fid", "scheme").agg(F.count("*").alias("h"), F.min("spare").alias("spare")).where("spare < h")
-    short = stage(short.selectExpr("fid", "scheme", "h - spare AS take"), "jaccard-short")
-    rows = stage(rows.join(short, ["fid", "scheme"]).select("sig", "fid", "scheme", "take"), "jaccard-hot")
+    often_hot = stage(rows.groupBy("fid", "scheme").agg(F.count("*").alias("h")), "jaccard-hot")
+    spare = F.col("parts") - F.floor((F.col("size") + F.col("size") / t) * (1 - t) / (1 + t) + 1e-9) - 1
+    short = often_hot.join(by, ["fid", "scheme"]).withColumn("take", F.col("h") - spare).where("take > 0")
+    short = stage(short.select("fid", "scheme", "rep", "size", "take"), "jaccard-short")
+    rows = stage(rows.join(short, ["fid", "scheme"]).select("sig", "scheme", "rep", "size", "take"), "jaccard-hot")
     often = stage(rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "jaccard-often")
     ranked = rows.join(often, "sig", "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    order = Window.partitionBy("fid", "scheme").orderBy("often", "sig")
-    return stage(ranked.withColumn("k", F.row_number().over(order)).where("k <= take").select("sig", "fid"), "jaccard-hot")
-
-
-def _with_reps(pairs: DataFrame, by: DataFrame, t: float) -> DataFrame:
-    a, b = by.toDF("fa", "ra", "na"), by.toDF("fb", "rb", "nb")
-    pairs = pairs.join(a, "fa").join(b, "fb").where("ra <> rb").where(F.least("na", "nb") >= F.greatest("na", "nb") * (t - 1e-9))
+    order = Window.partitionBy("rep", "scheme").orderBy("often", "sig")
+    return stage(ranked.withColumn("k", F.row_number().over(order)).where("k <= take").select("sig", "rep", "size").distinct(), "jaccard-hot"), often_hot
+
+
+def _likely(cold: DataFrame, by: DataFrame, often_hot: DataFrame, t: float) -> DataFrame:
+    """Of the pairs of sets with common signatures, those that can be similar by their sizes and the number of parts in which they agree."""
+    hot_a, hot_b = often_hot.toDF("x", "scheme", "ha"), often_hot.toDF("y", "scheme", "hb")
+    a, b = by.toDF("x", "ra", "na", "scheme", "pa"), by.toDF("y", "rb", "nb", "scheme", "pb")
+    pairs = cold.join(a, ["x", "scheme"]).join(b, ["y", "scheme"]).where("ra <> rb").where(F.least("na", "nb") >= F.greatest("na", "nb") * (t - 1e-9))
+    differ = F.floor((F.col("na") + F.col("nb")) * (1 - t) / (1 + t) + 1e-9)
+    pairs = pairs.join(hot_a, ["x", "scheme"], "left").join(hot_b, ["y", "scheme"], "left")
+    agree = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
+    pairs = pairs.where(agree >= F.greatest("pa", "pb") - differ)
     return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()

@@ -6,16 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from .bpe import digests, ranks
 from .common import table
 from .jaccard import near_duplicates
+from .sharding import shard
+from .warc import read_archive, write_archive
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, directory = write_archive(table(spark, sf_dir, "pages"))
+    return read_archive(root, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
+    "op7_bpe": op7_bpe,
+    "op9_warc": op9_warc,
 }
 
 SQL: dict[str, str] = {}
