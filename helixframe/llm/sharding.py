@@ -27,8 +27,8 @@ def splitters(rows: DataFrame, targets: list[int], tolerance: int) -> list[tuple
 
     rows(h, d, size). Each round counts the exact bytes in every cell of the open intervals (the
     cells that hold a target which no boundary has met yet), one digit of the key finer. The driver
-    sees at most 2**RADIX_BITS sums for each target and round. If the key has no more digits, the
-    nearer end of the cell is taken.
+    sees at most 2**RADIX_BITS sums for each target and round. If a cell holds one row, or the key
+    has no more digits, the nearer end of the cell is taken.
     """
     met: dict[int, tuple[int, ...]] = {}
     open_cells: dict[tuple[int, ...], int] = {(): 0}  # prefix -> bytes below it
@@ -36,20 +36,20 @@ def splitters(rows: DataFrame, targets: list[int], tolerance: int) -> list[tuple
         prefixes = sorted(open_cells)
         cell = F.concat_ws(",", *[_digit(j) for j in range(k)]) if k else F.lit("")
         inside = rows if not k else rows.where(cell.isin([",".join(map(str, p)) for p in prefixes]))
-        counted = inside.groupBy(cell.alias("cell"), _digit(k).alias("digit")).agg(F.sum("size").alias("bytes")).collect()
-        by: dict[tuple[int, ...], list[tuple[int, int]]] = {p: [] for p in prefixes}
+        counted = inside.groupBy(cell.alias("cell"), _digit(k).alias("digit")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+        by: dict[tuple[int, ...], list[tuple[int, int, int]]] = {p: [] for p in prefixes}
         for r in counted:
-            by[tuple(map(int, r["cell"].split(","))) if r["cell"] else ()].append((r["digit"], r["bytes"]))
+            by[tuple(map(int, r["cell"].split(","))) if r["cell"] else ()].append((r["digit"], r["bytes"], r["n"]))
         nxt: dict[tuple[int, ...], int] = {}
         for p in prefixes:
             below = open_cells[p]
-            for digit, size in sorted(by[p]):
+            for digit, size, n in sorted(by[p]):
                 for i, t in enumerate(targets):
                     if i in met or not below <= t < below + size:
                         continue
                     low, high = t - below, below + size - t
                     after = p + (digit + 1,)
-                    if min(low, high) <= tolerance or k == DIGITS - 1:
+                    if min(low, high) <= tolerance or n == 1 or k == DIGITS - 1:
                         met[i] = p + (digit,) if low <= high else after
                     else:
                         nxt[p + (digit,)] = below
