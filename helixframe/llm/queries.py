@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate, html, langid, licenses, secrets, topk
 from .bpe import digests, ranks
 from .common import table
 from .jaccard import near_duplicates
@@ -15,29 +16,82 @@ from .sharding import shard
 from .warc import read_archive, write_archive
 
 
-def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths; each document's is source/lang/d<doc_id div 64>/<doc_id>.txt, and LICENSE for texts under 300 code points."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.length("text") < 300, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    folder = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 64).cast("string"))
+    return licenses.scan(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", folder, name).alias("path")))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, directory = write_archive(table(spark, sf_dir, "pages"))
     return read_archive(root, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_decontamination": op5_decontamination,
+    "op6_secret_scan": op6_secret_scan,
     "op7_bpe": op7_bpe,
+    "op8_topk_search": op8_topk_search,
     "op9_warc": op9_warc,
+    "op10_html_text": op10_html_text,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_topk_search": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS e FROM embeddings
+          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+          SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op9_warc": """
+        WITH p AS (
+          SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+          CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
+}
