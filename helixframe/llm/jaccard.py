@@ -12,8 +12,9 @@ for exactness.)
 Signatures of more than HOT sets are never expanded into pairs. A set that keeps more than k other
 ("cold") signatures finds all its partners by these. For two sets that both lack them, every part
 in which they agree is hot; so they share one of their (k - cold + 1) rarest hot signatures. These
-groups are compared with their smallest member first, components are merged, and only pairs that
-still lie in different components are compared in full.
+groups are compared with their most ordinary member first and components are merged. What then
+still lies in different components drops out if it has too few n-grams in common with all others;
+the rest is compared block by block, without a row for any pair.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,10 @@ from .components import components
 
 #: A signature of more than so many different sets is hot: its group is compared by stars, not by pairs.
 HOT = 16
+#: Signatures that a task packs at once.
+PACK = 2_000_000
+#: Sets of one block when clusters of hot groups are compared.
+BLOCK = 512
 #: Sizes of the bands: scheme g holds sizes from STEP**g to STEP**g * STEP * 4/3.
 STEP = 2.0
 #: Parts for each element of a scheme's largest set.
@@ -120,18 +126,39 @@ def _unplanes(raw: bytes, n: int = 5) -> np.ndarray:
 
 
 def _sign(n: int, t: float, buckets: int):
-    """Batches of texts to packed signatures: one row for each bucket and batch.
+    """Batches of texts to packed signatures: one row for each bucket and pack (about PACK signatures).
 
     sig: 40 bits beside the bucket (35 of the hash, 5 of the scheme), sorted, as differences; fid: 40
     bits of each set's fingerprint. Too short a hash adds candidates only. A signature that more
-    than HOT sets of one batch have is hot for certain: its members go to buckets by set instead
+    than HOT sets of one pack have is hot for certain: its members go to buckets by set instead
     (kind 1, with their bucket), and only a marker (fid 0) goes to its own bucket.
     """
 
+    def pack(sig: np.ndarray, fid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(sig, kind="stable")
+        sig, fid = sig[order], fid[order]
+        first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        count = np.diff(np.r_[first, len(sig)])
+        hot = np.repeat(count > HOT, count)
+        keep = ~hot
+        keep[first] = True
+        rows = [(0, sig[keep], np.where(hot, np.uint64(0), fid)[keep], sig[keep] >> np.uint64(40))]
+        if hot.any():
+            by = mix(fid[hot]) % np.uint64(buckets)
+            order = np.argsort(by, kind="stable")
+            rows.append((1, sig[hot][order], fid[hot][order], by[order]))
+        for kind, sig, fid, bucket in rows:
+            at = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
+            packed = [(_planes(np.diff(sig[i:j] & _LOW40, prepend=np.uint64(0))) if not kind else sig[i:j].tobytes(), _planes(fid[i:j])) for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind] * len(packed), pa.int32()), pa.array(bucket[at[:-1]].astype(np.int32)), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())],
+                ["kind", "bucket", "sig", "fid"],
+            )
+
     def run(batches):
+        seen: set[int] = set()
+        sig, fid, held = [], [], 0
         for whole in batches:
-            seen: set[int] = set()
-            sig, fid = [], []
             for batch in slices(whole, "text"):
                 for _, s in sets(batch, n):
                     f = (fingerprint(s)[0] & _ALL) >> 24
@@ -142,28 +169,12 @@ def _sign(n: int, t: float, buckets: int):
                         x = signatures(s, g, t)
                         sig.append(((x % np.uint64(buckets)) << np.uint64(40)) | ((x >> np.uint64(29)) << np.uint64(5)) | np.uint64(g))
                         fid.append(np.full(len(x), f, np.uint64))
-            if not sig:
-                continue
-            sig, fid = np.concatenate(sig), np.concatenate(fid)
-            order = np.argsort(sig, kind="stable")
-            sig, fid = sig[order], fid[order]
-            first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-            count = np.diff(np.r_[first, len(sig)])
-            hot = np.repeat(count > HOT, count)
-            keep = ~hot
-            keep[first] = True
-            rows = [(0, sig[keep], np.where(hot, np.uint64(0), fid)[keep], sig[keep] >> np.uint64(40))]
-            if hot.any():
-                by = mix(fid[hot]) % np.uint64(buckets)
-                order = np.argsort(by, kind="stable")
-                rows.append((1, sig[hot][order], fid[hot][order], by[order]))
-            for kind, sig, fid, bucket in rows:
-                at = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-                packed = [(_planes(np.diff(sig[i:j] & _LOW40, prepend=np.uint64(0))) if not kind else sig[i:j].tobytes(), _planes(fid[i:j])) for i, j in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(packed), pa.int32()), pa.array(bucket[at[:-1]].astype(np.int32)), pa.array([x for x, _ in packed], pa.binary()), pa.array([x for _, x in packed], pa.binary())],
-                    ["kind", "bucket", "sig", "fid"],
-                )
+                        held += len(x)
+                if held > PACK:
+                    yield from pack(np.concatenate(sig), np.concatenate(fid))
+                    seen, sig, fid, held = set(), [], [], 0
+        if held:
+            yield from pack(np.concatenate(sig), np.concatenate(fid))
 
     return run
 
@@ -286,8 +297,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame
     hot, often_hot = _hot_rows(found.where("kind = 1").selectExpr("x AS sig", "y AS fid", "scheme"), by, t)
     cold = found.where("kind = 0").groupBy("x", "y", "scheme").agg(F.sum("shared").alias("shared"))
     cold = _likely(cold, by, often_hot, t)
-    lead = stage(hot.groupBy("sig").agg(F.min("rep").alias("a"), F.count("*").alias("members")).where("members > 1").select("sig", "a"), "jaccard-leads")
-    star = hot.join(lead, "sig").where("rep <> a").select("a", F.col("rep").alias("b"))
+    # the leader of a hot group is its most ordinary member: with most hot signatures
+    lead = hot.groupBy("sig").agg(F.max_by("rep", F.struct("h", -F.col("rep"))).alias("lead"), F.count("*").alias("members"))
+    lead = stage(lead.where("members > 1").select("sig", "lead"), "jaccard-leads")
+    star = hot.join(lead, "sig").where("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
+    star = stage(star, "jaccard-star")
     pairs = stage(cold.select("a", "b").union(star).distinct(), "jaccard-pairs")
 
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("rep")).distinct()
@@ -298,24 +312,123 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame
         grams = stage(grams.groupBy("rep").agg(F.any_value("grams").alias("grams")), "jaccard-grams")
 
     # each set with its smallest partner first; then what still lies in different components
-    first = stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "jaccard-first")
+    first = stage(cold.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(star).distinct(), "jaccard-first")
     links = _check(first, grams, percent, "jaccard-links")
     label = stage(components(links, "jaccard"), "jaccard-labels")
     rest = _torn(pairs.join(first, ["a", "b"], "left_anti"), label)
-    member = hot.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    torn = member.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    member = stage(member.join(torn, "sig", "left_semi").select("sig", "rep", "size", "label"), "jaccard-torn")
-    x, y = member.toDF("sig", "a", "na", "la"), member.toDF("sig", "b", "nb", "lb")
-    cross = x.join(y, "sig").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    rest = stage(rest.union(cross.select("a", "b")).distinct().join(first, ["a", "b"], "left_anti"), "jaccard-rest")
-    if rest.limit(1).count():
-        links = links.union(_check(rest, grams, percent, "jaccard-links"))
+    rest = stage(rest, "jaccard-rest")
+    more = _across(_linkable(_members(hot, label), grams, percent), grams, percent)
+    if rest.limit(1).count() or more.limit(1).count():
+        links = links.union(_check(rest, grams, percent, "jaccard-links")).union(more)
         label = stage(components(links, "jaccard"), "jaccard-labels")
     classes = stage(reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "size", F.coalesce("label", "rep").alias("class")), "jaccard-classes")
     out = told.select("doc_id", "size", "f1", "f2").join(classes, ["f1", "f2", "size"], "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
 
 
+def _members(hot: DataFrame, label: DataFrame) -> DataFrame:
+    """(sig, rep, size, label): the members of hot groups whose members lie in several components."""
+    return _split(hot.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "size", F.coalesce("label", "rep").alias("label")))
+
+
+def _split(member: DataFrame) -> DataFrame:
+    torn = member.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    return stage(member.join(torn, "sig", "left_semi"), "jaccard-torn")
+
+
+def _explode_sets(batches):
+    for whole in batches:
+        for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            sets_ = [np.frombuffer(x, np.int64) for x in batch.column("grams").to_pylist()]
+            times = np.array([len(x) for x in sets_])
+            cols = [np.repeat(np.array(batch.column(c).to_pylist(), np.int64), times) for c in ("rep", "label")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets_)), *map(pa.array, cols)], ["gram", "rep", "label"])
+
+
+def _linkable(member: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The members that can still be similar to one of another component.
+
+    A set shares with a set of another component at most those n-grams that other components have
+    at all. If these are fewer than the least possible partner needs, the set drops out; that may
+    leave others without partners, so it is done again while it helps.
+    """
+    left = member.select("rep").distinct().count()
+    if not left:
+        return member.withColumn("common", F.lit(0))
+    while True:
+        least = member.join(member.groupBy("sig").agg(F.min("size").alias("low")), "sig").groupBy("rep").agg(F.first("size").alias("size"), F.first("label").alias("label"), F.min("low").alias("low"))
+        least = stage(least, "jaccard-least")
+        each = stage(grams.join(small(least.select("rep", "label")), "rep").select("rep", "label", "grams").mapInArrow(_explode_sets, "gram long, rep long, label long"), "jaccard-grams-of")
+        shared = stage(each.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram"), "jaccard-shared")
+        common = each.join(shared, "gram", "left_semi").groupBy("rep").agg(F.count("*").alias("common"))
+        low = F.greatest(F.col("low"), F.ceil(F.col("size") * percent / 100))
+        live = stage(least.join(common, "rep").where((100 + percent) * F.col("common") >= percent * (F.col("size") + low)).select("rep", "common"), "jaccard-live")
+        member = _split(member.select("sig", "rep", "size", "label").join(live, "rep").select("sig", "rep", "size", "label", "common"))
+        now = member.select("rep").distinct().count()
+        if now > 0.8 * left or not now:
+            return member
+        left = now
+
+
+def _compare(percent: int):
+    """Two blocks of sets to links across their components: enough of them to join what is linked, no more."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.drop_duplicates(["rep", "side"]).sort_values("rep", ignore_index=True)
+        sets_ = [np.frombuffer(x, np.uint64) for x in df["grams"]]
+        size, side = np.array([len(x) for x in sets_]), df["side"].to_numpy()
+        vocabulary, at = np.unique(np.concatenate(sets_), return_inverse=True)
+        owner = np.repeat(np.arange(len(df)), size)
+        common = np.zeros((len(df), len(df)), np.float32)
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        for s in range(0, len(vocabulary), 4096):  # a slice of the n-grams at a time, to bound memory
+            lo, hi = np.searchsorted(at, [s, s + 4096])
+            x = np.zeros((len(df), min(4096, len(vocabulary) - s)), np.float32)
+            x[owner[lo:hi], at[lo:hi] - s] = 1
+            common += x @ x.T
+        union = size[:, None] + size[None, :] - common
+        near = np.triu(100 * common >= percent * union, 1) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+        root = {x: x for x in df["label"]}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(near)):
+            x, y = find(df["label"][i]), find(df["label"][j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((df["rep"][i], df["rep"][j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _across(member: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Links between different components of sets that are joined by hot groups, compared block by block.
+
+    Sets that hot groups hold together form a cluster; a cluster is cut into blocks of BLOCK sets or
+    so, and each two blocks are compared in one task. No pair becomes a row but links that join two
+    components.
+    """
+    member = stage(member, "jaccard-live")
+    lead = stage(member.groupBy("sig").agg(F.min("rep").alias("a")), "jaccard-leads")
+    held = member.join(lead, "sig").select("a", F.col("rep").alias("b")).distinct()
+    cluster = stage(components(held, "jaccard-clusters").withColumnRenamed("node", "rep").withColumnRenamed("label", "cluster"), "jaccard-clusters")
+    n = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    put = cluster.join(n, "cluster").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # block i meets block j: once as the smaller number (side 0), once as the larger (side 1), with itself as side 2
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1).alias("side")))
+    put = put.join(member.select("rep", "label").distinct(), "rep").select("rep", "label", "cluster", F.inline(meets))
+    put = stage(put, "jaccard-blocks")
+    whole = grams.join(put, "rep").select("cluster", "x", "y", "side", "rep", "label", "grams")
+    return stage(whole.groupBy("cluster", "x", "y").applyInPandas(_compare(percent), "a long, b long"), "jaccard-links")
+
+
 def _torn(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
     pairs = pairs.join(label.toDF("a", "la"), "a", "left").join(label.toDF("b", "lb"), "b", "left")
@@ -328,12 +441,12 @@ def _hot_rows(rows: DataFrame, by: DataFrame, t: float) -> tuple[DataFrame, Data
     often_hot = stage(rows.groupBy("fid", "scheme").agg(F.count("*").alias("h")), "jaccard-hot")
     spare = F.col("parts") - F.floor((F.col("size") + F.col("size") / t) * (1 - t) / (1 + t) + 1e-9) - 1
     short = often_hot.join(by, ["fid", "scheme"]).withColumn("take", F.col("h") - spare).where("take > 0")
-    short = stage(short.select("fid", "scheme", "rep", "size", "take"), "jaccard-short")
-    rows = stage(rows.join(short, ["fid", "scheme"]).select("sig", "scheme", "rep", "size", "take"), "jaccard-hot")
+    short = stage(short.select("fid", "scheme", "rep", "size", "take", "h"), "jaccard-short")
+    rows = stage(rows.join(short, ["fid", "scheme"]).select("sig", "scheme", "rep", "size", "take", "h"), "jaccard-hot")
     often = stage(rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "jaccard-often")
     ranked = rows.join(often, "sig", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     order = Window.partitionBy("rep", "scheme").orderBy("often", "sig")
-    return stage(ranked.withColumn("k", F.row_number().over(order)).where("k <= take").select("sig", "rep", "size").distinct(), "jaccard-hot"), often_hot
+    return stage(ranked.withColumn("k", F.row_number().over(order)).where("k <= take").groupBy("sig", "rep", "size").agg(F.max("h").alias("h")), "jaccard-hot"), often_hot
 
 
 def _likely(cold: DataFrame, by: DataFrame, often_hot: DataFrame, t: float) -> DataFrame:
