@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import partitions, slices, stage
 
 #: Pre-tokens after which a chunk is closed.
-CHUNK = 4_000_000
+CHUNK = 6_000_000
 #: Bytes of a text that are cut into pre-tokens at once, so that memory stays bounded.
 PIECE = 1 << 20
 
@@ -56,47 +56,82 @@ def pre_tokens(text: str, pattern: str) -> list[str]:
     return out
 
 
+def _squeeze(x: np.ndarray) -> bytes:
+    """Non-negative 32-bit integers: their bytes plane by plane, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _squeeze_words(ws: list[str]) -> tuple[bytes, bytes]:
+    raw = [w.encode() for w in ws]
+    whole = b"".join(raw)
+    return _squeeze(np.fromiter(map(len, raw), np.uint32, len(raw))), len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
+
+
+def _spread_words(lengths: bytes, words: bytes) -> list[str]:
+    whole = pa.decompress(words[8:], int.from_bytes(words[:8], "little"), "zstd", asbytes=True)
+    ends = np.cumsum(_spread(lengths)).tolist()
+    return [whole[s:e].decode() for s, e in zip([0, *ends[:-1]], ends)]
+
+
+def _pack_ids(ids: list[int | None]) -> bytes:
+    """Ids as 64-bit integers, behind a byte each that tells whether it is there."""
+    return bytes(x is not None for x in ids) + np.array([x or 0 for x in ids], "<i8").tobytes()
+
+
+def _unpack_ids(raw: bytes) -> list[int | None]:
+    n = len(raw) // 9
+    return [x if there else None for there, x in zip(raw[:n], np.frombuffer(raw[n:], "<i8").tolist())]
+
+
+_CODED = "kind int, chunk long, deal int, doc_ids binary, lengths binary, places binary, words binary"
+_NAMES = ["kind", "chunk", "deal", "doc_ids", "lengths", "places", "words"]
+
+
 def _chunks(pattern: str, deals: int):
-    """Batches of (doc_id, text) to rows: kind 0, a text's places in its chunk's word list; kind 1, the words of a chunk in one deal."""
-    schema = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("deal", pa.int32()), ("doc_id", pa.int64()), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
-
-    def words_of(chunk: int, places: dict[str, int]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, tuple[list[int], list[str]]] = {}
-        for w, i in places.items():
-            at, ws = by.setdefault(crc32(w.encode()) % deals, ([], []))
-            at.append(i), ws.append(w)
-        items = sorted(by.items())
-        for k in range(0, len(items), 64):
-            part = items[k : k + 64]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([1] * n, pa.int32()), pa.array([chunk] * n), pa.array([d for d, _ in part], pa.int32()), pa.nulls(n, pa.int64()), pa.array([np.array(x[0], np.int32).tobytes() for _, x in part], pa.binary()), pa.array([x[1] for _, x in part], pa.list_(pa.string()))],
-                schema=schema,
-            )
+    """Batches of (doc_id, text) to rows: kind 0, the places of some texts' pre-tokens in their chunk's word list; kind 1, the words of a chunk in one deal."""
+    schema = pa.schema(zip(_NAMES, [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]))
+
+    def close(chunk: int, held: list, places: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        # frequent words get small numbers, so that numbers compress well
+        often = np.bincount(np.concatenate([x for _, _, x in held]), minlength=len(places))
+        rank = np.empty(len(places), np.int64)
+        rank[np.argsort(-often, kind="stable")] = np.arange(len(places))
+        for ids, lengths, x in held:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([chunk]), pa.nulls(1, pa.int32()), pa.array([_pack_ids(ids)]), pa.array([_squeeze(lengths)]), pa.array([_squeeze(rank[x])]), pa.nulls(1, pa.binary())], schema=schema)
+        words = np.array(list(places), dtype=object)
+        by = np.fromiter((crc32(w.encode()) % deals for w in words), np.int64, len(words))
+        for order in np.split(order := np.lexsort((rank, by)), np.flatnonzero(np.diff(by[order])) + 1):
+            if len(order):
+                lengths, whole = _squeeze_words(words[order].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([chunk]), pa.array([by[order[0]]], pa.int32()), pa.nulls(1, pa.binary()), pa.array([lengths]), pa.array([_squeeze(np.diff(rank[order], prepend=0))]), pa.array([whole])], schema=schema)
 
     def run(batches):
         from pyspark import TaskContext
 
-        chunk, count, texts = TaskContext.get().partitionId() << 24, 0, 0
+        chunk, count = TaskContext.get().partitionId() << 24, 0
+        held: list = []
         places: dict[str, int] = {}
         for whole in batches:
             for batch in slices(whole, "text"):
                 coded = []
                 for text in batch.column("text").to_pylist():
                     found = pre_tokens(text or "", pattern)
-                    coded.append(np.fromiter((places.setdefault(w, len(places)) for w in found), np.int32, len(found)).tobytes())
-                    count += len(found)
-                n = len(coded)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * n, pa.int32()), pa.array([chunk] * n), pa.nulls(n, pa.int32()), batch.column("doc_id"), pa.array(coded, pa.binary()), pa.nulls(n, pa.list_(pa.string()))],
-                    schema=schema,
-                )
-                texts += n
+                    coded.append(np.fromiter((places.setdefault(w, len(places)) for w in found), np.int32, len(found)))
+                lengths = np.array([len(x) for x in coded])
+                held.append((batch.column("doc_id").to_pylist(), lengths, np.concatenate(coded)))
+                count += int(lengths.sum())
                 if count >= CHUNK:
-                    yield from words_of(chunk, places)
-                    chunk, count, texts, places = chunk + 1, 0, 0, {}
-        if texts:
-            yield from words_of(chunk, places)
+                    yield from close(chunk, held, places)
+                    chunk, count, held, places = chunk + 1, 0, [], {}
+        if held:
+            yield from close(chunk, held, places)
 
     return run
 
@@ -108,41 +143,40 @@ def _encode(vocabulary):
         import tiktoken
 
         enc = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary.value, special_tokens={})
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, list[int]] = {}
         for batch in batches:
-            for k in range(batch.num_rows):
+            for row in batch.to_pylist():
                 out = []
-                for w in batch.column("words")[k].as_py():
+                for w in _spread_words(row["lengths"], row["words"]):
                     ids = known.get(w)
                     if ids is None:
-                        ids = known[w] = np.array(enc.encode_ordinary(w), np.int32)
+                        ids = known[w] = enc.encode_ordinary(w)
                     out.append(ids)
-                flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("chunk").slice(k, 1), batch.column("places").slice(k, 1), pa.array([np.array([len(x) for x in out], np.int32).tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary())],
-                    ["chunk", "places", "lengths", "ids"],
-                )
+                lengths, flat = np.fromiter(map(len, out), np.int64, len(out)), np.array([i for ids in out for i in ids], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([row["places"]]), pa.array([_squeeze(lengths)]), pa.array([_squeeze(flat)])], ["chunk", "places", "lengths", "ids"])
 
     return run
 
 
 def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """The texts of one chunk: ids by position."""
-    place = np.concatenate([np.frombuffer(x, np.int32) for x in words["places"]] or [np.zeros(0, np.int32)])
-    length = np.concatenate([np.frombuffer(x, np.int32) for x in words["lengths"]] or [np.zeros(0, np.int32)])
-    flat = np.concatenate([np.frombuffer(x, np.int32) for x in words["ids"]] or [np.zeros(0, np.int32)])
-    start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    none = [np.zeros(0, np.int64)]
+    place = np.concatenate([np.cumsum(_spread(x)) for x in words["places"]] or none)
+    length = np.concatenate([_spread(x) for x in words["lengths"]] or none)
+    flat = np.concatenate([_spread(x).astype(np.int32) for x in words["ids"]] or [np.zeros(0, np.int32)])
+    size, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
     size[place] = length
-    start[place] = np.r_[0, np.cumsum(length)[:-1]] if len(length) else start[place]
-    out = []
-    for x in docs["places"]:
-        p = np.frombuffer(x, np.int32)
-        n = size[p]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(p) else 0
-        at = np.arange(total) - np.repeat(ends - n, n) + np.repeat(start[p], n)
-        out.append(flat[at].tobytes())
-    return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out})
+    start[place] = np.cumsum(length) - length
+    doc_ids, out = [], []
+    for ids, lengths, places in zip(docs["doc_ids"], docs["lengths"], docs["places"]):
+        places = _spread(places)
+        doc_ids += _unpack_ids(ids)
+        for p in np.split(places, np.cumsum(_spread(lengths))[:-1]):
+            n = size[p]
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1] if len(p) else 0) + np.repeat(start[p] - (ends - n), n)
+            out.append(flat[at].tobytes())
+    return pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "ids": out})
 
 
 def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:
@@ -154,10 +188,10 @@ def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataF
     """
     spark = docs.sparkSession
     deals = partitions(spark)
-    coded = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(pattern, deals), "kind int, chunk long, deal int, doc_id long, places binary, words array<string>"), "bpe")
+    coded = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(pattern, deals), _CODED), "bpe")
     sent = spark.sparkContext.broadcast(vocabulary)
-    words = coded.where("kind = 1").select("chunk", "deal", "places", "words").repartition(deals, "deal").mapInArrow(_encode(sent), "chunk long, places binary, lengths binary, ids binary")
-    texts = coded.where("kind = 0").select("chunk", "doc_id", "places")
+    words = coded.where("kind = 1").select("chunk", "deal", "lengths", "places", "words").repartition(deals, "deal").mapInArrow(_encode(sent), "chunk long, places binary, lengths binary, ids binary")
+    texts = coded.where("kind = 0").select("chunk", "doc_ids", "lengths", "places")
     return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_assemble, "doc_id long, ids binary")
 
 
