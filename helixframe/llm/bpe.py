@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import partitions, slices, stage
 
 #: Pre-tokens after which a chunk is closed.
-CHUNK = 6_000_000
+CHUNK = 2_500_000
 #: Bytes of a text that are cut into pre-tokens at once, so that memory stays bounded.
 PIECE = 1 << 20
 
@@ -90,27 +90,33 @@ def _unpack_ids(raw: bytes) -> list[int | None]:
     return [x if there else None for there, x in zip(raw[:n], np.frombuffer(raw[n:], "<i8").tolist())]
 
 
-_CODED = "kind int, chunk long, deal int, doc_ids binary, lengths binary, places binary, words binary"
-_NAMES = ["kind", "chunk", "deal", "doc_ids", "lengths", "places", "words"]
+_CODED = "check long, chunk long, deal int, doc_ids binary, lengths binary, places binary, words binary"
+_NAMES = ["check", "chunk", "deal", "doc_ids", "lengths", "places", "words"]
 
 
-def _chunks(pattern: str, deals: int):
-    """Batches of (doc_id, text) to rows: kind 0, the places of some texts' pre-tokens in their chunk's word list; kind 1, the words of a chunk in one deal."""
-    schema = pa.schema(zip(_NAMES, [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]))
+def _chunks(pattern: str, deals: int, kind: int):
+    """Batches of (doc_id, text) to rows of one kind: 0, the places of some texts' pre-tokens in their chunk's word list; 1, the words of a chunk in one deal.
+
+    check tells the word list, so that rows of both kinds that do not belong together are found out.
+    """
+    schema = pa.schema(zip(_NAMES, [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]))
 
     def close(chunk: int, held: list, places: dict[str, int]) -> Iterator[pa.RecordBatch]:
         # frequent words get small numbers, so that numbers compress well
         often = np.bincount(np.concatenate([x for _, _, x in held]), minlength=len(places))
         rank = np.empty(len(places), np.int64)
         rank[np.argsort(-often, kind="stable")] = np.arange(len(places))
-        for ids, lengths, x in held:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([chunk]), pa.nulls(1, pa.int32()), pa.array([_pack_ids(ids)]), pa.array([_squeeze(lengths)]), pa.array([_squeeze(rank[x])]), pa.nulls(1, pa.binary())], schema=schema)
+        check = crc32("\x00".join(places).encode())
+        if not kind:
+            for ids, lengths, x in held:
+                yield pa.RecordBatch.from_arrays([pa.array([check]), pa.array([chunk]), pa.nulls(1, pa.int32()), pa.array([_pack_ids(ids)]), pa.array([_squeeze(lengths)]), pa.array([_squeeze(rank[x])]), pa.nulls(1, pa.binary())], schema=schema)
+            return
         words = np.array(list(places), dtype=object)
         by = np.fromiter((crc32(w.encode()) % deals for w in words), np.int64, len(words))
         for order in np.split(order := np.lexsort((rank, by)), np.flatnonzero(np.diff(by[order])) + 1):
             if len(order):
                 lengths, whole = _squeeze_words(words[order].tolist())
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([chunk]), pa.array([by[order[0]]], pa.int32()), pa.nulls(1, pa.binary()), pa.array([lengths]), pa.array([_squeeze(np.diff(rank[order], prepend=0))]), pa.array([whole])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([check]), pa.array([chunk]), pa.array([by[order[0]]], pa.int32()), pa.nulls(1, pa.binary()), pa.array([lengths]), pa.array([_squeeze(np.diff(rank[order], prepend=0))]), pa.array([whole])], schema=schema)
 
     def run(batches):
         from pyspark import TaskContext
@@ -153,13 +159,15 @@ def _encode(vocabulary):
                         ids = known[w] = enc.encode_ordinary(w)
                     out.append(ids)
                 lengths, flat = np.fromiter(map(len, out), np.int64, len(out)), np.array([i for ids in out for i in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]]), pa.array([row["places"]]), pa.array([_squeeze(lengths)]), pa.array([_squeeze(flat)])], ["chunk", "places", "lengths", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["check"]]), pa.array([row["chunk"]]), pa.array([row["places"]]), pa.array([_squeeze(lengths)]), pa.array([_squeeze(flat)])], ["check", "chunk", "places", "lengths", "ids"])
 
     return run
 
 
 def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
     """The texts of one chunk: ids by position."""
+    if len({*docs["check"], *words["check"]}) > 1:
+        raise ValueError("the table gave its rows in another order when it was read again; stage it first")
     none = [np.zeros(0, np.int64)]
     place = np.concatenate([np.cumsum(_spread(x)) for x in words["places"]] or none)
     length = np.concatenate([_spread(x) for x in words["lengths"]] or none)
@@ -184,14 +192,18 @@ def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataF
 
     Each match of the pattern is encoded by itself by the ranks, without special tokens. Null text
     counts as empty and gives no ids; null and repeated doc_ids stay as they are; other columns are
-    ignored. One row out for each row in.
+    ignored. One row out for each row in. The table is read twice, once for the texts' places and
+    once for the words, and has to give its rows in one order; one that comes out of a shuffle is
+    written first.
     """
     spark = docs.sparkSession
     deals = partitions(spark)
-    coded = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(pattern, deals), _CODED), "bpe")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = stage(docs, "bpe")  # rows out of a shuffle may come in another order the next time
     sent = spark.sparkContext.broadcast(vocabulary)
-    words = coded.where("kind = 1").select("chunk", "deal", "lengths", "places", "words").repartition(deals, "deal").mapInArrow(_encode(sent), "chunk long, places binary, lengths binary, ids binary")
-    texts = coded.where("kind = 0").select("chunk", "doc_ids", "lengths", "places")
+    texts, words = (docs.mapInArrow(_chunks(pattern, deals, kind), _CODED) for kind in (0, 1))
+    words = words.repartition(deals, "deal").mapInArrow(_encode(sent), "check long, chunk long, places binary, lengths binary, ids binary")
     return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_assemble, "doc_id long, ids binary")
 
 
