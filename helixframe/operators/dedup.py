@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,33 +17,41 @@ def dedup_exact(df: DataFrame, key: tuple[str, ...] = (*COORDINATES, "umi"), nam
     return df.groupBy(*key).agg(first, F.count("*").alias("copies")).select(*key, "_first.*", "copies")
 
 
-def umi_neighbours(distinct: DataFrame, group: list[str], umi: str = "umi") -> DataFrame:
-    """Pairs of barcodes of a group at Hamming distance 1, by masking one letter at a time (an equi-join, no pair of all)."""
-    masked = F.transform(F.sequence(F.lit(1), F.length(umi)), lambda i: F.struct(i.alias("i"), F.concat(F.substr(F.col(umi), F.lit(1), i - 1), F.lit("*"), F.substr(F.col(umi), i + 1)).alias("mask")))
-    m = distinct.select(*group, umi, F.inline(masked))
-    other = m.withColumnRenamed(umi, "other")
-    return m.join(other, [*group, "i", "mask"]).where(F.col(umi) < F.col("other")).select(*group, umi, "other")
+@F.pandas_udf("array<string>")
+def _clusters(umis: pd.Series) -> pd.Series:
+    """For each list of barcodes the smallest barcode that chains of single mismatches reach."""
+
+    def one(ws: list[str]) -> list[str]:
+        root = {w: w for w in ws}
+
+        def find(w):
+            while root[w] != w:
+                root[w] = root[root[w]]
+                w = root[w]
+            return w
+
+        seen: dict[str, str] = {}
+        for w in ws:
+            for i in range(len(w)):
+                mask = f"{w[:i]}*{w[i + 1:]}"
+                x, y = find(w), find(seen.setdefault(mask, w))
+                root[max(x, y)] = min(x, y)
+        return [find(w) for w in ws]
+
+    return umis.map(one)
 
 
 def dedup_clustered(df: DataFrame, group: tuple[str, ...] = COORDINATES, umi: str = "umi") -> DataFrame:
     """(group, cluster, members, copies): barcodes of one place joined by chains of single mismatches.
 
-    Single linkage, cluster = its smallest barcode. Labels spread along the neighbour table until
-    none changes; the table has a row for each near pair only.
+    Single linkage, cluster = its smallest barcode. Copies are counted first, so a place holds each
+    barcode once: its list is bounded by the barcodes there are, however many reads lie there.
     """
-    group = list(group)
-    own = df.groupBy(*group, umi).agg(F.count("*").alias("copies")).withColumn("cluster", F.col(umi)).cache()
-    near = umi_neighbours(own.select(*group, umi), group, umi)
-    near = near.union(near.select(*group, "other", umi)).cache()
-    labels = own
-    while True:
-        low = near.join(labels.select(*group, F.col(umi).alias("other"), F.col("cluster").alias("_c")), [*group, "other"]).groupBy(*group, umi).agg(F.min("_c").alias("_c"))
-        new = labels.join(low, [*group, umi], "left").withColumn("_n", F.least("cluster", F.coalesce("_c", "cluster")))
-        new = new.withColumn("_changed", F.col("_n") != F.col("cluster")).withColumn("cluster", F.col("_n")).drop("_c", "_n").cache()
-        changed = new.where("_changed").limit(1).count()
-        labels = new.drop("_changed")
-        if not changed:
-            return labels.groupBy(*group, "cluster").agg(F.count("*").alias("members"), F.sum("copies").alias("copies"))
+    own = df.groupBy(*group, umi).agg(F.count("*").alias("copies"))
+    lists = own.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(umi, "copies"))).alias("_l"))
+    lists = lists.select(*group, F.col(f"_l.{umi}").alias("_u"), F.col("_l.copies").alias("_c")).withColumn("_k", _clusters("_u"))
+    rows = lists.select(*group, F.inline(F.arrays_zip(F.col("_k").alias("cluster"), F.col("_c").alias("copies"))))
+    return rows.groupBy(*group, "cluster").agg(F.count("*").alias("members"), F.sum("copies").alias("copies"))
 
 
 def poisson_umi(n: Column, length: int) -> Column:
