@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 COORDINATES = ("chrom", "start", "end", "strand")
@@ -17,7 +18,7 @@ def dedup_exact(df: DataFrame, key: tuple[str, ...] = (*COORDINATES, "umi"), nam
     return df.groupBy(*key).agg(first, F.count("*").alias("copies")).select(*key, "_first.*", "copies")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _clusters(umis: pd.Series) -> pd.Series:
     """For each list of barcodes the smallest barcode that chains of single mismatches reach."""
 
