@@ -10,7 +10,7 @@ from .registry import query
 
 L = lambda c: c.cast("long")
 ON = 'a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end"'
-OV = 'least(a."end", b."end") - greatest(a.start, b.start)'
+OV = '(least(a."end", b."end") - greatest(a.start, b.start))'
 LEN_A, LEN_B = '(a."end" - a.start)', '(b."end" - b.start)'
 
 
@@ -235,10 +235,10 @@ _SCORED = f"""s AS (SELECT a.peakname, b.gene_name, b.bio_type, CAST({OV} AS BIG
  CASE WHEN b.gene_name IS NULL THEN {len(annotate.TYPE_RANK) + 1} ELSE {_RANK} END AS rank, coalesce(a.strand = b.strand OR b.bio_type = 'Simple_repeat', FALSE) AS is_sense FROM peaks a LEFT JOIN annotations b ON {ON})"""
 
 
-@query("ann1_scores", "peaks annotations", f", {_SCORED} SELECT peakname, gene_name, round(coalesce(ref_overlap, 0.0), 6) AS ref_overlap, round(coalesce(score_overlap, 0.0), 6) AS score_overlap, CAST(rank AS INT) AS rank, is_sense FROM s")
+@query("ann1_scores", "peaks annotations", f", {_SCORED} SELECT peakname, gene_name, round(coalesce(ref_overlap, 0.0), 9) AS ref_overlap, round(coalesce(score_overlap, 0.0), 9) AS score_overlap, CAST(rank AS INT) AS rank, is_sense FROM s")
 def ann1(p, a):
     s = annotate.score_overlaps(p, a)
-    return s.select("peakname", F.col("b_gene_name").alias("gene_name"), F.round("ref_overlap", 6).alias("ref_overlap"), F.round("score_overlap", 6).alias("score_overlap"), "rank", "is_sense")
+    return s.select("peakname", F.col("b_gene_name").alias("gene_name"), F.round("ref_overlap", 9).alias("ref_overlap"), F.round("score_overlap", 9).alias("score_overlap"), "rank", "is_sense")
 
 
 _SMALL = "(CASE WHEN bio_type IN (" + ", ".join(f"'{t}'" for t in annotate.SMALL_RNA) + ") THEN 1 ELSE 0 END)"
