@@ -7,6 +7,7 @@ character n-grams, the longest first: the first length of which any n-gram is kn
 from __future__ import annotations
 
 import functools
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -29,25 +30,20 @@ UNSEEN = 0.1
 #: Words of which a task remembers the scores.
 REMEMBER = 400_000
 UNDETERMINED = "und"
-WORD = r"\p{L}+"
+WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model(NamedTuple):
     langs: list[str]
     prior: np.ndarray
-    #: For each kind of entry (0: words, n: n-grams) the log frequencies by language.
-    tables: dict[int, dict[str, np.ndarray]]
-
-
-@functools.lru_cache(1)
-def _words():
-    import regex
-
-    return regex.compile(WORD).findall
+    #: For each kind of entry (0: words, n: n-grams) the entries' rows in a matrix of log frequencies by language.
+    tables: dict[int, tuple[dict[str, int], np.ndarray]]
 
 
 def words_of(text: str | None) -> list[str]:
-    return _words()(text.lower()) if text else []
+    """Runs of letters, lower-cased; none if there is no letter (a run may hold other numerals such as superscripts)."""
+    found = WORD.findall(text.lower()) if text else []
+    return found if any(w.isalpha() for w in found) or any(c.isalpha() for w in found for c in w) else []
 
 
 def held_out(doc_id: Column) -> Column:
@@ -93,57 +89,70 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     words.unpersist()
     langs = sorted({r.lang for r in rows}) or sorted(per_lang)
     at = {x: i for i, x in enumerate(langs)}
-    tables: dict[int, dict[str, np.ndarray]] = {}
-    for r in rows:
-        tables.setdefault(r.kind, {}).setdefault(r.entry, np.full(len(langs), UNSEEN))[at[r.lang]] = r.n
-    for entries in tables.values():
-        sums = np.log(sum(entries.values()))
-        for w in entries:
-            entries[w] = np.log(entries[w]) - sums
+    tables = {}
+    for kind in {r.kind for r in rows}:
+        entries: dict[str, int] = {}
+        own = [r for r in rows if r.kind == kind]
+        for r in own:
+            entries.setdefault(r.entry, len(entries))
+        matrix = np.full((len(entries), len(langs)), UNSEEN)
+        for r in own:
+            matrix[entries[r.entry], at[r.lang]] = r.n
+        tables[kind] = entries, np.log(matrix) - np.log(matrix.sum(axis=0))
     prior = np.array([per_lang.get(x, 0) for x in langs], float)
     return Model(langs, np.log(np.maximum(prior, 0.5) / prior.sum()), tables)
 
 
-def score_word(word: str, model: Model) -> np.ndarray | None:
-    """Log frequency of a word in each language, or of its longest known n-grams on average; None if nothing of it is known."""
-    found = model.tables.get(0, {}).get(word)
-    if found is not None:
-        return found
-    word = f"<{word}>"
+def score_words(words: list[str], model: Model) -> np.ndarray:
+    """A row for each word: its log frequency in each language, or that of its longest known n-grams on average; zeros if nothing of it is known."""
+    out = np.zeros((len(words), len(model.langs)))
+    known, matrix = model.tables.get(0, ({}, None))
+    left = []
+    for i, w in enumerate(words):
+        k = known.get(w)
+        if k is None:
+            left.append((i, f"<{w}>"))
+        else:
+            out[i] = matrix[k]
     for n in LENGTHS:
-        entries = model.tables.get(n, {})
-        known = [s for i in range(len(word) - n + 1) if (s := entries.get(word[i : i + n])) is not None]
-        if known:
-            return np.mean(known, axis=0)
-    return None
+        if not left or n not in model.tables:
+            continue
+        entries, matrix = model.tables[n]
+        rest, at, rows, starts = [], [], [], []
+        for i, w in left:
+            found = [k for j in range(len(w) - n + 1) if (k := entries.get(w[j : j + n])) is not None]
+            if found:
+                at.append(i), starts.append(len(rows))
+                rows += found
+            else:
+                rest.append((i, w))
+        if at:
+            sums = np.add.reduceat(matrix[rows], starts, axis=0)
+            out[at] = sums / np.diff([*starts, len(rows)])[:, None]
+        left = rest
+    return out
 
 
 def _predict(sent, at: int):
     def run(batches):
         model: Model = sent.value
-        none = np.zeros(len(model.langs))
         memo: dict[str, int] = {}
-        scores: list[np.ndarray] = []
+        scores = np.zeros((0, len(model.langs)))
         for whole in batches:
             for batch in slices(whole, "text"):
+                texts = [words_of(t) for t in batch.column(at).to_pylist()]
+                new = list(set().union(*texts) - memo.keys())
+                if len(memo) + len(new) > REMEMBER:
+                    memo, scores = {}, scores[:0]
+                    new = list(set().union(*texts))
+                memo.update(zip(new, range(len(memo), len(memo) + len(new))))
+                scores = np.concatenate([scores, score_words(new, model)])
                 langs, values = [], []
-                for text in batch.column(at).to_pylist():
-                    ws = words_of(text)
+                for ws in texts:
                     if not ws or not model.langs:
                         langs.append(UNDETERMINED), values.append(0.0)
                         continue
-                    if len(memo) > REMEMBER:
-                        memo.clear(), scores.clear()
-                    places = []
-                    for w in ws:
-                        k = memo.get(w)
-                        if k is None:
-                            k = memo[w] = len(scores)
-                            s = score_word(w, model)
-                            scores.append(none if s is None else s)
-                        places.append(k)
-                    used, times = np.unique(places, return_counts=True)
-                    total = model.prior + times @ np.array([scores[k] for k in used])
+                    total = model.prior + scores[np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
                     best = int(np.argmax(total))
                     langs.append(model.langs[best])
                     values.append(float(1 / np.exp(total - total[best]).sum()))
