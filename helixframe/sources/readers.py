@@ -105,9 +105,12 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str, mate: int) -> DataFrame:
-    """(read_id, mate, seq, qual): records are told apart by the @ line before four-line groups; one file's lines are numbered by byte order."""
-    records = spark.read.text(path, lineSep="\n@").select(F.split(F.regexp_replace("value", "^@", ""), "\n").alias("l"))
-    return records.where(F.size("l") >= 4).select(F.regexp_extract(F.col("l")[0], r"^(\S+?)(/[12])?(\s|$)", 1).alias("read_id"), F.lit(mate).alias("mate"), F.col("l")[1].alias("seq"), F.col("l")[3].alias("qual"))
+    """(read_id, mate, seq, qual) of four-line records. A file is numbered in one task, as a compressed one is read."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_i"), "value")
+    n = F.row_number().over(Window.partitionBy("file").orderBy("_i")) - 1
+    line = lambda k: F.max(F.when(F.col("_n") % 4 == k, F.col("value")))
+    rec = lines.withColumn("_n", n).groupBy("file", F.floor(F.col("_n") / 4).alias("_r")).agg(line(0).alias("head"), line(1).alias("seq"), line(3).alias("qual"))
+    return rec.where("head LIKE '@%'").select(F.regexp_extract("head", r"^@(\S+?)(/[12])?(\s|$)", 1).alias("read_id"), F.lit(mate).alias("mate"), "seq", "qual")
 
 
 def read_pairs(spark: SparkSession, path1: str, path2: str) -> DataFrame:
