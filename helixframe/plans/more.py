@@ -123,7 +123,7 @@ def mth4(p):
     return p.select("peakname", F.round(-F.log10(F.greatest(normal_sf(z), F.lit(1e-100))), 6).alias("log10p"))
 
 
-@query("arr2_exon_sizes", "exons", 'SELECT name, array_to_string(list(CAST("end" - start AS BIGINT) ORDER BY start)[1:2], ',') AS first_two, CAST(sum("end" - start) AS BIGINT) AS total FROM exons GROUP BY name')
+@query("arr2_exon_sizes", "exons", 'SELECT name, array_to_string(list(CAST("end" - start AS BIGINT) ORDER BY start)[1:2], \',\') AS first_two, CAST(sum("end" - start) AS BIGINT) AS total FROM exons GROUP BY name')
 def arr2(e):
     g = e.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("x"))
     sizes = F.transform("x", lambda x: L(x["end"] - x["start"]))
