@@ -39,6 +39,9 @@ PACK = 2_000_000
 BLOCK = 512
 #: Sizes of the bands: scheme g holds sizes from STEP**g to STEP**g * STEP * 4/3.
 STEP = 2.0
+#: The last scheme whose parts are single elements. In larger ones, parts are expected to outnumber the
+#: differences by six standard deviations or more.
+SINGLE = 5
 #: Parts for each element of a scheme's largest set.
 DENSITY = 0.45
 
@@ -75,8 +78,9 @@ def schemes(size: int, t: float) -> list[int]:
 
 
 def parts(scheme: int, t: float) -> int:
+    """The number of parts; 0: every element is a part of its own, so that a set has more parts than differences for certain."""
     top = STEP ** (scheme + 1) / t
-    return int(np.ceil(top * DENSITY * (1 - t) / 0.25)) + 8 if scheme else 1
+    return int(np.ceil(top * DENSITY * (1 - t) / 0.25)) + 8 if scheme > SINGLE else 0
 
 
 def differences(size: int, t: float) -> int:
@@ -85,6 +89,8 @@ def differences(size: int, t: float) -> int:
 
 
 def _part(s: np.ndarray, n: int) -> np.ndarray:
+    if not n:
+        return s
     with np.errstate(over="ignore"):
         return (mix(s * np.uint64(3)) >> np.uint64(11)) % np.uint64(n)
 
