@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is cut at white space.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Rows up to which a table of plain ids may be broadcast (about 32 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 

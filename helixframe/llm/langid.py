@@ -28,7 +28,7 @@ LENGTHS = (5, 4, 3, 2, 1)
 #: What an unseen entry counts.
 UNSEEN = 0.1
 #: Words of which a task remembers the scores.
-REMEMBER = 400_000
+REMEMBER = 150_000
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -139,7 +139,7 @@ def _predict(sent, at: int):
         memo: dict[str, int] = {}
         scores = np.zeros((0, len(model.langs)))
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 texts = [words_of(t) for t in batch.column(at).to_pylist()]
                 new = list(set().union(*texts) - memo.keys())
                 if len(memo) + len(new) > REMEMBER:
