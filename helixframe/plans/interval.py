@@ -310,7 +310,7 @@ def cnt5(f, a):
     return n.select("sample", "gene_id", "n", F.round(counting.share("n", ["sample"], 1e6), 4).alias("cpm"))
 
 
-@query("cnt6_orientation", "fragments annotations", f"SELECT b.gene_id, CAST(count(*) FILTER (a.strand = b.strand) AS BIGINT) AS sense, CAST(count(*) FILTER (a.strand <> b.strand) AS BIGINT) AS antisense FROM fragments a JOIN annotations b ON {ON} AND {LEN_A} < 1.1 * {LEN_B} AND b.bio_type = 'lncRNA' GROUP BY b.gene_id")
+@query("cnt6_orientation", "fragments annotations", f"SELECT b.gene_id, CAST(count(*) FILTER (a.strand = b.strand) AS BIGINT) AS sense, CAST(count(*) FILTER (a.strand <> b.strand) AS BIGINT) AS antisense FROM fragments a JOIN annotations b ON {ON} AND {LEN_A} < 1.1::DOUBLE * {LEN_B} AND b.bio_type = 'lncRNA' GROUP BY b.gene_id")
 def cnt6(f, a):
     fits = (F.col("end") - F.col("start")) < 1.1 * (F.col("b_end") - F.col("b_start"))
     j = ij.interval_join(f, a.where("bio_type = 'lncRNA'"), where=fits)

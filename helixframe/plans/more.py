@@ -261,3 +261,56 @@ def st15(c):
 def udf5(s):
     """A caller's scoring function over sequences, in batches."""
     return composite.score_sequences(s.select("id", F.col("raw").alias("seq")), lambda seq: seq.str.count("[GC]") / seq.str.len().clip(lower=1))
+
+
+@query("flt5_strand_rule", "fragments annotations", f"""SELECT CAST(count(*) FILTER (b.strand IS NULL OR a.strand = b.strand) AS BIGINT) AS sense, CAST(count(*) FILTER (b.strand IS NULL OR a.strand <> b.strand) AS BIGINT) AS antisense, a.sample FROM fragments a LEFT JOIN annotations b ON {ON} GROUP BY a.sample""")
+def flt5(f, a):
+    """Rows without a feature count on both sides."""
+    j = ij.interval_left(f, a)
+    rule = lambda s: F.count_if(counting.strand_rule(F.col("strand"), F.col("b_strand"), s))
+    return j.groupBy("sample").agg(rule(True).alias("sense"), rule(False).alias("antisense"))
+
+
+@query("flt8_relative_size", "fragments annotations", f"SELECT a.name, b.gene_id FROM fragments a JOIN annotations b ON {ON} AND {LEN_A} < 1.1::DOUBLE * {LEN_B}")
+def flt8(f, a):
+    fits = (F.col("end") - F.col("start")) < 1.1 * (F.col("b_end") - F.col("b_start"))
+    return ij.interval_join(f, a, where=fits).select("name", F.col("b_gene_id").alias("gene_id"))
+
+
+@query("jn17_self_join", "sequences", ", t AS (SELECT substr(raw, 1, 4) AS motif, CAST(count(*) AS BIGINT) AS n FROM sequences WHERE regexp_matches(raw, '^[ACGT]{4}') GROUP BY 1) SELECT a.motif, a.n, coalesce(b.n, 0) AS complement FROM t a LEFT JOIN t b ON b.motif = reverse(translate(a.motif, 'ACGT', 'TGCA'))")
+def jn17(s):
+    t = s.where(F.col("raw").rlike("^[ACGT]{4}")).groupBy(F.substring("raw", 1, 4).alias("motif")).agg(F.count("*").alias("n"))
+    other = t.select(sequence.reverse_complement(F.col("motif")).alias("motif"), F.col("n").alias("complement"))
+    return t.join(other, "motif", "left").na.fill(0, "complement").select("motif", "n", "complement")
+
+
+@query("str11_interval_sequences", "sequences", "SELECT 'i' || CAST(id AS VARCHAR) AS name, CASE WHEN id % 2 = 0 THEN substr(raw, 11, 30) ELSE reverse(translate(substr(raw, 11, 30), 'ACGTacgt', 'TGCAtgca')) END AS seq FROM sequences WHERE length(raw) >= 40")
+def str11(s):
+    """Stranded intervals cut out of sequences that are stored in chunks of 16."""
+    s = s.where("length(raw) >= 40").withColumn("chrom", F.concat(F.lit("s"), F.col("id").cast("string")))
+    starts = F.sequence(F.lit(0), F.floor((F.length("raw") - 1) / 16))
+    chunks = s.select("chrom", F.explode(starts).alias("chunk"), "raw").select("chrom", "chunk", F.substr("raw", (F.col("chunk") * 16 + 1).cast("int"), F.lit(16)).alias("seq"))
+    spots = s.select(F.concat(F.lit("i"), F.col("id").cast("string")).alias("name"), "chrom", F.lit(10).cast("long").alias("start"), F.lit(40).cast("long").alias("end"), F.when(F.col("id") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return composite.interval_sequences(spots, chunks, size=16).select("name", "seq")
+
+
+@query("str14_terminal_bases", "sequences", "SELECT id, CASE WHEN t = '' THEN '.' ELSE t END AS non_template FROM (SELECT id, regexp_extract(substr(raw, 1, 20), '[GT]*$') AS t FROM sequences WHERE length(raw) >= 20)")
+def str14(s):
+    b = s.where("length(raw) >= 20").select(F.col("id").alias("read_id"), F.posexplode(F.split(F.substring("raw", 1, 20), "")).alias("seq_pos", "base"))
+    b = b.where("base <> ''").withColumns({"is_mismatch": F.col("base").isin("G", "T"), "length": F.lit(20)})
+    return composite.terminal_mismatches(b).select(F.col("read_id").alias("id"), "non_template")
+
+
+@query("snk2_classes", "annotations", "SELECT class, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'small' AS class FROM annotations WHERE bio_type IN ('miRNA', 'tRNA') UNION ALL SELECT 'plus' FROM annotations WHERE strand = '+' UNION ALL SELECT 'long' FROM annotations WHERE \"end\" - start > 500) GROUP BY class")
+def snk2(a):
+    """Overlapping output classes, a row in each class it belongs to."""
+    classes = {"small": F.col("bio_type").isin("miRNA", "tRNA"), "plus": F.col("strand") == "+", "long": F.col("end") - F.col("start") > 500}
+    names = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in classes.items()]))
+    return a.select(F.explode(names).alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+
+
+@query("src20_coordinates", "peaks", "SELECT chrom, start, \"end\", strand FROM peaks")
+def src20(p):
+    from ..sources.readers import coordinates
+
+    return p.select(F.format_string("%s:%d-%d%s", "chrom", "start", "end", "strand").alias("t")).select(*coordinates(F.col("t")))
