@@ -14,11 +14,19 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is cut at white space.
 BLOCK = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH = 4 << 20
 #: Rows up to which a table of plain ids may be broadcast (about 32 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH bytes from here on, so that rows with long texts do not pile up in a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +46,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

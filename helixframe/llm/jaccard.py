@@ -34,7 +34,7 @@ from .components import components
 #: A signature of more than so many different sets is hot: its group is compared by stars, not by pairs.
 HOT = 16
 #: Signatures that a task packs at once.
-PACK = 2_000_000
+PACK = 1_000_000
 #: Sets of one block when clusters of hot groups are compared.
 BLOCK = 512
 #: Sizes of the bands: scheme g holds sizes from STEP**g to STEP**g * STEP * 4/3.
