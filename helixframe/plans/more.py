@@ -104,7 +104,7 @@ def str12(s):
     return s.select("id", sequence.fold_trim(F.translate("raw", "ACGT", ".(.)")).alias("trim"))
 
 
-@query("str13_adapter", "sequences")
+@query("str13_adapter", "whole_sequences")
 def str13(s):
     return s.select("id", sequence.adapter_prefix(F.col("raw"), "ACGTACGTACGTAC").alias("matched"))
 
@@ -257,7 +257,7 @@ def st15(c):
     return post.withColumn("class", side).withColumn("delta", F.round(F.abs(F.col("posterior") - 0.5), 6)).orderBy(F.desc("delta"), "gene_id").select("gene_id", "class", "delta").limit(50)
 
 
-@query("udf5_scores", "sequences")
+@query("udf5_scores", "whole_sequences")
 def udf5(s):
     """A caller's scoring function over sequences, in batches."""
     return composite.score_sequences(s.select("id", F.col("raw").alias("seq")), lambda seq: seq.str.count("[GC]") / seq.str.len().clip(lower=1))
