@@ -1,16 +1,16 @@
-"""License scan: TF-IDF cosine of lines to templates, and inheritance from the nearest ancestor directory."""
+"""License scan: TF-IDF cosine of runs of lines to notices and of whole texts to licence texts, and inheritance from the nearest ancestor directory."""
 
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import slices, small, stage, text_buffers, words
+from .common import mix, slices, small, stage, text_buffers, words
 
 #: Notices by which files name their license.
 TEMPLATES = (
@@ -20,6 +20,8 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
@@ -34,7 +36,9 @@ TEMPLATES = (
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-#: Least cosine of a line to a template.
+#: Whole licence texts, by the names of their files.
+TEXTS = tuple((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+#: Least cosine of a run of lines, or of a whole text, to a template.
 COSINE = 0.8
 #: Names of licence files.
 LICENSE_FILE = r"(?i)^(licen[cs]es?|copying|copyright|notice|unlicense)([._-].*)?$"
@@ -43,13 +47,15 @@ _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 class Terms:
-    """The templates as sparse TF-IDF vectors over their own terms; idf has one value for each term, and one for any other."""
+    """Notices, then whole licence texts, as sparse vectors over their own terms."""
 
     def __init__(self):
-        doc, _, h = words(*text_buffers(pa.array([t for _, t in TEMPLATES])), _BETWEEN)
+        doc, _, h = words(*text_buffers(pa.array([t for _, t in TEMPLATES + TEXTS])), _BETWEEN)
         self.vocabulary = np.unique(h)
-        self.tf = np.zeros((len(TEMPLATES), len(self.vocabulary)))
+        self.tf = np.zeros((len(TEMPLATES) + len(TEXTS), len(self.vocabulary)))
         np.add.at(self.tf, (doc, np.searchsorted(self.vocabulary, h)), 1)
+        #: Terms in a run of several lines at most: twice those of the longest notice.
+        self.longest = 2 * int(self.tf[: len(TEMPLATES)].sum(axis=1).max())
 
     def places(self, h: np.ndarray) -> np.ndarray:
         """Each token's term, or -1."""
@@ -57,72 +63,128 @@ class Terms:
         return np.where(self.vocabulary[at] == h, at, -1)
 
 
-def document_frequencies(files: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts each term of the templates occurs, and the number of texts."""
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """(term, n): in how many texts each term (by its hash) occurs, and under null the number of texts."""
 
     def count(batches):
-        terms = Terms()
-        found, n = np.zeros(len(terms.vocabulary), np.int64), 0
+        found, held, n = [], 0, 0
+
+        def merged():
+            terms, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.bincount(at, np.concatenate([x for _, x in found])).astype(np.int64))], ["term", "n"])
+
         for whole in batches:
             for batch in slices(whole, "text"):
                 doc, _, h = words(*text_buffers(batch.column(0)), _BETWEEN)
-                at = terms.places(h)
-                pairs = np.unique(np.stack([doc[at >= 0], at[at >= 0]], 1), axis=0)
-                np.add.at(found, pairs[:, 1], 1)
+                _, at = np.unique(h ^ mix(doc.astype(np.uint64)), return_index=True)
+                found.append(np.unique(h[at], return_counts=True))
+                held += len(found[-1][0])
                 n += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(found)), pa.int32()), pa.array(np.r_[n, found])], ["term", "n"])
+                if held > 1_000_000:
+                    yield merged()
+                    found, held = [], 0
+        if found:
+            yield merged()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n], pa.int64())], ["term", "n"])
+
+    return files.where("text IS NOT NULL").select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
-    rows = files.where("text IS NOT NULL").select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(Terms().vocabulary), np.int64)
-    total = 0
-    for r in rows:
-        if r.term < 0:
-            total = r.n
-        else:
-            out[r.term] = r.n
-    return out, total
+
+def _runs(batch: pa.RecordBatch, terms: Terms, idf: np.ndarray, weights: np.ndarray) -> list[list[dict]]:
+    """For each text the runs of lines, and the text itself, that reach COSINE if every unknown term has the least idf, 1.
+
+    k: template; dot: product with it; known: squared norm of known terms; terms, counts: the unknown.
+    """
+    offsets, data = text_buffers(batch.column(1))
+    doc, start, h = words(offsets, data, _BETWEEN)
+    out: list[dict] = [{} for _ in range(batch.num_rows)]
+    if not len(h):
+        return [[] for _ in out]
+    at = terms.places(h)
+    short, seen = len(TEMPLATES), at >= 0
+    products = weights * idf
+
+    def put(s: int, e: int, low: int, high: int):
+        known, n = np.unique(at[s:e][seen[s:e]], return_counts=True)
+        unknown, m = np.unique(h[s:e][~seen[s:e]], return_counts=True)
+        dot, norm = products[low:high, known] @ n, float(((n * idf[known]) ** 2).sum())
+        best = int(np.argmax((dot / math.sqrt(norm + float((m**2).sum()))).round(9)))
+        if dot[best] >= (COSINE - 1e-6) * math.sqrt(norm + float((m**2).sum())):
+            found = {"k": low + best, "dot": float(dot[best]), "known": norm, "terms": unknown.view(np.int64).tolist(), "counts": m.tolist()}
+            out[doc[s]].setdefault((found["k"], found["dot"], norm, unknown.tobytes(), m.tobytes()), found)
+
+    # runs of lines: a token weighs idf ** 2 at least in the norm, so sums over lines bound the cosine from above
+    line = doc + np.cumsum(data == 10)[start]
+    first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    edges, of = np.r_[first, len(h)], doc[first]
+    number = np.repeat(np.arange(len(first)), np.diff(edges))
+    in_notice = seen & (terms.tf[:short].any(axis=0)[at])
+    total = lambda x: np.r_[0, np.cumsum(x)]
+    hits = np.bincount(number[in_notice], minlength=len(first))
+    norms = total(np.add.reduceat(np.where(seen, idf[at] ** 2, 1.0), first))
+    dots = np.stack([total(np.bincount(number[in_notice], products[k, at[in_notice]], len(first))) for k in range(short)])
+    sums = total(hits)
+    begin, size = np.flatnonzero(hits), 1
+    while len(begin):
+        end = begin + size
+        near = (sums[end] - sums[begin] >= 3) & (hits[end - 1] > 0)
+        b, e = begin[near], end[near]
+        reach = (dots[:, e] - dots[:, b]).max(axis=0) >= (COSINE - 1e-6) * np.sqrt(norms[e] - norms[b])
+        for s, t in zip(edges[b[reach]], edges[e[reach]]):
+            put(int(s), int(t), 0, short)
+        size += 1
+        begin = begin[begin + size <= len(first)]
+        begin = begin[(of[begin] == of[begin + size - 1]) & (edges[begin + size] - edges[begin] <= terms.longest)]
+    # whole texts, by the exact norm of their known terms
+    pair, n = np.unique(doc[seen] * len(idf) + at[seen], return_counts=True)
+    d, t = pair // len(idf), pair % len(idf)
+    norm = np.bincount(d, (n * idf[t]) ** 2, batch.num_rows) + np.bincount(doc[~seen], minlength=batch.num_rows)
+    top = np.max([np.bincount(d, n * products[k, t], batch.num_rows) for k in range(short, len(products))], axis=0)
+    for i in np.flatnonzero((top > 0) & (top >= (COSINE - 1e-6) * np.sqrt(norm))):
+        put(int(np.searchsorted(doc, i)), int(np.searchsorted(doc, i, "right")), short, len(products))
+    return [list(x.values()) for x in out]
 
 
 def notices(files: DataFrame) -> DataFrame:
-    """files with own_license and similarity: the template most similar to any line of the whole text, if COSINE or more.
+    """files with own_license and similarity: the template most similar to the text, if COSINE or more.
 
-    Terms are runs of letters and digits; idf = ln((1 + n) / (1 + df)) + 1 over all texts. Of equally
-    similar templates the first listed counts. Null or empty text: null and 0. Columns of these
-    names are replaced.
+    Notices are compared with each line and with each run of lines (those without terms left out) of
+    at most twice the longest notice's terms; licence texts with whole texts. Terms are runs of
+    letters and digits; idf = ln((1 + n) / (1 + df)) + 1 over all texts. Of equally similar templates
+    the first listed counts. Null or empty text: null and 0. Columns of these names are replaced.
     """
     files = files.drop("own_license", "similarity")
-    df, n = document_frequencies(files)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    other = math.log(1 + n) + 1
-    at_text = files.columns.index("text")
+    spark = files.sparkSession
+    df = stage(document_frequencies(files), "licenses-terms")
+    terms = Terms()
+    known = spark.createDataFrame([(int(x),) for x in terms.vocabulary.view(np.int64)], "term long")
+    at = {r.term: r.n for r in df.join(F.broadcast(known), "term").collect()}
+    n = df.where("term IS NULL").first()
+    n = n.n if n else 0
+    idf = np.log((1 + n) / (1 + np.array([at.get(int(x), 0) for x in terms.vocabulary.view(np.int64)]))) + 1
+    weights = terms.tf * idf
+    weights /= np.linalg.norm(weights, axis=1, keepdims=True)
+    run_type = pa.list_(pa.struct([("k", pa.int32()), ("dot", pa.float64()), ("known", pa.float64()), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
+    sent = spark.sparkContext.broadcast((terms, idf, weights))
 
     def run(batches):
-        terms = Terms()
-        weights = terms.tf * idf
-        weights /= np.linalg.norm(weights, axis=1, keepdims=True)
         for whole in batches:
             for batch in slices(whole, "text"):
-                offsets, data = text_buffers(batch.column(at_text))
-                doc, start, h = words(offsets, data, _BETWEEN)
-                line = doc + np.cumsum(data == 10)[start] if len(h) else doc
-                at = terms.places(h)
-                best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-                # lines with three terms or more; fewer cannot come near a template
-                first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(h) else np.zeros(0, int)
-                hits = np.add.reduceat(at >= 0, first) if len(h) else first
-                ends = np.r_[first[1:], len(h)]
-                for s, e in zip(first[hits >= 3], ends[hits >= 3]):
-                    known = at[s:e][at[s:e] >= 0]
-                    tf = np.bincount(known, minlength=len(idf)) * idf
-                    _, unknown = np.unique(h[s:e][at[s:e] < 0], return_counts=True)
-                    cosine = weights @ tf / math.sqrt((tf**2).sum() + ((unknown * other) ** 2).sum())
-                    k = int(np.argmax(cosine.round(9)))
-                    if cosine[k] >= COSINE and cosine[k] > score[doc[s]] + 1e-9:
-                        best[doc[s]], score[doc[s]] = k, cosine[k]
-                named = [TEMPLATES[k][0] if k >= 0 else None for k in best]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string()), pa.array(score.round(6))], [*batch.schema.names, "own_license", "similarity"])
-
-    return files.mapInArrow(run, StructType([*files.schema.fields, StructField("own_license", StringType()), StructField("similarity", DoubleType())]))
+                runs = _runs(batch, *sent.value)
+                hit = [i for i, x in enumerate(runs) if x]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit, pa.int32())), pa.array([runs[i] for i in hit], run_type)], ["key", "runs"])
+
+    near = files.where("text IS NOT NULL").select(F.md5("text").alias("key"), "text").mapInArrow(run, "key string, runs array<struct<k:int,dot:double,known:double,terms:array<long>,counts:array<long>>>")
+    near = stage(near.dropDuplicates(["key"]).select("key", F.posexplode("runs").alias("run", "x")).select("key", "run", "x.*"), "licenses-runs")
+    each = near.select("key", "run", "k", "dot", "known", F.explode_outer(F.arrays_zip("terms", "counts")).alias("u")).select("key", "run", "k", "dot", "known", F.col("u.terms").alias("term"), F.col("u.counts").alias("count"))
+    needed = stage(df.join(each.select("term").distinct(), "term", "left_semi"), "licenses-needed")
+    weight = F.col("count") * (F.log((1.0 + n) / (1 + F.col("n"))) + 1)
+    scored = each.join(small(needed), "term", "left").groupBy("key", "run", "k", "dot", "known").agg(F.coalesce(F.sum(weight * weight), F.lit(0.0)).alias("rest"))
+    scored = scored.withColumn("cosine", F.round(F.col("dot") / F.sqrt(F.col("known") + F.col("rest")), 9)).where(F.col("cosine") >= COSINE)
+    best = stage(scored.groupBy("key").agg(F.max_by("k", F.struct("cosine", -F.col("k"))).alias("k"), F.max("cosine").alias("cosine")), "licenses-best")
+    named = F.element_at(F.array(*[F.lit(x) for x, _ in TEMPLATES + TEXTS]), F.col("k") + 1)
+    best = best.select(F.col("key").alias("_key"), named.alias("own_license"), F.round("cosine", 6).alias("similarity"))
+    return files.withColumn("_key", F.md5("text")).join(small(best), "_key", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0))).drop("_key")
 
 
 def scan(files: DataFrame) -> DataFrame:
