@@ -24,11 +24,13 @@ from .common import slices, small, stage
 SILENT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "head", "title"}
 #: Elements around a page's text that hold no part of the article.
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog", "fieldset"}
-#: Words in class, id or role that mark such elements.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|replies|respond|disqus|sidebar|side|aside|widget\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|footer|header|masthead|share|sharing|social|follow|related|recommended|newsletter|subscribe|subscription|signup|login|search|toolbar|complementary|contentinfo|navigation|dialog|tags|toc)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+#: Words of which a class, id or role consists that marks such elements.
+_MARK = r"(?:ads?|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|replies|respond|disqus|sidebar|side|aside|widget[^\W_]*|menu[^\W_]*|nav[^\W_]*|breadcrumbs?|pagination|pager|footer|header|masthead|share|sharing|social|follow|related|recommended|newsletter|subscribe|subscription|signup|login|search|toolbar|complementary|contentinfo|navigation|dialog|tags|toc)"
+MARKS = re.compile(rf"(?<!\S){_MARK}(?:[_-]+{_MARK})*(?!\S)", re.IGNORECASE)
+#: Start tags that stay within a head; any other ends it, as does text.
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head"}
+#: Why an element does not count: by its marks, as a form, or for good.
+MARKED, FORM, GONE = 1, 2, 3
 #: Elements and marks of an article; an element of the first kind holds it whatever else there is.
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body|text)(?:$|[\s_-])", re.IGNORECASE)
 #: Elements that stay within a block of text.
@@ -44,12 +46,15 @@ _SPARK_ARTICLE = r"(?i)[._-](article|post|entry|story|main|content|body|text)([.
 
 
 class _Blocks(HTMLParser):
-    """The text blocks of a page: (path, kept, text). Path elements carry their first class or id; kept: no element around is silent or aside."""
+    """The text blocks of a page: (path, kept, text). Path elements carry their first class or id; kept: no element around is silent or aside.
+
+    With each block go whether an article or main is around it, whether it counts from the nearest unmarked one of them inwards, and whether forms alone speak against it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, bool]] = []  # element, label, kept
-        self.out: list[tuple[str, bool, str]] = []
+        self.open: list[tuple[str, str, int, bool]] = []  # element, label, why it does not count (or 0), unmarked article or main
+        self.out: list[tuple[str, bool, str, bool, bool, bool]] = []
         self.text: list[str] = []
         self.silent = 0
 
@@ -57,14 +62,25 @@ class _Blocks(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.out.append(("/".join(x[1] for x in self.open if x[0] not in INLINE), all(x[2] for x in self.open), text))
+                why = {x[2] for x in self.open}
+                inner = max((k for k, x in enumerate(self.open) if x[3]), default=None)
+                again = inner is not None and GONE not in why and not any(x[2] for x in self.open[inner:])
+                self.out.append(("/".join(x[1] for x in self.open if x[0] not in INLINE), not any(why), text, any(x[0] in ("article", "main") for x in self.open), again, why <= {0, FORM}))
             self.text = []
 
     def pop_to(self, at: int):
         self.silent -= sum(x[0] in SILENT for x in self.open[at:])
         del self.open[at:]
 
+    def end_head(self, tag=None):
+        """Close a head whose end tag is left out."""
+        if tag not in IN_HEAD and self.silent and (self.open[-1][0] == "head" or tag == "body"):
+            at = next((k for k, x in enumerate(self.open) if x[0] == "head"), None)
+            if at is not None:
+                self.pop_to(at)
+
     def handle_starttag(self, tag, attrs):
+        self.end_head(tag)
         if tag not in INLINE:
             self.flush()
             shut, limit = CLOSES.get(tag, ({"p"}, {"button", "object", "td", "th", "table", "article", "section", "div", "li", "body", "aside", "blockquote"}))
@@ -78,11 +94,13 @@ class _Blocks(HTMLParser):
             return
         found = dict(attrs)
         marks = " ".join(filter(None, (found.get("class"), found.get("id"), found.get("role"))))
-        gone = tag in ASIDE or tag in SILENT or bool(marks and MARKS.search(marks)) or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in (found.get("style") or "").replace(" ", "").lower()
+        marked = bool(marks and MARKS.search(marks))
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in (found.get("style") or "").replace(" ", "").lower()
+        why = GONE if tag in ASIDE - {"form"} or tag in SILENT or hidden else MARKED if marked else FORM if tag == "form" else 0
         if tag in ("html", "body", "article", "main"):
-            gone = False
+            why = 0
         label = tag + (f".{_SPACE.sub('.', marks.strip())}" if marks.strip() else "")
-        self.open.append((tag, label.replace("/", "_"), not gone))
+        self.open.append((tag, label.replace("/", "_"), why, tag in ("article", "main") and not marked))
         self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
@@ -102,6 +120,8 @@ class _Blocks(HTMLParser):
             self.pop_to(at)
 
     def handle_data(self, data):
+        if self.silent and data.strip():
+            self.end_head()
         if not self.silent:
             self.text.append(data)
 
@@ -111,12 +131,21 @@ class _Blocks(HTMLParser):
 
 
 def blocks(html: str | None) -> list[tuple[str, bool, str]]:
-    """(path, kept, text) of each text block of a page, references decoded, white space made single."""
+    """(path, kept, text) of each text block of a page, references decoded, white space made single.
+
+    If no article or main counts, those inside marked elements and forms do; if nothing counts, what only forms are around does.
+    """
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    return parser.out
+    out = parser.out
+    kept = [x[1] for x in out]
+    if not any(x[1] and x[3] for x in out):
+        kept = [x[1] or x[4] for x in out]
+    if not any(kept):
+        kept = [x[5] for x in out]
+    return [(x[0], k, x[2]) for x, k in zip(out, kept)]
 
 
 def _token(*parts: str) -> int:
