@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 
 import pyarrow as pa
@@ -23,31 +24,36 @@ LEAST_VALUE = 12
 WEAK_ID = re.compile(r"""(?i:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{4,})""", re.ASCII)
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,63}[0-9])(?=[A-Za-z0-9+/_=-]{0,63}[A-Z])(?=[A-Za-z0-9+/_=-]{0,63}[a-z])[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc|postgres|mysql|redis|amqp|mongodb)://[^\s\"'<>]+")
-#: Code points around an access identifier in which its secret and its endpoint are looked for.
+#: Length from which a short assigned value counts with an endpoint and no identifier.
+LEAST_ALONE = 8
+#: Code points around an access identifier or a secret in which its complementary parts are looked for.
 REACH = 300
 
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "weak_value", "endpoint")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
-def _within(parts: list[tuple], starts: list[int], low: int, high: int) -> list[tuple]:
-    """The parts that overlap [low, high): the probe side of the interval join. Parts are sorted by start."""
-    at = bisect.bisect_left(starts, low)
-    while at and parts[at - 1][2] > low:
-        at -= 1
-    return parts[at : bisect.bisect_left(starts, high)]
+def _within(parts: list[tuple], starts: list[int], ends: list[int], low: int, high: int) -> list[tuple]:
+    """The parts that overlap [low, high): the probe side of the interval join. Parts are sorted by start; ends is the running maximum of their ends."""
+    return [x for x in parts[bisect.bisect_right(ends, low) : bisect.bisect_left(starts, high)] if x[2] > low]
+
+
+def _bounds(parts: list[tuple]) -> tuple[list[int], list[int]]:
+    return [x[1] for x in parts], list(itertools.accumulate((x[2] for x in parts), max))
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end) by start, then kind as listed; code points, end exclusive."""
     low = text.lower()
-    base, weak = [], []
+    base, weak, short = [], [], set()
     if any(w in low for w in WORDS):
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= LEAST_VALUE:
                 base.append(("assign", *m.span()))
             elif len(m[2]) >= 6:
                 weak.append(("weak_value", *m.span()))
+                if len(m[2]) < LEAST_ALONE:
+                    short.add(weak[-1])
     if "AKIA" in text:
         base += [("access", *m.span()) for m in ACCESS.finditer(text)]
     base += [("hex", *m.span()) for m in HEX.finditer(text)]
@@ -55,18 +61,22 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     if "=" in text or ":" in text:
         ids += [("weak_id", *m.span()) for m in WEAK_ID.finditer(text)]
     out = set(base)
-    if ids:
+    places = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if "://" in text else []
+    if ids or places:
         ids.sort(key=lambda x: x[1])
         taken = [(s, e) for _, s, e in base]
         found = [("weak_secret", *m.span()) for m in WEAK_SECRET.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
         keys = sorted([x for x in base if x[0] != "access"] + weak + found, key=lambda x: x[1])
-        places = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
-        key_at, place_at = [x[1] for x in keys], [x[1] for x in places]
+        key_at, place_at = _bounds(keys), _bounds(places)
         for i in ids:
             scope = (i[1] - REACH, i[2] + REACH)
-            with_it = [x for x in _within(keys, key_at, *scope) if x[2] <= i[1] or i[2] <= x[1]]
+            with_it = [x for x in _within(keys, *key_at, *scope) if x[2] <= i[1] or i[2] <= x[1]]
             if with_it:  # an identifier and a secret: both count, and endpoints in the same scope
-                out |= {i, *with_it, *_within(places, place_at, *scope)}
+                out |= {i, *with_it, *_within(places, *place_at, *scope)}
+        for x in keys if places else ():
+            if x not in short and not _within(places, *place_at, x[1], x[2]):  # a secret that is not part of an address, and addresses: all count
+                near = _within(places, *place_at, x[1] - REACH, x[2] + REACH)
+                out |= {x, *near} if near else set()
     order = {k: n for n, k in enumerate(KINDS)}
     return sorted(out, key=lambda x: (x[1], order[x[0]], x[2]))
 
@@ -76,7 +86,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Strong kinds (assign, access, hex) are always reported. The multipart rule adds weak ones: an
     access identifier (strong, or weak by its name) and a secret (strong, a short assigned value or a
-    random-looking word) within REACH of each other are both reported, and so are endpoints there.
+    random-looking word) within REACH of each other are both reported, and so are endpoints there. A
+    secret (a short assigned value from LEAST_ALONE on) that is not part of an endpoint, and endpoints
+    within REACH, are reported without an identifier too.
     Null text counts as empty; empty gives no spans; null and repeated doc_ids stay; other columns
     are ignored. Whole texts are scanned.
     """
