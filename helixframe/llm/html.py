@@ -1,10 +1,9 @@
-"""Main text of web pages by deducing each host's template.
+"""Main text of web pages, less the text that a host's pages share.
 
-Every page becomes a list of text blocks with the path of elements around them. Over the pages of a
-host, tokens (element paths and block texts at their path) that have the same occurrence vector form
-an equivalence class. A class whose tokens occur once on (nearly) every page is part of the template;
-element paths of such classes nest into the template's slots, block texts of such classes are
-template text. The slot that holds the host's article is chosen, and a page's text is what fills it.
+Every page becomes a list of text blocks with the path of elements around them. Block texts at their
+path that are on (nearly) every page of a host are template text. The slot that holds the host's
+article is chosen among the element paths by their names and marks, and a page's text is what fills
+it. Classes of equal occurrence vectors are formed, but do not decide: they are not nested.
 """
 
 from __future__ import annotations
@@ -226,10 +225,9 @@ def _tokens(batches):
 def templates(parsed: DataFrame) -> DataFrame:
     """(host, slot, fixed) of parsed pages: each host's article slot and the tokens of its template's texts.
 
-    Tokens with one occurrence vector over a host's different pages (equal pages count once) form a
-    class; the vector is kept as its support and a sum of hashes, so a class never gathers rows. Text
-    tokens of classes on SHARE of the pages and on PAGES at least are fixed. Element paths of the
-    same classes nest by their prefixes; the slot is chosen among them by the text that they hold.
+    Equal pages count once. Text tokens on SHARE of a host's different pages and on PAGES at least are
+    fixed, whatever their occurrence vectors. The slot is chosen by element names and marks, then by
+    the pages and the text that it holds.
     """
     told = parsed.where("host <> ''").select("host", "paths", "kept", "texts").mapInArrow(_tokens, "host string, token long, path string, page long, times long, chars long")
     told = told.groupBy("host", "token", "path", "page").agg(F.max("times").alias("times"), F.max("chars").alias("chars"))
