@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a longer text is cut at white space.
@@ -18,6 +18,8 @@ BLOCK = 1 << 20
 BATCH = 4 << 20
 #: Rows up to which a table of plain ids may be broadcast (about 32 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: The temporary folder of this process, for a local master without spark.checkpoint.dir.
+_local: dict[str, str] = {}
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -31,11 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, for a local master only, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _local.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='spark-')}") if not _local else _local["dir"]
     return found.rstrip("/")
 
 
@@ -61,6 +64,11 @@ def small(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def small_bytes(df: DataFrame, size: Column, most: int) -> DataFrame:
+    """df marked for broadcast if its rows, each of so many bytes (a column), come to at most that many; otherwise as it is."""
+    return F.broadcast(df) if (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most else df
+
+
 # ---------------------------------------------------------------- numpy hashing
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -1,9 +1,13 @@
-"""Main text of web pages, less the text that a host's pages share.
-
-Every page becomes a list of text blocks with the path of elements around them. Block texts at their
-path that are on (nearly) every page of a host are template text. The slot that holds the host's
-article is chosen among the element paths by their names and marks, and a page's text is what fills
-it. Classes of equal occurrence vectors are formed, but do not decide: they are not nested.
+"""Main text of web pages by equivalence classes of tokens over the pages of a host.
+
+A page is read as a sequence of tokens: element starts, told apart by their path of elements, and
+blocks of text at their path. Tokens of a host with one occurrence vector (how often each page has
+them) form an equivalence class. A class is valid if its tokens come in one order on the pages that
+have it and if all of them hang in the same element of other classes, so that it nests as a whole.
+The valid classes are the host's template; what they leave on a page are its slots. The article is
+what lies between start and end of one template element: one by the name of article or main, else
+the deepest that holds most of the text in slots. Pages without a template (one page on its host)
+are judged by their own elements in the same way.
 """
 
 from __future__ import annotations
@@ -12,48 +16,103 @@ import re
 from functools import lru_cache
 from hashlib import blake2b
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small, stage
+from .common import slices, small_bytes, stage
 
 #: Elements whose content is never text of a page.
 SILENT = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "head", "title"}
 #: Elements around a page's text that hold no part of the article.
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog", "fieldset"}
-#: Words of which a class, id or role consists that marks such elements.
-_MARK = r"(?:ads?|advert[^\W_]*|adsense|sponsor[^\W_]*|promo[^\W_]*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|replies|respond|disqus|sidebar|side|aside|widget[^\W_]*|menu[^\W_]*|nav[^\W_]*|breadcrumbs?|pagination|pager|footer|header|masthead|share|sharing|social|follow|related|recommended|newsletter|subscribe|subscription|signup|login|search|toolbar|complementary|contentinfo|navigation|dialog|tags|toc)"
+#: Words of which a class, id or role consists that marks such elements: adverts, comments, menus and the like wherever they are,
+_STRONG = r"(?:ads?|advert[^\W_]*|adsense|sponsor[^\W_]*|cookies?|consent|gdpr|comments?|disqus|sidebar|menu[^\W_]*|nav[^\W_]*|breadcrumbs?|pagination|pager|navigation)"
+#: and others outside of articles, or inside of one if the host's template has them there.
+_MARK = rf"(?:{_STRONG}|promo[^\W_]*|banner|notices?|alerts?|popup|modal|overlay|replies|respond|side|aside|widget[^\W_]*|footer|header|masthead|share|sharing|social|follow|related|recommended|newsletter|subscribe|subscription|signup|login|search|toolbar|complementary|contentinfo|dialog|tags|toc)"
 MARKS = re.compile(rf"(?<!\S){_MARK}(?:[_-]+{_MARK})*(?!\S)", re.IGNORECASE)
+STRONG = re.compile(rf"(?<!\S){_STRONG}(?:[_-]+{_MARK})*(?!\S)", re.IGNORECASE)
 #: Start tags that stay within a head; any other ends it, as does text.
 IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "head"}
 #: Why an element does not count: by its marks, as a form, or for good.
-MARKED, FORM, GONE = 1, 2, 3
-#: Elements and marks of an article; an element of the first kind holds it whatever else there is.
-ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body|text)(?:$|[\s_-])", re.IGNORECASE)
+MARKED, FORM, GONE = 1, 2, 4
 #: Elements that stay within a block of text.
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that a start tag of the key closes if they are open, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Block texts are template text if they are on this share of a host's different pages, and on so many.
-SHARE, PAGES = 0.9, 10
+_PARAGRAPH = ({"p"}, {"button", "object", "td", "th", "table", "article", "section", "div", "li", "body", "aside", "blockquote"})
+#: Elements that are not the article's frame but parts of it.
+LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "th"}
+#: Tokens on so many different pages of a host, and on this share of them, can be in its template (so the candidates of a host are bounded by a page's tokens / SHARE).
+SUPPORT, SHARE = 2, 0.2
+#: Share of a class's pages that must have its tokens in one order.
+ORDERED = 0.9
+#: Share of the text in slots that the article's element holds if no name tells it.
+MOST = 0.6
+#: Bytes of a table of templates up to which it is broadcast.
+BROADCAST = 8 << 20
+#: How an element is named: a part of text, neither, main, article.
+LEAF, OTHER, MAIN, ARTICLE = 0, 1, 2, 3
+
 _SPACE, _DIGITS = re.compile(r"\s+"), re.compile(r"[0-9]+")
-_LEAVES = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td", "th")
-_SPARK_ARTICLE = r"(?i)[._-](article|post|entry|story|main|content|body|text)([._-]|$)"
 
 
-class _Blocks(HTMLParser):
-    """The text blocks of a page: (path, kept, text). Path elements carry their first class or id; kept: no element around is silent or aside.
+def _hash(*parts: object) -> int:
+    return int.from_bytes(blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+@lru_cache(50_000)
+def _path(up: int, label: str) -> int:
+    """The token of an element with this label in the element with token up."""
+    return _hash(up, "<", label)
+
+
+class Open(NamedTuple):
+    """An open element, and what all open elements up to it say together."""
+
+    tag: str
+    node: int  # number of the nearest path token
+    why: int  # reasons against what is inside
+    since: int  # of these, those since the innermost unmarked article or main
+    article: bool  # an article or main is open
+    inner: bool  # an unmarked one is
+    mark: int  # path token of the outermost marked element inside it, or -1
+
+
+#: What stands around a page's outermost elements; its path token.
+_NONE, _ROOT = Open("", 0, 0, 0, False, False, -1), _hash("page")
+
 
-    With each block go whether an article or main is around it, whether it counts from the nearest unmarked one of them inwards, and whether forms alone speak against it.
+class Page(NamedTuple):
+    """A parsed page: path tokens in order of appearance with their parents' numbers and names, and blocks of text.
+
+    events: the number of each element's path as it starts, or -1 - n for block n.
     """
 
+    nodes: list[int]
+    up: list[int]
+    kinds: list[int]
+    events: list[int]
+    at: list[int]
+    kept: list[bool]
+    marks: list[int]
+    texts: list[str]
+
+
+class _Parser(HTMLParser):
+    """Time and memory grow with the page's length only, however deep its elements nest."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, str, int, bool]] = []  # element, label, why it does not count (or 0), unmarked article or main
-        self.out: list[tuple[str, bool, str, bool, bool, bool]] = []
+        self.open: list[Open] = []
+        self.where: dict[str, list[int]] = {}  # places of each tag among the open elements
+        self.blocks_open: list[int] = []  # places of those that are not inline
+        self.page = Page([_ROOT], [-1], [OTHER], [], [], [], [], [])
+        self.number: dict[int, int] = {}
+        self.told: list[tuple[bool, bool, bool]] = []  # of each block: in an article; counts from the article inwards; only forms speak against it
         self.text: list[str] = []
         self.silent = 0
 
@@ -61,45 +120,71 @@ class _Blocks(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                why = {x[2] for x in self.open}
-                inner = max((k for k, x in enumerate(self.open) if x[3]), default=None)
-                again = inner is not None and GONE not in why and not any(x[2] for x in self.open[inner:])
-                self.out.append(("/".join(x[1] for x in self.open if x[0] not in INLINE), not any(why), text, any(x[0] in ("article", "main") for x in self.open), again, why <= {0, FORM}))
+                p, x = self.page, self.open[-1] if self.open else _NONE
+                p.events.append(-1 - len(p.texts))
+                p.at.append(x.node), p.kept.append(not x.why), p.marks.append(x.mark), p.texts.append(text)
+                self.told.append((x.article, x.inner and not x.why & GONE and not x.since, not x.why & ~FORM))
             self.text = []
 
+    def node(self, label: str, up: int, kind: int) -> int:
+        p = self.page
+        token = _path(p.nodes[up], label)
+        if token not in self.number:
+            self.number[token] = len(p.nodes)
+            p.up.append(up), p.nodes.append(token), p.kinds.append(kind)
+        return self.number[token]
+
+    def last(self, tags) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
     def pop_to(self, at: int):
-        self.silent -= sum(x[0] in SILENT for x in self.open[at:])
-        del self.open[at:]
+        while len(self.open) > at:
+            x = self.open.pop()
+            self.where[x.tag].pop()
+            if self.blocks_open and self.blocks_open[-1] == len(self.open):
+                self.blocks_open.pop()
+            self.silent -= x.tag in SILENT
 
     def end_head(self, tag=None):
         """Close a head whose end tag is left out."""
-        if tag not in IN_HEAD and self.silent and (self.open[-1][0] == "head" or tag == "body"):
-            at = next((k for k, x in enumerate(self.open) if x[0] == "head"), None)
-            if at is not None:
-                self.pop_to(at)
+        if tag not in IN_HEAD and self.silent and (self.open[-1].tag == "head" or tag == "body") and self.where.get("head"):
+            self.pop_to(self.where["head"][0])
 
     def handle_starttag(self, tag, attrs):
         self.end_head(tag)
         if tag not in INLINE:
             self.flush()
-            shut, limit = CLOSES.get(tag, ({"p"}, {"button", "object", "td", "th", "table", "article", "section", "div", "li", "body", "aside", "blockquote"}))
-            at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] in shut | limit), None)
-            while at is not None and self.open[at][0] in shut:
+            shut, limit = CLOSES.get(tag, _PARAGRAPH)
+            while (at := self.last(shut | limit)) >= 0 and self.open[at].tag in shut:
                 self.pop_to(at)
-                at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] in shut | limit), None) if tag in ("tr",) else None
+                if tag != "tr":
+                    break
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
         found = dict(attrs)
         marks = " ".join(filter(None, (found.get("class"), found.get("id"), found.get("role"))))
-        marked = bool(marks and MARKS.search(marks))
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in (found.get("style") or "").replace(" ", "").lower()
-        why = GONE if tag in ASIDE - {"form"} or tag in SILENT or hidden else MARKED if marked else FORM if tag == "form" else 0
-        if tag in ("html", "body", "article", "main"):
+        up = self.open[-1] if self.open else _NONE
+        marked = bool(marks and MARKS.search(marks))
+        weak = marked and up.inner and not STRONG.search(marks)
+        why = GONE if tag in ASIDE - {"form"} or tag in SILENT or hidden else MARKED if marked and not weak else FORM if tag == "form" else 0
+        frame = tag in ("article", "main")
+        if frame or tag in ("html", "body"):
             why = 0
-        label = tag + (f".{_SPACE.sub('.', marks.strip())}" if marks.strip() else "")
-        self.open.append((tag, label.replace("/", "_"), why, tag in ("article", "main") and not marked))
+        node = up.node
+        if tag not in INLINE:
+            kind = ARTICLE if tag == "article" and not marked else MAIN if tag == "main" and not marked else LEAF if tag in LEAVES else OTHER
+            label = tag + (f".{_SPACE.sub('.', _DIGITS.sub('#', marks.strip()))}" if marks.strip() else "")
+            node = self.node(label, up.node, kind)
+            self.page.events.append(node)
+        since = 0 if frame and not marked else up.since | why
+        mark = self.page.nodes[node] if weak and up.mark == -1 else up.mark
+        self.where.setdefault(tag, []).append(len(self.open))
+        if tag not in INLINE:
+            self.blocks_open.append(len(self.open))
+        self.open.append(Open(tag, node, up.why | why, since, up.article or frame, up.inner or frame and not marked, mark))
         self.silent += tag in SILENT
 
     def handle_startendtag(self, tag, attrs):
@@ -112,10 +197,8 @@ class _Blocks(HTMLParser):
             self.flush()
         elif tag == "br":
             self.text.append(" ")
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
-        if at is not None and not (tag in INLINE and any(x[0] not in INLINE for x in self.open[at:])):
-            if tag not in INLINE:
-                self.flush()
+        at = self.last((tag,))
+        if at >= 0 and not (tag in INLINE and self.blocks_open and self.blocks_open[-1] > at):
             self.pop_to(at)
 
     def handle_data(self, data):
@@ -129,145 +212,245 @@ class _Blocks(HTMLParser):
             self.handle_data(data[6:])
 
 
-def blocks(html: str | None) -> list[tuple[str, bool, str]]:
-    """(path, kept, text) of each text block of a page, references decoded, white space made single.
+def parse(html: str | None) -> Page:
+    """A page's path tokens and text blocks, references decoded, white space made single.
 
-    If no article or main counts, those inside marked elements and forms do; if nothing counts, what only forms are around does.
+    kept: no silent or aside element around. If no article or main counts, those inside marked
+    elements and forms do; if nothing counts, what only forms are around does.
     """
-    parser = _Blocks()
+    parser = _Parser()
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    out = parser.out
-    kept = [x[1] for x in out]
-    if not any(x[1] and x[3] for x in out):
-        kept = [x[1] or x[4] for x in out]
-    if not any(kept):
-        kept = [x[5] for x in out]
-    return [(x[0], k, x[2]) for x, k in zip(out, kept)]
+    page, told = parser.page, parser.told
+    if not any(k and x[0] for k, x in zip(page.kept, told)):
+        page.kept[:] = [k or x[1] for k, x in zip(page.kept, told)]
+    if not any(page.kept):
+        page.kept[:] = [x[2] for x in told]
+    return page
 
 
-def _token(*parts: str) -> int:
-    return int.from_bytes(blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def blocks(html: str | None) -> list[tuple[int, bool, str]]:
+    """(path token, kept, text) of each text block of a page."""
+    p = parse(html)
+    return [(p.nodes[a], k, t) for a, k, t in zip(p.at, p.kept, p.texts)]
 
 
-@lru_cache(10_000)
-def _general(path: str) -> str:
-    """A path without the numbers that ids and classes carry."""
-    return _DIGITS.sub("#", path)
+def inside(page: Page, token: int) -> list[bool]:
+    """For each path of a page whether it is token or lies inside it."""
+    out: list[bool] = []
+    for node, up in zip(page.nodes, page.up):
+        out.append(node == token or up >= 0 and out[up])
+    return out
 
 
-def _rank(label: str) -> int:
-    """How surely an element holds an article: 3 by its name, 2 as main or by its marks, 1 otherwise."""
-    name, _, marks = label.partition(".")
-    return 3 if name == "article" else 2 if name == "main" or marks and ARTICLE.search(marks.replace(".", " ")) else 1
+def chars_inside(page: Page, count: list[bool]) -> list[int]:
+    """Code points inside each path of the blocks that count."""
+    out = [0] * len(page.nodes)
+    for a, c, t in zip(page.at, count, page.texts):
+        out[a] += len(t) if c else 0
+    for i in range(len(out) - 1, 0, -1):
+        if page.up[i] >= 0:
+            out[page.up[i]] += out[i]
+    return out
 
 
-def containers(found: list[tuple[str, bool, str]]) -> dict[str, int]:
-    """Kept text (code points) inside each element path of a page."""
-    out: dict[str, int] = {}
-    for path, kept, text in found:
-        if kept:
-            labels = _general(path).split("/")
-            for k in range(1, len(labels) + 1):
-                part = "/".join(labels[:k])
-                out[part] = out.get(part, 0) + len(text)
+def depths(page: Page) -> list[int]:
+    out: list[int] = []
+    for up in page.up:
+        out.append(out[up] + 1 if up >= 0 else 0)
     return out
 
 
-def slot(chars: dict[str, int]) -> str | None:
-    """The element path that holds the article: of the surest kind that holds text the one with most; if none is sure, the deepest with most of all text."""
-    if not chars:
+def own_slot(page: Page) -> int | None:
+    """The path that holds the article by the page's own elements: an article or main with text (the one with most), else the deepest, not a leaf, with MOST of all text. Ties: the smaller token."""
+    chars, depth = chars_inside(page, page.kept), depths(page)
+    held = [i for i, n in enumerate(chars) if n]
+    if not held:
         return None
-    by_rank = lambda p: _rank(p.rsplit("/", 1)[-1])
-    top = max(map(by_rank, chars))
-    if top > 1:
-        return min((p for p in chars if by_rank(p) == top), key=lambda p: (-chars[p], p))
-    whole = max(chars.values())
-    return max((p for p in chars if chars[p] >= 0.6 * whole and not p.endswith(tuple(f"/{x}" for x in _LEAVES))), key=lambda p: (p.count("/"), chars[p], p), default=min(chars, key=lambda p: (p.count("/"), p)))
+    top = max(page.kinds[i] for i in held)
+    if top > OTHER:
+        best = max((i for i in held if page.kinds[i] == top), key=lambda i: (chars[i], -page.nodes[i]))
+    else:
+        whole = MOST * sum(n for n, up in zip(chars, page.up) if up < 0)
+        most = [i for i in held if page.kinds[i] == OTHER and chars[i] >= whole]
+        best = max(most, key=lambda i: (depth[i], chars[i], -page.nodes[i]), default=held[0])
+    return page.nodes[best]
+
 
+# ------------------------------------------------------------------ pages as rows
 
-BLOCKS = "page_id long, url string, host string, paths array<string>, kept array<boolean>, texts array<string>"
+PARSED = "page_id long, url string, host string, nodes array<long>, up array<int>, kinds array<int>, events array<int>, at array<int>, kept array<boolean>, marks array<long>, texts array<string>"
+_LISTS = list(zip(Page._fields, (pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.string()))))
 
 
-def _parse(batches):
-    """Batches of pages to their blocks: each page is parsed once."""
+def _parse_all(batches):
     for whole in batches:
         for batch in slices(whole, "html"):
-            found = [blocks(h) for h in batch.column("html").to_pylist()]
-            lists = [pa.array([[x[i] for x in f] for f in found], pa.list_(t)) for i, t in ((0, pa.string()), (1, pa.bool_()), (2, pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *lists], ["page_id", "url", "host", "paths", "kept", "texts"])
+            found = [parse(h) for h in batch.column("html").to_pylist()]
+            lists = [pa.array([p[i] for p in found], t) for i, (_, t) in enumerate(_LISTS)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host")), *lists], ["page_id", "url", "host", *Page._fields])
 
 
-def _blocks_of(batch: pa.RecordBatch):
-    return (list(zip(*x)) for x in zip(*(batch.column(c).to_pylist() for c in ("paths", "kept", "texts"))))
+def _pages_of(batch: pa.RecordBatch) -> list[Page]:
+    return [Page(*x) for x in zip(*(batch.column(c).to_pylist() for c in Page._fields))]
 
 
-def _tokens(batches):
-    """Batches of parsed pages to the distinct tokens of each page: (host, token, path, page, times, chars)."""
-    names = ["host", "token", "path", "page", "times", "chars"]
+def _slices(batches, rows: int = 500):
     for whole in batches:
-        for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-            rows = []
-            for host, found in zip(batch.column("host").to_pylist(), _blocks_of(batch)):
-                page = _token(*(t for _, _, t in found))
-                counts: dict[int, int] = {}
-                for path, _, text in found:
-                    token = _token(_general(path), text)
-                    counts[token] = counts.get(token, 0) + 1
-                rows += [(host, t, None, page, n, 0) for t, n in counts.items()]
-                rows += [(host, _token(p), p, page, 1, n) for p, n in containers(found).items()]
-                rows.append((host, 0, None, page, 1, 0))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names)
+        yield from (whole.slice(i, rows) for i in range(0, whole.num_rows, rows))
 
 
-def templates(parsed: DataFrame) -> DataFrame:
-    """(host, slot, fixed) of parsed pages: each host's article slot and the tokens of its template's texts.
+def _text_token(page: Page, block: int) -> int:
+    return _hash(page.nodes[page.at[block]], page.texts[block])
 
-    Equal pages count once. Text tokens on SHARE of a host's different pages and on PAGES at least are
-    fixed, whatever their occurrence vectors. The slot is chosen by element names and marks, then by
-    the pages and the text that it holds.
+
+def _tokens(batches):
+    """Parsed pages to (host, token, element, page, times); token 0 stands for the page itself."""
+    for batch in _slices(batches):
+        rows = []
+        for host, page in zip(batch.column("host").to_pylist(), _pages_of(batch)):
+            times: dict[int, int] = {}
+            for e in page.events:
+                token = page.nodes[e] if e >= 0 else _text_token(page, -1 - e)
+                times[token] = times.get(token, 0) + 1
+            same = _hash(*times.items())
+            paths = set(page.nodes)
+            rows.append((host, 0, False, same, 1))
+            rows += [(host, t, t in paths, same, n) for t, n in times.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int32()))], ["host", "token", "element", "page", "times"])
+
+
+def equivalence_classes(parsed: DataFrame) -> DataFrame:
+    """(host, token, element, vector): tokens on SUPPORT different pages of a host and SHARE of them, by occurrence vector.
+
+    Pages with equal tokens count once. Only vectors that an element has are kept: text that shares
+    its vector with no element is data.
     """
-    told = parsed.where("host <> ''").select("host", "paths", "kept", "texts").mapInArrow(_tokens, "host string, token long, path string, page long, times long, chars long")
-    told = told.groupBy("host", "token", "path", "page").agg(F.max("times").alias("times"), F.max("chars").alias("chars"))
-    by_token = told.groupBy("host", "token", "path").agg(F.count("*").alias("pages"), F.sum(F.xxhash64("page", "times").cast("decimal(38,0)")).alias("vector"), F.sum("chars").alias("chars"))
-    by_token = stage(by_token.withColumn("vector", F.xxhash64("vector")), "html-tokens")
+    told = parsed.where("host <> ''").mapInArrow(_tokens, "host string, token long, element boolean, page long, times int")
+    told = told.groupBy("host", "token", "element", "page").agg(F.max("times").alias("times"))
+    by_token = told.groupBy("host", "token", "element").agg(F.count("*").alias("pages"), F.sum(F.xxhash64("page", "times").cast("decimal(38,0)")).alias("vector"))
+    by_token = stage(by_token.where(F.col("pages") >= SUPPORT).withColumn("vector", F.xxhash64("vector")), "html-tokens")
     size = by_token.where("token = 0").select("host", F.col("pages").alias("all"))
-    classes = by_token.where("token <> 0").join(size, "host")
-    frequent = classes.where((F.col("pages") >= PAGES) & (F.col("pages") >= SHARE * F.col("all"))).where("path IS NULL")
-    valid = frequent.groupBy("host", "vector").agg(F.collect_set("token").alias("tokens"))  # at most what one page holds / SHARE
-    fixed = valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("fixed"))
-    label = F.element_at(F.split("path", "/"), -1)
-    rank = F.when(label.rlike(r"^article(\.|$)"), 3).when(label.rlike(r"^main(\.|$)") | label.rlike(_SPARK_ARTICLE), 2)
-    sure = classes.where("path IS NOT NULL").withColumn("rank", rank).where("rank IS NOT NULL")
-    chosen = sure.groupBy("host").agg(F.max_by("path", F.struct("rank", "pages", "chars", "path")).alias("slot"))
-    return size.select("host").join(chosen, "host", "left").join(fixed, "host", "left")
+    frequent = by_token.where("token <> 0").join(size, "host").where(F.col("pages") >= SHARE * F.col("all"))
+    framed = frequent.where("element").select("host", "vector").distinct()
+    return stage(frequent.join(framed, ["host", "vector"], "left_semi").select("host", "token", "element", "vector"), "html-classes")
+
+
+def class_order(page: Page, of: dict[int, int], size: dict[int, int]) -> dict[int, int | None]:
+    """For each class of a page a hash of its tokens' order, or None where they do not come round in one order or do not nest in one element.
+
+    An element hangs in the nearest element around it that is not of its class; a text where the
+    nearest element of its class around it hangs, else in its own element.
+    """
+    seen: dict[int, list[int]] = {}
+    hangs: dict[int, set[int]] = {}
+    cls = [of.get(t) for t in page.nodes]
+    above: list[int] = []
+    for i, up in enumerate(page.up):
+        above.append(-1 if up < 0 else above[up] if cls[up] is not None and cls[up] == cls[i] else page.nodes[up])
+    known: dict[tuple[int, int], int] = {}
+
+    def place(node: int, c: int) -> int:
+        way, at = [], node
+        while at >= 0 and cls[at] != c and (at, c) not in known:
+            way.append(at)
+            at = page.up[at]
+        found = page.nodes[node] if at < 0 else known[at, c] if (at, c) in known else above[at]
+        known.update(((x, c), found if at >= 0 else page.nodes[x]) for x in way)
+        return found
+
+    for e in page.events:
+        node = e if e >= 0 else page.at[-1 - e]
+        token = page.nodes[e] if e >= 0 else _text_token(page, -1 - e)
+        c = of.get(token)
+        if c is not None:
+            seen.setdefault(c, []).append(token)
+            hangs.setdefault(c, set()).add(above[node] if e >= 0 else place(node, c))
+    good = lambda c, x: len(hangs[c]) == 1 and len(x) % size[c] == 0 and all(a == b for a, b in zip(x, x[size[c] :]))
+    return {c: _hash(*x[: size[c]]) if good(c, x) else None for c, x in seen.items()}
+
+
+def _evidence(batches):
+    """Parsed pages with their host's candidates to (host, vector, token, arranged, n, chars, depth, kind): how often a class comes in one order, and the slots' text inside each candidate element."""
+    names, types = ["host", "vector", "token", "arranged", "n", "chars", "depth", "kind"], (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    for batch in _slices(batches):
+        total: dict[tuple, list[int]] = {}
+        for host, tokens, vectors, page in zip(*(batch.column(c).to_pylist() for c in ("host", "tokens", "vectors")), _pages_of(batch)):
+            of, size = dict(zip(tokens, vectors)), {}
+            for v in vectors:
+                size[v] = size.get(v, 0) + 1
+            for c, arranged in class_order(page, of, size).items():
+                total.setdefault((host, c, None, arranged, None, None), [0, 0])[0] += 1
+            chars = chars_inside(page, [k and _text_token(page, i) not in of for i, k in enumerate(page.kept)])
+            for token, n, d, kind in zip(page.nodes, chars, depths(page), page.kinds):
+                if token in of:
+                    x = total.setdefault((host, of[token], token, None, d, kind), [0, 0])
+                    x[0] += n > 0
+                    x[1] += n
+        if total:
+            cols = zip(*((h, c, t, a, n, chars, d, k) for (h, c, t, a, d, k), (n, chars) in total.items()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+
+
+def templates(parsed: DataFrame) -> DataFrame:
+    """(host, slot, elements, texts) of hosts with a template: the article's element, and the path and text tokens of all valid classes."""
+    classes = equivalence_classes(parsed)
+    per_host = classes.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("vector").alias("vectors"))  # a page's tokens / SHARE at most
+    per_host = stage(per_host, "html-candidates")
+    both = parsed.select("host", *Page._fields).join(small_bytes(per_host, F.size("tokens") * 16 + 64, BROADCAST), "host")
+    told = both.mapInArrow(_evidence, "host string, vector long, token long, arranged long, n long, chars long, depth int, kind int")
+    told = stage(told.groupBy("host", "vector", "token", "arranged", "depth", "kind").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")), "html-evidence")
+    orders = told.where("token IS NULL").groupBy("host", "vector").agg(F.sum("n").alias("all"), F.coalesce(F.max(F.when(F.col("arranged").isNotNull(), F.col("n"))), F.lit(0)).alias("most"))
+    valid = stage(orders.where(F.col("most") >= ORDERED * F.col("all")).select("host", "vector"), "html-valid")
+    framed = told.where("token IS NOT NULL AND chars > 0").join(valid, ["host", "vector"], "left_semi")
+    whole = framed.groupBy("host").agg(F.max("chars").alias("whole"))
+    named = F.col("kind") > OTHER
+    sure = framed.join(whole, "host").where(named | ((F.col("kind") == OTHER) & (F.col("chars") >= MOST * F.col("whole"))))
+    best = F.struct(F.greatest("kind", F.lit(OTHER)), F.when(named, F.col("n")).otherwise(F.col("depth").cast("long")), "chars", -F.col("token"))
+    slot = sure.groupBy("host").agg(F.max_by("token", best).alias("slot"))
+    members = classes.join(valid, ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_list(F.when(F.col("element"), F.col("token"))).alias("elements"), F.collect_list(F.when(~F.col("element"), F.col("token"))).alias("texts"))
+    return stage(slot.join(members, "host"), "html-templates")
+
+
+def slots(page: Page, slot: int | None, elements: set[int], texts: set[int]) -> list[str]:
+    """A page's blocks inside its article slot, less the template's text and marked template elements there.
+
+    Template text goes only where the page's own text is as long, so pages that are copies of each
+    other stay whole.
+    """
+    within = inside(page, slot) if slot is not None else []
+    mine = [i for i, a in enumerate(page.at) if page.kept[i] and within and within[a] and page.marks[i] not in elements]
+    if not mine:
+        slot = own_slot(page)
+        within = inside(page, slot) if slot is not None else [False] * len(page.nodes)
+        mine = [i for i, a in enumerate(page.at) if page.kept[i] and within[a]]
+    fixed = {i for i in mine if texts and _text_token(page, i) in texts}
+    length = lambda x: sum(len(page.texts[i]) for i in x)
+    if 2 * length(fixed) <= length(mine):
+        mine = [i for i in mine if i not in fixed]
+    return [page.texts[i] for i in mine]
 
 
 def _extract(batches):
-    for whole in batches:
-        for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
-            out = []
-            for found, place, fixed in zip(_blocks_of(batch), *(batch.column(c).to_pylist() for c in ("slot", "fixed"))):
-                inside = lambda path, at: path == at or path.startswith(at + "/")
-                if place is None or not any(kept and inside(_general(path), place) for path, kept, _ in found):
-                    place = slot(containers(found))
-                fixed = set(fixed or ())
-                out.append("\n\n".join(t for path, kept, t in found if kept and place is not None and inside(g := _general(path), place) and not (fixed and _token(g, t) in fixed)))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+    for batch in _slices(batches):
+        pages = zip(_pages_of(batch), *(batch.column(c).to_pylist() for c in ("slot", "elements", "texts_of_host")))
+        out = ["\n\n".join(slots(page, slot, set(elements or ()), set(texts or ()))) for page, slot, elements, texts in pages]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) to page_id, url, text, n_chars: the main text of each whole page.
 
-    Blocks lie inside the article slot of the host's template (or, if a page has no such slot, its
-    own), outside of silent and aside elements, and are not template text. Blocks are joined by two
-    line feeds. Null or empty html, or nothing found: empty text. Null ids and URLs stay (a page
-    without a host has no template); repeated rows stay; other columns are ignored.
+    Blocks lie inside the article slot of the host's template (or, if a page has no text there or its
+    host no template, of its own), outside of silent and aside elements, and are not template text.
+    Blocks are joined by two line feeds. Null or empty html, or nothing found: empty text. Null ids
+    and URLs stay (a page without a host has no template); repeated rows stay and count once for the
+    template; of equally good slots the one with the smaller token counts; other columns are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
-    parsed = stage(pages.select("page_id", "url", "html", host.alias("host")).mapInArrow(_parse, BLOCKS), "html-blocks")
-    known = stage(templates(parsed), "html-templates")
-    both = parsed.join(small(known, 10_000), "host", "left").select("page_id", "url", "paths", "kept", "texts", "slot", "fixed")
-    return both.mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    parsed = stage(pages.select("page_id", "url", "html", host.alias("host")).mapInArrow(_parse_all, PARSED), "html-blocks")
+    known = templates(parsed).withColumnRenamed("texts", "texts_of_host")
+    known = small_bytes(known, (F.size("elements") + F.size("texts_of_host")) * 8 + 64, BROADCAST)
+    return parsed.join(known, "host", "left").select("page_id", "url", *Page._fields, "slot", "elements", "texts_of_host").mapInArrow(_extract, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
