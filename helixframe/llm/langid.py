@@ -1,7 +1,8 @@
 """Language ID by word-first backoff.
 
 A known word is scored by its log frequency in each language. An unknown word falls back to its
-character n-grams, the longest first: the first length of which any n-gram is known scores it.
+character n-grams, the longest first: the first length of which any n-gram is known scores it. Words
+of which not even a letter is known are no evidence, and lower the score.
 """
 
 from __future__ import annotations
@@ -12,23 +13,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-from pyspark.sql.window import Window
 
 from .common import slices
 
 #: The model is fitted on about so many labelled documents at most (chosen by a hash of doc_id).
-SAMPLE = 10_000
-#: Entries kept in each language: words, and n-grams of each length.
-WORDS, GRAMS = 30_000, 8_000
-#: Lengths of n-grams, in the order of backoff; a word is read with its edges marked.
+SAMPLE = 4_000
+#: Lengths of n-grams, in the order of backoff; a word is read with its edges marked (single letters without).
 LENGTHS = (5, 4, 3, 2, 1)
 #: What an unseen entry counts.
 UNSEEN = 0.1
 #: Words of which a task remembers the scores.
-REMEMBER = 150_000
+REMEMBER = 100_000
 UNDETERMINED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -54,8 +53,8 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on docs(doc_id, text, lang) outside the held-out fold with text and lang.
 
-    Word counts come from a sample of bounded size, n-gram counts from the counted words. The
-    tables collected have at most WORDS + GRAMS * len(LENGTHS) entries for each language.
+    Word counts come from a sample of bounded size, n-gram counts from the counted words. All words
+    and n-grams of the sample are kept, so the sample bounds the tables.
     """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     per_lang = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -81,31 +80,26 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model:
     words = words.groupBy("lang", "entry").agg(F.sum("n").alias("n")).select("lang", F.lit(0).alias("kind"), "entry", "n").cache()
     marked = F.concat(F.lit("<"), "entry", F.lit(">"))
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i: F.substring(marked, i, F.lit(n)))
-    pieces = [words.where(F.length("entry") >= n - 2).select("lang", F.lit(n).alias("kind"), F.explode(grams(n)).alias("entry"), "n") for n in LENGTHS]
-    counted = functools.reduce(DataFrame.union, pieces).groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")).union(words)
-    order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "entry")
-    kept = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS))
-    rows = kept.select("lang", "kind", "entry", "n").collect()
+    letters = lambda n: grams(n) if n > 1 else F.filter(grams(1), lambda x: ~x.isin("<", ">"))
+    pieces = [words.where(F.length("entry") >= n - 2).select("lang", F.lit(n).alias("kind"), F.explode(letters(n)).alias("entry"), "n") for n in LENGTHS]
+    counted = functools.reduce(DataFrame.union, pieces).groupBy("lang", "kind", "entry").agg(F.sum("n").alias("n")).union(words).select("lang", "kind", "entry", "n")
+    rows = counted.toArrow()
     words.unpersist()
-    langs = sorted({r.lang for r in rows}) or sorted(per_lang)
-    at = {x: i for i, x in enumerate(langs)}
+    langs = sorted(filter(None, pc.unique(rows["lang"]).to_pylist())) or sorted(per_lang)
     tables = {}
-    for kind in {r.kind for r in rows}:
-        entries: dict[str, int] = {}
-        own = [r for r in rows if r.kind == kind]
-        for r in own:
-            entries.setdefault(r.entry, len(entries))
-        matrix = np.full((len(entries), len(langs)), UNSEEN)
-        for r in own:
-            matrix[entries[r.entry], at[r.lang]] = r.n
-        tables[kind] = entries, np.log(matrix) - np.log(matrix.sum(axis=0))
+    for kind in pc.unique(rows["kind"]).to_pylist():
+        own = rows.filter(pc.equal(rows["kind"], kind))
+        names = pc.unique(own["entry"])
+        matrix = np.full((len(names), len(langs)), UNSEEN, np.float32)
+        matrix[pc.index_in(own["entry"], names).to_numpy(), pc.index_in(own["lang"], pa.array(langs)).to_numpy()] = own["n"].to_numpy()
+        tables[kind] = dict(zip(names.to_pylist(), range(len(names)))), np.log(matrix) - np.log(matrix.sum(axis=0, dtype=np.float64)).astype(np.float32)
     prior = np.array([per_lang.get(x, 0) for x in langs], float)
     return Model(langs, np.log(np.maximum(prior, 0.5) / prior.sum()), tables)
 
 
 def score_words(words: list[str], model: Model) -> np.ndarray:
-    """A row for each word: its log frequency in each language, or that of its longest known n-grams on average; zeros if nothing of it is known."""
-    out = np.zeros((len(words), len(model.langs)))
+    """A row for each word: its log frequency in each language, or that of its longest known n-grams on average; zeros if not a letter of it is known."""
+    out = np.zeros((len(words), len(model.langs)), np.float32)
     known, matrix = model.tables.get(0, ({}, None))
     left = []
     for i, w in enumerate(words):
@@ -120,7 +114,7 @@ def score_words(words: list[str], model: Model) -> np.ndarray:
         entries, matrix = model.tables[n]
         rest, at, rows, starts = [], [], [], []
         for i, w in left:
-            found = [k for j in range(len(w) - n + 1) if (k := entries.get(w[j : j + n])) is not None]
+            found = [k for j in range(n == 1, len(w) - n + (n > 1)) if (k := entries.get(w[j : j + n])) is not None]
             if found:
                 at.append(i), starts.append(len(rows))
                 rows += found
@@ -137,7 +131,7 @@ def _predict(sent, at: int):
     def run(batches):
         model: Model = sent.value
         memo: dict[str, int] = {}
-        scores = np.zeros((0, len(model.langs)))
+        scores = np.zeros((0, len(model.langs)), np.float32)
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 texts = [words_of(t) for t in batch.column(at).to_pylist()]
@@ -152,10 +146,11 @@ def _predict(sent, at: int):
                     if not ws or not model.langs:
                         langs.append(UNDETERMINED), values.append(0.0)
                         continue
-                    total = model.prior + scores[np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+                    each = scores[np.fromiter(map(memo.__getitem__, ws), np.int64, len(ws))]
+                    total = model.prior + each.sum(axis=0, dtype=np.float64)
                     best = int(np.argmax(total))
                     langs.append(model.langs[best])
-                    values.append(float(1 / np.exp(total - total[best]).sum()))
+                    values.append(float(each.any(axis=1).mean() / np.exp(total - total[best]).sum()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(values, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     return run
@@ -165,8 +160,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score of each whole text (columns of these names are replaced).
 
     lang_pred: the learned language with the highest sum of word scores and prior; score: its
-    posterior share. Null text or no letter: `und`, 0. Letters of which nothing is known: the most
-    frequent language. Equal sums: the language that sorts first. A model of no languages gives `und`.
+    posterior share times the share of words of which a letter is known at least. Null text or no
+    letter: `und`, 0. Letters of which nothing is known: the most frequent language, 0. Equal sums: the language that sorts first. A model of no languages gives `und`.
     Only text is read; null and repeated ids stay.
     """
     docs = docs.drop("lang_pred", "score")

@@ -21,11 +21,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths; each document's is source/lang/d<doc_id div 64>/<doc_id>.txt, and LICENSE for texts under 300 code points."""
+    """The table has no paths; each document's is source/d<doc_id div 64>/<doc_id>.txt, and LICENSE for the first doc_id of a folder."""
     docs = table(spark, sf_dir, "documents")
-    name = F.when(F.length("text") < 300, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    name = F.when(F.col("doc_id") % 64 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     folder = F.concat(F.lit("d"), F.floor(F.col("doc_id") / 64).cast("string"))
-    return licenses.scan(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", folder, name).alias("path")))
+    return licenses.scan(docs.select("doc_id", "text", F.concat_ws("/", "source", folder, name).alias("path")))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +78,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op8_topk_search": """
         WITH v AS (
-          SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS e FROM embeddings
+          SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS e FROM embeddings
           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-          SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+          SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.row <> c.row
         )
-        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
-        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY row, query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        QUALIFY row_number() OVER (PARTITION BY row, query_id ORDER BY score DESC, vec_id) <= 20""",
     "op9_warc": """
         WITH p AS (
           SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

@@ -22,7 +22,9 @@ LEAST_VALUE = 12
 
 #: Weak parts: an identifier by its name, a value that looks random, an address of a service.
 WEAK_ID = re.compile(r"""(?i:access_?key(?:_?id)?|client_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]{4,})""", re.ASCII)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{0,63}[0-9])(?=[A-Za-z0-9+/_=-]{0,63}[A-Z])(?=[A-Za-z0-9+/_=-]{0,63}[a-z])[A-Za-z0-9+/_=-]{20,}")
+WEAK_SECRET = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: What a value that looks random holds, wherever in it.
+MIXED = (re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]"))
 ENDPOINT = re.compile(r"(?:https?|s3|jdbc|postgres|mysql|redis|amqp|mongodb)://[^\s\"'<>]+")
 #: Length from which a short assigned value counts with an endpoint and no identifier.
 LEAST_ALONE = 8
@@ -38,6 +40,18 @@ def _within(parts: list[tuple], starts: list[int], ends: list[int], low: int, hi
     return [x for x in parts[bisect.bisect_right(ends, low) : bisect.bisect_left(starts, high)] if x[2] > low]
 
 
+def _by_kind(parts: list[tuple]) -> list[tuple]:
+    """Parts apart by kind: spans of one kind do not overlap, so that a probe reads no more than it finds."""
+    kinds: dict[str, list[tuple]] = {}
+    for x in sorted(parts, key=lambda x: x[1]):
+        kinds.setdefault(x[0], []).append(x)
+    return [(x, *_bounds(x)) for x in kinds.values()]
+
+
+def _among(kinds: list[tuple], low: int, high: int) -> list[tuple]:
+    return [x for k in kinds for x in _within(*k, low, high)]
+
+
 def _bounds(parts: list[tuple]) -> tuple[list[int], list[int]]:
     return [x[1] for x in parts], list(itertools.accumulate((x[2] for x in parts), max))
 
@@ -64,18 +78,18 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     places = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if "://" in text else []
     if ids or places:
         ids.sort(key=lambda x: x[1])
-        taken = [(s, e) for _, s, e in base]
-        found = [("weak_secret", *m.span()) for m in WEAK_SECRET.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)]
-        keys = sorted([x for x in base if x[0] != "access"] + weak + found, key=lambda x: x[1])
-        key_at, place_at = _bounds(keys), _bounds(places)
+        taken = _by_kind(base)
+        found = [("weak_secret", *m.span()) for m in WEAK_SECRET.finditer(text) if all(x.search(m[0]) for x in MIXED) and not _among(taken, *m.span())]
+        keys = [x for x in base if x[0] != "access"] + weak + found
+        key_at, place_at = _by_kind(keys), _by_kind(places)
         for i in ids:
             scope = (i[1] - REACH, i[2] + REACH)
-            with_it = [x for x in _within(keys, *key_at, *scope) if x[2] <= i[1] or i[2] <= x[1]]
+            with_it = [x for x in _among(key_at, *scope) if x[2] <= i[1] or i[2] <= x[1]]
             if with_it:  # an identifier and a secret: both count, and endpoints in the same scope
-                out |= {i, *with_it, *_within(places, *place_at, *scope)}
+                out |= {i, *with_it, *_among(place_at, *scope)}
         for x in keys if places else ():
-            if x not in short and not _within(places, *place_at, x[1], x[2]):  # a secret that is not part of an address, and addresses: all count
-                near = _within(places, *place_at, x[1] - REACH, x[2] + REACH)
+            if x not in short and not _among(place_at, x[1], x[2]):  # a secret that is not part of an address, and addresses: all count
+                near = _among(place_at, x[1] - REACH, x[2] + REACH)
                 out |= {x, *near} if near else set()
     order = {k: n for n, k in enumerate(KINDS)}
     return sorted(out, key=lambda x: (x[1], order[x[0]], x[2]))
