@@ -14,18 +14,19 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import partitions, slices, stage
+from .common import partitions, slices, stage, trimmed
 
 #: Pre-tokens after which a chunk is closed.
-CHUNK = 2_500_000
+CHUNK = 1_250_000
 #: Bytes of a text that are cut into pre-tokens at once, so that memory stays bounded.
 PIECE = 1 << 20
+#: Words of a deal whose ids a task remembers; beyond it a word may be encoded again, so that memory stays bounded.
+REMEMBER = 100_000
 
 
 def ranks(spark, path: str) -> dict[bytes, int]:
@@ -143,7 +144,7 @@ def _chunks(pattern: str, deals: int, kind: int):
 
 
 def _encode(vocabulary):
-    """Rows of one deal's words to their ids: each distinct word of the task is encoded once."""
+    """Rows of one deal's words to their ids: each distinct word of the task is encoded once (of a deal of more than REMEMBER, again at times)."""
 
     def run(batches):
         import tiktoken
@@ -156,6 +157,8 @@ def _encode(vocabulary):
                 for w in _spread_words(row["lengths"], row["words"]):
                     ids = known.get(w)
                     if ids is None:
+                        if len(known) >= REMEMBER:
+                            known.clear()
                         ids = known[w] = enc.encode_ordinary(w)
                     out.append(ids)
                 lengths, flat = np.fromiter(map(len, out), np.int64, len(out)), np.array([i for ids in out for i in ids], np.int64)
@@ -164,27 +167,27 @@ def _encode(vocabulary):
     return run
 
 
-def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     """The texts of one chunk: ids by position."""
-    if len({*docs["check"], *words["check"]}) > 1:
+    if len({*docs["check"].to_pylist(), *words["check"].to_pylist()}) > 1:
         raise ValueError("the table gave its rows in another order when it was read again; stage it first")
-    none = [np.zeros(0, np.int64)]
-    place = np.concatenate([np.cumsum(_spread(x)) for x in words["places"]] or none)
-    length = np.concatenate([_spread(x) for x in words["lengths"]] or none)
-    flat = np.concatenate([_spread(x).astype(np.int32) for x in words["ids"]] or [np.zeros(0, np.int32)])
-    size, start = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    column = lambda t, c: (x.as_py() for x in t[c])
+    place = np.concatenate([np.cumsum(_spread(x)).astype(np.int32) for x in column(words, "places")] or [np.zeros(0, np.int32)])
+    length = np.concatenate([_spread(x).astype(np.int32) for x in column(words, "lengths")] or [np.zeros(0, np.int32)])
+    flat = np.concatenate([_spread(x).astype(np.int32) for x in column(words, "ids")] or [np.zeros(0, np.int32)])
+    size, start = np.zeros(len(place), np.int32), np.zeros(len(place), np.int64)
     size[place] = length
-    start[place] = np.cumsum(length) - length
+    start[place] = np.cumsum(length, dtype=np.int64) - length
     doc_ids, out = [], []
-    for ids, lengths, places in zip(docs["doc_ids"], docs["lengths"], docs["places"]):
+    for ids, lengths, places in zip(*(column(docs, c) for c in ("doc_ids", "lengths", "places"))):
         places = _spread(places)
         doc_ids += _unpack_ids(ids)
         for p in np.split(places, np.cumsum(_spread(lengths))[:-1]):
             n = size[p]
-            ends = np.cumsum(n)
+            ends = np.cumsum(n, dtype=np.int64)
             at = np.arange(ends[-1] if len(p) else 0) + np.repeat(start[p] - (ends - n), n)
             out.append(flat[at].tobytes())
-    return pd.DataFrame({"doc_id": pd.array(doc_ids, dtype="Int64"), "ids": out})
+    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
 def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:
@@ -202,9 +205,9 @@ def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataF
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
         docs = stage(docs, "bpe")  # rows out of a shuffle may come in another order the next time
     sent = spark.sparkContext.broadcast(vocabulary)
-    texts, words = (docs.mapInArrow(_chunks(pattern, deals, kind), _CODED) for kind in (0, 1))
-    words = words.repartition(deals, "deal").mapInArrow(_encode(sent), "check long, chunk long, places binary, lengths binary, ids binary")
-    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInPandas(_assemble, "doc_id long, ids binary")
+    texts, words = (docs.mapInArrow(trimmed(_chunks(pattern, deals, kind)), _CODED) for kind in (0, 1))
+    words = words.repartition(deals, "deal").mapInArrow(trimmed(_encode(sent)), "check long, chunk long, places binary, lengths binary, ids binary")
+    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_assemble, "doc_id long, ids binary")
 
 
 def decode(coded: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
@@ -223,7 +226,7 @@ def decode(coded: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
                 out = [b"".join(map(look, np.frombuffer(x, np.int32).tolist())) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
-    return coded.mapInArrow(run, StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))
+    return coded.mapInArrow(trimmed(run), StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def digests(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:

@@ -1,173 +1,256 @@
-"""Benchmark decontamination by greedy string tiling."""
+"""Benchmark decontamination by greedy string tiling.
 
-from __future__ import annotations
+Seeds are grams of TILE tokens that a document and a test item share. A bitmap of fixed size lets
+only those grams of the documents through that an item may have; these are joined with the items'
+seeds by Spark. Any tiling that covers enough of an item holds a number of its seeds, so the most
+frequent ones of each item are left out of the join. Pairs that come out are tiled: the longest
+match of unmarked tokens, found by running Karp-Rabin hashes, is marked again and again.
+"""
 
-import heapq
-from collections.abc import Iterator
-from typing import NamedTuple
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import ngrams, slices, text_buffers, words
+from .common import mix, ngrams, slices, small, small_bytes, stage, text_buffers, words
 
 #: Tokens of the shortest tile, and of the grams that seed matches.
 TILE = 4
 #: Share of a test item's tokens that tiles must cover.
 COVERAGE = 0.5
-#: Tokens of test items that are sent to the executors at once (about 64 MB with their seeds); more items go in further passes.
-BLOCK_TOKENS = 2_000_000
+#: Bits of the map of the items' seeds (2 MB); more items let more grams through, none is lost.
+MAP_BITS = 1 << 24
+#: Bytes of the items' seeds, and tokens of the items, up to which they are broadcast.
+BROADCAST, BLOCK_TOKENS = 16 << 20, 2_000_000
 
 #: Bytes between tokens: ASCII other than letters and digits.
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-class Items(NamedTuple):
-    """A block of test items: their tokens end to end, and the sorted grams with the places where they start."""
+def _tokens(col: pa.Array) -> list[np.ndarray]:
+    """The hashes of each text's tokens."""
+    doc, _, h = words(*text_buffers(col), _BETWEEN)
+    at = np.searchsorted(doc, np.arange(len(col) + 1))
+    return [h[s:e] for s, e in zip(at[:-1], at[1:])]
 
-    ids: list
-    tokens: np.ndarray
-    begin: np.ndarray
-    grams: np.ndarray
-    places: np.ndarray
 
+def grams(tokens: np.ndarray, n: int) -> np.ndarray:
+    return ngrams(tokens, n) if n == TILE else mix(ngrams(tokens, n) ^ np.uint64(n))
 
-def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    doc, _, h = words(*text_buffers(col), _BETWEEN)
-    return doc, h
+
+def _items(batches):
+    """Items with at least one token to (item, item_id, length, tokens, seeds); an item of fewer than TILE tokens has itself as its only seed."""
+    names = ["item", "item_id", "length", "tokens", "seeds"]
+    seed = pa.list_(pa.struct([("seed", pa.int64()), ("times", pa.int32())]))
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            rows = []
+            for n, i, h in zip(batch.column("item").to_pylist(), batch.column("item_id").to_pylist(), _tokens(batch.column("text"))):
+                if len(h):
+                    own, times = np.unique(grams(h, min(TILE, len(h))), return_counts=True)
+                    rows.append((n, i, len(h), h.tobytes(), [{"seed": x, "times": t} for x, t in zip(own.view(np.int64).tolist(), times.tolist())]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), seed))], names)
+
+
+def bitmap(seeds: DataFrame) -> np.ndarray:
+    """The map of a column seed: MAP_BITS bits, put together by Spark; at most MAP_BITS / 64 rows come to the driver."""
+    bit = F.pmod("seed", F.lit(MAP_BITS))
+    rows = seeds.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(seed, {MAP_BITS}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The test items in blocks of at most BLOCK_TOKENS tokens (or one item)."""
+def in_map(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = (seeds.view(np.int64) % MAP_BITS).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-    def build(ids, texts):
-        doc, h = _tokens(pa.array(texts, pa.string()))
-        begin = np.searchsorted(doc, np.arange(len(ids) + 1))
-        grams = ngrams(h, TILE)
-        places = np.flatnonzero(doc[: len(grams)] == doc[TILE - 1 :][: len(grams)]) if len(grams) else np.zeros(0, np.int64)
-        order = np.argsort(grams[places], kind="stable")
-        return Items(ids, h, begin, grams[places][order], places[order])
 
-    ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
-        n = len(row.text.split()) + 1
-        if ids and size + n > BLOCK_TOKENS:
-            yield build(ids, texts)
-            ids, texts, size = [], [], 0
-        ids.append(row.item_id), texts.append(row.text)
-        size += n
-    if ids:
-        yield build(ids, texts)
+class _Side:
+    """Running Karp-Rabin hashes over tokens of which some are marked."""
 
+    def __init__(self, tokens: np.ndarray, free: np.ndarray, base: int):
+        self.free = free.copy()
+        n = len(tokens)
+        with np.errstate(over="ignore"):
+            self.power = np.full(n + 1, base, np.uint64)
+            self.power[0] = 1
+            self.power = np.cumprod(self.power)
+            self.total = np.r_[np.uint64(0), np.cumsum(mix(tokens) * self.power[n - 1 :: -1][:n])] if n else np.zeros(1, np.uint64)
+        self.n = n
 
-def tile(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
+    def left(self) -> np.ndarray:
+        """The free tokens from each place on."""
+        stop = np.where(self.free, self.n, np.arange(self.n))
+        return np.minimum.accumulate(stop[::-1])[::-1] - np.arange(self.n)
+
+    def windows(self, left: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of free windows of s tokens, and their hashes."""
+        at = np.flatnonzero(left[: self.n - s + 1] >= s) if s <= self.n else np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            return at, (self.total[at + s] - self.total[at]) * self.power[at]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, under: np.ndarray) -> list[tuple[int, int, int]]:
     """Greedy string tiling of an item by a document: tiles (place in document, place in item, length).
 
-    i, j: all places where a gram of TILE tokens agrees. Longest matches are marked first (ties: the
-    first in the item, then in the document); what marked tokens leave of a match comes back later.
+    under: the document's tokens that lie in a seed. The longest matches of unmarked tokens are marked
+    first (ties: the first in the item, then in the document), down to TILE tokens. Time and memory
+    grow with the lengths, not with the number of places that agree.
     """
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    first = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(i - j) != 0)])
-    length = np.diff(np.r_[first, len(i)]) + TILE - 1
-    heap = [(-int(n), int(y), int(x)) for n, x, y in zip(length, i[first], j[first])]
-    heapq.heapify(heap)
-    in_doc, in_item, tiles = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-    while heap:
-        n, y, x = heapq.heappop(heap)
-        n = -n
-        taken = in_doc[x : x + n] | in_item[y : y + n]
-        if not taken.any():
-            in_doc[x : x + n] = in_item[y : y + n] = True
-            tiles.append((x, y, n))
-            continue
-        edge = np.flatnonzero(np.diff(np.r_[True, taken, True].astype(np.int8)))
-        for s, e in zip(edge[::2], edge[1::2]):
-            if e - s >= TILE:
-                heapq.heappush(heap, (-int(e - s), y + int(s), x + int(s)))
+    base = 0x9E3779B97F4A7C15
+    a, b = _Side(doc, under, base), _Side(item, np.ones(len(item), bool), base)
+    # hashes of both sides are brought to one power, so that windows compare wherever they lie
+    shift = np.uint64(pow(base, abs(a.n - b.n), 1 << 64))
+    with np.errstate(over="ignore"):
+        if a.n < b.n:
+            a.total = a.total * shift
+        else:
+            b.total = b.total * shift
+    tiles, s = [], len(item)
+    while s >= TILE:
+        la, lb = a.left(), b.left()
+        s = min(s, int(la.max(initial=0)), int(lb.max(initial=0)))
+
+        def found(n: int) -> bool:
+            return len(np.intersect1d(a.windows(la, n)[1], b.windows(lb, n)[1])) > 0
+
+        if s < TILE or not found(s):
+            low, high = TILE - 1, s  # found(low) holds (or low is too short), found(high) does not
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if found(mid) else (low, mid)
+            s = low
+        if s < TILE:
+            break
+        at_a, ha = a.windows(la, s)
+        at_b, hb = b.windows(lb, s)
+        both = np.intersect1d(ha, hb)
+        keep = np.isin(ha, both)
+        order = np.argsort(ha[keep], kind="stable")
+        places, hashes = at_a[keep][order], ha[keep][order]
+        pointer = dict(zip(both.tolist(), np.searchsorted(hashes, both).tolist()))
+        marked = False
+        for y, h in zip(at_b[np.isin(hb, both)].tolist(), hb[np.isin(hb, both)].tolist()):
+            if not b.free[y : y + s].all():
+                continue
+            k = pointer[h]
+            while k < len(places) and hashes[k] == h and not a.free[places[k] : places[k] + s].all():
+                k += 1
+            pointer[h] = k
+            if k < len(places) and hashes[k] == h:
+                x = int(places[k])
+                a.free[x : x + s] = b.free[y : y + s] = False
+                tiles.append((x, y, s))
+                marked = True
+        if not marked:
+            break
     return tiles
 
 
-def _leaks(doc: np.ndarray, items: Items) -> Iterator[tuple[object, float, int, int]]:
-    """(item, coverage, tokens, tiles) of the items that a document covers enough."""
-    grams = ngrams(doc, TILE)
-    low, high = np.searchsorted(items.grams, grams, "left"), np.searchsorted(items.grams, grams, "right")
-    at = np.flatnonzero(high > low)
-    if not len(at):
-        return
-    n = (high - low)[at]
-    i = np.repeat(at, n)
-    j = items.places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at], n)]
-    item = np.searchsorted(items.begin, j, "right") - 1
-    order = np.argsort(item, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
-        k = item[part[0]]
-        begin, end = items.begin[k], items.begin[k + 1]
-        # no tiling can cover more than the tokens under all seeds
-        under = np.zeros(end - begin + 1, np.int64)
-        np.add.at(under, j[part] - begin, 1)
-        np.add.at(under, np.minimum(j[part] - begin + TILE, end - begin), -1)
-        if (np.cumsum(under)[:-1] > 0).sum() < COVERAGE * (end - begin):
-            continue
-        tiles = tile(doc, items.tokens[begin:end], i[part], j[part] - begin)
-        covered = sum(t[2] for t in tiles)
-        if covered >= COVERAGE * (end - begin):
-            yield items.ids[k], covered / float(end - begin), covered, len(tiles)
-
-
-def _of_batch(batch: pa.RecordBatch, items: Items) -> Iterator[tuple[int, list]]:
-    doc, h = _tokens(batch.column(batch.schema.get_field_index("text")))
-    bounds = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-    for row in range(batch.num_rows):
-        if bounds[row + 1] - bounds[row] >= TILE and (found := list(_leaks(h[bounds[row] : bounds[row + 1]], items))):
-            yield row, found
+def cover(doc: np.ndarray, item: np.ndarray) -> tuple[int, int]:
+    """The tokens of an item that tiles of a document cover, and the number of tiles; an item of fewer than TILE tokens is covered as a whole or not."""
+    n = min(TILE, len(item))
+    own = grams(doc, n)
+    seeds = np.isin(own, grams(item, n))
+    if not seeds.any():
+        return 0, 0
+    if n < TILE:
+        return n, 1
+    # the tokens under seeds, with one token that matches nothing between stretches
+    under = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(under, np.flatnonzero(seeds), 1)
+    np.add.at(under, np.flatnonzero(seeds) + TILE, -1)
+    places = np.flatnonzero(np.cumsum(under)[:-1] > 0)
+    stretch = np.cumsum(np.diff(places, prepend=places[0]) > 1)
+    spread = places * 0 + np.arange(len(places)) + stretch
+    part, free = np.zeros(spread[-1] + 1, np.uint64), np.zeros(spread[-1] + 1, bool)
+    part[spread], free[spread] = doc[places], True
+    tiles = tile(part, item, free)
+    return sum(t[2] for t in tiles), len(tiles)
+
+
+def _seeds_of(sent):
+    """(key, text) to (key, seed): the distinct grams of each text that the map lets through."""
+    bits, lengths = sent.value
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for row, h in enumerate(_tokens(batch.column("text"))):
+                    for n in lengths:
+                        g = grams(h, n)
+                        g = np.unique(g[in_map(g, bits)])
+                        seeds.append(g), rows.append(np.full(len(g), row))
+                seeds, rows = np.concatenate(seeds), np.concatenate(rows)
+                if len(seeds):
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(rows)), pa.array(seeds.view(np.int64))], ["key", "seed"])
+
+    return run
+
+
+def _tile_all(batches):
+    """(key, text, item_id, tokens of the item) to the pairs that are covered enough."""
+    names, types = ["key", "item_id", "coverage", "tokens", "tiles"], (pa.binary(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+    key, doc = None, np.zeros(0, np.uint64)
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            rows = []
+            for i in range(batch.num_rows):
+                if batch.column("key")[i].as_py() != key:
+                    key, doc = batch.column("key")[i].as_py(), _tokens(batch.column("text").slice(i, 1))[0]
+                item = np.frombuffer(batch.column("tokens")[i].as_py(), np.uint64)
+                tokens, tiles = cover(doc, item)
+                if tokens >= COVERAGE * len(item):
+                    rows.append((key, batch.column("item_id")[i].as_py(), tokens / float(len(item)), tokens, tiles))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
+def _key():
+    return F.unhex(F.md5("text")).alias("key")
+
+
+def leaked(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """texts(key, text) to (key, item_id, coverage, tokens, tiles) for each different text and item."""
+    texts = texts.where("text IS NOT NULL")
+    told = benchmark.where("text IS NOT NULL").select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    items = stage(told.mapInArrow(_items, "item long, item_id long, length int, tokens binary, seeds array<struct<seed:long,times:int>>"), "leaks-items")
+    seeds = items.select("item", "length", F.inline("seeds"))
+    lengths = sorted(r.n for r in items.select(F.least("length", F.lit(TILE)).alias("n")).distinct().collect())
+    sent = texts.sparkSession.sparkContext.broadcast((bitmap(seeds), lengths))
+    found = stage(texts.select("key", "text").mapInArrow(_seeds_of(sent), "key binary, seed long").distinct(), "leaks-seeds")
+    # a tile of n tokens holds n - TILE + 1 seeds, so a tiling that covers enough holds this many at least: an item's most frequent ones, fewer than that, need not be looked for
+    held = F.ceil(F.ceil(F.lit(COVERAGE) * F.col("length")) / TILE)
+    order = Window.partitionBy("item").orderBy(F.desc("often"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = seeds.join(found.groupBy("seed").agg(F.count("*").alias("often")), "seed").withColumn("so_far", F.sum("times").over(order))
+    wanted = stage(ranked.where(F.col("so_far") >= held).select("item", "seed"), "leaks-wanted")
+    pairs = stage(found.join(small_bytes(wanted, F.lit(16), BROADCAST), "seed").select("key", "item").distinct(), "leaks-pairs")
+    need = small(stage(pairs.select("key").distinct(), "leaks-keys"))
+    mine = stage(texts.join(need, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "leaks-texts")
+    both = mine.join(small(pairs), "key").join(small_bytes(items.select("item", "item_id", "tokens", "length"), F.col("length"), BLOCK_TOKENS), "item")
+    return stage(both.select("key", "text", "item_id", "tokens").mapInArrow(_tile_all, "key binary, item_id long, coverage double, tokens int, tiles int"), "leaks")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, tokens, tiles): documents of which tiles cover half of a test item or more.
 
     Tokens are runs of letters and digits, A-Z lower-cased; punctuation and order of passages do not
-    matter, tiles of fewer than TILE tokens do not count. Documents and items with null, empty or too
-    short text match nothing. Null ids stay null, repeated rows give repeated rows; empty tables give
-    none; other columns are ignored. The benchmark goes to the executors in blocks of a bounded size,
-    each block against all documents.
+    matter, tiles of fewer than TILE tokens do not count. Items of fewer tokens are found where they
+    stand as a whole. Documents and items with null text or without tokens match nothing. Null ids
+    stay null, repeated rows give repeated rows, ties of tiles go to the first in the item; empty
+    tables give none; other columns are ignored.
     """
-    spark = docs.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tokens", pa.int32()), ("tiles", pa.int32())])
-    out = spark.createDataFrame([], "doc_id long, item_id long, coverage double, tokens int, tiles int")
-
-    def against(sent):
-        def run(batches):
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    ids = batch.column("doc_id")
-                    rows = [(ids[row].as_py(), *x) for row, found in _of_batch(batch, sent.value) for x in found]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-        return run
-
-    for items in blocks(benchmark):
-        out = out.union(docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(against(spark.sparkContext.broadcast(items)), out.schema))
-    return out
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key(), "text")
+    return keyed.select("doc_id", "key").join(small(leaked(keyed.select("key", "text"), benchmark)), "key").select("doc_id", "item_id", "coverage", "tokens", "tiles")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, with all its columns, less the rows that leaks() would name."""
-
-    def against(sent):
-        def run(batches):
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    keep = np.ones(batch.num_rows, bool)
-                    keep[[row for row, _ in _of_batch(batch, sent.value)]] = False
-                    yield batch.filter(pa.array(keep))
-
-        return run
-
-    schema = StructType(docs.schema.fields)
-    for items in blocks(benchmark):
-        docs = docs.mapInArrow(against(docs.sparkSession.sparkContext.broadcast(items)), schema)
-    return docs
+    """docs, with all its columns, less the rows that leaks() would name; null and empty texts stay."""
+    gone = small(stage(leaked(docs.select(_key(), "text"), benchmark).select(F.col("key").alias("_leaked")).distinct(), "leaks-gone"))
+    return docs.join(gone, F.unhex(F.md5(docs["text"])) == gone["_leaked"], "left_anti")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import slices
+from .common import slices, trimmed
 
 #: The model is fitted on about so many labelled documents at most (chosen by a hash of doc_id).
 SAMPLE = 4_000
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(_predict(sent, docs.columns.index("text")), schema)
+    return docs.mapInArrow(trimmed(_predict(sent, docs.columns.index("text"))), schema)
 
 
 def predictions(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
