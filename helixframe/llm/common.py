@@ -20,8 +20,12 @@ BLOCK = 1 << 20
 BATCH = 4 << 20
 #: Rows up to which a table of plain ids may be broadcast (about 32 MB); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Bits of a map of hashes (2 MB); more hashes let more of others through, none of its own is lost.
+MAP_BITS = 1 << 24
 #: The temporary folder of this process, for a local master without spark.checkpoint.dir.
 _local: dict[str, str] = {}
+#: Names and paths of what was staged inside each open scratch().
+_held: list[list[tuple[str, str]]] = []
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -53,10 +57,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     bound_batches(spark)
     path = new_path(spark, name)
+    if _held:
+        _held[-1].append((name, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Whatever is staged inside, but for these names, is deleted at the end; an outer scratch sees to what is kept."""
+    held: list[tuple[str, str]] = []
+    _held.append(held)
+    try:
+        yield
+    finally:
+        _held.remove(held)
+    if _held:
+        _held[-1] += [x for x in held if x[0] in keep]
+    for path in (p for name, p in held if name not in keep):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -98,6 +120,20 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def bitmap(seeds: DataFrame) -> np.ndarray:
+    """The map of a column seed: MAP_BITS bits, put together by Spark; at most MAP_BITS / 64 rows come to the driver."""
+    bit = F.pmod("seed", F.lit(MAP_BITS))
+    rows = seeds.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(seed, {MAP_BITS}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def in_map(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = (seeds.view(np.int64) % MAP_BITS).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 _BASE = 0x2545F4914F6CDD1D
 _TABLE = mix(np.arange(256, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 _LOWER = np.arange(256, dtype=np.uint8)

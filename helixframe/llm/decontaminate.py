@@ -15,14 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, ngrams, slices, small, small_bytes, stage, text_buffers, words
+from .common import bitmap, in_map, mix, ngrams, slices, small, small_bytes, stage, text_buffers, trimmed, words
 
 #: Tokens of the shortest tile, and of the grams that seed matches.
 TILE = 4
 #: Share of a test item's tokens that tiles must cover.
 COVERAGE = 0.5
-#: Bits of the map of the items' seeds (2 MB); more items let more grams through, none is lost.
-MAP_BITS = 1 << 24
 #: Bytes of the items' seeds, and tokens of the items, up to which they are broadcast.
 BROADCAST, BLOCK_TOKENS = 16 << 20, 2_000_000
 
@@ -56,20 +54,6 @@ def _items(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), seed))], names)
 
 
-def bitmap(seeds: DataFrame) -> np.ndarray:
-    """The map of a column seed: MAP_BITS bits, put together by Spark; at most MAP_BITS / 64 rows come to the driver."""
-    bit = F.pmod("seed", F.lit(MAP_BITS))
-    rows = seeds.select((bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(seed, {MAP_BITS}) % 64 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(MAP_BITS // 64, np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint8)
-
-
-def in_map(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    at = (seeds.view(np.int64) % MAP_BITS).astype(np.int64)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-
 class _Side:
     """Running Karp-Rabin hashes over tokens of which some are marked."""
 
@@ -224,7 +208,7 @@ def leaked(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
     seeds = items.select("item", "length", F.inline("seeds"))
     lengths = sorted(r.n for r in items.select(F.least("length", F.lit(TILE)).alias("n")).distinct().collect())
     sent = texts.sparkSession.sparkContext.broadcast((bitmap(seeds), lengths))
-    found = stage(texts.select("key", "text").mapInArrow(_seeds_of(sent), "key binary, seed long").distinct(), "leaks-seeds")
+    found = stage(texts.select("key", "text").mapInArrow(trimmed(_seeds_of(sent)), "key binary, seed long").distinct(), "leaks-seeds")
     # a tile of n tokens holds n - TILE + 1 seeds, so a tiling that covers enough holds this many at least: an item's most frequent ones, fewer than that, need not be looked for
     held = F.ceil(F.ceil(F.lit(COVERAGE) * F.col("length")) / TILE)
     order = Window.partitionBy("item").orderBy(F.desc("often"), "seed").rowsBetween(Window.unboundedPreceding, 0)
@@ -234,7 +218,7 @@ def leaked(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
     need = small(stage(pairs.select("key").distinct(), "leaks-keys"))
     mine = stage(texts.join(need, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "leaks-texts")
     both = mine.join(small(pairs), "key").join(small_bytes(items.select("item", "item_id", "tokens", "length"), F.col("length"), BLOCK_TOKENS), "item")
-    return stage(both.select("key", "text", "item_id", "tokens").mapInArrow(_tile_all, "key binary, item_id long, coverage double, tokens int, tiles int"), "leaks")
+    return stage(both.select("key", "text", "item_id", "tokens").mapInArrow(trimmed(_tile_all), "key binary, item_id long, coverage double, tokens int, tiles int"), "leaks")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

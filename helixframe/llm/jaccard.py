@@ -1,24 +1,30 @@
-"""Exact near-duplicate join of word n-gram sets by partition signatures.
+"""Exact near-duplicate join of word n-gram sets by partition signatures (part enumeration).
 
 Sets of like size fall into a scheme: overlapping size bands, so that any two sets which can be
-similar enough share one. A scheme splits the domain of n-grams (their hashes) into N parts; a
-set's signatures are the fingerprints of its non-empty parts. If two sets of sizes a <= b have
-Jaccard similarity t or more, they differ in at most k = (a + b) * (1 - t) / (1 + t) elements and
-so in at most k parts. Hence a set with more than k non-empty parts shares at least one signature
-with each similar set. (This is the first level of part enumeration with one part per subset. The
-second level, which takes subsets of sub-parts, raises the number of signatures and is not needed
-for exactness.)
+similar enough share one. If two sets of sizes a <= b have Jaccard similarity t or more, they differ
+in at most k = (a + b) * (1 - t) / (1 + t) elements. A scheme splits the domain of n-grams into parts
+and takes fingerprints of subsets of a set's parts, such that similar sets share one. Which subsets
+are the cheapest depends on the band:
+
+- Small sets (ENUM_FROM to ENUM elements): every element is a part, and the subsets are all those of
+  the size that a pair of sizes must have in common. They are few, and hardly any other set has them.
+- Larger sets: the domain is split into N parts by a hash, and the subsets are single parts. k
+  differences spoil at most k parts; so a set with more than k non-empty parts shares one with each
+  similar set. More parts to a subset would need more parts in all, and no fewer signatures. In bands
+  up to SINGLE each element is a part, so that parts cannot be too few; a set that has too few in a
+  larger band is compared with all sets that share an n-gram with it.
 
 Signatures of more than HOT sets are never expanded into pairs. A set that keeps more than k other
 ("cold") signatures finds all its partners by these. For two sets that both lack them, every part
-in which they agree is hot; so they share one of their (k - cold + 1) rarest hot signatures. These
-groups are compared with their most ordinary member first and components are merged. What then
-still lies in different components drops out if it has too few n-grams in common with all others;
-the rest is compared block by block, without a row for any pair.
+in which they agree is hot; so they share one of their (k - cold + 1) rarest hot signatures (small
+sets: one of their hot ones). These groups are compared with their most ordinary member first and
+components are merged. What then still lies in different components drops out if it has too few
+n-grams in common with all others; the rest is compared block by block, without a row for any pair.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix, ngrams, partitions, slices, small, stage, text_buffers, words
+from .common import bitmap, in_map, mix, ngrams, partitions, scratch, slices, small, stage, text_buffers, trimmed, words
 from .components import components
 
 #: A signature of more than so many different sets is hot: its group is compared by stars, not by pairs.
 HOT = 16
 #: Signatures that a task packs at once.
-PACK = 1_000_000
-#: Sets of one block when clusters of hot groups are compared.
-BLOCK = 512
+PACK = 500_000
+#: Sets, and elements of sets, of one block when clusters of hot groups are compared.
+BLOCK, BLOCK_ELEMENTS = 512, 500_000
+#: Pairs that a task holds before it passes them on.
+HELD_PAIRS = 1_000_000
 #: Sizes of the bands: scheme g holds sizes from STEP**g to STEP**g * STEP * 4/3.
 STEP = 2.0
 #: The last scheme whose parts are single elements. In larger ones, parts are expected to outnumber the
@@ -44,6 +52,8 @@ STEP = 2.0
 SINGLE = 5
 #: Parts for each element of a scheme's largest set.
 DENSITY = 0.45
+#: The scheme of small sets, whose subsets are enumerated, and the sizes of which the smaller of two must be. (Up to ENUM they have about as many signatures as elements.)
+SMALL, ENUM_FROM, ENUM = 30, 4, 6
 
 _ALL, _LOW40, _SCHEME = (1 << 64) - 1, np.uint64((1 << 40) - 1), np.uint64(31)
 
@@ -74,7 +84,10 @@ def schemes(size: int, t: float) -> list[int]:
         g -= 1
     while STEP ** (g + 1) <= size:
         g += 1
-    return [g - 1, g] if g and size <= STEP**g / t else [g]
+    bands = [g - 1, g] if g and size <= STEP**g / t else [g]
+    if ENUM_FROM <= size <= ENUM:  # a band is only needed for partners that are smaller yet
+        bands = [x for x in bands if STEP**x < ENUM_FROM and ENUM_FROM - 1 >= t * size]
+    return bands + ([SMALL] if ENUM_FROM <= size <= ENUM / t else [])
 
 
 def parts(scheme: int, t: float) -> int:
@@ -95,8 +108,17 @@ def _part(s: np.ndarray, n: int) -> np.ndarray:
         return (mix(s * np.uint64(3)) >> np.uint64(11)) % np.uint64(n)
 
 
+def common_sizes(size: int, t: float) -> list[int]:
+    """What a set of this size and a similar one must have in common, for all sizes of partners in the scheme of small sets."""
+    partners = [p for p in range(ENUM_FROM, int(size / t + 1e-9) + 1) if p >= t * size - 1e-9 and min(p, size) <= ENUM]
+    return sorted({int(np.ceil(t * (size + p) / (1 + t) - 1e-9)) for p in partners})
+
+
 def signatures(s: np.ndarray, scheme: int, t: float) -> np.ndarray:
     with np.errstate(over="ignore"):
+        if scheme == SMALL:
+            h = mix(s)
+            return np.concatenate([mix(h[np.array(list(itertools.combinations(range(len(s)), m)))].sum(axis=1) + np.uint64((SMALL << 40) + m)) for m in common_sizes(len(s), t)])
         p = _part(s, parts(scheme, t))
         order = np.argsort(p, kind="stable")
         p = p[order]
@@ -105,17 +127,17 @@ def signatures(s: np.ndarray, scheme: int, t: float) -> np.ndarray:
 
 
 def _describe(n: int, t: float):
-    """Batches of (doc_id, text) to (doc_id, size, f1, f2, low, high): the non-empty parts in the set's schemes (low: 0 if only one)."""
+    """Batches of (doc_id, text) to (doc_id, size, f1, f2, made): the set's schemes with its non-empty parts in each (of small sets one more than they may differ in, so that none of their signatures can be spared)."""
+    made_type = pa.list_(pa.struct([("scheme", pa.int32()), ("parts", pa.int64())]))
 
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                out = np.zeros((5, batch.num_rows), np.int64)
+                out, made = np.zeros((3, batch.num_rows), np.int64), [[] for _ in range(batch.num_rows)]
                 for row, s in sets(batch, n):
-                    f = fingerprint(s)
-                    made = [len(np.unique(_part(s, parts(g, t)))) for g in schemes(len(s), t)]
-                    out[:, row] = len(s), *f, made[0] if len(made) > 1 else 0, made[-1]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], ["doc_id", "size", "f1", "f2", "low", "high"])
+                    out[:, row] = len(s), *fingerprint(s)
+                    made[row] = [{"scheme": g, "parts": differences(len(s), t) + 1 if g == SMALL else len(np.unique(_part(s, parts(g, t))))} for g in schemes(len(s), t)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out), pa.array(made, made_type)], ["doc_id", "size", "f1", "f2", "made"])
 
     return run
 
@@ -162,15 +184,16 @@ def _sign(n: int, t: float, buckets: int):
             )
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int, int]] = set()
         sig, fid, held = [], [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
                 for _, s in sets(batch, n):
-                    f = (fingerprint(s)[0] & _ALL) >> 24
-                    if f in seen:
+                    own = (*fingerprint(s), len(s))
+                    if own in seen:
                         continue
-                    seen.add(f)
+                    seen.add(own)
+                    f = max((own[0] & _ALL) >> 24, 1)
                     for g in schemes(len(s), t):
                         x = signatures(s, g, t)
                         sig.append(((x % np.uint64(buckets)) << np.uint64(40)) | ((x >> np.uint64(29)) << np.uint64(5)) | np.uint64(g))
@@ -186,50 +209,71 @@ def _sign(n: int, t: float, buckets: int):
 
 
 def _match(batches):
-    """Packed signatures of whole buckets to pairs of cold groups (kind 0: two sets, scheme, shared signatures) and members of hot groups (kind 1: signature, set, scheme)."""
-    sig, fid = [], []
+    """Packed signatures, sorted by bucket, to pairs of cold groups (kind 0: two sets, scheme, shared signatures) and members of hot groups (kind 1: signature, set, scheme). One bucket is held at a time."""
+    sig, fid, at = [], [], None
+    pairs: list[tuple] = []
+
+    def close():
+        if sig:
+            hot, found = _bucket(np.concatenate(sig), np.concatenate(fid))
+            sig.clear(), fid.clear()
+            if found is not None:
+                pairs.append(found)
+            if hot is not None:
+                yield _rows(1, *hot, hot[0] & _SCHEME)
+        if sum(len(x[0]) for x in pairs) > HELD_PAIRS:
+            yield _counted(pairs)
+            pairs.clear()
+
     for b in batches:
         for kind, bucket, s, f in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "sig", "fid"))):
             f = _unplanes(f)
             if kind:
                 s = np.frombuffer(s, np.uint64)
                 yield _rows(1, s, f, s & _SCHEME)
-            else:
-                sig.append(np.cumsum(_unplanes(s), dtype=np.uint64) | np.uint64(bucket << 40)), fid.append(f)
-    if not sig:
-        return
-    sig, fid = np.concatenate(sig), np.concatenate(fid)
+                continue
+            if bucket != at:
+                yield from close()
+                at = bucket
+            sig.append(np.cumsum(_unplanes(s), dtype=np.uint64) | np.uint64(bucket << 40)), fid.append(f)
+    yield from close()
+    if pairs:
+        yield _counted(pairs)
+
+
+def _bucket(sig: np.ndarray, fid: np.ndarray):
+    """Of one bucket the hot signatures with their sets, and the pairs of sets in cold ones with their scheme; None where there is none."""
     order = np.argsort(sig, kind="stable")
     sig, fid = sig[order], fid[order]
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    count = np.diff(np.r_[first, len(sig)])
-    many = np.repeat(count > 1, count)
+    many = np.repeat((count := np.diff(np.r_[first, len(sig)])) > 1, count)
     sig, fid = sig[many], fid[many]
+    if not len(sig):
+        return None, None
     order = np.lexsort((fid, sig))
     sig, fid = sig[order], fid[order]
-    if len(sig):
-        keep = np.r_[True, (sig[1:] != sig[:-1]) | (fid[1:] != fid[:-1])]
-        sig, fid = sig[keep], fid[keep]
-        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-        count = np.diff(np.r_[starts, len(sig)])
-        marked = fid[starts] == 0
-        hot = np.repeat(marked | (count > HOT), count) & (fid > 0)
-        if hot.any():
-            yield _rows(1, sig[hot], fid[hot], sig[hot] & _SCHEME)
-        cold = ~marked & (count <= HOT) & (count > 1)
-        starts, count = starts[cold], count[cold]
-        a, b, g = [], [], []
-        for size in np.unique(count):
-            at = starts[count == size]
-            for i in range(size):
-                for j in range(i + 1, size):
-                    a.append(fid[at + i]), b.append(fid[at + j]), g.append(sig[at] & _SCHEME)
-        if a:
-            a, b, g = np.concatenate(a), np.concatenate(b), np.concatenate(g)
-            order = np.lexsort((g, b, a))
-            a, b, g = a[order], b[order], g[order]
-            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (g[1:] != g[:-1])])
-            yield _rows(0, a[first], b[first], g[first], np.diff(np.r_[first, len(a)]))
+    keep = np.r_[True, (sig[1:] != sig[:-1]) | (fid[1:] != fid[:-1])]
+    sig, fid = sig[keep], fid[keep]
+    starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    count = np.diff(np.r_[starts, len(sig)])
+    marked = fid[starts] == 0
+    hot = np.repeat(marked | (count > HOT), count) & (fid > 0)
+    cold = ~marked & (count <= HOT) & (count > 1)
+    starts, count = starts[cold], count[cold]
+    found = []
+    for size in np.unique(count):
+        at = starts[count == size]
+        for i, j in itertools.combinations(range(size), 2):
+            found.append((fid[at + i], fid[at + j], sig[at] & _SCHEME))
+    return (sig[hot], fid[hot]) if hot.any() else None, tuple(map(np.concatenate, zip(*found))) if found else None
+
+
+def _counted(pairs: list[tuple]) -> pa.RecordBatch:
+    a, b, g = map(np.concatenate, zip(*pairs))
+    order = np.lexsort((g, b, a))
+    a, b, g = a[order], b[order], g[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (g[1:] != g[:-1])])
+    return _rows(0, a[first], b[first], g[first], np.diff(np.r_[first, len(a)]))
 
 
 def _rows(kind: int, x: np.ndarray, y: np.ndarray, scheme: np.ndarray, shared: np.ndarray | None = None) -> pa.RecordBatch:
@@ -275,7 +319,7 @@ def _check(pairs: DataFrame, grams: DataFrame, t: int, name: str) -> DataFrame:
     """The pairs (a, b) of set representatives that are similar enough."""
     left = grams.select(F.col("rep").alias("b"), F.col("grams").alias("sb")).join(small(pairs), "b")
     both = left.join(grams.select(F.col("rep").alias("a"), F.col("grams").alias("sa")), "a")
-    return stage(both.select("a", "b", "sa", "sb").mapInArrow(_verify(t), "a long, b long"), name)
+    return stage(both.select("a", "b", "sa", "sb").mapInArrow(trimmed(_verify(t)), "a long, b long"), name)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame:
@@ -285,21 +329,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame
     white space; with fewer than n words, the whole sequence as one) have a Jaccard similarity of
     percent / 100 or more. component_id is the smallest doc_id that links reach. Null or blank text:
     no shingles, own component. Rows with one doc_id are one document. A null doc_id links nothing
-    and has a null component. Other columns are ignored. No link is lost, whatever a group's size.
+    and has a null component. Other columns are ignored. No link is lost, whatever a group's size
+    (sets count as equal if their sizes and two 64-bit fingerprints are).
     """
+    with scratch(docs.sparkSession, "jaccard-sets", "jaccard-classes"):
+        return _near_duplicates(docs.select("doc_id", "text"), percent, n)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, n: int) -> DataFrame:
     spark, t = docs.sparkSession, percent / 100
-    docs = docs.select("doc_id", "text")
-    told = stage(docs.mapInArrow(_describe(n, t), "doc_id long, size long, f1 long, f2 long, low long, high long"), "jaccard-sets")
-    reps = told.where("size > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("rep"), F.max("low").alias("low"), F.max("high").alias("high"))
-    reps = stage(reps.withColumn("fid", F.shiftrightunsigned("f1", 24)), "jaccard-reps")
-    top = F.floor(F.log(STEP, F.col("size").cast("double")) + 1e-9).cast("int")
-    top = F.when(F.pow(F.lit(STEP), top) > F.col("size"), top - 1).when(F.pow(F.lit(STEP), top + 1) <= F.col("size"), top + 1).otherwise(top)
-    by = reps.withColumn("top", top).selectExpr("fid", "rep", "size", "inline(array(struct(top AS scheme, high AS parts), struct(top - 1 AS scheme, low AS parts)))").where("parts > 0")
-    by = stage(by, "jaccard-members")
+    told = stage(docs.mapInArrow(trimmed(_describe(n, t)), "doc_id long, size long, f1 long, f2 long, made array<struct<scheme:int,parts:long>>"), "jaccard-sets")
+    reps = told.where("size > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "size").agg(F.min("doc_id").alias("rep"), F.first("made").alias("made"))
+    reps = stage(reps.withColumn("fid", F.greatest(F.shiftrightunsigned("f1", 24), F.lit(1))), "jaccard-reps")
+    by = stage(reps.select("fid", "rep", "size", F.inline("made")), "jaccard-members")
 
     buckets = 4 * partitions(spark)
-    packed = docs.where("doc_id IS NOT NULL").mapInArrow(_sign(n, t, buckets), "kind int, bucket int, sig binary, fid binary")
-    found = stage(packed.repartition(partitions(spark), "bucket").mapInArrow(_match, "kind int, x long, y long, scheme int, shared int"), "jaccard-found")
+    packed = docs.where("doc_id IS NOT NULL").mapInArrow(trimmed(_sign(n, t, buckets)), "kind int, bucket int, sig binary, fid binary")
+    dealt = packed.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
+    found = stage(dealt.mapInArrow(trimmed(_match), "kind int, x long, y long, scheme int, shared int"), "jaccard-found")
     hot, often_hot = _hot_rows(found.where("kind = 1").selectExpr("x AS sig", "y AS fid", "scheme"), by, t)
     cold = found.where("kind = 0").groupBy("x", "y", "scheme").agg(F.sum("shared").alias("shared"))
     cold = _likely(cold, by, often_hot, t)
@@ -308,11 +355,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame
     lead = stage(lead.where("members > 1").select("sig", "lead"), "jaccard-leads")
     star = hot.join(lead, "sig").where("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
     star = stage(star, "jaccard-star")
-    pairs = stage(cold.select("a", "b").union(star).distinct(), "jaccard-pairs")
+    cold = cold.select("a", "b").union(_aside(docs, reps, by, n, t))
+    pairs = stage(cold.union(star).distinct(), "jaccard-pairs")
 
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(hot.select("rep")).distinct()
     need = small(stage(need.join(reps.select(F.col("rep").alias("doc_id"), "f1"), "doc_id"), "jaccard-need"))
-    wanted = docs.join(need.select("doc_id"), "doc_id", "left_semi").mapInArrow(_bytes_of_sets(n), "doc_id long, f1 long, grams binary")
+    wanted = docs.join(need.select("doc_id"), "doc_id", "left_semi").mapInArrow(trimmed(_bytes_of_sets(n)), "doc_id long, f1 long, grams binary")
     grams = stage(wanted.join(need, ["doc_id", "f1"], "left_semi").selectExpr("doc_id AS rep", "grams"), "jaccard-grams")
     if grams.groupBy("rep").count().where("count > 1").limit(1).count():
         grams = stage(grams.groupBy("rep").agg(F.any_value("grams").alias("grams")), "jaccard-grams")
@@ -332,6 +380,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75, n: int = 5) -> DataFrame
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
 
 
+def _grams(n: int, bits=None):
+    """(doc_id, text) to (doc_id, gram), of grams that a map lets through if there is one."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", 1 << 18):
+                for row, s in sets(batch, n):
+                    s = s if bits is None else s[in_map(s, bits.value)]
+                    if len(s):
+                        yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("doc_id")[row], len(s)), pa.array(s.view(np.int64))], ["doc_id", "gram"])
+
+    return run
+
+
+def _aside(docs: DataFrame, reps: DataFrame, by: DataFrame, n: int, t: float) -> DataFrame:
+    """Pairs that signatures cannot promise: different sets with one fid, and sets with too few parts beside all that share an n-gram with them. Mostly there are none."""
+    twins = reps.groupBy("fid").agg(F.count("*").alias("n")).where("n > 1").select("fid")
+    mine = reps.join(twins, "fid", "left_semi").select("fid", "rep")
+    pairs = mine.withColumnRenamed("rep", "a").join(mine.withColumnRenamed("rep", "b"), "fid").where("a < b").select("a", "b")
+    few = by.where(F.col("parts") <= F.floor((F.col("size") + F.col("size") / t) * (1 - t) / (1 + t) + 1e-9))
+    few = stage(few.select(F.col("rep").alias("doc_id")).distinct(), "jaccard-few")
+    if few.limit(1).count():
+        own = stage(docs.join(small(few), "doc_id", "left_semi").mapInArrow(_grams(n), "doc_id long, gram long").distinct(), "jaccard-few")
+        bits = docs.sparkSession.sparkContext.broadcast(bitmap(own.withColumnRenamed("gram", "seed")))
+        others = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_grams(n, bits), "doc_id long, gram long")
+        met = others.join(own.withColumnRenamed("doc_id", "few"), "gram").where("doc_id <> few")
+        pairs = pairs.union(met.select(F.least("doc_id", "few").alias("a"), F.greatest("doc_id", "few").alias("b")).distinct())
+    return stage(pairs, "jaccard-aside")
+
+
 def _members(hot: DataFrame, label: DataFrame) -> DataFrame:
     """(sig, rep, size, label): the members of hot groups whose members lie in several components."""
     return _split(hot.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "size", F.coalesce("label", "rep").alias("label")))
@@ -425,7 +503,8 @@ def _across(member: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     lead = stage(member.groupBy("sig").agg(F.min("rep").alias("a")), "jaccard-leads")
     held = member.join(lead, "sig").select("a", F.col("rep").alias("b")).distinct()
     cluster = stage(components(held, "jaccard-clusters").withColumnRenamed("node", "rep").withColumnRenamed("label", "cluster"), "jaccard-clusters")
-    n = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = cluster.join(member.select("rep", "size").distinct(), "rep")
+    n = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
     put = cluster.join(n, "cluster").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # block i meets block j: once as the smaller number (side 0), once as the larger (side 1), with itself as side 2
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1).alias("side")))
@@ -463,5 +542,5 @@ def _likely(cold: DataFrame, by: DataFrame, often_hot: DataFrame, t: float) -> D
     differ = F.floor((F.col("na") + F.col("nb")) * (1 - t) / (1 + t) + 1e-9)
     pairs = pairs.join(hot_a, ["x", "scheme"], "left").join(hot_b, ["y", "scheme"], "left")
     agree = F.col("shared") + F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    pairs = pairs.where(agree >= F.greatest("pa", "pb") - differ)
+    pairs = pairs.where((F.col("scheme") == SMALL) | (agree >= F.greatest("pa", "pb") - differ))
     return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()

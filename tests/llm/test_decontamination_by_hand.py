@@ -7,7 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontaminate
+from helixframe.llm import common, decontaminate
 from tests.llm.test_operators import documents
 
 
@@ -88,6 +88,6 @@ def test_repeated_tokens_take_no_product():
 def test_the_map_lets_all_seeds_through(spark):
     rng = np.random.default_rng(2)
     seeds = rng.integers(-(1 << 63), 1 << 63, 5000)
-    bits = decontaminate.bitmap(spark.createDataFrame([(int(x),) for x in seeds], "seed long"))
-    assert decontaminate.in_map(seeds.view(np.uint64), bits).all()
-    assert decontaminate.in_map(rng.integers(0, 1 << 63, 20_000).astype(np.uint64), bits).mean() < 0.01
+    bits = common.bitmap(spark.createDataFrame([(int(x),) for x in seeds], "seed long"))
+    assert common.in_map(seeds.view(np.uint64), bits).all()
+    assert common.in_map(rng.integers(0, 1 << 63, 20_000).astype(np.uint64), bits).mean() < 0.01
