@@ -167,8 +167,21 @@ def _encode(vocabulary):
     return run
 
 
-def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """The texts of one chunk: ids by position."""
+def _assemble(table=None):
+    """The texts of one chunk: ids by position, and their bytes if there is a (broadcast) table of tokens."""
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        out = _texts(docs, words)
+        return out if table is None else out.append_column("decoded", pa.array((_bytes_of(x.as_py(), table.value) for x in out["ids"]), pa.binary()))
+
+    return run
+
+
+def _bytes_of(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, np.int32).tolist()))
+
+
+def _texts(docs: pa.Table, words: pa.Table) -> pa.Table:
     if len({*docs["check"].to_pylist(), *words["check"].to_pylist()}) > 1:
         raise ValueError("the table gave its rows in another order when it was read again; stage it first")
     column = lambda t, c: (x.as_py() for x in t[c])
@@ -190,14 +203,14 @@ def _assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
 
 
-def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str, decoded: bool = False) -> DataFrame:
     """docs(doc_id, text) to (doc_id, ids): ids as little-endian 32-bit integers in one binary.
 
     Each match of the pattern is encoded by itself by the ranks, without special tokens. Null text
     counts as empty and gives no ids; null and repeated doc_ids stay as they are; other columns are
     ignored. One row out for each row in. The table is read twice, once for the texts' places and
     once for the words, and has to give its rows in one order; one that comes out of a shuffle is
-    written first.
+    written first. With decoded, the ids are decoded where they are put together (as by decode()).
     """
     spark = docs.sparkSession
     deals = partitions(spark)
@@ -207,23 +220,26 @@ def encode(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataF
     sent = spark.sparkContext.broadcast(vocabulary)
     texts, words = (docs.mapInArrow(trimmed(_chunks(pattern, deals, kind)), _CODED) for kind in (0, 1))
     words = words.repartition(deals, "deal").mapInArrow(trimmed(_encode(sent)), "check long, chunk long, places binary, lengths binary, ids binary")
-    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_assemble, "doc_id long, ids binary")
+    table = spark.sparkContext.broadcast(_table(vocabulary)) if decoded else None
+    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(_assemble(table), "doc_id long, ids binary" + ", decoded binary" * decoded)
 
 
-def decode(coded: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """coded(doc_id, ids, ...) with a column decoded: the bytes of the ids, looked up in the token-byte table (bounded by the vocabulary)."""
-    spark = coded.sparkSession
+def _table(vocabulary: dict[bytes, int]) -> list[bytes]:
     table = [b""] * (max(vocabulary.values(), default=-1) + 1)
     for token, i in vocabulary.items():
         table[i] = token
-    sent = spark.sparkContext.broadcast(table)
+    return table
+
+
+def decode(coded: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """coded(doc_id, ids, ...) with a column decoded: the bytes of the ids, looked up in the token-byte table (bounded by the vocabulary). Null ids give null."""
+    sent = coded.sparkSession.sparkContext.broadcast(_table(vocabulary))
 
     def run(batches):
-        look = sent.value.__getitem__
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                out = [b"".join(map(look, np.frombuffer(x, np.int32).tolist())) for x in part.column("ids").to_pylist()]
+                out = [None if x is None else _bytes_of(x, sent.value) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     return coded.mapInArrow(trimmed(run), StructType([*coded.schema.fields, StructField("decoded", BinaryType())]))
@@ -231,6 +247,5 @@ def decode(coded: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 
 def digests(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs."""
-    both = decode(encode(docs, vocabulary, pattern), vocabulary)
+    both = encode(docs, vocabulary, pattern, decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-

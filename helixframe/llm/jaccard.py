@@ -28,7 +28,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -457,23 +456,24 @@ def _linkable(member: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
 def _compare(percent: int):
     """Two blocks of sets to links across their components: enough of them to join what is linked, no more."""
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.drop_duplicates(["rep", "side"]).sort_values("rep", ignore_index=True)
-        sets_ = [np.frombuffer(x, np.uint64) for x in df["grams"]]
-        size, side = np.array([len(x) for x in sets_]), df["side"].to_numpy()
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted({(r, s): (r, s, i, g) for i, (r, s, g) in enumerate(zip(*(table[c].to_pylist() for c in ("rep", "side", "label"))))}.values())
+        rep, side, label = [r[0] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows]
+        sets_ = [np.frombuffer(table["grams"][r[2]].as_py(), np.uint64) for r in rows]
+        size = np.array([len(x) for x in sets_])
         vocabulary, at = np.unique(np.concatenate(sets_), return_inverse=True)
-        owner = np.repeat(np.arange(len(df)), size)
-        common = np.zeros((len(df), len(df)), np.float32)
+        owner = np.repeat(np.arange(len(rows)), size)
+        common = np.zeros((len(rows), len(rows)), np.float32)
         order = np.argsort(at, kind="stable")
         at, owner = at[order], owner[order]
         for s in range(0, len(vocabulary), 4096):  # a slice of the n-grams at a time, to bound memory
             lo, hi = np.searchsorted(at, [s, s + 4096])
-            x = np.zeros((len(df), min(4096, len(vocabulary) - s)), np.float32)
+            x = np.zeros((len(rows), min(4096, len(vocabulary) - s)), np.float32)
             x[owner[lo:hi], at[lo:hi] - s] = 1
             common += x @ x.T
         union = size[:, None] + size[None, :] - common
         near = np.triu(100 * common >= percent * union, 1) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
-        root = {x: x for x in df["label"]}
+        root = {x: x for x in label}
 
         def find(x):
             while root[x] != x:
@@ -483,11 +483,11 @@ def _compare(percent: int):
 
         out = []
         for i, j in zip(*np.nonzero(near)):
-            x, y = find(df["label"][i]), find(df["label"][j])
+            x, y = find(label[i]), find(label[j])
             if x != y:
                 root[max(x, y)] = min(x, y)
-                out.append((df["rep"][i], df["rep"][j]))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                out.append((rep[i], rep[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -511,7 +511,7 @@ def _across(member: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     put = put.join(member.select("rep", "label").distinct(), "rep").select("rep", "label", "cluster", F.inline(meets))
     put = stage(put, "jaccard-blocks")
     whole = grams.join(put, "rep").select("cluster", "x", "y", "side", "rep", "label", "grams")
-    return stage(whole.groupBy("cluster", "x", "y").applyInPandas(_compare(percent), "a long, b long"), "jaccard-links")
+    return stage(whole.groupBy("cluster", "x", "y").applyInArrow(_compare(percent), "a long, b long"), "jaccard-links")
 
 
 def _torn(pairs: DataFrame, label: DataFrame) -> DataFrame:
