@@ -13,7 +13,7 @@ from .bpe import digests, ranks
 from .common import table
 from .jaccard import near_duplicates
 from .sharding import shard
-from .warc import read_archive, write_archive
+from .warc import lookup, write_archive
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,10 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, directory = write_archive(table(spark, sf_dir, "pages"))
-    return read_archive(root, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes the archives, then looks every page's URL up in the two-level index."""
+    pages = table(spark, sf_dir, "pages")
+    root, directory = write_archive(pages)
+    return lookup(spark, root, directory, pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

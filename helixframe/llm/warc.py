@@ -131,39 +131,60 @@ def write_archive(pages: DataFrame, root: str | None = None) -> tuple[str, DataF
     return root, stage(ordered.select("key", "page_id", "url", "html", "digest", "first").mapInArrow(_write(root), DIRECTORY), "warc-directory")
 
 
-def _blocks(root: str, keys: list[str] | None = None):
-    """Directory rows to the records of their blocks; with keys, only the records of these keys."""
-    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-    schema = pa.schema(zip(names, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]))
-
-    def captures(text: str) -> Iterator[tuple[int, int]]:
-        lines = [x.split("\t") for x in text.split("\n")[:-1]]
-        if keys is None:
-            yield from ((int(o), int(n)) for _, _, o, n in lines)
-            return
-        for key in keys:
-            at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-            while at < len(lines) and lines[at][0] == key:
-                yield int(lines[at][2]), int(lines[at][3])
-                at += 1
+_NAMES = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+_SCHEMA = pa.schema(zip(_NAMES, [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]))
+
+
+def _captures(lines: list[list[str]], keys: list[str]) -> Iterator[tuple[int, int]]:
+    """The ranges of the captures of these keys (sorted), each found by bisection of a block's lines."""
+    for key in keys:
+        at = bisect.bisect_left(lines, key, key=lambda x: x[0])
+        while at < len(lines) and lines[at][0] == key:
+            yield int(lines[at][2]), int(lines[at][3])
+            at += 1
+
+
+def _read(store, at_root: str, block: dict, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The records of some keys of one index block; ranges that touch are read at once."""
+    with store.open_input_file(f"{at_root}/{block['index_file']}") as f:
+        text = gzip.decompress(f.read_at(block["index_bytes"], block["index_at"])).decode()
+    runs: list[list[tuple[int, int]]] = []
+    for offset, n in _captures([x.split("\t") for x in text.split("\n")[:-1]], keys):
+        if runs and runs[-1][-1][0] + runs[-1][-1][1] == offset and offset + n - runs[-1][0][0] <= BLOCK_BYTES:
+            runs[-1].append((offset, n))
+        else:
+            runs.append([(offset, n)])
+    with store.open_input_file(f"{at_root}/{block['warc_file']}") as f:
+        for run in runs:
+            begin = run[0][0]
+            whole = f.read_at(run[-1][0] + run[-1][1] - begin, begin)
+            out, size = [], 0
+            for offset, n in run:
+                out.append(_parse(whole[offset - begin : offset - begin + n]))
+                size += out[-1]["payload_bytes"]
+                if size > BLOCK_BYTES:
+                    yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, _SCHEMA)
+
+
+def _blocks(root: str):
+    """Rows of (block, key), sorted by block and key, to the records; keys of one block come in bounded lots."""
+    own = ["index_file", "index_at", "index_bytes", "warc_file"]
 
     def run(batches):
         store, at_root = fs.FileSystem.from_uri(root)
+        block, keys = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                with store.open_input_file(f"{at_root}/{row['index_file']}") as f:
-                    text = gzip.decompress(f.read_at(row["index_bytes"], row["index_at"])).decode()
-                with store.open_input_file(f"{at_root}/{row['warc_file']}") as f:
-                    whole = f.read_at(row["warc_bytes"], row["warc_at"]) if keys is None else None
-                    out, size = [], 0
-                    for offset, n in captures(text):
-                        out.append(_parse(f.read_at(n, offset) if whole is None else whole[offset - row["warc_at"] : offset - row["warc_at"] + n]))
-                        size += out[-1]["payload_bytes"]
-                        if size > BLOCK_BYTES:
-                            yield pa.RecordBatch.from_pylist(out, schema)
-                            out, size = [], 0
-                    if out:
-                        yield pa.RecordBatch.from_pylist(out, schema)
+            for row in zip(*(batch.column(c).to_pylist() for c in (*own, "key"))):
+                if row[:-1] != block or len(keys) >= BLOCK_LINES:
+                    if keys:
+                        yield from _read(store, at_root, dict(zip(own, block)), keys)
+                    block, keys = row[:-1], []
+                keys.append(row[-1])
+        if keys:
+            yield from _read(store, at_root, dict(zip(own, block)), keys)
 
     return run
 
@@ -171,17 +192,34 @@ def _blocks(root: str, keys: list[str] | None = None):
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
+def lookup(spark: SparkSession, root: str, directory: DataFrame, urls: list[str] | DataFrame) -> DataFrame:
+    """The records of some URLs (a list, or a table with a column url), each once.
+
+    The URLs' keys meet the archives whose range of keys holds them, then the blocks of the sparse
+    directory likewise; blocks are read one by one, searched by bisection, and only the ranges of the
+    keys' captures are read from the archives. Null URLs have the empty key. A key that fills many
+    blocks is read block by block. The list of archives (one for each task that wrote) is broadcast.
+    """
+    asked = urls if isinstance(urls, DataFrame) else spark.createDataFrame([(u,) for u in urls], "url string")
+    keys = asked.select(url_key(F.col("url")).alias("key")).distinct()
+    archives = directory.groupBy("index_file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
+    mine = keys.join(F.broadcast(archives), F.col("key").between(F.col("low"), F.col("high"))).select("key", "index_file")
+    met = mine.join(directory, "index_file").where(F.col("key").between(F.col("first_key"), F.col("last_key")))
+    dealt = met.repartition(partitions(spark), "index_file", "index_at").sortWithinPartitions("index_file", "index_at", "key")
+    return dealt.select("index_file", "index_at", "index_bytes", "warc_file", "key").mapInArrow(_blocks(root), RECORDS)
+
+
 def read_archive(root: str, directory: DataFrame) -> DataFrame:
-    """Every record of the archives, read block by block through the index."""
-    n = partitions(directory.sparkSession)
-    return directory.repartition(n).mapInArrow(_blocks(root), RECORDS)
-
-
-def lookup(spark: SparkSession, root: str, directory: DataFrame, urls: list[str]) -> DataFrame:
-    """The records of a few URLs: their blocks by the directory's key ranges, then bisection and range reads."""
-    asked = spark.createDataFrame([(u,) for u in urls], "url string").select(url_key(F.col("url")).alias("key")).distinct()
-    keys = sorted(r.key for r in asked.collect())
-    hit = F.lit(False)
-    for k in keys:
-        hit |= (F.col("first_key") <= k) & (F.col("last_key") >= k)
-    return directory.where(hit).mapInArrow(_blocks(root, keys), RECORDS)
+    """Every record of the archives: all keys of each block. An empty directory gives no rows."""
+    spark = directory.sparkSession
+    store = lambda: fs.FileSystem.from_uri(root)
+
+    def keys(batches):
+        files, at_root = store()
+        for batch in batches:
+            for row in batch.to_pylist():
+                with files.open_input_file(f"{at_root}/{row['index_file']}") as f:
+                    lines = gzip.decompress(f.read_at(row["index_bytes"], row["index_at"])).decode().split("\n")[:-1]
+                yield from _read(files, at_root, row, list(dict.fromkeys(x.split("\t")[0] for x in lines)))
+
+    return directory.repartition(partitions(spark)).mapInArrow(keys, RECORDS)
