@@ -2,7 +2,9 @@
 
 For vectors cut into segments, q.x is at most the sum over segments of len * mean * mean plus
 deviation * deviation (equivalently: segment means and deviations bound the distance from below).
-Bounds are taken coarse to fine; what can still be among the k best is scored exactly.
+Bounds are taken coarse to fine; what can still be among the k best is scored exactly. A first pass
+over a few rows gives each query a score that its k best reach at least, so that every block of rows
+starts with a threshold.
 """
 
 from __future__ import annotations
@@ -10,18 +12,19 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import small, stage
 
 #: Segments of the resolutions, coarse to fine.
 RESOLUTIONS = (1, 4, 16)
 #: Rows and queries of one block of the grid.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
+#: Rows of each length of vectors, about, that the first pass scores; they only set thresholds.
+FIRST_ROWS = 4_096
 
 
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -35,8 +38,8 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1) if out else np.zeros((len(x), 1))
 
 
-def best(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of each query's k best rows of a block, ties to the smaller id; own[i]: the query's row in the block, or -1."""
+def best(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of each query's k best rows of a block, ties to the smaller id; own[i]: the query's row in the block, or -1; floor[i]: scores below are not wanted."""
     levels = [(statistics(queries, n), statistics(rows, n)) for n in RESOLUTIONS if n < max(2, rows.shape[1])]
     slack = 1e-9 * (np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max(initial=0)) + 0.5
     out_q, out_r, out_s = [], [], []
@@ -45,10 +48,11 @@ def best(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np.ndarray
         bound = coarse[i]
         if own[i] >= 0:
             bound[own[i]] = -np.inf
-        live = np.flatnonzero(bound > -np.inf)
+        least = -np.inf if floor is None else floor[i] - slack[i]
+        live = np.flatnonzero((bound > -np.inf) & (bound >= least))
         if len(live) > k:
             guess = live[np.argpartition(-bound[live], k - 1)[:k]]
-            reach = np.sort(rows[guess] @ queries[i])[-k] - slack[i]
+            reach = max(least, np.sort(rows[guess] @ queries[i])[-k] - slack[i])
             live = live[bound[live] >= reach]
             for q, r in levels[1:]:
                 finer = r[live] @ q[i]
@@ -61,19 +65,24 @@ def best(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np.ndarray
     return tuple(np.concatenate(x) if x else np.zeros(0, int) for x in (out_q, out_r, out_s))
 
 
-def _matrix(col: pd.Series, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col), np.int64).reshape(len(col), size).astype(np.float64) if size else np.zeros((len(col), 0))
+def _matrix(col: pa.ChunkedArray, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.int64).reshape(len(col), size).astype(np.float64) if size else np.zeros((len(col), 0))
+
+
+FOUND = "query_row long, query_id long, vec_id long, score long"
 
 
 def _search(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(queries):
-            return pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
-        size = int(rows["size"].iloc[0])
-        place = {r: i for i, r in enumerate(rows["row"])}
-        own = np.array([place.get(r, -1) for r in queries["row"]])
-        q, r, s = best(_matrix(queries["vec"], size), _matrix(rows["vec"], size), own, rows["vec_id"].to_numpy(), k)
-        return pd.DataFrame({"query_row": queries["row"].to_numpy()[q], "query_id": queries["vec_id"].to_numpy()[q], "vec_id": rows["vec_id"].to_numpy()[r], "score": s.astype(np.int64)})
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        cols = [np.zeros(0, np.int64)] * 4
+        if len(rows) and len(queries):
+            size = rows["size"][0].as_py()
+            place = {r: i for i, r in enumerate(rows["row"].to_pylist())}
+            asked, ids = queries["query_row"].to_numpy(), rows["vec_id"].to_numpy()
+            own = np.array([place.get(r, -1) for r in asked])
+            q, r, s = best(_matrix(queries["query"], size), _matrix(rows["vec"], size), own, ids, k, queries["floor"].to_numpy())
+            cols = [asked[q], queries["query_id"].to_numpy()[q], ids[r], s.astype(np.int64)]
+        return pa.table(dict(zip(("query_row", "query_id", "vec_id", "score"), (pa.array(c, pa.int64()) for c in cols))))
 
     return run
 
@@ -104,8 +113,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64) -> DataFra
     g, h = -(-most // BLOCK_ROWS), max(1, -(-asked // BLOCK_QUERIES))
     mine = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = coded.select("*", mine(g).alias("g"), every(h).alias("h"))
-    queries = coded.where(is_query).select("*", mine(h).alias("h"), every(g).alias("g"))
-    found = rows.groupBy("size", "g", "h").cogroup(queries.groupBy("size", "g", "h")).applyInPandas(_search(k), "query_row long, query_id long, vec_id long, score long")
+    def search(rows: DataFrame, queries: DataFrame, g: int) -> DataFrame:
+        rows = rows.select("*", mine(g).alias("g"), every(h).alias("h"))
+        queries = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("size").alias("size"), F.col("vec").alias("query"), "floor", mine(h).alias("h"), every(g).alias("g"))
+        return rows.groupBy("size", "g", "h").cogroup(queries.groupBy("size", "g", "h")).applyInArrow(_search(k), FOUND)
+
+    queries = coded.where(is_query)
+    if g > 1:  # else the one block of rows finds its thresholds itself
+        some = coded.where(F.pmod(F.xxhash64(F.col("row") + 1), F.lit(-(-most // FIRST_ROWS))) == 0)
+        reached = search(some, queries.withColumn("floor", F.lit(float("-inf"))), 1).groupBy(F.col("query_row").alias("row")).agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least"))
+        reached = stage(reached.where(F.col("n") >= k).select("row", F.col("least").alias("floor")), "topk-first")
+        queries = queries.join(small(reached), "row", "left")
+    else:
+        queries = queries.withColumn("floor", F.lit(None).cast("double"))
+    found = search(coded, queries.withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), g)
     order = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
