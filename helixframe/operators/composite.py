@@ -28,7 +28,7 @@ def subsample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
 def call_twice(track: DataFrame, cutoff: Column | float, **options) -> DataFrame:
     """Segments of a track, then those of what is left without them."""
     first = segments(track, cutoff, **options)
-    rest = interval_anti(track, first, key=["chrom", "start", "end"])
+    rest = interval_anti(track, first)
     return first.withColumn("call", F.lit(1)).unionByName(segments(rest, cutoff, **options).withColumn("call", F.lit(2)))
 
 

@@ -6,17 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .interval_join import interval_join
+from .interval_join import chained, interval_join, merge_intervals
 
 #: Bases of a tile: coverage is summed up within tiles, so no chromosome is one task.
 TILE = 100_000
 
 
-def coverage_runs(fragments: DataFrame, sizes: DataFrame | None = None, stranded: bool = False, tile: int = TILE) -> DataFrame:
+def coverage_runs(fragments: DataFrame, sizes: DataFrame | None = None, stranded: bool = False, tile: int = TILE, merged: bool = True) -> DataFrame:
     """(chrom, [strand], start, end, depth): maximal runs of equal depth; with sizes(chrom, size) also of depth 0.
 
     Each fragment is clipped to the tiles it covers, so a tile's running sum needs nothing from
-    before it; equal neighbours at tile edges are merged over the runs at last.
+    before it; equal neighbours are merged at last, if wanted.
     """
     by = ["chrom", *(["strand"] if stranded else [])]
     f = fragments.where(F.col("end") > F.col("start")).select(*by, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))).alias("tile"))
@@ -31,25 +31,23 @@ def coverage_runs(fragments: DataFrame, sizes: DataFrame | None = None, stranded
     runs = steps.select(*by, F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w).alias("depth")).where("end IS NOT NULL")
     if sizes is None:
         runs = runs.where("depth > 0")
-    return merge_equal(runs, by, "depth")
+    return merge_equal(runs, by, "depth", tile) if merged else runs
 
 
-def merge_equal(runs: DataFrame, by: list[str], value: str) -> DataFrame:
+def merge_equal(runs: DataFrame, by: list[str], value: str, tile: int = TILE) -> DataFrame:
     """Neighbouring runs that touch and have one value, as one run."""
-    w = Window.partitionBy(*by).orderBy("start")
-    new = (F.lag("end").over(w).isNull() | (F.lag("end").over(w) != F.col("start")) | (F.lag(value).over(w) != F.col(value))).cast("int")
-    runs = runs.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+    runs = chained(runs, by, "_run", value=value, tile=tile)
     return runs.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first(value).alias(value)).drop("_run")
 
 
-def region_steps(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
-    """(key, pos, to, depth): steps of depth inside each region, fragments clipped to it."""
-    hits = interval_join(regions, fragments, **flags)
-    lo, hi = F.greatest("start", "b_start"), F.least("end", "b_end")
-    events = hits.select(*key, F.inline(F.array(F.struct(lo.alias("pos"), F.lit(1).alias("d")), F.struct(hi.alias("pos"), F.lit(-1).alias("d")))))
-    w = Window.partitionBy(*key).orderBy("pos")
-    steps = events.groupBy(*key, "pos").agg(F.sum("d").alias("d"))
-    return steps.select(*key, "pos", F.lead("pos").over(w).alias("to"), F.sum("d").over(w).alias("depth")).where("to IS NOT NULL")
+def region_steps(regions: DataFrame, fragments: DataFrame, key: list[str], tile: int = TILE, **flags) -> DataFrame:
+    """(key, pos, to, depth): stretches of equal depth inside each region.
+
+    Regions meet the runs of coverage, whose number is bounded by the bases, not the fragments.
+    """
+    runs = coverage_runs(fragments, stranded=flags.get("strand") is not None, tile=tile, merged=False)
+    hits = interval_join(regions, runs, **flags)
+    return hits.select(*key, F.greatest("start", "b_start").alias("pos"), F.least("end", "b_end").alias("to"), F.col("b_depth").alias("depth"))
 
 
 def pileup(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
@@ -58,6 +56,15 @@ def pileup(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) ->
     return regions.select(*key).join(top, key, "left").withColumn("pileup", F.coalesce("pileup", F.lit(0)))
 
 
+def distinct_covering(regions: DataFrame, fragments: DataFrame, key: list[str], column: str, tile: int = TILE) -> DataFrame:
+    """(key, <column>_count): in how many samples (or other values of a column) a fragment overlaps each region; regions without any are left out.
+
+    Each sample's fragments are merged first, so that regions meet islands, not fragments.
+    """
+    islands = merge_intervals(fragments, tile=tile, also=[column])
+    return interval_join(regions, islands).groupBy(*key).agg(F.countDistinct(f"b_{column}").alias(f"{column}_count"))
+
+
 def summits(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
     """(key, summit, depth): the first position of the largest depth."""
     steps = region_steps(regions, fragments, key, **flags)
@@ -117,14 +124,13 @@ def segments(track: DataFrame, cutoff: Column | float, gap: int = 10, least: int
     by prefix sums), kept if its length lies in accept or its mean depth is over 5.
     """
     high = track.where(F.col("depth") > cutoff)
-    w = Window.partitionBy("chrom").orderBy("start")
 
     def islands(df: DataFrame, by: list[str], name: str, gap: int) -> DataFrame:
         w = Window.partitionBy(*by).orderBy("start")
         new = (F.lag("end").over(w).isNull() | (F.col("start") - F.lag("end").over(w) > gap)).cast("int")
         return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w)).drop("_new")
 
-    isl = islands(high, ["chrom"], "island", gap)
+    isl = chained(high, ["chrom"], "island", gap=gap, tile=TILE)
     of = Window.partitionBy("chrom", "island")
     isl = isl.withColumn("len", F.max("end").over(of) - F.min("start").over(of)).where(F.col("len").between(least, most)).withColumn("median", F.median("depth").over(of))
     pieces = islands(isl.where((F.col("len") <= 150) | (F.col("depth") >= F.col("median"))), ["chrom", "island"], "piece", gap)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bins an interval may cover on the fine level.
 WIDE = 64
@@ -35,36 +36,54 @@ def _spread(df: DataFrame, p: str, width: int, wide: bool, left: bool) -> DataFr
     return df.select("*", F.inline(here))
 
 
-def interval_join(a: DataFrame, b: DataFrame, *, strand: str | None = None, frac_a: float = 0.0, frac_b: float = 0.0, where: Column | None = None, width: int = 1000, wide: bool = True, prefix: str = "b_") -> DataFrame:
-    """Inner join of overlapping intervals: a's columns and b's with a prefix, and `overlap`.
-
-    strand: None, "same" or "opposite". frac_a, frac_b: least share of either interval that the
-    overlap covers. where: one more condition. Empty intervals match nothing. wide=False is for
-    inputs whose intervals are known to be short; it saves the coarse level.
-    """
-    left, right = _spread(a, "", width, wide, True), _spread(prefixed(b, prefix), prefix, width, wide, False)
-    left, right = left.withColumnsRenamed({"_level": "_la", "_bin": "_ba"}), right.withColumnsRenamed({"_level": "_lb", "_bin": "_bb"})
+def _on(prefix: str, width: int, wide: bool, strand: str | None, frac_a: float, frac_b: float, where: Column | None, once: bool) -> Column:
+    """The condition of a join of spread intervals; once: a pair counts in one bin only."""
     start, end, bs, be = F.col("start"), F.col("end"), F.col(f"{prefix}start"), F.col(f"{prefix}end")
     size = F.when(F.col("_la") == 0, width).otherwise(width * WIDE) if wide else F.lit(width)
     on = (F.col("chrom") == F.col(f"{prefix}chrom")) & (F.col("_la") == F.col("_lb")) & (F.col("_ba") == F.col("_bb"))
-    on &= (start < be) & (bs < end) & (F.col("_ba") == F.floor(F.greatest(start, bs) / size))
+    on &= (start < be) & (bs < end)
+    if once:
+        on &= F.col("_ba") == F.floor(F.greatest(start, bs) / size)
     if strand:
         on &= (F.col("strand") == F.col(f"{prefix}strand")) if strand == "same" else (F.col("strand") != F.col(f"{prefix}strand"))
     if frac_a:
         on &= overlap("", prefix) >= frac_a * (end - start)
     if frac_b:
         on &= overlap("", prefix) >= frac_b * (be - bs)
-    if where is not None:
-        on &= where
-    return left.join(right, on).drop("_la", "_ba", "_lb", "_bb").withColumn("overlap", overlap("", prefix))
+    return on & where if where is not None else on
 
 
-def _key(a: DataFrame, key: list[str] | None) -> list[str]:
-    return key or [c for c in ("chrom", "start", "end", "name", "strand") if c in a.columns]
+def _joined(a: DataFrame, b: DataFrame, how: str, once: bool, strand: str | None = None, frac_a: float = 0.0, frac_b: float = 0.0, where: Column | None = None, width: int = 1000, wide: bool = True, prefix: str = "b_") -> DataFrame:
+    left, right = _spread(a, "", width, wide, True), _spread(prefixed(b, prefix), prefix, width, wide, False)
+    left, right = left.withColumnsRenamed({"_level": "_la", "_bin": "_ba"}), right.withColumnsRenamed({"_level": "_lb", "_bin": "_bb"})
+    return left.join(right, _on(prefix, width, wide, strand, frac_a, frac_b, where, once), how).drop("_la", "_ba", "_lb", "_bb")
+
+
+def interval_join(a: DataFrame, b: DataFrame, *, prefix: str = "b_", **flags) -> DataFrame:
+    """Inner join of overlapping intervals: a's columns and b's with a prefix, and `overlap`.
+
+    strand: None, "same" or "opposite". frac_a, frac_b: least share of either interval that the
+    overlap covers. where: one more condition. Empty intervals match nothing. wide=False is for
+    inputs whose intervals are known to be short; it saves the coarse level.
+    """
+    return _joined(a, b, "inner", True, prefix=prefix, **flags).withColumn("overlap", overlap("", prefix))
+
+
+def _deciding(a: DataFrame, flags: dict) -> list[str]:
+    """The columns of a that decide whether a row overlaps: rows that agree in them overlap alike, whatever their names."""
+    return a.columns if flags.get("where") is not None else ["chrom", "start", "end", *(["strand"] if flags.get("strand") else [])]
+
+
+def _hits(a: DataFrame, b: DataFrame, key: list[str], flags: dict) -> DataFrame:
+    """The different values of key in a with an overlap, by a semi join: no pair becomes a row."""
+    prefix = flags.get("prefix", "b_")
+    if flags.get("where") is None:
+        b = b.select("chrom", "start", "end", *(["strand"] if flags.get("strand") else []))
+    return _joined(a.select(*key), b, "left_semi", False, **{**flags, "prefix": prefix}).select(*key).distinct()
 
 
 def _same(x: DataFrame, y: DataFrame, key: list[str], how: str) -> DataFrame:
-    y = y.select(*[F.col(c).alias(f"_k_{c}") for c in key])
+    y = y.withColumnsRenamed({c: f"_k_{c}" for c in key})
     on = None
     for c in key:
         one = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
@@ -72,13 +91,13 @@ def _same(x: DataFrame, y: DataFrame, key: list[str], how: str) -> DataFrame:
     return x.join(y, on, how)
 
 
-def interval_semi(a: DataFrame, b: DataFrame, key: list[str] | None = None, **flags) -> DataFrame:
-    """Rows of a that overlap any row of b. key: the columns that tell a's rows apart."""
-    key = _key(a, key)
-    return _same(a, interval_join(a.select(*{*key, "chrom", "start", "end", *(["strand"] if flags.get("strand") else [])}), b, **flags), key, "left_semi")
+def interval_semi(a: DataFrame, b: DataFrame, **flags) -> DataFrame:
+    """Rows of a that overlap any row of b. Rows that repeat stay as often as they are."""
+    key = _deciding(a, flags)
+    return _same(a, _hits(a, b, key, flags), key, "left_semi")
 
 
-def interval_anti(a: DataFrame, b: DataFrame | list[DataFrame], key: list[str] | None = None, **flags) -> DataFrame:
+def interval_anti(a: DataFrame, b: DataFrame | list[DataFrame], **flags) -> DataFrame:
     """Rows of a that overlap no row of b (or of any of several b)."""
     if isinstance(b, list):
         names = ["chrom", "start", "end", *(["strand"] if flags.get("strand") else [])]
@@ -86,14 +105,14 @@ def interval_anti(a: DataFrame, b: DataFrame | list[DataFrame], key: list[str] |
         for x in b[1:]:
             whole = whole.unionByName(x.select(*names))
         b = whole
-    key = _key(a, key)
-    return _same(a, interval_join(a.select(*{*key, "chrom", "start", "end", *(["strand"] if flags.get("strand") else [])}), b, **flags), key, "left_anti")
+    key = _deciding(a, flags)
+    return _same(a, _hits(a, b, key, flags), key, "left_anti")
 
 
-def interval_left(a: DataFrame, b: DataFrame, key: list[str] | None = None, **flags) -> DataFrame:
-    """As interval_join, and a's other rows once with nulls and overlap 0."""
+def interval_left(a: DataFrame, b: DataFrame, **flags) -> DataFrame:
+    """As interval_join, and a's other rows once with nulls and overlap 0. The pairs are made once; the rest is told by a semi join of coordinates."""
     matched = interval_join(a, b, **flags)
-    rest = interval_anti(a, b, key, **flags)
+    rest = interval_anti(a, b, **flags)
     return matched.unionByName(rest.withColumn("overlap", F.lit(0).cast(matched.schema["overlap"].dataType)), allowMissingColumns=True)
 
 
@@ -106,50 +125,61 @@ def by_set(sets: dict[int, DataFrame]) -> DataFrame:
     return out
 
 
-def has_overlap(a: DataFrame, b: DataFrame, flag: str, label: str | None = None, key: list[str] | None = None, **flags) -> DataFrame:
+def has_overlap(a: DataFrame, b: DataFrame, flag: str, label: str | None = None, **flags) -> DataFrame:
     """a with a column: whether a row overlaps b, or the smallest of b's labels (null: none)."""
-    key = _key(a, key)
-    hits = interval_join(a.select(*{*key, "chrom", "start", "end", *(["strand"] if flags.get("strand") else [])}), b, **flags)
-    value = F.min(f"b_{label}") if label else F.lit(True)
-    hits = hits.groupBy(*key).agg(value.alias(flag)) if label else hits.select(*key).distinct().withColumn(flag, value)
-    hits = hits.withColumnsRenamed({c: f"_k_{c}" for c in key})
-    on = None
-    for c in key:
-        one = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        on = one if on is None else on & one
-    out = a.join(hits, on, "left").drop(*[f"_k_{c}" for c in key])
+    key = _deciding(a, flags)
+    hits = interval_join(a.select(*key).distinct(), b, **flags).groupBy(*key).agg(F.min(f"b_{label}").alias(flag)) if label else _hits(a, b, key, flags).withColumn(flag, F.lit(True))
+    out = _same(a, hits, key, "left").drop(*[f"_k_{c}" for c in key])
     return out if label else out.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def pair_class(mates: DataFrame, b: DataFrame, pair: str, **flags) -> DataFrame:
     """(pair, either, both): whether any mate, or every mate, of a pair overlaps b."""
-    flagged = has_overlap(mates, b, "_hit", key=[pair, "chrom", "start", "end", *(["strand"] if "strand" in mates.columns else [])], **flags)
-    return flagged.groupBy(pair).agg(F.bool_or("_hit").alias("either"), F.bool_and("_hit").alias("both"))
+    return has_overlap(mates, b, "_hit", **flags).groupBy(pair).agg(F.bool_or("_hit").alias("either"), F.bool_and("_hit").alias("both"))
 
 
-def best_overlap(a: DataFrame, b: DataFrame, name: str, key: list[str] | None = None, **flags) -> DataFrame:
+def best_overlap(a: DataFrame, b: DataFrame, name: str, **flags) -> DataFrame:
     """a with the name of the b row that overlaps most (ties: smallest name; none: null)."""
-    key = _key(a, key)
-    hits = interval_join(a, b, **flags).groupBy(*key).agg(F.min_by(f"b_{name}", F.struct(-F.col("overlap"), F.col(f"b_{name}"))).alias(f"best_{name}"))
-    return a.join(hits, key, "left")
+    key = _deciding(a, flags)
+    hits = interval_join(a.select(*key).distinct(), b, **flags).groupBy(*key).agg(F.min_by(f"b_{name}", F.struct(-F.col("overlap"), F.col(f"b_{name}"))).alias(f"best_{name}"))
+    return _same(a, hits, key, "left").drop(*[f"_k_{c}" for c in key])
 
 
-def merge_intervals(df: DataFrame, stranded: bool = False, tile: int = 1_000_000) -> DataFrame:
-    """Overlapping and book-ended intervals as one: chrom, start, end, [strand], n.
+def chained(runs: DataFrame, by: list[str], name: str, gap: int = 0, value: str | None = None, tile: int = 1_000_000) -> DataFrame:
+    """Disjoint runs with a column: the start of the chain of runs each belongs to.
 
-    Islands are found within tiles of the chromosome first, so no chromosome is one task; runs that
-    meet at a tile's edge are put together afterwards, over the runs only.
+    A run goes on with the chain before it if the gap between them is at most gap (and their values
+    are equal, if a value is named). Chains are followed within tiles; between tiles by one row for
+    each tile, so the window over a chromosome grows with its length, not with the runs.
+    """
+    inner, across = Window.partitionBy(*by, "_tile").orderBy("start"), Window.partitionBy(*by).orderBy("_tile")
+    v = F.col(value) if value else F.lit(0)
+    runs = runs.withColumn("_tile", F.floor(F.col("start") / tile)).withColumn("_v", v)
+    breaks = (F.col("start") - F.lag("end").over(inner) > gap) | (F.lag("_v").over(inner) != F.col("_v"))
+    runs = runs.withColumns({"_first": F.row_number().over(inner) == 1, "_at": F.when(breaks, F.col("start"))})
+    tiles = runs.groupBy(*by, "_tile").agg(F.min("start").alias("_s"), F.max("end").alias("_e"), F.min_by("_v", "start").alias("_fv"), F.max_by("_v", "start").alias("_lv"), F.max("_at").alias("_last"))
+    new = F.lag("_e").over(across).isNull() | (F.col("_s") - F.lag("_e").over(across) > gap) | (F.lag("_lv").over(across) != F.col("_fv"))
+    tiles = tiles.withColumn("_opens", F.when(new, F.col("_s"))).withColumn("_last", F.coalesce("_last", "_opens"))
+    tiles = tiles.select(*by, "_tile", "_opens", F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    out = runs.join(tiles, [*by, "_tile"])
+    at = F.when(F.col("_first"), F.col("_opens")).otherwise(F.col("_at"))
+    out = out.withColumn(name, F.coalesce(F.last(at, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry")))
+    return out.drop("_tile", "_v", "_first", "_at", "_opens", "_carry")
+
+
+def merge_intervals(df: DataFrame, stranded: bool = False, tile: int = 1_000_000, also: list[str] | None = None) -> DataFrame:
+    """Overlapping and book-ended intervals as one: chrom, start, end, [strand], n; also: more columns within whose values to merge.
+
+    Intervals are clipped to tiles of the chromosome and merged there; what meets at a tile's edge
+    is chained afterwards.
     """
-    by = ["chrom", *(["strand"] if stranded else [])]
-    from pyspark.sql.window import Window
-
-    def islands(x: DataFrame, groups: list[str], n: Column) -> DataFrame:
-        w = Window.partitionBy(*groups).orderBy("start", "end")
-        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        x = x.withColumn("_new", (reach.isNull() | (reach < F.col("start"))).cast("int"))
-        x = x.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return x.groupBy(*groups, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), n.alias("n")).drop("_island")
-
-    tiled = df.select(*by, "start", "end", F.floor(F.col("start") / tile).alias("_tile"))
-    runs = islands(tiled, [*by, "_tile"], F.count("*")).drop("_tile")
-    return islands(runs, by, F.sum("n")).select(*by, "start", "end", "n")
+    by = ["chrom", *(["strand"] if stranded else []), *(also or [])]
+    first = F.floor(F.col("start") / tile)
+    each = df.select(*by, "start", "end", first.alias("_own"), F.explode(F.sequence(first, F.greatest(first, F.floor((F.col("end") - 1) / tile)))).alias("_tile"))
+    each = each.select(*by, "_tile", F.greatest("start", F.col("_tile") * tile).alias("start"), F.least("end", (F.col("_tile") + 1) * tile).alias("end"), (F.col("_tile") == F.col("_own")).cast("long").alias("_n"))
+    each = each.groupBy(*by, "_tile", "start", "end").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy(*by, "_tile").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("_new", (reach.isNull() | (reach < F.col("start"))).cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = each.groupBy(*by, "_tile", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").alias("n")).drop("_tile", "_island")
+    return chained(runs, by, "_chain", tile=tile).groupBy(*by, "_chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).select(*by, "start", "end", "n")

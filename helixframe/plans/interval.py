@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotate, counting, coverage, dedup
+from ..operators import annotate, counting, coverage, dedup, statistics
 from ..operators import interval_join as ij
 from .registry import query
 
@@ -24,12 +24,12 @@ def jn1(f, a):
 
 @query("jn2_left", "peaks annotations", f"SELECT a.peakname, b.gene_id, CAST(CASE WHEN b.gene_id IS NULL THEN 0 ELSE {OV} END AS BIGINT) AS overlap FROM peaks a LEFT JOIN annotations b ON {ON}")
 def jn2(p, a):
-    return ij.interval_left(p, a, key=["peakname"]).select("peakname", F.col("b_gene_id").alias("gene_id"), "overlap")
+    return ij.interval_left(p, a).select("peakname", F.col("b_gene_id").alias("gene_id"), "overlap")
 
 
 @query("jn3_anti", "peaks annotations exons", f"SELECT peakname FROM peaks a WHERE NOT EXISTS (SELECT 1 FROM annotations b WHERE {ON} AND b.bio_type = 'miRNA') AND NOT EXISTS (SELECT 1 FROM exons b WHERE {ON} AND b.exon_count = 1)")
 def jn3(p, a, e):
-    return ij.interval_anti(p, [a.where("bio_type = 'miRNA'"), e.where("exon_count = 1")], key=["peakname"]).select("peakname")
+    return ij.interval_anti(p, [a.where("bio_type = 'miRNA'"), e.where("exon_count = 1")]).select("peakname")
 
 
 @query("jn4_fractions", "peaks annotations", f"SELECT a.peakname, b.gene_id FROM peaks a JOIN annotations b ON {ON} AND {OV} >= 0.5 * {LEN_A} AND {OV} >= 0.1 * {LEN_B}")
@@ -55,7 +55,7 @@ def jn6(p, e, a):
 
 @query("jn7_exists_label", "peaks annotations", f"SELECT a.peakname, (SELECT min(b.gene_name) FROM annotations b WHERE {ON} AND b.bio_type = 'RBP') AS rbp FROM peaks a")
 def jn7(p, a):
-    return ij.has_overlap(p, a.where("bio_type = 'RBP'"), "rbp", label="gene_name", key=["peakname"]).select("peakname", "rbp")
+    return ij.has_overlap(p, a.where("bio_type = 'RBP'"), "rbp", label="gene_name").select("peakname", "rbp")
 
 
 @query("jn8_containment", "fragments annotations", 'SELECT a.name FROM fragments a WHERE EXISTS (SELECT 1 FROM annotations b WHERE a.chrom = b.chrom AND b.start < a.start AND b."end" > a."end")')
@@ -66,7 +66,7 @@ def jn8(f, a):
 
 @query("jn9_exists_flag", "peaks exons", f"SELECT a.peakname, CASE WHEN EXISTS (SELECT 1 FROM exons b WHERE {ON}) THEN 'yes' ELSE 'no' END AS exonic FROM peaks a")
 def jn9(p, e):
-    return ij.has_overlap(p, e, "hit", key=["peakname"]).select("peakname", F.when(F.col("hit"), "yes").otherwise("no").alias("exonic"))
+    return ij.has_overlap(p, e, "hit").select("peakname", F.when(F.col("hit"), "yes").otherwise("no").alias("exonic"))
 
 
 _PAIRS = f", m AS (SELECT split_part(name, '_', 2) AS pair, EXISTS (SELECT 1 FROM annotations b WHERE {ON}) AS hit FROM fragments a)"
@@ -80,7 +80,7 @@ def jn10(f, a):
 
 @query("jn11_best_gene", "peaks annotations", f"SELECT a.peakname, arg_min(b.gene_name, {{'o': -({OV}), 'n': b.gene_name}}) AS best_gene_name FROM peaks a LEFT JOIN annotations b ON {ON} AND a.strand = b.strand GROUP BY a.peakname")
 def jn11(p, a):
-    return ij.best_overlap(p, a, "gene_name", key=["peakname"], strand="same").select("peakname", "best_gene_name")
+    return ij.best_overlap(p, a, "gene_name", strand="same").select("peakname", "best_gene_name")
 
 
 @query("jn12_points", "peaks fragments", 'SELECT a.peakname, CAST(count(DISTINCT b.start) AS BIGINT) AS points FROM peaks a LEFT JOIN fragments b ON a.chrom = b.chrom AND b.start >= a.start AND b.start < a."end" GROUP BY a.peakname')
@@ -155,7 +155,7 @@ def cov2(p, f):
 
 @query("ag4_samples", "peaks fragments", f", {_STEPS}, m AS (SELECT peakname, max(depth) AS pileup FROM st GROUP BY peakname), n AS (SELECT a.peakname, count(DISTINCT b.sample) AS k FROM peaks a JOIN fragments b ON {ON} GROUP BY a.peakname) SELECT peakname, CAST(least(k, pileup) AS BIGINT) AS sample_count FROM m JOIN n USING (peakname)")
 def ag4(p, f):
-    n = ij.interval_join(p, f, wide=False).groupBy("peakname").agg(F.countDistinct("b_sample").alias("k"))
+    n = coverage.distinct_covering(p, f, ["peakname"], "sample").withColumnRenamed("sample_count", "k")
     return coverage.pileup(p, f, ["peakname"], wide=False).join(n, "peakname").select("peakname", F.least("k", "pileup").alias("sample_count"))
 
 
@@ -176,7 +176,7 @@ def ag14(p, f):
 
 @query("ag11_mean_signal", "peaks fragments", f", {_RUNS}, m AS (SELECT a.peakname, sum(b.depth * ({OV})) AS s FROM peaks a JOIN runs b ON {ON} GROUP BY a.peakname) SELECT peakname, round(coalesce(s, 0) / (\"end\" - start), 6) AS mean_signal FROM peaks LEFT JOIN m USING (peakname)")
 def ag11(p, f):
-    track = coverage.coverage_runs(f, tile=10_000).withColumnRenamed("depth", "value")
+    track = coverage.coverage_runs(f, tile=10_000, merged=False).withColumnRenamed("depth", "value")
     return coverage.mean_signal(p, track, ["peakname"]).select("peakname", F.round("mean_signal", 6).alias("mean_signal"))
 
 
@@ -331,9 +331,10 @@ def cnt17(e, p):
     return h.groupBy("name").agg(F.countDistinct("start").alias("junctions"), F.countDistinct("b_peakname").alias("peaks"))
 
 
-@query("st2_empirical_p", "peaks fragments", ', o AS (SELECT chrom, fc, peakname FROM peaks WHERE fc > 40), n AS (SELECT chrom, ("end" - start) / 4.0 AS draw FROM fragments) SELECT peakname, round(avg(CASE WHEN draw >= fc THEN 1.0 ELSE 0.0 END), 6) AS p FROM o JOIN n USING (chrom) GROUP BY peakname, fc')
+_ST2 = ', o AS (SELECT DISTINCT chrom, fc FROM peaks), d AS (SELECT chrom, ("end" - start) / 4.0 AS draw, count(*) AS n FROM fragments GROUP BY ALL), v AS (SELECT chrom, fc, round(sum(CASE WHEN draw >= fc THEN n ELSE 0 END) / sum(n), 6) AS p FROM o JOIN d USING (chrom) GROUP BY chrom, fc) SELECT peakname, p FROM peaks JOIN v USING (chrom, fc)'
+
+
+@query("st2_empirical_p", "peaks fragments", _ST2)
 def st2(p, f):
-    # draws take few values: they are counted first, so that the join meets distinct draws only
-    null = f.groupBy("chrom", ((F.col("end") - F.col("start")) / 4.0).alias("draw")).agg(F.count("*").alias("n"))
-    j = p.where("fc > 40").select("chrom", "fc", "peakname").join(null, "chrom")
-    return j.groupBy("peakname").agg(F.round(F.sum(F.when(F.col("draw") >= F.col("fc"), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("p"))
+    null = f.select("chrom", ((F.col("end") - F.col("start")) / 4.0).alias("draw"))
+    return p.join(statistics.empirical_p(p, null, "chrom", "fc", less=False), ["chrom", "fc"]).select("peakname", F.round("p", 6).alias("p"))

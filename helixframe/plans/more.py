@@ -22,7 +22,7 @@ def flt10(e):
 
 @query("flt14_composite", "peaks annotations exons", f"""SELECT peakname FROM peaks a WHERE NOT EXISTS (SELECT 1 FROM exons b WHERE {ON}) OR EXISTS (SELECT 1 FROM annotations b WHERE {ON} AND b.bio_type = 'lncRNA')""")
 def flt14(p, a, e):
-    flagged = ij.has_overlap(ij.has_overlap(p, e, "exonic", key=["peakname"]), a.where("bio_type = 'lncRNA'"), "other", key=["peakname"])
+    flagged = ij.has_overlap(ij.has_overlap(p, e, "exonic"), a.where("bio_type = 'lncRNA'"), "other")
     return flagged.where(~F.col("exonic") | (F.col("exonic") & F.col("other"))).select("peakname")
 
 
@@ -134,7 +134,7 @@ def arr2(e):
 def cov5(p, e, f):
     """Peaks that no well-covered exon overlaps by a fifth."""
     good = coverage.breadth(e.select("chrom", "start", "end", "name", "exon_no"), f, ["chrom", "start", "end", "name", "exon_no"], 2).where("mean_depth > 2 AND breadth > 0.8")
-    return ij.interval_anti(p, good, key=["peakname"], frac_a=0.2).select("peakname")
+    return ij.interval_anti(p, good, frac_a=0.2).select("peakname")
 
 
 @query("cov7_two_passes", "fragments")
@@ -156,7 +156,7 @@ def ann7(p, a, e, f):
     """Characterised peaks: thresholds, pileup, annotations of both strands, flags, one plan."""
     strong = p.where("fc > 10")
     wide = annotate.sense_antisense(strong, annotate.resolve(annotate.score_overlaps(strong, a)))
-    flags = ij.has_overlap(strong, e, "exonic", key=["peakname"]).select("peakname", "chrom", "start", "end", "strand", "exonic")
+    flags = ij.has_overlap(strong, e, "exonic").select("peakname", "chrom", "start", "end", "strand", "exonic")
     out = flags.join(coverage.pileup(strong, f, ["peakname"], wide=False), "peakname").join(wide, "peakname").where("pileup >= 2 AND NOT (exonic AND sense_gtype = 'protein_coding')")
     return out.withColumn("label", annotate.sense_label(F.col("sense_gname"), F.col("antisense_gname"))).orderBy("chrom", "start", "peakname")
 

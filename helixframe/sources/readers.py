@@ -40,7 +40,10 @@ def read_abundance(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_bedgraph(spark: SparkSession, path: str) -> DataFrame:
-    return read_tsv(spark, path, BEDGRAPH, comment="t")
+    """Track lines, browser lines and comments are left out; contigs may have any name."""
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^(track|browser)(\s|$)|^#|^\s*$"))
+    at = F.split("value", r"\s+")
+    return lines.select(at[0].alias("chrom"), at[1].cast("long").alias("start"), at[2].cast("long").alias("end"), at[3].cast("double").alias("value"))
 
 
 def read_vcf_points(spark: SparkSession, path: str) -> DataFrame:
