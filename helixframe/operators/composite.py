@@ -13,6 +13,17 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .coverage import segments
 from .interval_join import interval_anti
 
+#: Motifs of telomeres and centromeres, which count on both strands.
+_TELOMERES = ("TAACCC", "CCCGAA", "CCCCAA", "CCCTAG", "TTAGGC", "TTAGGG")
+_CENTROMERES = ("GAATG",)
+
+
+def _both_strands(motifs: tuple[str, ...]) -> str:
+    return "|".join(dict.fromkeys([*motifs, *(x.translate(str.maketrans("ACGT", "TGCA"))[::-1] for x in motifs)]))
+
+
+TELOMERE, CENTROMERE = _both_strands(_TELOMERES), _both_strands(_CENTROMERES)
+
 
 def columns_like(df: DataFrame, pattern: str) -> DataFrame:
     """The columns whose names the pattern finds."""
@@ -46,6 +57,22 @@ def principal_components(wide: DataFrame, name: str, columns: list[str], k: int)
     return model.transform(vectors).select(name, *[F.round(scores[i] * sign[i], 6).alias(f"pc{i + 1}") for i in range(k)])
 
 
+def loadings(wide: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """(column, pc1, ...): what each column adds to the principal components of log1p, signs as in principal_components. One row for each column."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    logged = wide.select(*[F.log1p(F.col(c).cast("double")).alias(c) for c in columns])
+    load = PCA(k=k, inputCol="_v", outputCol="_pc").fit(VectorAssembler(inputCols=columns, outputCol="_v").transform(logged)).pc.toArray()
+    sign = [1.0 if load[abs(load[:, i]).argmax(), i] > 0 else -1.0 for i in range(k)]
+    rows = [(c, *[float(load[j, i] * sign[i]) for i in range(k)]) for j, c in enumerate(columns)]
+    return wide.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"pc{i + 1} double" for i in range(k)))
+
+
+def motif_tag(name: Column) -> Column:
+    """Telomere, centromere or other tandem repeat, by a repeat's motif."""
+    return F.when(name.rlike(TELOMERE), "Telomere").when(name.rlike(CENTROMERE), "Centromere").otherwise("Tandem repeats")
+
+
 def score_sequences(df: DataFrame, score: Callable[[pd.Series], pd.Series], column: str = "seq") -> DataFrame:
     """df with `score`, a caller's function of batches of sequences."""
 

@@ -79,3 +79,48 @@ def saturation(counts: DataFrame, value: str, fractions: int = 1000, cutoffs: tu
     grid = spark.range(1, fractions + 1).select((F.col("id") / fractions).alias("fraction"), F.explode(F.array(*map(F.lit, cutoffs))).alias("cutoff"))
     few = counts.groupBy(value).agg(F.count("*").alias("_n"))
     return few.crossJoin(F.broadcast(grid)).groupBy("fraction", "cutoff").agg(F.sum(F.when(F.col("fraction") * F.col(value) > F.col("cutoff"), F.col("_n")).otherwise(0)).alias("genes"))
+
+
+def expression_matrix(abundance: DataFrame, genes: DataFrame, preps: list[str]) -> DataFrame:
+    """abundance(prep, sample, target_id, tpm) by genes(target_id, gene_id) to one row per gene and a column per prep.
+
+    Transcripts are summed by gene and sample, samples averaged by prep, and each prep brought to a
+    million; genes that a prep lacks get 0, transcripts without a gene are left out.
+    """
+    gene = abundance.join(genes, "target_id").groupBy("prep", "sample", "gene_id").agg(F.sum("tpm").alias("tpm"))
+    mean = gene.groupBy("prep", "gene_id").agg(F.avg("tpm").alias("tpm"))
+    total = mean.groupBy("prep").agg(F.sum("tpm").alias("_total"))
+    scaled = mean.join(F.broadcast(total), "prep").withColumn("tpm", F.col("tpm") * 1e6 / F.col("_total"))
+    return pivot(scaled, ["gene_id"], "prep", preps, F.sum("tpm"), 0.0)
+
+
+def base_composition(tails: DataFrame, by: str, bases: str = "non_template") -> DataFrame:
+    """(by, base, n, share): single non-template bases of each sample and their shares."""
+    n = tails.where(F.length(bases) == 1).where(F.col(bases) != ".").groupBy(by, F.col(bases).alias("base")).agg(F.count("*").alias("n"))
+    return n.select(by, "base", "n", share("n", [by]).alias("share"))
+
+
+def full_length(fragments: DataFrame, features: DataFrame, name: str, near: int = 5) -> DataFrame:
+    """(name, full_length): fragments of each feature of their strand that start and end within fewer than so many bases of its ends."""
+    ends = (F.abs(F.col("start") - F.col("b_start")) < near) & (F.abs(F.col("end") - F.col("b_end")) < near)
+    return interval_join(fragments, features, strand="same").groupBy(F.col(f"b_{name}").alias(name)).agg(F.count_if(ends).alias("full_length"))
+
+
+def points_inside(regions: DataFrame, points: DataFrame, key: str) -> DataFrame:
+    """(key, points): the different positions (chrom, pos) inside each region, 0 where none."""
+    spots = points.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")).distinct()
+    n = interval_join(regions.select(key, "chrom", "start", "end"), spots, wide=False).groupBy(key).agg(F.count("*").alias("points"))
+    return regions.select(key).join(n, key, "left").na.fill(0, "points")
+
+
+def region_counts(regions: DataFrame, fragments: DataFrame, key: str) -> DataFrame:
+    """(key, reads, stranded): fragments that overlap each region, all and of its strand."""
+    n = interval_join(regions.select(key, "chrom", "start", "end", "strand"), fragments.select("chrom", "start", "end", "strand"), wide=False)
+    n = n.groupBy(key).agg(F.count("*").alias("reads"), F.count_if(F.col("strand") == F.col("b_strand")).alias("stranded"))
+    return regions.select(key).join(n, key, "left").na.fill(0)
+
+
+def flush_ends(regions: DataFrame, fragments: DataFrame, key: str) -> DataFrame:
+    """(key, flush): the largest share of a region's fragments of its strand that start at one place."""
+    n = interval_join(regions.select(key, "chrom", "start", "end", "strand"), fragments.select("chrom", "start", "end", "strand"), strand="same", wide=False).groupBy(key, "b_start").agg(F.count("*").alias("n"))
+    return n.groupBy(key).agg((F.max("n") / F.sum("n")).alias("flush"))

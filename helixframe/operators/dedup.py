@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.window import Window
 
 COORDINATES = ("chrom", "start", "end", "strand")
 
@@ -64,9 +65,11 @@ def mark_duplicates(df: DataFrame, five1: str, five2: str, strands: str, quality
     """df with is_duplicate: all but the best (highest quality, then smallest name) of each pair of 5' ends and strands.
 
     The best name of each place is an aggregate that is joined back, so a hot place is no single
-    task. Rows that repeat the best name are all kept.
+    task; only rows that repeat the best name are numbered, of which one is kept.
     """
     key = ["chrom", five1, five2, strands]
     best = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in key]).agg(F.min_by(name, F.struct(-F.col(quality), F.col(name))).alias("_best"))
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key]
-    return df.join(best, on, "left").withColumn("is_duplicate", ~F.col(name).eqNullSafe(F.col("_best"))).drop("_best", *[f"_k_{c}" for c in key])
+    rows = df.join(best, on, "left").withColumn("_other", F.when(~F.col(name).eqNullSafe(F.col("_best")), F.xxhash64(name)))
+    again = F.row_number().over(Window.partitionBy(*key, "_other").orderBy(F.desc(quality))) > 1
+    return rows.withColumn("is_duplicate", F.col("_other").isNotNull() | again).drop("_best", "_other", *[f"_k_{c}" for c in key])

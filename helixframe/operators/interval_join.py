@@ -183,3 +183,22 @@ def merge_intervals(df: DataFrame, stranded: bool = False, tile: int = 1_000_000
     each = each.withColumn("_new", (reach.isNull() | (reach < F.col("start"))).cast("int")).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = each.groupBy(*by, "_tile", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").alias("n")).drop("_tile", "_island")
     return chained(runs, by, "_chain", tile=tile).groupBy(*by, "_chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).select(*by, "start", "end", "n")
+
+
+def project(intervals: DataFrame, exons: DataFrame, name: str = "name") -> DataFrame:
+    """intervals(name, start, end, ...) in transcript coordinates to chrom, start, end, strand on the genome, by exons(name, chrom, start, end, strand).
+
+    An interval's ends are the genomic places of its bases start + 1 and end, counted from 1 along the
+    transcript, in ascending order. Exons follow each other by coordinate, on the minus strand
+    backwards. Ends beyond the transcript give no row. Other columns of the intervals stay.
+    """
+    minus = F.col("strand") == "-"
+    size = F.col("x_end") - F.col("x_start")
+    w = Window.partitionBy(name).orderBy(F.when(minus, -F.col("x_start")).otherwise(F.col("x_start"))).rowsBetween(Window.unboundedPreceding, 0)
+    x = exons.select(name, "chrom", "strand", F.col("start").alias("x_start"), F.col("end").alias("x_end")).withColumn("_t1", F.sum(size).over(w)).withColumn("_t0", F.col("_t1") - size)
+    rest = [c for c in intervals.columns if c not in (name, "start", "end", "chrom", "strand")]
+    at = intervals.select(name, "start", "end", *rest, F.inline(F.array(F.struct(F.lit(0).alias("_side"), (F.col("start") + 1).alias("_p")), F.struct(F.lit(1).alias("_side"), F.col("end").alias("_p")))))
+    met = at.join(x, name).where((F.col("_p") > F.col("_t0")) & (F.col("_p") <= F.col("_t1")))
+    place = F.when(minus, F.col("x_end") - (F.col("_p") - F.col("_t0"))).otherwise(F.col("x_start") + F.col("_p") - F.col("_t0"))
+    ends = met.groupBy(name, "start", "end", *rest, "chrom", "strand").agg(F.max(F.when(F.col("_side") == 0, place)).alias("_a"), F.max(F.when(F.col("_side") == 1, place)).alias("_b"))
+    return ends.where("_a IS NOT NULL AND _b IS NOT NULL").select(name, "chrom", F.least("_a", "_b").alias("start"), F.greatest("_a", "_b").alias("end"), "strand", *rest)

@@ -133,3 +133,26 @@ def difference_over(pmf_x: DataFrame, pmf_y: DataFrame, over: float) -> DataFram
     below = F.coalesce(F.sum("py").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     p = both.select((F.col("px") * below).alias("x")).agg(F.sum("x").alias("p"))
     return p.select("p", (F.col("p") / (1 - F.col("p"))).alias("odds"))
+
+
+#: Dispersions that are tried: 0.01 to 3 by hundredths.
+DISPERSIONS = 300
+
+
+def fit_dispersion(moments: DataFrame, mean: str, variance: str) -> DataFrame:
+    """(phi, error): the dispersion for which log(mean + phi mean^2) lies closest to log(variance), by the mean squared error over genes.
+
+    Genes with no variance are left out; ties go to the smaller phi. The grid is fixed, so each gene
+    makes a fixed number of terms, summed where they arise.
+    """
+    grid = F.explode(F.sequence(F.lit(1), F.lit(DISPERSIONS)))
+    each = moments.where((F.col(mean) > 0) & (F.col(variance) > 0)).select(mean, variance, grid.alias("_i")).withColumn("_phi", F.col("_i") / 100.0)
+    miss = F.ln(F.col(variance)) - F.ln(F.col(mean) + F.col("_phi") * F.col(mean) * F.col(mean))
+    fits = each.groupBy("_phi").agg(F.avg(miss * miss).alias("_error"))
+    return fits.agg(F.min(F.struct(F.round("_error", 9).alias("error"), F.col("_phi").alias("phi"))).alias("_m")).select("_m.phi", "_m.error")
+
+
+def volcano(results: DataFrame, fold: str, p: str, least_fold: float = 1.0, most_p: float = 0.05) -> DataFrame:
+    """results with volcano_x (log2 fold change), volcano_y (-log2 p, p of 0 as the smallest double) and significant."""
+    x = F.log2(F.col(fold))
+    return results.withColumns({"volcano_x": x, "volcano_y": -F.log2(F.greatest(F.col(p), F.lit(5e-324))), "significant": (F.abs(x) >= least_fold) & (F.col(p) <= most_p)})

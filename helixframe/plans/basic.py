@@ -137,10 +137,10 @@ def ag20(c):
     return c.groupBy("samplename").agg(F.sum("read_count").alias("total"), F.round(F.sum("read_count") / 1e6, 6).alias("millions"))
 
 
-@query("ag21_consensus", "sequences", """, b AS (SELECT source, i, substr(raw, CAST(i AS INT), 1) AS base FROM sequences, unnest(range(1, 31)) t(i)), c AS (SELECT source, i, base, count(*) AS n FROM b WHERE base IN ('A', 'C', 'G', 'T') GROUP BY ALL),
+@query("ag21_consensus", "sequences", """, b AS (SELECT source, unnest(string_split(raw, '')) AS base, generate_subscripts(string_split(raw, ''), 1) AS i FROM sequences), c AS (SELECT source, i, base, count(*) AS n FROM b WHERE base IN ('A', 'C', 'G', 'T') GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY source, i ORDER BY n DESC, base) AS k FROM c) SELECT source, regexp_replace(string_agg(base, '' ORDER BY i), 'ACA$', 'CCA') AS consensus FROM r WHERE k = 1 GROUP BY source""")
 def ag21(s):
-    b = s.select("source", F.posexplode(F.split(F.substring("raw", 1, 30), "")).alias("i", "base")).where(F.col("base").isin("A", "C", "G", "T"))
+    b = s.select("source", F.posexplode(F.split("raw", "")).alias("i", "base")).where(F.col("base").isin("A", "C", "G", "T"))
     n = b.groupBy("source", "i", "base").agg(F.count("*").alias("n")).groupBy("source", "i").agg(F.min_by("base", F.struct(-F.col("n"), F.col("base"))).alias("base"))
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "base"))), lambda x: x["base"]), "")
     return n.groupBy("source").agg(F.regexp_replace(whole, "ACA$", "CCA").alias("consensus"))
@@ -184,8 +184,8 @@ def wn3(f):
 
 @query("wn4_min_max", "expression", "SELECT k, round((value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w), 6) AS scaled FROM expression WINDOW w AS (PARTITION BY sample)")
 def wn4(e):
-    w = Window.partitionBy("sample")
-    return e.select("k", F.round((F.col("value") - F.min("value").over(w)) / (F.max("value").over(w) - F.min("value").over(w)), 6).alias("scaled"))
+    ends = e.groupBy("sample").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return e.join(ends, "sample").select("k", F.round((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")), 6).alias("scaled"))
 
 
 @query("wn5_average_rank", "counts", ", t AS (SELECT samplename, gene_id, sum(read_count) AS n FROM counts GROUP BY ALL) SELECT samplename, gene_id, rank() OVER (PARTITION BY samplename ORDER BY n) + (count(*) OVER (PARTITION BY samplename, n) - 1) / 2.0 AS rank FROM t")
@@ -280,10 +280,10 @@ def se5(s):
     return s.groupBy(F.col("raw").alias("seq")).agg(F.min("id").alias("id"))
 
 
-@query("se6_memberships", "counts", ", t AS (SELECT gene_id, " + ", ".join(f"max(CASE WHEN samplename = '{s}' THEN 1 ELSE 0 END) AS {s}" for s in SAMPLES[:4]) + " FROM counts GROUP BY gene_id) SELECT " + ", ".join(SAMPLES[:4]) + ", CAST(count(*) AS BIGINT) AS n FROM t GROUP BY ALL")
+@query("se6_memberships", "counts", ", t AS (SELECT gene_id, " + ", ".join(f"max(CASE WHEN samplename = '{s}' THEN 1 ELSE 0 END) AS {s}" for s in SAMPLES) + " FROM counts GROUP BY gene_id) SELECT " + ", ".join(SAMPLES) + ", CAST(count(*) AS BIGINT) AS n FROM t GROUP BY ALL")
 def se6(c):
-    t = c.groupBy("gene_id").agg(*[F.max(F.when(F.col("samplename") == s, 1).otherwise(0)).alias(s) for s in SAMPLES[:4]])
-    return t.groupBy(*SAMPLES[:4]).agg(F.count("*").alias("n"))
+    t = c.groupBy("gene_id").agg(*[F.max(F.when(F.col("samplename") == s, 1).otherwise(0)).alias(s) for s in SAMPLES])
+    return t.groupBy(*SAMPLES).agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------ functions

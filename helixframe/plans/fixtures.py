@@ -63,7 +63,7 @@ FIXTURES: dict[str, tuple[str, str, str]] = {
     ),
     "expression": ("customer", """'G' || CAST(c_custkey % 200 AS VARCHAR(19)) AS gene, 'N' || CAST(c_nationkey AS VARCHAR(9)) AS sample, abs(c_acctbal) AS value, c_custkey AS k""", "TRUE"),
     "abundance": ("part", "'T' || CAST(p_partkey AS VARCHAR(19)) AS target_id, 'G' || CAST(p_partkey % 500 AS VARCHAR(19)) AS gene_id, p_size * 50 AS eff_length, p_retailprice AS tpm, p_brand AS prep", "TRUE"),
-    "sequences": ("documents", "doc_id AS id, substr(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 120) AS raw, source, lang", "TRUE"),
+    "sequences": ("documents", "doc_id AS id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS raw, source, lang", "TRUE"),
     "whole_sequences": ("documents", "doc_id AS id, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS raw, source, lang", "TRUE"),
 }
 

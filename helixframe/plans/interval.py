@@ -85,9 +85,7 @@ def jn11(p, a):
 
 @query("jn12_points", "peaks fragments", 'SELECT a.peakname, CAST(count(DISTINCT b.start) AS BIGINT) AS points FROM peaks a LEFT JOIN fragments b ON a.chrom = b.chrom AND b.start >= a.start AND b.start < a."end" GROUP BY a.peakname')
 def jn12(p, f):
-    points = f.select("chrom", "start", (F.col("start") + 1).alias("end")).distinct()
-    n = ij.interval_join(p.select("peakname", "chrom", "start", "end"), points, wide=False).groupBy("peakname").agg(F.count("*").alias("points"))
-    return p.select("peakname").join(n, "peakname", "left").na.fill(0, "points")
+    return counting.points_inside(p, f.select("chrom", F.col("start").alias("pos")), "peakname")
 
 
 @query("jn21_projection", "exons abundance", """, x AS (SELECT name, chrom, start, "end", strand, CAST(sum("end" - start) OVER (PARTITION BY name ORDER BY exon_no ROWS UNBOUNDED PRECEDING) - ("end" - start) AS BIGINT) AS t0 FROM exons), q AS (SELECT 'G' || substr(target_id, 2) AS name, target_id, CAST(eff_length // 10 AS BIGINT) AS p FROM abundance)
@@ -104,8 +102,7 @@ def jn21(e, a):
 
 @query("ag5_region_counts", "peaks fragments", f"SELECT a.peakname, CAST(count(b.name) AS BIGINT) AS reads, CAST(count(*) FILTER (a.strand = b.strand) AS BIGINT) AS stranded FROM peaks a LEFT JOIN fragments b ON {ON} GROUP BY a.peakname")
 def ag5(p, f):
-    n = ij.interval_join(p, f, wide=False).groupBy("peakname").agg(F.count("*").alias("reads"), F.count_if(F.col("strand") == F.col("b_strand")).alias("stranded"))
-    return p.select("peakname").join(n, "peakname", "left").na.fill(0)
+    return counting.region_counts(p, f, "peakname")
 
 
 @query("ag7_merge", "fragments", """, o AS (SELECT chrom, start, "end", max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fragments), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < start THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM o)
@@ -116,14 +113,12 @@ def ag7(f):
 
 @query("ag9_full_length", "fragments annotations", f'SELECT b.gene_id, CAST(count(*) FILTER (abs(a.start - b.start) < 5 AND abs(a."end" - b."end") < 5) AS BIGINT) AS full_length FROM fragments a JOIN annotations b ON {ON} AND a.strand = b.strand GROUP BY b.gene_id')
 def ag9(f, a):
-    full = (F.abs(F.col("start") - F.col("b_start")) < 5) & (F.abs(F.col("end") - F.col("b_end")) < 5)
-    return ij.interval_join(f, a, strand="same").groupBy(F.col("b_gene_id").alias("gene_id")).agg(F.count_if(full).alias("full_length"))
+    return counting.full_length(f, a, "gene_id")
 
 
 @query("ag10_flush_ends", "peaks fragments", f", n AS (SELECT a.peakname, b.start, count(*) AS n FROM peaks a JOIN fragments b ON {ON} AND a.strand = b.strand GROUP BY ALL) SELECT peakname, round(max(n) / sum(n), 6) AS flush FROM n GROUP BY peakname")
 def ag10(p, f):
-    n = ij.interval_join(p, f, strand="same", wide=False).groupBy("peakname", "b_start").agg(F.count("*").alias("n"))
-    return n.groupBy("peakname").agg(F.round(F.max("n") / F.sum("n"), 6).alias("flush"))
+    return counting.flush_ends(p, f, "peakname").select("peakname", F.round("flush", 6).alias("flush"))
 
 
 @query("ag24_nested_counts", "fragments annotations", f"SELECT b.strand AS feature_strand, a.strand AS strand, CAST(least({LEN_A}, 75) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS n FROM fragments a JOIN annotations b ON {ON} AND b.bio_type = 'Simple_repeat' GROUP BY ALL")

@@ -9,7 +9,7 @@ from ..functions import sequence
 from ..operators import annotate, composite, counting, coverage, statistics
 from ..operators import interval_join as ij
 from .basic import SAMPLES
-from .interval import LEN_A, LEN_B, ON, OV
+from .interval import _EXON_STEPS, LEN_A, LEN_B, ON, OV
 from .registry import query
 
 L = lambda c: c.cast("long")
@@ -104,7 +104,7 @@ def str12(s):
     return s.select("id", sequence.fold_trim(F.translate("raw", "ACGT", ".(.)")).alias("trim"))
 
 
-@query("str13_adapter", "whole_sequences")
+@query("str13_adapter", "whole_sequences", "SELECT id, CAST(coalesce((SELECT max(n) FROM range(5, 15) t(n) WHERE length(raw) - 6 >= n AND (SELECT count(*) FROM range(1, 15) u(i) WHERE i <= n AND substr('ACGTACGTACGTAC', CAST(14 - n + i AS INT), 1) <> substr(raw, CAST(6 + i AS INT), 1)) <= floor(n * 0.1)), 0) AS INT) AS matched FROM whole_sequences")
 def str13(s):
     return s.select("id", sequence.adapter_prefix(F.col("raw"), "ACGTACGTACGTAC").alias("matched"))
 
@@ -118,9 +118,9 @@ def mth3(p):
 def mth4(p):
     from ..functions.statistics import normal_sf
 
-    w = Window.partitionBy("chrom")
-    z = (F.col("fc") - F.avg("fc").over(w)) / F.stddev_samp("fc").over(w)
-    return p.select("peakname", F.round(-F.log10(F.greatest(normal_sf(z), F.lit(1e-100))), 6).alias("log10p"))
+    m = p.groupBy("chrom").agg(F.avg("fc").alias("m"), F.stddev_samp("fc").alias("sd"))
+    z = (F.col("fc") - F.col("m")) / F.col("sd")
+    return p.join(m, "chrom").select("peakname", F.round(-F.log10(F.greatest(normal_sf(z), F.lit(1e-100))), 6).alias("log10p"))
 
 
 @query("arr2_exon_sizes", "exons", 'SELECT name, array_to_string(list(CAST("end" - start AS BIGINT) ORDER BY start)[1:2], \',\') AS first_two, CAST(sum("end" - start) AS BIGINT) AS total FROM exons GROUP BY name')
@@ -130,7 +130,10 @@ def arr2(e):
     return g.select("name", F.array_join(F.slice(sizes, 1, 2).cast("array<string>"), ",").alias("first_two"), F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("total"))
 
 
-@query("cov5_exon_filter", "peaks exons fragments")
+_DEEP = _EXON_STEPS + ", m AS (SELECT ekey, sum((nxt - pos) * depth) AS b, sum(CASE WHEN depth >= 2 THEN nxt - pos ELSE 0 END) AS d FROM st WHERE nxt IS NOT NULL GROUP BY ekey), good AS (SELECT e.* FROM exons e JOIN m ON ekey = name || '/' || CAST(exon_no AS VARCHAR) WHERE b / (\"end\" - start) > 2 AND d / (\"end\" - start) > 0.8)"
+
+
+@query("cov5_exon_filter", "peaks exons fragments", f", {_DEEP} SELECT peakname FROM peaks a WHERE NOT EXISTS (SELECT 1 FROM good b WHERE {ON} AND {OV} >= 0.2 * {LEN_A})")
 def cov5(p, e, f):
     """Peaks that no well-covered exon overlaps by a fifth."""
     good = coverage.breadth(e.select("chrom", "start", "end", "name", "exon_no"), f, ["chrom", "start", "end", "name", "exon_no"], 2).where("mean_depth > 2 AND breadth > 0.8")
@@ -233,10 +236,10 @@ def cnt20(c):
 
 @query("cnt21_similarity_matrix", "expression", ", t AS (SELECT gene, sample, avg(value) AS v FROM expression GROUP BY 1, 2), g AS (SELECT DISTINCT gene FROM t), s AS (SELECT DISTINCT sample FROM t), f AS (SELECT gene, sample, coalesce(v, 0) AS v FROM g CROSS JOIN s LEFT JOIN t USING (gene, sample)), r AS (SELECT gene, sample, rank() OVER (PARTITION BY sample ORDER BY v) + (count(*) OVER (PARTITION BY sample, v) - 1) / 2.0 AS r FROM f) SELECT a.sample AS sample1, b.sample AS sample2, round(corr(a.r, b.r), 6) AS spearman FROM r a JOIN r b USING (gene) WHERE a.sample < b.sample GROUP BY 1, 2")
 def cnt21(e):
-    names = [f"N{i}" for i in range(25)]
-    wide = e.groupBy("gene").pivot("sample", names).agg(F.avg("value")).na.fill(0.0)
-    filled = wide.unpivot("gene", names, "sample", "v").join(e.select("sample").distinct(), "sample", "left_semi")
-    r = filled.withColumn("r", statistics.average_rank("v", ["sample"]))
+    mean = e.groupBy("gene", "sample").agg(F.avg("value").alias("v"))
+    cells = e.select("gene").distinct().crossJoin(F.broadcast(e.select("sample").distinct()))  # samples are few by design
+    filled = cells.join(mean, ["gene", "sample"], "left").na.fill(0.0, "v")
+    r = statistics.with_ranks(filled, "v", "r", ["sample"])
     other = r.select("gene", F.col("sample").alias("sample2"), F.col("r").alias("r2"))
     return r.join(other, "gene").where("sample < sample2").groupBy(F.col("sample").alias("sample1"), "sample2").agg(F.round(F.corr("r", "r2"), 6).alias("spearman"))
 
@@ -257,7 +260,7 @@ def st15(c):
     return post.withColumn("class", side).withColumn("delta", F.round(F.abs(F.col("posterior") - 0.5), 6)).orderBy(F.desc("delta"), "gene_id").select("gene_id", "class", "delta").limit(50)
 
 
-@query("udf5_scores", "whole_sequences")
+@query("udf5_scores", "whole_sequences", "SELECT id, raw AS seq, length(regexp_replace(raw, '[^GC]', '', 'g')) / greatest(length(raw), 1) AS score FROM whole_sequences")
 def udf5(s):
     """A caller's scoring function over sequences, in batches."""
     return composite.score_sequences(s.select("id", F.col("raw").alias("seq")), lambda seq: seq.str.count("[GC]") / seq.str.len().clip(lower=1))
@@ -294,10 +297,10 @@ def str11(s):
     return composite.interval_sequences(spots, chunks, size=16).select("name", "seq")
 
 
-@query("str14_terminal_bases", "sequences", "SELECT id, CASE WHEN t = '' THEN '.' ELSE t END AS non_template FROM (SELECT id, regexp_extract(substr(raw, 1, 20), '[GT]*$') AS t FROM sequences WHERE length(raw) >= 20)")
+@query("str14_terminal_bases", "sequences", "SELECT id, CASE WHEN t = '' THEN '.' ELSE t END AS non_template FROM (SELECT id, regexp_extract(raw, '[GT]*$') AS t FROM sequences WHERE raw <> '')")
 def str14(s):
-    b = s.where("length(raw) >= 20").select(F.col("id").alias("read_id"), F.posexplode(F.split(F.substring("raw", 1, 20), "")).alias("seq_pos", "base"))
-    b = b.where("base <> ''").withColumns({"is_mismatch": F.col("base").isin("G", "T"), "length": F.lit(20)})
+    b = s.where("raw <> ''").select(F.col("id").alias("read_id"), F.length("raw").alias("length"), F.posexplode(F.split("raw", "")).alias("seq_pos", "base"))
+    b = b.where("base <> ''").withColumn("is_mismatch", F.col("base").isin("G", "T"))
     return composite.terminal_mismatches(b).select(F.col("read_id").alias("id"), "non_template")
 
 

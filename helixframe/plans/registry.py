@@ -25,4 +25,4 @@ def query(name: str, fixtures: str, sql: str | None = None):
     return put
 
 
-from . import basic, interval, more  # noqa: E402,F401
+from . import basic, interval, more, wider  # noqa: E402,F401
