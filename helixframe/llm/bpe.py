@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import partitions, slices, stage, trimmed
+from .common import partitions, slices, stage, trim, trimmed
 
 #: Pre-tokens after which a chunk is closed.
-CHUNK = 1_250_000
+CHUNK = 900_000
 #: Bytes of a text that are cut into pre-tokens at once, so that memory stays bounded.
 PIECE = 1 << 20
 #: Words of a deal whose ids a task remembers; beyond it a word may be encoded again, so that memory stays bounded.
@@ -172,6 +172,7 @@ def _assemble(table=None):
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         out = _texts(docs, words)
+        trim()
         return out if table is None else out.append_column("decoded", pa.array((_bytes_of(x.as_py(), table.value) for x in out["ids"]), pa.binary()))
 
     return run
