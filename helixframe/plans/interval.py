@@ -326,10 +326,10 @@ def cnt17(e, p):
     return h.groupBy("name").agg(F.countDistinct("start").alias("junctions"), F.countDistinct("b_peakname").alias("peaks"))
 
 
-_ST2 = ', o AS (SELECT DISTINCT chrom, fc FROM peaks), d AS (SELECT chrom, ("end" - start) / 4.0 AS draw, count(*) AS n FROM fragments GROUP BY ALL), v AS (SELECT chrom, fc, round(sum(CASE WHEN draw >= fc THEN n ELSE 0 END) / sum(n), 6) AS p FROM o JOIN d USING (chrom) GROUP BY chrom, fc) SELECT peakname, p FROM peaks JOIN v USING (chrom, fc)'
+_ST2 = ', o AS (SELECT DISTINCT chrom, fc FROM peaks), d AS (SELECT chrom, ("end" - start) / 4.0 AS draw, count(*) AS n FROM fragments GROUP BY ALL), v AS (SELECT chrom, fc, round(sum(CASE WHEN draw >= fc THEN n ELSE 0 END) / sum(n), 9) AS p FROM o JOIN d USING (chrom) GROUP BY chrom, fc) SELECT peakname, p FROM peaks JOIN v USING (chrom, fc)'
 
 
 @query("st2_empirical_p", "peaks fragments", _ST2)
 def st2(p, f):
     null = f.select("chrom", ((F.col("end") - F.col("start")) / 4.0).alias("draw"))
-    return p.join(statistics.empirical_p(p, null, "chrom", "fc", less=False), ["chrom", "fc"]).select("peakname", F.round("p", 6).alias("p"))
+    return p.join(statistics.empirical_p(p, null, "chrom", "fc", less=False), ["chrom", "fc"]).select("peakname", F.round("p", 9).alias("p"))
