@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from helixframe.llm import bpe, decontaminate, jaccard, langid, secrets
 from helixframe.llm.common import small, stage, table
 
-#: Posterior share below which a language is not told with any certainty.
+#: Score (posterior share times the share of words of which anything is known) below which a language is not told with any certainty.
 LEAST_SCORE = 0.5
 
 
