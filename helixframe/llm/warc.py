@@ -192,18 +192,39 @@ def _blocks(root: str):
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
+def _archives(sent):
+    """Keys to (key, index_file) of the archives whose range holds them."""
+
+    def run(batches):
+        ranges = sent.value
+        lows = [r[0] for r in ranges]
+        for batch in batches:
+            out = []
+            for key in batch.column("key").to_pylist():
+                at = bisect.bisect_right(lows, key) - 1
+                while at >= 0 and ranges[at][1] >= key:
+                    out.append((key, ranges[at][2]))
+                    at -= 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*out)], ["key", "index_file"])
+
+    return run
+
+
 def lookup(spark: SparkSession, root: str, directory: DataFrame, urls: list[str] | DataFrame) -> DataFrame:
     """The records of some URLs (a list, or a table with a column url), each once.
 
     The URLs' keys meet the archives whose range of keys holds them, then the blocks of the sparse
     directory likewise; blocks are read one by one, searched by bisection, and only the ranges of the
     keys' captures are read from the archives. Null URLs have the empty key. A key that fills many
-    blocks is read block by block. The list of archives (one for each task that wrote) is broadcast.
+    blocks is read block by block. The list of archives (one row for each task that wrote) is sent to
+    the executors and searched by bisection; ranges of archives share no more than their edges.
     """
     asked = urls if isinstance(urls, DataFrame) else spark.createDataFrame([(u,) for u in urls], "url string")
     keys = asked.select(url_key(F.col("url")).alias("key")).distinct()
-    archives = directory.groupBy("index_file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
-    mine = keys.join(F.broadcast(archives), F.col("key").between(F.col("low"), F.col("high"))).select("key", "index_file")
+    archives = directory.groupBy("index_file").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high")).collect()
+    sent = spark.sparkContext.broadcast(sorted((r.low, r.high, r.index_file) for r in archives))
+    mine = keys.mapInArrow(_archives(sent), "key string, index_file string")
     met = mine.join(directory, "index_file").where(F.col("key").between(F.col("first_key"), F.col("last_key")))
     dealt = met.repartition(partitions(spark), "index_file", "index_at").sortWithinPartitions("index_file", "index_at", "key")
     return dealt.select("index_file", "index_at", "index_bytes", "warc_file", "key").mapInArrow(_blocks(root), RECORDS)
