@@ -18,7 +18,8 @@ Signatures of more than HOT sets are never expanded into pairs. A set that keeps
 ("cold") signatures finds all its partners by these. For two sets that both lack them, every part
 in which they agree is hot; so they share one of their (k - cold + 1) rarest hot signatures (small
 sets: one of their hot ones). These groups are compared with their most ordinary member first and
-components are merged. What then still lies in different components drops out if it has too few
+components are merged; what is known of each signature is joined to its members by broadcast, if there
+are few signatures, so that no signature's members meet in one task. What then still lies in different components drops out if it has too few
 n-grams in common with all others; the rest is compared block by block, without a row for any pair.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bitmap, in_map, mix, ngrams, partitions, scratch, slices, small, stage, text_buffers, trimmed, words
+from .common import bitmap, in_map, mix, ngrams, partitions, scratch, slices, small, stage, text_buffers, trim, trimmed, words
 from .components import components
 
 #: A signature of more than so many different sets is hot: its group is compared by stars, not by pairs.
@@ -352,7 +353,7 @@ def _near_duplicates(docs: DataFrame, percent: int, n: int) -> DataFrame:
     # the leader of a hot group is its most ordinary member: with most hot signatures
     lead = hot.groupBy("sig").agg(F.max_by("rep", F.struct("h", -F.col("rep"))).alias("lead"), F.count("*").alias("members"))
     lead = stage(lead.where("members > 1").select("sig", "lead"), "jaccard-leads")
-    star = hot.join(lead, "sig").where("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
+    star = hot.join(small(lead), "sig").where("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct()
     star = stage(star, "jaccard-star")
     cold = cold.select("a", "b").union(_aside(docs, reps, by, n, t))
     pairs = stage(cold.union(star).distinct(), "jaccard-pairs")
@@ -416,7 +417,7 @@ def _members(hot: DataFrame, label: DataFrame) -> DataFrame:
 
 def _split(member: DataFrame) -> DataFrame:
     torn = member.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-    return stage(member.join(torn, "sig", "left_semi"), "jaccard-torn")
+    return stage(member.join(small(stage(torn, "jaccard-torn")), "sig", "left_semi"), "jaccard-torn")
 
 
 def _explode_sets(batches):
@@ -439,9 +440,10 @@ def _linkable(member: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     if not left:
         return member.withColumn("common", F.lit(0))
     while True:
-        least = member.join(member.groupBy("sig").agg(F.min("size").alias("low")), "sig").groupBy("rep").agg(F.first("size").alias("size"), F.first("label").alias("label"), F.min("low").alias("low"))
+        low = stage(member.groupBy("sig").agg(F.min("size").alias("low")), "jaccard-low")
+        least = member.join(small(low), "sig").groupBy("rep").agg(F.first("size").alias("size"), F.first("label").alias("label"), F.min("low").alias("low"))
         least = stage(least, "jaccard-least")
-        each = stage(grams.join(small(least.select("rep", "label")), "rep").select("rep", "label", "grams").mapInArrow(_explode_sets, "gram long, rep long, label long"), "jaccard-grams-of")
+        each = stage(grams.join(small(least.select("rep", "label")), "rep").select("rep", "label", "grams").mapInArrow(trimmed(_explode_sets), "gram long, rep long, label long"), "jaccard-grams-of")
         shared = stage(each.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram"), "jaccard-shared")
         common = each.join(shared, "gram", "left_semi").groupBy("rep").agg(F.count("*").alias("common"))
         low = F.greatest(F.col("low"), F.ceil(F.col("size") * percent / 100))
@@ -487,6 +489,7 @@ def _compare(percent: int):
             if x != y:
                 root[max(x, y)] = min(x, y)
                 out.append((rep[i], rep[j]))
+        trim()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -501,7 +504,7 @@ def _across(member: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """
     member = stage(member, "jaccard-live")
     lead = stage(member.groupBy("sig").agg(F.min("rep").alias("a")), "jaccard-leads")
-    held = member.join(lead, "sig").select("a", F.col("rep").alias("b")).distinct()
+    held = member.join(small(lead), "sig").select("a", F.col("rep").alias("b")).distinct()
     cluster = stage(components(held, "jaccard-clusters").withColumnRenamed("node", "rep").withColumnRenamed("label", "cluster"), "jaccard-clusters")
     sized = cluster.join(member.select("rep", "size").distinct(), "rep")
     n = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
@@ -529,7 +532,7 @@ def _hot_rows(rows: DataFrame, by: DataFrame, t: float) -> tuple[DataFrame, Data
     short = stage(short.select("fid", "scheme", "rep", "size", "take", "h"), "jaccard-short")
     rows = stage(rows.join(short, ["fid", "scheme"]).select("sig", "scheme", "rep", "size", "take", "h"), "jaccard-hot")
     often = stage(rows.groupBy("sig").agg(F.count("*").alias("often")).where("often > 1"), "jaccard-often")
-    ranked = rows.join(often, "sig", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = rows.join(small(often), "sig", "left").withColumn("often", F.coalesce("often", F.lit(1)))
     order = Window.partitionBy("rep", "scheme").orderBy("often", "sig")
     return stage(ranked.withColumn("k", F.row_number().over(order)).where("k <= take").groupBy("sig", "rep", "size").agg(F.max("h").alias("h")), "jaccard-hot"), often_hot
 
