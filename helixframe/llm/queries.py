@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, langid, licenses, secrets, topk
+from . import decontaminate, hosts, html, langid, licenses, secrets, topk
 from .bpe import digests, ranks
 from .common import table
 from .jaccard import near_duplicates
@@ -64,6 +64,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no addresses; a document's host is its source."""
+    return hosts.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rules", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -75,9 +80,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk_search": op8_topk_search,
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
+    "op11_host_rules": op11_host_rules,
 }
 
+_WORD = r"[^\x20\x09-\x0D]"
+_HOST_SUMS = ", ".join(f"CAST(count(*) FILTER ({rule}) AS DOUBLE) AS {name}_f" for name, (rule, _) in hosts.RULES.items())
+_HOST_MOMENTS = ", ".join(f"sum({name}_f) / sum(n) AS {name}_m, sum({name}_f * {name}_f / n) - sum({name}_f) * sum({name}_f) / sum(n) AS {name}_s" for name in hosts.RULES)
+_HOST_OWN = ", ".join(f"({name}_s - (k - 1) * {name}_m * (1 - {name}_m)) / nullif({name}_m * (1 - {name}_m) * greatest(d - q / d - (k - 1), 0), 0) AS {name}_o" for name in hosts.RULES)
+_HOST_WEIGHT = ", ".join(f"greatest(CASE WHEN {name}_o > 0 THEN least(1 / {name}_o - 1, d) ELSE d END, {hosts.LEAST_WEIGHT}) AS {name}_w" for name in hosts.RULES)
+_HOST_FAILS = ", ".join(f"CASE WHEN ({name}_f + {name}_m * {name}_w) / (n + {name}_w) > {limit} THEN '{name}' END" for name, (_, limit) in hosts.RULES.items())
+
 SQL: dict[str, str] = {
+    "op11_host_rules": f"""
+        WITH t AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT row, unnest(regexp_extract_all(t, '{_WORD}+')) AS w, generate_subscripts(regexp_extract_all(t, '{_WORD}+'), 1) AS i FROM t),
+        g AS (SELECT row, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM w WINDOW o AS (PARTITION BY row ORDER BY i)),
+        again AS (SELECT row, i FROM g WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY row, g) > 1),
+        r AS (SELECT row, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(5)) AS k) GROUP BY row),
+        l AS (SELECT row, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}'))) AS n, len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')))) AS d FROM t),
+        c AS (SELECT row, count(*) AS n, sum(length(w)) AS chars FROM w GROUP BY row),
+        m AS (SELECT t.row, doc_id, source, coalesce(c.n, 0) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, l.n AS n_lines, CAST(l.n - l.d AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+          FROM t LEFT JOIN c ON c.row = t.row LEFT JOIN l ON l.row = t.row LEFT JOIN r ON r.row = t.row),
+        h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, {_HOST_SUMS} FROM m WHERE source IS NOT NULL GROUP BY source),
+        a AS (SELECT count(*) AS k, sum(n) AS d, sum(n * n) AS q, {_HOST_MOMENTS} FROM h),
+        p AS (SELECT *, {_HOST_WEIGHT} FROM (SELECT *, {_HOST_OWN} FROM a)),
+        v AS (SELECT source, concat_ws(',', {_HOST_FAILS}) AS host_rules FROM h CROSS JOIN p),
+        f AS (SELECT *, {" OR ".join(f"({rule})" for rule in hosts.BASE.values())} AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(host_rules, '') AS host_rules, NOT base_failed AND coalesce(host_rules, '') = '' AS kept FROM f LEFT JOIN v ON f.source = v.source""",
     "op8_topk_search": """
         WITH v AS (
           SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS e FROM embeddings
