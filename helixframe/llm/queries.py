@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hosts, html, langid, licenses, secrets, topk
+from . import decontaminate, hosts, html, langid, licenses, secrets, topk, whitening
 from .bpe import digests, ranks
 from .common import table
 from .jaccard import near_duplicates
@@ -69,6 +69,10 @@ def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rules", "kept")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_html_text": op10_html_text,
     "op11_host_rules": op11_host_rules,
+    "op13_whitening": op13_whitening,
 }
 
 _WORD = r"[^\x20\x09-\x0D]"
