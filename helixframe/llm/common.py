@@ -52,13 +52,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that an open scratch() deletes at its end."""
+    path = new_path(spark, name)
+    if _held:
+        _held[-1].append((name, path))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     bound_batches(spark)
-    path = new_path(spark, name)
-    if _held:
-        _held[-1].append((name, path))
+    path = folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -150,7 +150,7 @@ def _rows(bounds: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(data.astype(np.int16))])
 
 
-def _code(scale: int):
+def _code(scale: int, keep: tuple[str, ...]):
     def run(batches):
         for batch in batches:
             col = batch.column("embedding")
@@ -160,16 +160,16 @@ def _code(scale: int):
             for bad in np.flatnonzero(np.isnan(x)):
                 whole[bad] = np.iinfo(np.int64).max if pc.list_flatten(col)[int(bad)].as_py() > 0 else np.iinfo(np.int64).min
             many = pc.list_value_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(many, pa.int32()), _rows(np.append(0, np.cumsum(many)), whole)], ["vec_id", "size", "x"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(many, pa.int32()), _rows(np.append(0, np.cumsum(many)), whole)], [*keep, "size", "x"])
 
     return run
 
 
-def coded(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, size, x): each vector's entries as floor(scale * entry), packed; rows whose vector is null or has a null or non-finite entry are left out. Entries beyond 64 bits become the nearest that fits."""
+def coded(vectors: DataFrame, scale: int, keep: tuple[str, ...] = ("vec_id",)) -> DataFrame:
+    """(keep, size, x): each vector's entries as floor(scale * entry), packed; rows whose vector is null or has a null or non-finite entry are left out. Entries beyond 64 bits become the nearest that fits. keep: columns of whole numbers that stay."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = vectors.where(F.col("embedding").isNotNull()).where(fine)
-    return whole.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_code(scale), "vec_id long, size int, x binary")
+    return whole.select(*[F.col(c).cast("long").alias(c) for c in keep], "embedding").mapInArrow(_code(scale, keep), ", ".join(f"{c} long" for c in keep) + ", size int, x binary")
 
 
 def matrix(col: pa.Array, size: int) -> np.ndarray:
