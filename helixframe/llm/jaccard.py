@@ -20,7 +20,8 @@ in which they agree is hot; so they share one of their (k - cold + 1) rarest hot
 sets: one of their hot ones). These groups are compared with their most ordinary member first and
 components are merged; what is known of each signature is joined to its members by broadcast, if there
 are few signatures, so that no signature's members meet in one task. What then still lies in different components drops out if it has too few
-n-grams in common with all others; the rest is compared block by block, without a row for any pair.
+n-grams in common with all others; the rest is compared within its groups, block by block, without a
+row for any pair.
 """
 
 from __future__ import annotations
@@ -496,25 +497,24 @@ def _compare(percent: int):
 
 
 def _across(member: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """Links between different components of sets that are joined by hot groups, compared block by block.
+    """Links between different components within hot groups, compared block by block.
 
-    Sets that hot groups hold together form a cluster; a cluster is cut into blocks of BLOCK sets or
-    so, and each two blocks are compared in one task. No pair becomes a row but links that join two
-    components.
+    Sets are compared with those of their own groups only; of groups with the same members one
+    counts. A group is cut into blocks of BLOCK sets or so, and each two of its blocks are compared in
+    one task. No pair becomes a row but links that join two components.
     """
     member = stage(member, "jaccard-live")
-    lead = stage(member.groupBy("sig").agg(F.min("rep").alias("a")), "jaccard-leads")
-    held = member.join(small(lead), "sig").select("a", F.col("rep").alias("b")).distinct()
-    cluster = stage(components(held, "jaccard-clusters").withColumnRenamed("node", "rep").withColumnRenamed("label", "cluster"), "jaccard-clusters")
-    sized = cluster.join(member.select("rep", "size").distinct(), "rep")
-    n = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    put = cluster.join(n, "cluster").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    if not member.limit(1).count():
+        return member.sparkSession.createDataFrame([], "a long, b long")
+    group = member.groupBy("sig").agg(F.count("*").alias("n"), F.sum("size").alias("elements"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    group = group.groupBy("n", "elements", "x", "y").agg(F.min("sig").alias("sig"))
+    n = group.select("sig", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
+    put = member.join(small(stage(n, "jaccard-leads")), "sig").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # block i meets block j: once as the smaller number (side 0), once as the larger (side 1), with itself as side 2
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("i", j).alias("x"), F.greatest("i", j).alias("y"), F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1).alias("side")))
-    put = put.join(member.select("rep", "label").distinct(), "rep").select("rep", "label", "cluster", F.inline(meets))
-    put = stage(put, "jaccard-blocks")
-    whole = grams.join(put, "rep").select("cluster", "x", "y", "side", "rep", "label", "grams")
-    return stage(whole.groupBy("cluster", "x", "y").applyInArrow(_compare(percent), "a long, b long"), "jaccard-links")
+    put = stage(put.select("sig", "rep", "label", F.inline(meets)), "jaccard-blocks")
+    whole = grams.join(put, "rep").select("sig", "x", "y", "side", "rep", "label", "grams")
+    return stage(whole.groupBy("sig", "x", "y").applyInArrow(_compare(percent), "a long, b long"), "jaccard-links")
 
 
 def _torn(pairs: DataFrame, label: DataFrame) -> DataFrame:
