@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .coverage import segments
 from .interval_join import interval_anti
+from .staging import written
 
 #: Motifs of telomeres and centromeres, which count on both strands.
 _TELOMERES = ("TAACCC", "CCCGAA", "CCCCAA", "CCCTAG", "TTAGGC", "TTAGGG")
@@ -37,9 +38,9 @@ def subsample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
 
 
 def call_twice(track: DataFrame, cutoff: Column | float, **options) -> DataFrame:
-    """Segments of a track, then those of what is left without them."""
-    first = segments(track, cutoff, **options)
-    rest = interval_anti(track, first)
+    """Segments of a track (call 1), then those of what is left without the runs that they cover (call 2). The first pass is written, as the second starts from it."""
+    first = written(segments(track, cutoff, **options), "segments")
+    rest = written(interval_anti(track, first), "segments-rest")
     return first.withColumn("call", F.lit(1)).unionByName(segments(rest, cutoff, **options).withColumn("call", F.lit(2)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .interval_join import interval_join, interval_left
+from .interval_join import interval_join, interval_left, same, without_keys
 
 
 def strand_rule(strand: Column, ref: Column, sense: bool) -> Column:
@@ -27,10 +27,17 @@ def gene_counts(fragments: DataFrame, annotations: DataFrame, keep_unmatched: bo
 
 
 def best_assignment(fragments: DataFrame, annotations: DataFrame, **flags) -> DataFrame:
-    """Each fragment's one feature: the largest product of both overlap shares, ties to the smaller gene_id."""
-    hits = interval_join(fragments, annotations, **flags)
+    """Fragments (those with a feature) with the gene_id and score of their one feature: the largest product of both overlap shares, ties to the smaller gene_id.
+
+    What decides is a fragment's place, so places meet features, and fragments of any name (or of one
+    name) take over what was found for theirs.
+    """
+    strand = ["strand"] if flags.get("strand") else []
+    key = ["chrom", "start", "end", *strand]
+    hits = interval_join(fragments.select(*key).distinct(), annotations.select("chrom", "start", "end", *strand, "gene_id"), **flags)
     score = F.col("overlap") / (F.col("end") - F.col("start")) * F.col("overlap") / (F.col("b_end") - F.col("b_start"))
-    return hits.groupBy("name").agg(F.min_by("b_gene_id", F.struct(-F.round(score, 9), F.col("b_gene_id"))).alias("gene_id"), F.round(F.max(score), 6).alias("score"))
+    best = hits.groupBy(*key).agg(F.min_by("b_gene_id", F.struct(-F.round(score, 9), F.col("b_gene_id"))).alias("gene_id"), F.round(F.max(score), 6).alias("score"))
+    return without_keys(same(fragments, best, key, "inner"), key)
 
 
 def share(value: str, by: list[str], times: float = 1.0) -> Column:
@@ -74,11 +81,23 @@ def fold_strands(df: DataFrame, motif: str, strand: str, value: str, complement:
 
 
 def saturation(counts: DataFrame, value: str, fractions: int = 1000, cutoffs: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """(fraction, cutoff, genes): genes whose scaled count is over a cutoff. Counts are grouped first, so the fraction table meets distinct counts only."""
+    """(fraction, cutoff, genes): genes whose count times a fraction (1 to fractions, over fractions) is over a cutoff.
+
+    A count passes a cutoff from one fraction on, found in closed form and moved by a step where the
+    quotient's rounding asks for it. So each gene is one number for each cutoff; their histogram is
+    summed up along the grid, which is as long as the fractions.
+    """
     spark = counts.sparkSession
-    grid = spark.range(1, fractions + 1).select((F.col("id") / fractions).alias("fraction"), F.explode(F.array(*map(F.lit, cutoffs))).alias("cutoff"))
-    few = counts.groupBy(value).agg(F.count("*").alias("_n"))
-    return few.crossJoin(F.broadcast(grid)).groupBy("fraction", "cutoff").agg(F.sum(F.when(F.col("fraction") * F.col(value) > F.col("cutoff"), F.col("_n")).otherwise(0)).alias("genes"))
+    c, v = F.col("cutoff"), F.col(value).cast("double")
+    passes = lambda i: i / F.lit(float(fractions)) * v > c
+    near = F.greatest(F.floor(c * fractions / v) - 1, F.lit(1).cast("long"))
+    first = F.when(passes(near), near).when(passes(near + 1), near + 1).when(passes(near + 2), near + 2).otherwise(near + 3)
+    each = counts.where(v > 0).groupBy(value).agg(F.count("*").alias("_n")).select(value, "_n", F.explode(F.array(*map(F.lit, cutoffs))).alias("cutoff"))
+    starts = each.select("cutoff", first.alias("_i"), "_n").where(F.col("_i") <= fractions).groupBy("cutoff", "_i").agg(F.sum("_n").alias("_n"))
+    grid = spark.range(1, fractions + 1).select(F.col("id").alias("_i"), F.explode(F.array(*map(F.lit, cutoffs))).alias("cutoff"), F.lit(0).cast("long").alias("_n"))
+    steps = grid.unionByName(starts).groupBy("cutoff", "_i").agg(F.sum("_n").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("cutoff").orderBy("_i"))
+    return steps.select((F.col("_i") / fractions).alias("fraction"), "cutoff", upto.alias("genes"))
 
 
 def expression_matrix(abundance: DataFrame, genes: DataFrame, preps: list[str]) -> DataFrame:
@@ -101,26 +120,68 @@ def base_composition(tails: DataFrame, by: str, bases: str = "non_template") ->
 
 
 def full_length(fragments: DataFrame, features: DataFrame, name: str, near: int = 5) -> DataFrame:
-    """(name, full_length): fragments of each feature of their strand that start and end within fewer than so many bases of its ends."""
+    """(name, chrom, start, end, strand, full_length): fragments of each different feature of their strand that start and end within fewer than so many bases of its ends. Features without a fragment are left out."""
+    key = [name, "chrom", "start", "end", "strand"]
     ends = (F.abs(F.col("start") - F.col("b_start")) < near) & (F.abs(F.col("end") - F.col("b_end")) < near)
-    return interval_join(fragments, features, strand="same").groupBy(F.col(f"b_{name}").alias(name)).agg(F.count_if(ends).alias("full_length"))
+    hits = interval_join(fragments.select("chrom", "start", "end", "strand"), features.select(*key).distinct(), strand="same")
+    return hits.groupBy(*[F.col(f"b_{c}").alias(c) for c in key]).agg(F.count_if(ends).alias("full_length"))
 
 
-def points_inside(regions: DataFrame, points: DataFrame, key: str) -> DataFrame:
-    """(key, points): the different positions (chrom, pos) inside each region, 0 where none."""
-    spots = points.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")).distinct()
-    n = interval_join(regions.select(key, "chrom", "start", "end"), spots, wide=False).groupBy(key).agg(F.count("*").alias("points"))
-    return regions.select(key).join(n, key, "left").na.fill(0, "points")
+#: Bases of a tile in which places are counted.
+TILE = 50_000
+
+
+def counts_below(places: DataFrame, points: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
+    """places(by, pos) once each with `below`: how many of points(by, pos) lie at a smaller pos.
+
+    Points are counted by position first, then summed up within tiles and over the tiles' totals; so
+    nothing grows with how many lie at one place, and no chromosome is one task.
+    """
+    spots = points.groupBy(*by, "pos").agg(F.count("*").alias("_n")).withColumn("_spot", F.lit(1))
+    both = spots.unionByName(places.select(*by, "pos").distinct().withColumns({"_n": F.lit(0).cast("long"), "_spot": F.lit(0)})).withColumn("_tile", F.floor(F.col("pos") / tile))
+    here = F.sum("_n").over(Window.partitionBy(*by, "_tile").orderBy("pos", "_spot"))
+    total = both.groupBy(*by, "_tile").agg(F.sum("_n").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_tile")) - F.col("_n")
+    total = total.select(*by, "_tile", before.alias("_before"))
+    found = both.withColumn("_here", here).where("_spot = 0")
+    return without_keys(same(found, total, [*by, "_tile"], "inner"), [*by, "_tile"]).select(*by, "pos", (F.col("_before") + F.col("_here")).alias("below"))
+
+
+def _overlapping(regions: DataFrame, intervals: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Different regions(by, start, end) with the number of intervals that overlap them: those that start before the end, less those that end at the start or before."""
+    kind = lambda df, k, pos: df.select(*by, F.lit(k).alias("kind"), pos.alias("pos"))
+    real = intervals.where(F.col("end") > F.col("start"))
+    points = kind(real, "s", F.col("start")).unionByName(kind(real, "e", F.col("end") - 1))
+    places = kind(regions, "s", F.col("end")).unionByName(kind(regions, "e", F.col("start")))
+    below = counts_below(places, points, [*by, "kind"])
+    out = regions.select(*by, "start", "end").distinct()
+    for k, at in (("s", "end"), ("e", "start")):
+        one = below.where(F.col("kind") == k).select(*by, F.col("pos").alias(at), F.col("below").alias(f"_{k}"))
+        out = without_keys(same(out, one, [*by, at], "inner"), [*by, at])
+    return out.select(*by, "start", "end", F.when(F.col("end") > F.col("start"), F.col("_s") - F.col("_e")).otherwise(0).alias(name))
+
+
+def _back(regions: DataFrame, found: DataFrame, key: list[str], name: str) -> DataFrame:
+    return without_keys(same(regions, found, key, "left"), key).na.fill(0, name)
 
 
 def region_counts(regions: DataFrame, fragments: DataFrame, key: str) -> DataFrame:
-    """(key, reads, stranded): fragments that overlap each region, all and of its strand."""
-    n = interval_join(regions.select(key, "chrom", "start", "end", "strand"), fragments.select("chrom", "start", "end", "strand"), wide=False)
-    n = n.groupBy(key).agg(F.count("*").alias("reads"), F.count_if(F.col("strand") == F.col("b_strand")).alias("stranded"))
-    return regions.select(key).join(n, key, "left").na.fill(0)
+    """(key, chrom, start, end, strand, reads, stranded) of each row of regions: fragments that overlap it, all and of its strand. No pair becomes a row."""
+    own = [key, "chrom", "start", "end", "strand"]
+    out = regions.select(*own)
+    out = _back(out, _overlapping(regions, fragments, ["chrom"], "reads"), ["chrom", "start", "end"], "reads")
+    return _back(out, _overlapping(regions, fragments, ["chrom", "strand"], "stranded"), ["chrom", "strand", "start", "end"], "stranded")
+
+
+def points_inside(regions: DataFrame, points: DataFrame, key: str) -> DataFrame:
+    """(key, chrom, start, end, points) of each row of regions: the different positions (chrom, pos) inside it, 0 where none."""
+    spots = points.select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end")).distinct()
+    return _back(regions.select(key, "chrom", "start", "end"), _overlapping(regions, spots, ["chrom"], "points"), ["chrom", "start", "end"], "points")
 
 
 def flush_ends(regions: DataFrame, fragments: DataFrame, key: str) -> DataFrame:
-    """(key, flush): the largest share of a region's fragments of its strand that start at one place."""
-    n = interval_join(regions.select(key, "chrom", "start", "end", "strand"), fragments.select("chrom", "start", "end", "strand"), strand="same", wide=False).groupBy(key, "b_start").agg(F.count("*").alias("n"))
-    return n.groupBy(key).agg((F.max("n") / F.sum("n")).alias("flush"))
+    """(key, chrom, start, end, strand, flush): the largest share of a region's fragments of its strand that start at one place; different regions with such fragments only."""
+    own = [key, "chrom", "start", "end", "strand"]
+    spots = fragments.groupBy("chrom", "start", "end", "strand").agg(F.count("*").alias("n"))
+    n = interval_join(regions.select(*own).distinct(), spots, strand="same", wide=False).groupBy(*own, "b_start").agg(F.sum("b_n").alias("n"))
+    return n.groupBy(*own).agg((F.max("n") / F.sum("n")).alias("flush"))

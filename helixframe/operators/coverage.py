@@ -6,29 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .interval_join import chained, interval_join, merge_intervals
+from .interval_join import chained, interval_join, merge_intervals, same, without_keys
 
 #: Bases of a tile: coverage is summed up within tiles, so no chromosome is one task.
 TILE = 100_000
 
 
-def coverage_runs(fragments: DataFrame, sizes: DataFrame | None = None, stranded: bool = False, tile: int = TILE, merged: bool = True) -> DataFrame:
-    """(chrom, [strand], start, end, depth): maximal runs of equal depth; with sizes(chrom, size) also of depth 0.
+def _runs(parts: DataFrame, by: list[str], tile: int, tiles: DataFrame | None = None) -> DataFrame:
+    """(by, tile, start, end, depth): running sums of parts(by, start, end, w) between the places where they change, tile by tile.
 
-    Each fragment is clipped to the tiles it covers, so a tile's running sum needs nothing from
-    before it; equal neighbours are merged at last, if wanted.
+    Each part is clipped to the tiles it covers, so a tile's running sum needs nothing from before it.
+    tiles(by, tile, start, end): tiles that are filled from end to end.
     """
-    by = ["chrom", *(["strand"] if stranded else [])]
-    f = fragments.where(F.col("end") > F.col("start")).select(*by, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))).alias("tile"))
+    f = parts.where(F.col("end") > F.col("start")).select(*by, "start", "end", "w", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("end") - 1) / tile))).alias("tile"))
     lo, hi = F.greatest("start", F.col("tile") * tile), F.least("end", (F.col("tile") + 1) * tile)
-    events = f.select(*by, "tile", F.inline(F.array(F.struct(lo.alias("pos"), F.lit(1).alias("d")), F.struct(hi.alias("pos"), F.lit(-1).alias("d")))))
+    step = lambda pos, d: F.struct(pos.alias("pos"), d.cast("long").alias("d"))
+    events = f.select(*by, "tile", F.inline(F.array(step(lo, F.col("w")), step(hi, -F.col("w")))))
+    if tiles is not None:
+        events = events.unionByName(tiles.select(*by, "tile", F.inline(F.array(step(F.col("start"), F.lit(0)), step(F.col("end"), F.lit(0))))))
+    steps = events.groupBy(*by, "tile", "pos").agg(F.sum("d").alias("d"))
+    w = Window.partitionBy(*by, "tile").orderBy("pos")
+    return steps.select(*by, F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w).alias("depth")).where("end IS NOT NULL")
+
+
+def coverage_runs(fragments: DataFrame, sizes: DataFrame | None = None, stranded: bool = False, tile: int = TILE, merged: bool = True) -> DataFrame:
+    """(chrom, [strand], start, end, depth): maximal runs of equal depth; with sizes(chrom, size) also of depth 0. Equal neighbours are merged at last, if wanted."""
+    by = ["chrom", *(["strand"] if stranded else [])]
+    tiles = None
     if sizes is not None:
         whole = sizes if not stranded else sizes.join(fragments.select("strand").distinct())
         tiles = whole.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / tile))).alias("tile"))
-        events = events.unionByName(tiles.select(*by, "tile", F.inline(F.array(F.struct((F.col("tile") * tile).alias("pos"), F.lit(0).alias("d")), F.struct(F.least("size", (F.col("tile") + 1) * tile).alias("pos"), F.lit(0).alias("d"))))))
-    steps = events.groupBy(*by, "tile", "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*by, "tile").orderBy("pos")
-    runs = steps.select(*by, F.col("pos").alias("start"), F.lead("pos").over(w).alias("end"), F.sum("d").over(w).alias("depth")).where("end IS NOT NULL")
+        tiles = tiles.select(*by, "tile", (F.col("tile") * tile).alias("start"), F.least("size", (F.col("tile") + 1) * tile).alias("end"))
+    runs = _runs(fragments.select(*by, "start", "end", F.lit(1).alias("w")), by, tile, tiles)
     if sizes is None:
         runs = runs.where("depth > 0")
     return merge_equal(runs, by, "depth", tile) if merged else runs
@@ -40,108 +49,159 @@ def merge_equal(runs: DataFrame, by: list[str], value: str, tile: int = TILE) ->
     return runs.groupBy(*by, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first(value).alias(value)).drop("_run")
 
 
+def _own(key: list[str], flags: dict) -> list[str]:
+    """What tells regions apart: the caller's key and the coordinates, so that names may repeat."""
+    return list(dict.fromkeys([*key, "chrom", "start", "end", *(["strand"] if flags.get("strand") else [])]))
+
+
 def region_steps(regions: DataFrame, fragments: DataFrame, key: list[str], tile: int = TILE, **flags) -> DataFrame:
-    """(key, pos, to, depth): stretches of equal depth inside each region.
+    """(key and coordinates, pos, to, depth): stretches of equal depth inside each different region.
 
     Regions meet the runs of coverage, whose number is bounded by the bases, not the fragments.
     """
+    own = _own(key, flags)
     runs = coverage_runs(fragments, stranded=flags.get("strand") is not None, tile=tile, merged=False)
-    hits = interval_join(regions, runs, **flags)
-    return hits.select(*key, F.greatest("start", "b_start").alias("pos"), F.least("end", "b_end").alias("to"), F.col("b_depth").alias("depth"))
+    hits = interval_join(regions.select(*own).distinct(), runs, **flags)
+    return hits.select(*own, F.greatest("start", "b_start").alias("pos"), F.least("end", "b_end").alias("to"), F.col("b_depth").alias("depth"))
+
+
+def _back(regions: DataFrame, found: DataFrame, own: list[str]) -> DataFrame:
+    """Every row of regions, with what was found for it."""
+    return without_keys(same(regions.select(*own), found, own, "left"), own)
 
 
 def pileup(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
-    """(key, pileup): the largest depth inside each region, 0 where nothing overlaps."""
-    top = region_steps(regions, fragments, key, **flags).groupBy(*key).agg(F.max("depth").alias("pileup"))
-    return regions.select(*key).join(top, key, "left").withColumn("pileup", F.coalesce("pileup", F.lit(0)))
+    """(key, pileup) of each row of regions: the largest depth inside it, 0 where nothing overlaps."""
+    own = _own(key, flags)
+    top = region_steps(regions, fragments, key, **flags).groupBy(*own).agg(F.max("depth").alias("pileup"))
+    return _back(regions, top, own).select(*key, F.coalesce("pileup", F.lit(0).cast("long")).alias("pileup"))
 
 
 def distinct_covering(regions: DataFrame, fragments: DataFrame, key: list[str], column: str, tile: int = TILE) -> DataFrame:
-    """(key, <column>_count): in how many samples (or other values of a column) a fragment overlaps each region; regions without any are left out.
+    """(key, <column>_count): in how many samples (or other values of a column) a fragment overlaps each different region; regions without any are left out.
 
     Each sample's fragments are merged first, so that regions meet islands, not fragments.
     """
+    own = _own(key, {})
     islands = merge_intervals(fragments, tile=tile, also=[column])
-    return interval_join(regions, islands).groupBy(*key).agg(F.countDistinct(f"b_{column}").alias(f"{column}_count"))
+    return interval_join(regions.select(*own).distinct(), islands).groupBy(*own).agg(F.countDistinct(f"b_{column}").alias(f"{column}_count")).select(*key, f"{column}_count")
 
 
 def summits(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
-    """(key, summit, depth): the first position of the largest depth."""
+    """(key, summit, depth) of each different region with coverage: the first position of the largest depth."""
     steps = region_steps(regions, fragments, key, **flags)
-    return steps.groupBy(*key).agg(F.min_by("pos", F.struct(-F.col("depth"), F.col("pos"))).alias("summit"), F.max("depth").alias("depth"))
+    found = steps.groupBy(*_own(key, flags)).agg(F.min_by("pos", F.struct(-F.col("depth"), F.col("pos"))).alias("summit"), F.max("depth").alias("depth"))
+    return found.select(*key, "summit", "depth")
 
 
 def breadth(regions: DataFrame, fragments: DataFrame, key: list[str], cutoff: int, **flags) -> DataFrame:
-    """(key, mean_depth, breadth): mean depth of each region's bases, and the share of them at cutoff or more."""
-    steps = region_steps(regions, fragments, key, **flags).groupBy(*key).agg(
+    """(key, mean_depth, breadth) of each row of regions: mean depth of its bases, and the share of them at cutoff or more."""
+    own = _own(key, flags)
+    steps = region_steps(regions, fragments, key, **flags).groupBy(*own).agg(
         F.sum((F.col("to") - F.col("pos")) * F.col("depth")).alias("_bases"), F.sum(F.when(F.col("depth") >= cutoff, F.col("to") - F.col("pos")).otherwise(0)).alias("_deep")
     )
     size = F.col("end") - F.col("start")
-    out = regions.select(*{*key, "start", "end"}).join(steps, key, "left")
-    return out.select(*key, (F.coalesce("_bases", F.lit(0)) / size).alias("mean_depth"), (F.coalesce("_deep", F.lit(0)) / size).alias("breadth"))
+    return _back(regions, steps, own).select(*key, (F.coalesce("_bases", F.lit(0)) / size).alias("mean_depth"), (F.coalesce("_deep", F.lit(0)) / size).alias("breadth"))
 
 
 def depth_histogram(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
-    """(key, depth, bases) for depths over 0."""
+    """(key, depth, bases) of each different region, for depths over 0."""
+    own = _own(key, flags)
     steps = region_steps(regions, fragments, key, **flags).where("depth > 0")
-    return steps.groupBy(*key, "depth").agg(F.sum(F.col("to") - F.col("pos")).alias("bases"))
+    return steps.groupBy(*own, "depth").agg(F.sum(F.col("to") - F.col("pos")).alias("bases")).select(*key, "depth", "bases")
 
 
 def mean_signal(regions: DataFrame, track: DataFrame, key: list[str], **flags) -> DataFrame:
-    """(key, mean_signal): the mean of a run-length track(chrom, start, end, value) over each region, gaps as 0."""
-    hits = interval_join(regions, track, **flags).groupBy(*key).agg(F.sum(F.col("b_value") * F.col("overlap")).alias("_sum"))
-    out = regions.select(*{*key, "start", "end"}).join(hits, key, "left")
-    return out.select(*key, (F.coalesce("_sum", F.lit(0)) / (F.col("end") - F.col("start"))).alias("mean_signal"))
+    """(key, mean_signal) of each row of regions: the mean of a run-length track(chrom, start, end, value) over it, gaps as 0."""
+    own = _own(key, flags)
+    hits = interval_join(regions.select(*own).distinct(), track, **flags).groupBy(*own).agg(F.sum(F.col("b_value") * F.col("overlap")).alias("_sum"))
+    return _back(regions, hits, own).select(*key, (F.coalesce("_sum", F.lit(0)) / (F.col("end") - F.col("start"))).alias("mean_signal"))
 
 
-def protection(regions: DataFrame, fragments: DataFrame, key: list[str], window: int = 10, share: float = 0.8, **flags) -> DataFrame:
-    """(key, protected): bases whose protection score is over share of the region's highest, by the region's length.
+def protection(regions: DataFrame, fragments: DataFrame, key: list[str], window: int = 10, share: float = 0.8, tile: int = TILE, **flags) -> DataFrame:
+    """(key, protected) of each row of regions: bases whose protection score is over share of the region's highest, by the region's length.
 
-    Score: +1 under a fragment, -1 in the half window beyond either end, on [start, end + window).
+    Score: +1 under a fragment, -1 in the half window beyond either end, on [start, end + window); a
+    base that nothing reaches scores 0. Scores are summed up once along the chromosome, so regions
+    meet their runs, and nothing grows with depth.
     """
     half = window // 2
-    wide = fragments.withColumn("_s", F.col("start")).withColumn("_e", F.col("end")).withColumn("start", F.greatest(F.lit(0), F.col("start") - half)).withColumn("end", F.col("end") + half)
-    ext = regions.withColumn("_end", F.col("end")).withColumn("end", F.col("end") + window)
-    hits = interval_join(ext, wide, **flags)
-    low, high = F.col("start"), F.col("end")
-    step = lambda pos, d: F.struct(F.least(F.greatest(pos, low), high).alias("pos"), F.lit(d).alias("d"))
-    events = hits.select(*key, "start", "end", "_end", F.inline(F.array(step(F.col("b__s") - half, -1), step(F.col("b__s"), 2), step(F.col("b__e"), -2), step(F.col("b__e") + half, 1))))
-    edge = hits.select(*key, "start", "end", "_end").distinct().select("*", F.inline(F.array(F.struct(low.alias("pos"), F.lit(0).alias("d")), F.struct(high.alias("pos"), F.lit(0).alias("d")))))
-    events = events.unionByName(edge).groupBy(*key, "start", "end", "_end", "pos").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*key).orderBy("pos")
-    steps = events.select(*key, "start", "_end", "pos", F.lead("pos").over(w).alias("to"), F.sum("d").over(w).alias("score")).where("to IS NOT NULL")
-    top = F.max("score").over(Window.partitionBy(*key))
-    steps = steps.withColumn("top", top)
-    return steps.groupBy(*key).agg((F.sum(F.when(F.col("score") > share * F.col("top"), F.col("to") - F.col("pos")).otherwise(0)) / F.first(F.col("_end") - F.col("start"))).alias("protected"))
-
-
-def segments(track: DataFrame, cutoff: Column | float, gap: int = 10, least: int = 40, most: int = 450, accept: tuple[int, int] = (50, 150)) -> DataFrame:
-    """Segments of a run-length track(chrom, start, end, depth): islands over a cutoff, cut at their own median where long.
-
-    Islands are runs over the cutoff with gaps of at most gap bases; lengths of least to 150 are
-    taken whole, longer ones up to most are cut into runs over the island's median depth. Of each
-    piece the stretch with the largest sum of (depth - mean) is the segment (a largest-sum subarray
-    by prefix sums), kept if its length lies in accept or its mean depth is over 5.
+    own = _own(key, flags)
+    by = ["chrom", *(["strand"] if flags.get("strand") else [])]
+    part = lambda s, e, w: F.struct(s.alias("start"), e.alias("end"), F.lit(w).alias("w"))
+    s, e = F.col("start"), F.col("end")
+    parts = fragments.where(e > s).select(*by, F.inline(F.array(part(s - half, s, -1), part(s, e, 1), part(e, e + half, -1))))
+    runs = _runs(parts, by, tile).where("depth <> 0")
+    regions_ = regions.select(*own).distinct().withColumns({"_end": e, "end": e + window})
+    hits = interval_join(regions_, runs, **flags).groupBy(*own, "_end", F.col("b_depth").alias("score")).agg(F.sum("overlap").alias("n"))
+    w = Window.partitionBy(*own)
+    hits = hits.withColumns({"top": F.max("score").over(w), "covered": F.sum("n").over(w)})
+    top = F.when(F.col("covered") < e - s, F.greatest("top", F.lit(0).cast("long"))).otherwise(F.col("top"))
+    found = hits.groupBy(*own, "_end").agg(F.sum(F.when(F.col("score") > share * top, F.col("n")).otherwise(0)).alias("n"))
+    found = found.withColumn("end", F.col("_end")).drop("_end")
+    return _back(regions, found, own).select(*key, (F.coalesce("n", F.lit(0)) / (e - s)).alias("protected"))
+
+
+def best_stretch(runs: DataFrame, by: list[str], tile: int = TILE, most: tuple[str, ...] = ()) -> DataFrame:
+    """(by, start, end, gain, most): of each group's disjoint runs(by, start, end, gain) the stretch of neighbours with the largest sum of gain, and the largest values that the group has of the columns most.
+
+    Ties go to the stretch that starts first, then to the longest. A tile's runs are folded into a
+    summary (its sum, its best prefix, suffix and stretch); summaries of tiles fold alike, so a group
+    of any length is as many summaries as it has tiles.
+    """
+    s, e, g = F.col("start"), F.col("end"), F.col("gain").cast("double")
+    best = lambda v, s, e: F.struct(v.alias("v"), (-s).alias("s"), e.alias("e"))
+    one = F.struct(s.alias("at"), g.alias("sum"), best(g, s, e).alias("pre"), best(g, s, e).alias("suf"), best(g, s, e).alias("best"))
+
+    def merge(a: Column, b: Column) -> Column:
+        pre = F.greatest(a["pre"], best(a["sum"] + b["pre"]["v"], -a["pre"]["s"], b["pre"]["e"]))
+        suf = F.greatest(b["suf"], best(b["sum"] + a["suf"]["v"], -a["suf"]["s"], b["suf"]["e"]))
+        both = F.greatest(a["best"], b["best"], best(a["suf"]["v"] + b["pre"]["v"], -a["suf"]["s"], b["pre"]["e"]))
+        return F.struct(a["at"].alias("at"), (a["sum"] + b["sum"]).alias("sum"), pre.alias("pre"), suf.alias("suf"), both.alias("best"))
+
+    def fold(df: DataFrame, keys: list[str], summary: Column) -> DataFrame:
+        rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(summary)).alias("_l"), *[F.max(c).alias(c) for c in most])
+        return rows.select(*keys, F.aggregate(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.col("_l")[0], merge).alias("_s"), *most)
+
+    inner = fold(runs.withColumn("_tile", F.floor(s / tile)), [*by, "_tile"], one)
+    found = fold(inner, by, F.col("_s"))
+    return found.select(*by, (-F.col("_s.best.s")).alias("start"), F.col("_s.best.e").alias("end"), F.col("_s.best.v").alias("gain"), *most)
+
+
+def _median(runs: Column, bases: Column) -> Column:
+    """The median of so many bases, of which runs (an array of start, end, depth) give some their depth and the others have 0."""
+    low, high = F.floor((bases - 1) / 2), F.floor(bases / 2)
+    each = F.array_sort(F.transform(runs, lambda x: F.struct(x["depth"].cast("double").alias("d"), (x["end"] - x["start"]).alias("n"))))
+    zeros = bases - F.aggregate(runs, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    start = F.struct(zeros.alias("n"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
+    at = lambda acc, x, place, had: F.when((acc["n"] <= place) & (place < acc["n"] + x["n"]), x["d"]).otherwise(had)
+    step = lambda acc, x: F.struct((acc["n"] + x["n"]).alias("n"), at(acc, x, low, acc["lo"]).alias("lo"), at(acc, x, high, acc["hi"]).alias("hi"))
+    return F.aggregate(each, start, step, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+
+
+def segments(track: DataFrame, cutoff: Column | float, gap: int = 10, least: int = 40, short: int = 150, most: int = 450, accept: tuple[int, int] = (50, 150), over: int = 5, tile: int | None = None) -> DataFrame:
+    """(chrom, start, end, top, center): segments of a run-length track(chrom, start, end, depth) of disjoint runs.
+
+    Islands are runs over the cutoff with gaps of at most gap bases; those of least to most bases
+    count. Each is cut into pieces: neighbouring runs at or above the median of its bases (of which
+    those in gaps count as 0). A piece's stretch with the largest sum of (depth - median) is a
+    segment: in islands up to short bases the one with the largest sum, if it has more than over
+    bases; in longer ones each whose length lies between accept, both ends excluded. top: the largest
+    depth, center: the middle.
+
+    Definitions of our own, where the rule leaves them open: the median counts bases; which piece of
+    a short island counts; ties go to the piece that starts first. Chains across tiles tell an
+    island's length before anything is gathered, so what is gathered has at most `most` bases.
     """
-    high = track.where(F.col("depth") > cutoff)
-
-    def islands(df: DataFrame, by: list[str], name: str, gap: int) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy("start")
-        new = (F.lag("end").over(w).isNull() | (F.col("start") - F.lag("end").over(w) > gap)).cast("int")
-        return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w)).drop("_new")
-
-    isl = chained(high, ["chrom"], "island", gap=gap, tile=TILE)
-    of = Window.partitionBy("chrom", "island")
-    isl = isl.withColumn("len", F.max("end").over(of) - F.min("start").over(of)).where(F.col("len").between(least, most)).withColumn("median", F.median("depth").over(of))
-    pieces = islands(isl.where((F.col("len") <= 150) | (F.col("depth") >= F.col("median"))), ["chrom", "island"], "piece", gap)
-    by = ["chrom", "island", "piece"]
-    p = Window.partitionBy(*by)
+    tile = tile or TILE
     size = F.col("end") - F.col("start")
-    pieces = pieces.withColumn("mean", F.sum(F.col("depth") * size).over(p) / F.sum(size).over(p))
-    o = p.orderBy("start")
-    pieces = pieces.withColumn("gain", (F.col("depth") - F.col("mean") + 1e-9) * size).withColumn("prefix", F.sum("gain").over(o))
-    before = F.struct((F.col("prefix") - F.col("gain")).alias("v"), F.col("start").alias("from"))
-    pieces = pieces.withColumn("low", F.min(before).over(o.rowsBetween(Window.unboundedPreceding, 0)))
-    best = pieces.groupBy(*by).agg(F.max_by(F.struct(F.col("low.from").alias("start"), F.col("end").alias("end")), F.struct(F.round(F.col("prefix") - F.col("low.v"), 6), -F.col("end"))).alias("s"), F.max("depth").alias("top"), F.first("mean").alias("mean"))
-    found = best.select("chrom", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "top", "mean")
-    return found.where((F.col("end") - F.col("start")).between(*accept) | (F.col("mean") > 5))
+    isl = chained(track.where(F.col("depth") > cutoff).select("chrom", "start", "end", "depth"), ["chrom"], "island", gap=gap, tile=tile, end="till")
+    isl = isl.withColumn("len", F.col("till") - F.col("island")).where(F.col("len").between(least, most))
+    isl = isl.groupBy("chrom", "island", "len").agg(F.collect_list(F.struct("start", "end", "depth")).alias("runs"))
+    isl = isl.withColumn("median", _median(F.col("runs"), F.col("len"))).select("chrom", "island", "len", "median", F.inline("runs"))
+    high = isl.where(F.col("depth") >= F.col("median")).withColumn("gain", (F.col("depth") - F.col("median")) * size)
+    high = chained(high, ["chrom"], "piece", gap=0, tile=tile)  # pieces of different islands lie further apart than gap
+    found = best_stretch(high.select("chrom", "island", "piece", "start", "end", "gain", "depth", "len"), ["chrom", "island", "piece"], tile, ("depth", "len"))
+    place = F.row_number().over(Window.partitionBy("chrom", "island").orderBy(F.desc("gain"), "start"))
+    fits = ((F.col("len") <= short) & (F.col("place") == 1) & (size > over)) | ((F.col("len") > short) & (size > accept[0]) & (size < accept[1]))
+    return found.withColumn("place", place).where(fits).select("chrom", "start", "end", F.col("depth").alias("top"), ((F.col("start") + F.col("end")) / 2.0).alias("center"))

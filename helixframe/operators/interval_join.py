@@ -82,7 +82,8 @@ def _hits(a: DataFrame, b: DataFrame, key: list[str], flags: dict) -> DataFrame:
     return _joined(a.select(*key), b, "left_semi", False, **{**flags, "prefix": prefix}).select(*key).distinct()
 
 
-def _same(x: DataFrame, y: DataFrame, key: list[str], how: str) -> DataFrame:
+def same(x: DataFrame, y: DataFrame, key: list[str], how: str) -> DataFrame:
+    """x joined to y where the key columns are the same, nulls included; y's key columns are named _k_*, see without_keys()."""
     y = y.withColumnsRenamed({c: f"_k_{c}" for c in key})
     on = None
     for c in key:
@@ -91,10 +92,14 @@ def _same(x: DataFrame, y: DataFrame, key: list[str], how: str) -> DataFrame:
     return x.join(y, on, how)
 
 
+def without_keys(df: DataFrame, key: list[str]) -> DataFrame:
+    return df.drop(*[f"_k_{c}" for c in key])
+
+
 def interval_semi(a: DataFrame, b: DataFrame, **flags) -> DataFrame:
     """Rows of a that overlap any row of b. Rows that repeat stay as often as they are."""
     key = _deciding(a, flags)
-    return _same(a, _hits(a, b, key, flags), key, "left_semi")
+    return same(a, _hits(a, b, key, flags), key, "left_semi")
 
 
 def interval_anti(a: DataFrame, b: DataFrame | list[DataFrame], **flags) -> DataFrame:
@@ -106,14 +111,35 @@ def interval_anti(a: DataFrame, b: DataFrame | list[DataFrame], **flags) -> Data
             whole = whole.unionByName(x.select(*names))
         b = whole
     key = _deciding(a, flags)
-    return _same(a, _hits(a, b, key, flags), key, "left_anti")
+    return same(a, _hits(a, b, key, flags), key, "left_anti")
+
+
+def has_long(df: DataFrame, width: int = 1000) -> bool:
+    """Whether an interval is longer than WIDE bins; the search ends at the first."""
+    return bool(df.where(F.col("end") - F.col("start") > width * WIDE).limit(1).count())
 
 
-def interval_left(a: DataFrame, b: DataFrame, **flags) -> DataFrame:
-    """As interval_join, and a's other rows once with nulls and overlap 0. The pairs are made once; the rest is told by a semi join of coordinates."""
-    matched = interval_join(a, b, **flags)
-    rest = interval_anti(a, b, **flags)
-    return matched.unionByName(rest.withColumn("overlap", F.lit(0).cast(matched.schema["overlap"].dataType)), allowMissingColumns=True)
+def interval_left(a: DataFrame, b: DataFrame, *, width: int = 1000, wide: bool | None = None, **flags) -> DataFrame:
+    """As interval_join, and a's other rows once with nulls and overlap 0.
+
+    A row of a that lies in one bin is decided by one outer join of that bin. Only rows that cross a
+    bin's edge go the longer way: their pairs, and a semi join of coordinates that tells which have
+    none. wide: whether b may hold intervals of more than WIDE bins (all of a then goes the longer
+    way); None: it is looked up.
+    """
+    wide = has_long(b, width) if wide is None else wide
+    rest = a
+    out = None
+    if not wide:
+        inside = F.coalesce((F.col("end") > F.col("start")) & (F.floor(F.col("start") / width) == F.floor((F.col("end") - 1) / width)), F.lit(False))
+        rest = a.where(~inside)
+        out = _joined(a.where(inside), b, "left", True, width=width, wide=False, **flags)
+        prefix = flags.get("prefix", "b_")
+        out = out.withColumn("overlap", F.when(F.col(f"{prefix}start").isNull(), F.lit(0)).otherwise(overlap("", prefix)))
+    matched = interval_join(rest, b, width=width, **flags)
+    alone = interval_anti(rest, b, width=width, **flags)
+    longer = matched.unionByName(alone.withColumn("overlap", F.lit(0).cast(matched.schema["overlap"].dataType)), allowMissingColumns=True)
+    return longer if out is None else out.unionByName(longer)
 
 
 def by_set(sets: dict[int, DataFrame]) -> DataFrame:
@@ -129,7 +155,7 @@ def has_overlap(a: DataFrame, b: DataFrame, flag: str, label: str | None = None,
     """a with a column: whether a row overlaps b, or the smallest of b's labels (null: none)."""
     key = _deciding(a, flags)
     hits = interval_join(a.select(*key).distinct(), b, **flags).groupBy(*key).agg(F.min(f"b_{label}").alias(flag)) if label else _hits(a, b, key, flags).withColumn(flag, F.lit(True))
-    out = _same(a, hits, key, "left").drop(*[f"_k_{c}" for c in key])
+    out = without_keys(same(a, hits, key, "left"), key)
     return out if label else out.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
@@ -142,28 +168,36 @@ def best_overlap(a: DataFrame, b: DataFrame, name: str, **flags) -> DataFrame:
     """a with the name of the b row that overlaps most (ties: smallest name; none: null)."""
     key = _deciding(a, flags)
     hits = interval_join(a.select(*key).distinct(), b, **flags).groupBy(*key).agg(F.min_by(f"b_{name}", F.struct(-F.col("overlap"), F.col(f"b_{name}"))).alias(f"best_{name}"))
-    return _same(a, hits, key, "left").drop(*[f"_k_{c}" for c in key])
+    return without_keys(same(a, hits, key, "left"), key)
 
 
-def chained(runs: DataFrame, by: list[str], name: str, gap: int = 0, value: str | None = None, tile: int = 1_000_000) -> DataFrame:
-    """Disjoint runs with a column: the start of the chain of runs each belongs to.
+def chained(runs: DataFrame, by: list[str], name: str, gap: int = 0, value: str | None = None, tile: int = 1_000_000, end: str | None = None) -> DataFrame:
+    """Disjoint runs with a column: the start of the chain of runs each belongs to; end: one more column, the chain's end.
 
     A run goes on with the chain before it if the gap between them is at most gap (and their values
     are equal, if a value is named). Chains are followed within tiles; between tiles by one row for
     each tile, so the window over a chromosome grows with its length, not with the runs.
     """
     inner, across = Window.partitionBy(*by, "_tile").orderBy("start"), Window.partitionBy(*by).orderBy("_tile")
+    before, after = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
     v = F.col(value) if value else F.lit(0)
     runs = runs.withColumn("_tile", F.floor(F.col("start") / tile)).withColumn("_v", v)
     breaks = (F.col("start") - F.lag("end").over(inner) > gap) | (F.lag("_v").over(inner) != F.col("_v"))
-    runs = runs.withColumns({"_first": F.row_number().over(inner) == 1, "_at": F.when(breaks, F.col("start"))})
-    tiles = runs.groupBy(*by, "_tile").agg(F.min("start").alias("_s"), F.max("end").alias("_e"), F.min_by("_v", "start").alias("_fv"), F.max_by("_v", "start").alias("_lv"), F.max("_at").alias("_last"))
+    cuts = (F.lead("start").over(inner) - F.col("end") > gap) | (F.lead("_v").over(inner) != F.col("_v"))
+    runs = runs.withColumns({"_first": F.row_number().over(inner) == 1, "_at": F.when(breaks, F.col("start")), **({"_till": F.when(cuts, F.col("end"))} if end else {})})
+    tiles = runs.groupBy(*by, "_tile").agg(F.min("start").alias("_s"), F.max("end").alias("_e"), F.min_by("_v", "start").alias("_fv"), F.max_by("_v", "start").alias("_lv"), F.max("_at").alias("_last"), *([F.min("_till").alias("_next")] if end else []))
     new = F.lag("_e").over(across).isNull() | (F.col("_s") - F.lag("_e").over(across) > gap) | (F.lag("_lv").over(across) != F.col("_fv"))
     tiles = tiles.withColumn("_opens", F.when(new, F.col("_s"))).withColumn("_last", F.coalesce("_last", "_opens"))
-    tiles = tiles.select(*by, "_tile", "_opens", F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    ends = []
+    if end:
+        tiles = tiles.withColumn("_ends", F.when(F.lead("_tile").over(across).isNull() | F.lead("_opens").over(across).isNotNull(), F.col("_e"))).withColumn("_next", F.coalesce("_next", "_ends"))
+        ends = [F.coalesce("_ends", F.first("_next", ignorenulls=True).over(across.rowsBetween(*after))).alias("_beyond")]
+    tiles = tiles.select(*by, "_tile", "_opens", F.last("_last", ignorenulls=True).over(across.rowsBetween(*before)).alias("_carry"), *ends)
     out = runs.join(tiles, [*by, "_tile"])
     at = F.when(F.col("_first"), F.col("_opens")).otherwise(F.col("_at"))
     out = out.withColumn(name, F.coalesce(F.last(at, ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.col("_carry")))
+    if end:
+        out = out.withColumn(end, F.coalesce(F.first("_till", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing)), F.col("_beyond"))).drop("_till", "_beyond")
     return out.drop("_tile", "_v", "_first", "_at", "_opens", "_carry")
 
 
@@ -190,7 +224,8 @@ def project(intervals: DataFrame, exons: DataFrame, name: str = "name") -> DataF
 
     An interval's ends are the genomic places of its bases start + 1 and end, counted from 1 along the
     transcript, in ascending order. Exons follow each other by coordinate, on the minus strand
-    backwards. Ends beyond the transcript give no row. Other columns of the intervals stay.
+    backwards. Ends beyond the transcript give no row. Other columns of the intervals stay, and rows that
+    repeat stay as often as they are.
     """
     minus = F.col("strand") == "-"
     size = F.col("x_end") - F.col("x_start")
@@ -200,5 +235,6 @@ def project(intervals: DataFrame, exons: DataFrame, name: str = "name") -> DataF
     at = intervals.select(name, "start", "end", *rest, F.inline(F.array(F.struct(F.lit(0).alias("_side"), (F.col("start") + 1).alias("_p")), F.struct(F.lit(1).alias("_side"), F.col("end").alias("_p")))))
     met = at.join(x, name).where((F.col("_p") > F.col("_t0")) & (F.col("_p") <= F.col("_t1")))
     place = F.when(minus, F.col("x_end") - (F.col("_p") - F.col("_t0"))).otherwise(F.col("x_start") + F.col("_p") - F.col("_t0"))
-    ends = met.groupBy(name, "start", "end", *rest, "chrom", "strand").agg(F.max(F.when(F.col("_side") == 0, place)).alias("_a"), F.max(F.when(F.col("_side") == 1, place)).alias("_b"))
-    return ends.where("_a IS NOT NULL AND _b IS NOT NULL").select(name, "chrom", F.least("_a", "_b").alias("start"), F.greatest("_a", "_b").alias("end"), "strand", *rest)
+    ends = met.groupBy(name, "start", "end", *rest, "chrom", "strand").agg(F.max(F.when(F.col("_side") == 0, place)).alias("_a"), F.max(F.when(F.col("_side") == 1, place)).alias("_b"), F.count_if(F.col("_side") == 0).alias("_n"))
+    ends = ends.where("_a IS NOT NULL AND _b IS NOT NULL").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    return ends.select(name, "chrom", F.least("_a", "_b").alias("start"), F.greatest("_a", "_b").alias("end"), "strand", *rest)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.statistics import beta_cdf, log_beta, normal_sf
+from .interval_join import same, without_keys
 
 
 #: Ranges of values in which running sums are made apart.
@@ -47,14 +48,14 @@ def adjust_bh(df: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
     table = table.join(least, [*[F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by], F.col("_range") == F.col("_r")])
     here = F.min("_q").over(Window.partitionBy(*by, "_range").orderBy(F.desc(p)))
     table = table.select(*by, p, F.least(F.lit(1.0), here, "_later").alias("padj"))
-    return df.join(table, [*by, p], "left")
+    return without_keys(same(df, table, [*by, p], "left"), [*by, p])
 
 
 def with_ranks(df: DataFrame, value: str, name: str, by: list[str]) -> DataFrame:
     """df with the rank of a value in its group, ties averaged, counted over the distinct values; null values get no rank."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     ranks = running(counted, value, "_n", by).select(*by, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, [*by, value], "left")
+    return without_keys(same(df, ranks, [*by, value], "left"), [*by, value])
 
 
 def average_rank(value: str, by: list[str]) -> Column:

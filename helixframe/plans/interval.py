@@ -85,7 +85,7 @@ def jn11(p, a):
 
 @query("jn12_points", "peaks fragments", 'SELECT a.peakname, CAST(count(DISTINCT b.start) AS BIGINT) AS points FROM peaks a LEFT JOIN fragments b ON a.chrom = b.chrom AND b.start >= a.start AND b.start < a."end" GROUP BY a.peakname')
 def jn12(p, f):
-    return counting.points_inside(p, f.select("chrom", F.col("start").alias("pos")), "peakname")
+    return counting.points_inside(p, f.select("chrom", F.col("start").alias("pos")), "peakname").select("peakname", "points")
 
 
 @query("jn21_projection", "exons abundance", """, x AS (SELECT name, chrom, start, "end", strand, CAST(sum("end" - start) OVER (PARTITION BY name ORDER BY exon_no ROWS UNBOUNDED PRECEDING) - ("end" - start) AS BIGINT) AS t0 FROM exons), q AS (SELECT 'G' || substr(target_id, 2) AS name, target_id, CAST(eff_length // 10 AS BIGINT) AS p FROM abundance)
@@ -102,7 +102,7 @@ def jn21(e, a):
 
 @query("ag5_region_counts", "peaks fragments", f"SELECT a.peakname, CAST(count(b.name) AS BIGINT) AS reads, CAST(count(*) FILTER (a.strand = b.strand) AS BIGINT) AS stranded FROM peaks a LEFT JOIN fragments b ON {ON} GROUP BY a.peakname")
 def ag5(p, f):
-    return counting.region_counts(p, f, "peakname")
+    return counting.region_counts(p, f, "peakname").select("peakname", "reads", "stranded")
 
 
 @query("ag7_merge", "fragments", """, o AS (SELECT chrom, start, "end", max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM fragments), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR reach < start THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS k FROM o)
@@ -113,7 +113,7 @@ def ag7(f):
 
 @query("ag9_full_length", "fragments annotations", f'SELECT b.gene_id, CAST(count(*) FILTER (abs(a.start - b.start) < 5 AND abs(a."end" - b."end") < 5) AS BIGINT) AS full_length FROM fragments a JOIN annotations b ON {ON} AND a.strand = b.strand GROUP BY b.gene_id')
 def ag9(f, a):
-    return counting.full_length(f, a, "gene_id")
+    return counting.full_length(f, a, "gene_id").select("gene_id", "full_length")
 
 
 @query("ag10_flush_ends", "peaks fragments", f", n AS (SELECT a.peakname, b.start, count(*) AS n FROM peaks a JOIN fragments b ON {ON} AND a.strand = b.strand GROUP BY ALL) SELECT peakname, round(max(n) / sum(n), 6) AS flush FROM n GROUP BY peakname")
@@ -175,9 +175,16 @@ def ag11(p, f):
     return coverage.mean_signal(p, track, ["peakname"]).select("peakname", F.round("mean_signal", 6).alias("mean_signal"))
 
 
-@query("cov3_protection", "peaks fragments")
+_SCORES = """e AS (SELECT chrom, strand, pos, sum(d) AS d FROM (SELECT chrom, strand, unnest([start - 5, start, "end", "end" + 5]) AS pos, unnest([-1, 2, -2, 1]) AS d FROM fragments) GROUP BY ALL),
+ r AS (SELECT chrom, strand, pos AS start, lead(pos) OVER w AS "end", sum(d) OVER w AS score FROM e WINDOW w AS (PARTITION BY chrom, strand ORDER BY pos))"""
+
+
+@query("cov3_protection", "peaks fragments", f"""
+, {_SCORES}, h AS (SELECT a.peakname, b.score, sum(least(a."end" + 10, b."end") - greatest(a.start, b.start)) AS n FROM peaks a JOIN r b ON a.chrom = b.chrom AND a.strand = b.strand AND a.start < b."end" AND b.start < a."end" + 10 AND b.score <> 0 GROUP BY ALL),
+ t AS (SELECT peakname, max(score) AS top, sum(n) AS covered FROM h GROUP BY peakname), u AS (SELECT peakname, CASE WHEN covered < "end" + 10 - start THEN greatest(top, 0) ELSE top END AS top FROM t JOIN peaks USING (peakname)), v AS (SELECT peakname, sum(n) AS n FROM h JOIN u USING (peakname) WHERE score > 0.8::DOUBLE * top GROUP BY peakname)
+ SELECT peakname, round(coalesce(n, 0) / ("end" - start), 6) AS protected FROM peaks LEFT JOIN v USING (peakname)""")
 def cov3(p, f):
-    return coverage.protection(p, f, ["peakname"]).select("peakname", F.round("protected", 6).alias("protected"))
+    return coverage.protection(p, f, ["peakname"], strand="same").select("peakname", F.round("protected", 6).alias("protected"))
 
 
 _EXON_STEPS = _STEPS.replace("peakname", "ekey").replace("FROM peaks a", "FROM (SELECT *, name || '/' || CAST(exon_no AS VARCHAR) AS ekey FROM exons) a")
@@ -189,7 +196,16 @@ def cov4(e, f):
     return b.where("exon_count < 2 OR (breadth > 0.8 AND mean_depth > 2)").select("name", F.col("exon_no").cast("int").alias("exon_no"))
 
 
-@query("cov6_segments", "fragments")
+def segments_sql(runs: str, p: str = "") -> str:
+    """CTEs that end in <p>called: the segments of a table of runs over a depth of 1."""
+    return f"""{p}h AS (SELECT *, CASE WHEN start - lag("end") OVER w <= 10 THEN 0 ELSE 1 END AS n FROM {runs} WHERE depth > 1 WINDOW w AS (PARTITION BY chrom ORDER BY start)), {p}i AS (SELECT chrom, start, "end", depth, sum(n) OVER (PARTITION BY chrom ORDER BY start) AS k FROM {p}h),
+ {p}l AS (SELECT chrom, k, max("end") - min(start) AS len, sum("end" - start) AS bases FROM {p}i GROUP BY ALL HAVING len BETWEEN 40 AND 450), {p}b AS (SELECT chrom, k, CAST(depth AS DOUBLE) AS depth, unnest(range("end" - start)) AS base FROM {p}i JOIN {p}l USING (chrom, k) UNION ALL SELECT chrom, k, 0.0::DOUBLE, unnest(range(CAST(len - bases AS BIGINT))) FROM {p}l),
+ {p}m AS (SELECT chrom, k, quantile_cont(depth, 0.5) AS med FROM {p}b GROUP BY ALL), {p}a AS (SELECT i.*, len, med, CASE WHEN lag("end") OVER (PARTITION BY chrom, k ORDER BY start) = start THEN 0 ELSE 1 END AS cut FROM {p}i i JOIN {p}l USING (chrom, k) JOIN {p}m USING (chrom, k) WHERE depth >= med), {p}p AS (SELECT *, sum(cut) OVER (PARTITION BY chrom, k ORDER BY start) AS piece FROM {p}a),
+ {p}q AS (SELECT chrom, k, piece, any_value(len) AS len, min(start) AS start, max("end") AS "end", CAST(max(depth) AS BIGINT) AS top, sum((depth - med) * ("end" - start)) AS gain FROM {p}p GROUP BY ALL), {p}o AS (SELECT *, row_number() OVER (PARTITION BY chrom, k ORDER BY gain DESC, start) AS place FROM {p}q),
+ {p}called AS (SELECT chrom, start, "end", top, (start + "end") / 2.0::DOUBLE AS center FROM {p}o WHERE (len <= 150 AND place = 1 AND "end" - start > 5) OR (len > 150 AND "end" - start > 50 AND "end" - start < 150))"""
+
+
+@query("cov6_segments", "fragments", f", {_RUNS}, {segments_sql('runs')} SELECT * FROM called")
 def cov6(f):
     return coverage.segments(coverage.coverage_runs(f, tile=10_000), 1)
 
@@ -251,7 +267,7 @@ _WIDE = f"{_RESOLVED}, t AS (SELECT peakname, " + ", ".join(f"coalesce(max(CASE
 
 @query("ann3_sense_antisense", "peaks annotations", f", {_WIDE} SELECT * FROM t")
 def ann3(p, a):
-    return annotate.sense_antisense(p, annotate.resolve(annotate.score_overlaps(p, a)))
+    return annotate.sense_antisense(p, annotate.resolve(annotate.score_overlaps(p, a))).drop("chrom", "start", "end", "strand")
 
 
 @query("ann4_sense_labels", "peaks annotations", f", {_WIDE} SELECT CASE WHEN sense_gname <> '.' THEN 'Sense' WHEN antisense_gname <> '.' THEN 'Antisense' ELSE 'Unannotated' END AS label, CAST(count(*) AS BIGINT) AS n FROM t GROUP BY 1")

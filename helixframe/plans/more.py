@@ -9,7 +9,7 @@ from ..functions import sequence
 from ..operators import annotate, composite, counting, coverage, statistics
 from ..operators import interval_join as ij
 from .basic import SAMPLES
-from .interval import _EXON_STEPS, LEN_A, LEN_B, ON, OV
+from .interval import _EXON_STEPS, _RUNS, LEN_A, LEN_B, ON, OV, segments_sql
 from .registry import query
 
 L = lambda c: c.cast("long")
@@ -140,7 +140,8 @@ def cov5(p, e, f):
     return ij.interval_anti(p, good, frac_a=0.2).select("peakname")
 
 
-@query("cov7_two_passes", "fragments")
+@query("cov7_two_passes", "fragments", f""", {_RUNS}, {segments_sql("runs")}, left_over AS (SELECT * FROM runs r WHERE NOT EXISTS (SELECT 1 FROM called c WHERE c.chrom = r.chrom AND c.start < r."end" AND r.start < c."end")), {segments_sql("left_over", "again_")}
+ SELECT *, 1 AS call FROM called UNION ALL SELECT *, 2 FROM again_called""")
 def cov7(f):
     return composite.call_twice(coverage.coverage_runs(f, tile=10_000), 1)
 
@@ -160,7 +161,7 @@ def ann7(p, a, e, f):
     strong = p.where("fc > 10")
     wide = annotate.sense_antisense(strong, annotate.resolve(annotate.score_overlaps(strong, a)))
     flags = ij.has_overlap(strong, e, "exonic").select("peakname", "chrom", "start", "end", "strand", "exonic")
-    out = flags.join(coverage.pileup(strong, f, ["peakname"], wide=False), "peakname").join(wide, "peakname").where("pileup >= 2 AND NOT (exonic AND sense_gtype = 'protein_coding')")
+    out = flags.join(coverage.pileup(strong, f, ["peakname"], wide=False), "peakname").join(wide.drop("chrom", "start", "end", "strand"), "peakname").where("pileup >= 2 AND NOT (exonic AND sense_gtype = 'protein_coding')")
     return out.withColumn("label", annotate.sense_label(F.col("sense_gname"), F.col("antisense_gname"))).orderBy("chrom", "start", "peakname")
 
 

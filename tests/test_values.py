@@ -43,17 +43,69 @@ def test_second_pass_lies_in_what_the_first_left(spark, sf_dir):
     assert sorted(tuple(r)[:3] for r in rows if r.call == 2) == sorted(tuple(r)[:3] for r in coverage.segments(rest, 1).collect())
 
 
-def test_best_stretch_of_an_island(spark):
-    """One island by hand: the stretch with the largest sum of depth over the mean."""
-    depth = [2] * 20 + [6] * 60 + [2] * 20
-    rows, at = [], 0
-    for d, n in ((2, 20), (6, 60), (2, 20)):
-        rows.append(("c", at, at + n, d))
-        at += n
-    got = coverage.segments(spark.createDataFrame(rows, "chrom string, start long, end long, depth long"), 1).collect()
-    mean = sum(depth) / len(depth)
-    best = max(((sum(v - mean for v in depth[i:j]), i, j) for i in range(100) for j in range(i + 1, 101)), key=lambda x: (round(x[0], 6), -x[1], -x[2]))
-    assert [(r.start, r.end) for r in got] == [best[1:]] == [(20, 80)]
+def called(depth):
+    """The rule of segments over one island-free track of single bases, in plain Python: (start, end, top)."""
+    high = [p for p, d in enumerate(depth) if d > 1]
+    islands = []
+    for p in high:
+        if islands and p - islands[-1][1] <= 10:
+            islands[-1][1] = p + 1
+        else:
+            islands.append([p, p + 1])
+    out = []
+    for s, e in islands:
+        if not 40 <= e - s <= 450:
+            continue
+        own = [d if d > 1 else 0 for d in depth[s:e]]
+        median = float(np.median(own))
+        pieces, p = [], s
+        while p < e:
+            q = p
+            while q < e and depth[q] > 1 and depth[q] >= median:
+                q += 1
+            if q > p:
+                pieces.append((sum(v - median for v in depth[p:q]), -p, q))
+            p = max(q, p + 1)
+        if e - s <= 150:
+            pieces = [x for x in [max(pieces, key=lambda x: x[:2])] if x[2] + x[1] > 5]
+        else:
+            pieces = [x for x in pieces if 50 < x[2] + x[1] < 150]
+        out += [(-m, q, max(depth[-m:q])) for _, m, q in pieces]
+    return sorted(out)
+
+
+def test_segments_by_the_rule_base_by_base(spark):
+    rng = np.random.default_rng(4)
+    steps = [(int(rng.integers(1, 60)), int(rng.choice([0, 0, 1, 2, 3, 5, 6, 9]))) for _ in range(900)] + [(20, 0), (20, 2), (60, 6), (20, 2), (30, 0), (100, 4), (49, 9), (30, 0), (100, 4), (51, 9), (30, 1), (150, 3), (30, 0), (151, 3), (30, 0), (200, 2), (149, 5), (90, 2)]
+    depth, runs = [], []
+    for n, d in steps:
+        if d:
+            runs.append(("c", len(depth), len(depth) + n, d))
+        depth += [d] * n
+    track = spark.createDataFrame(runs, "chrom string, start long, end long, depth long")
+    expected = called(depth)
+    assert len(expected) > 20
+    for tile in (37, 100_000):
+        got = coverage.segments(track, 1, tile=tile).collect()
+        assert sorted((r.start, r.end, r.top) for r in got) == expected
+        assert all(r.center == (r.start + r.end) / 2 for r in got)
+
+
+def test_best_stretch_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows, expected = [], {}
+    for g in range(12):
+        gains, at = rng.integers(-4, 5, int(rng.integers(1, 30))), 0
+        own = []
+        for v in gains:
+            n = int(rng.integers(1, 9))
+            own.append((g, at, at + n, float(v)))
+            at += n
+        rows += own
+        expected[g] = max((sum(x[3] for x in own[i:j]), -own[i][1], own[j - 1][2]) for i in range(len(own)) for j in range(i + 1, len(own) + 1))
+    df = spark.createDataFrame(rows, "g int, start long, end long, gain double")
+    for tile in (5, 17, 1000):
+        assert {r.g: (r.gain, -r.start, r.end) for r in coverage.best_stretch(df, ["g"], tile).collect()} == expected
 
 
 def test_exon_filter_and_supplementary_table(spark, sf_dir):
