@@ -43,7 +43,9 @@ HOT = 16
 #: Signatures that a task packs at once.
 PACK = 500_000
 #: Sets, and elements of sets, of one block when clusters of hot groups are compared.
-BLOCK, BLOCK_ELEMENTS = 512, 500_000
+BLOCK, BLOCK_ELEMENTS = 2_048, 2_000_000
+#: Sets of a block that are held against each other as one matrix.
+SUB = 512
 #: Pairs that a task holds before it passes them on.
 HELD_PAIRS = 1_000_000
 #: Sizes of the bands: scheme g holds sizes from STEP**g to STEP**g * STEP * 4/3.
@@ -456,26 +458,36 @@ def _linkable(member: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
         left = now
 
 
+def _shared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], many: tuple[int, int]) -> np.ndarray:
+    """How many n-grams each set of one lot has in common with each of another; a lot: its n-grams' numbers, sorted, and their owners."""
+    both = np.intersect1d(x[0], y[0])
+    common = np.zeros(many, np.float32)
+    for s in range(0, len(both), 4096):  # a slice of the n-grams at a time, to bound memory
+        part, sides = both[s : s + 4096], []
+        for (at, owner), n in zip((x, y), many):
+            lo, hi = np.searchsorted(at, part[0]), np.searchsorted(at, part[-1], "right")
+            place = np.searchsorted(part, at[lo:hi])
+            here = part[place] == at[lo:hi]
+            dense = np.zeros((n, len(part)), np.float32)
+            dense[owner[lo:hi][here], place[here]] = 1
+            sides.append(dense)
+        common += sides[0] @ sides[1].T
+    return common
+
+
 def _compare(percent: int):
-    """Two blocks of sets to links across their components: enough of them to join what is linked, no more."""
+    """Two blocks of sets to links across their components: enough of them to join what is linked, no more. SUB sets of either are held against each other at a time."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted({(r, s): (r, s, i, g) for i, (r, s, g) in enumerate(zip(*(table[c].to_pylist() for c in ("rep", "side", "label"))))}.values())
-        rep, side, label = [r[0] for r in rows], np.array([r[1] for r in rows]), [r[3] for r in rows]
+        rows = sorted({(r, s): (s, r, i, g) for i, (r, s, g) in enumerate(zip(*(table[c].to_pylist() for c in ("rep", "side", "label"))))}.values())
+        side, rep, label = np.array([r[0] for r in rows]), [r[1] for r in rows], [r[3] for r in rows]
         sets_ = [np.frombuffer(table["grams"][r[2]].as_py(), np.uint64) for r in rows]
         size = np.array([len(x) for x in sets_])
-        vocabulary, at = np.unique(np.concatenate(sets_), return_inverse=True)
-        owner = np.repeat(np.arange(len(rows)), size)
-        common = np.zeros((len(rows), len(rows)), np.float32)
-        order = np.argsort(at, kind="stable")
-        at, owner = at[order], owner[order]
-        for s in range(0, len(vocabulary), 4096):  # a slice of the n-grams at a time, to bound memory
-            lo, hi = np.searchsorted(at, [s, s + 4096])
-            x = np.zeros((len(rows), min(4096, len(vocabulary) - s)), np.float32)
-            x[owner[lo:hi], at[lo:hi] - s] = 1
-            common += x @ x.T
-        union = size[:, None] + size[None, :] - common
-        near = np.triu(100 * common >= percent * union, 1) & ((side[:, None] != side[None, :]) | (side[:, None] == 2))
+        lots = []
+        for s in range(0, len(rows), SUB):
+            at, owner = np.concatenate(sets_[s : s + SUB]), np.repeat(np.arange(len(sets_[s : s + SUB])), size[s : s + SUB])
+            order = np.argsort(at, kind="stable")
+            lots.append((at[order], owner[order]))
         root = {x: x for x in label}
 
         def find(x):
@@ -485,11 +497,20 @@ def _compare(percent: int):
             return x
 
         out = []
-        for i, j in zip(*np.nonzero(near)):
-            x, y = find(label[i]), find(label[j])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((rep[i], rep[j]))
+        for i in range(len(lots)):
+            for j in range(i, len(lots)):
+                p, q = np.arange(i * SUB, min((i + 1) * SUB, len(rows))), np.arange(j * SUB, min((j + 1) * SUB, len(rows)))
+                wanted = (side[p][:, None] != side[q][None, :]) | (side[p][:, None] == 2)
+                wanted &= p[:, None] < q[None, :]
+                if not wanted.any():
+                    continue
+                common = _shared(lots[i], lots[j], (len(p), len(q)))
+                near = wanted & (100 * common >= percent * (size[p][:, None] + size[q][None, :] - common))
+                for a, b in zip(*np.nonzero(near)):
+                    x, y = find(label[p[a]]), find(label[q[b]])
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        out.append((rep[p[a]], rep[q[b]]))
         trim()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 

@@ -63,3 +63,27 @@ def test_nothing_but_the_result_stays(spark):
         out = jaccard.near_duplicates(documents(spark, rows))
         assert {n for n, _ in common._held[-1]} == {"jaccard-sets", "jaccard-classes"}
         assert out.count() == len(rows)
+
+
+@pytest.mark.parametrize("sub", [3, 512])
+def test_blocks_give_the_links_that_join_components(monkeypatch, sub):
+    monkeypatch.setattr(jaccard, "SUB", sub)
+    rng = np.random.default_rng(sub)
+    base = [np.unique(rng.integers(0, 10**6, 60, dtype=np.uint64)) for _ in range(3)]
+    sets_ = [np.unique(np.r_[base[i % 3][int(rng.integers(0, 12)) :], rng.integers(0, 10**6, int(rng.integers(0, 10)), dtype=np.uint64)]) for i in range(20)]
+    side = [0 if i < 10 else 1 for i in range(20)]
+    near = {(i, j) for i in range(20) for j in range(i + 1, 20) if side[i] != side[j] and 100 * (k := len(np.intersect1d(sets_[i], sets_[j]))) >= 75 * (len(sets_[i]) + len(sets_[j]) - k)}
+    import pyarrow as pa
+
+    table = pa.table({"rep": list(range(20)), "side": side, "label": list(range(20)), "grams": pa.array([x.tobytes() for x in sets_], pa.binary())})
+    links = list(zip(*jaccard._compare(75)(table).to_pydict().values()))
+    assert near and set(links) <= near
+
+    def groups(edges):
+        root = list(range(20))
+        for _ in range(20):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert groups(links) == groups(near)
