@@ -50,8 +50,8 @@ LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "t
 SUPPORT, SHARE = 2, 0.2
 #: Share of a class's pages that must have its tokens in one order.
 ORDERED = 0.9
-#: Share of the text in slots that the article's element holds if no name tells it.
-MOST = 0.6
+#: Text inside an article's named element is the template's if it is on so many different pages of a host and on this share of them.
+TEXT_SUPPORT, TEXT_SHARE = 10, 0.9
 #: Bytes of a table of templates up to which it is broadcast.
 BROADCAST = 8 << 20
 #: How an element is named: a part of text, neither, main, article.
@@ -263,7 +263,7 @@ def depths(page: Page) -> list[int]:
 
 
 def own_slot(page: Page) -> int | None:
-    """The path that holds the article by the page's own elements: an article or main with text (the one with most), else the deepest, not a leaf, with MOST of all text. Ties: the smaller token."""
+    """The path that holds the article by the page's own elements: an article or main with text (the one with most), else the deepest, not a leaf, that holds all of it, so that nothing is lost. Ties: the smaller token."""
     chars, depth = chars_inside(page, page.kept), depths(page)
     held = [i for i, n in enumerate(chars) if n]
     if not held:
@@ -272,7 +272,7 @@ def own_slot(page: Page) -> int | None:
     if top > OTHER:
         best = max((i for i in held if page.kinds[i] == top), key=lambda i: (chars[i], -page.nodes[i]))
     else:
-        whole = MOST * sum(n for n, up in zip(chars, page.up) if up < 0)
+        whole = sum(n for n, up in zip(chars, page.up) if up < 0)
         most = [i for i in held if page.kinds[i] == OTHER and chars[i] >= whole]
         best = max(most, key=lambda i: (depth[i], chars[i], -page.nodes[i]), default=held[0])
     return page.nodes[best]
@@ -323,9 +323,9 @@ def _tokens(batches):
 
 
 def equivalence_classes(parsed: DataFrame) -> DataFrame:
-    """(host, token, element, vector): tokens on SUPPORT different pages of a host and SHARE of them, by occurrence vector.
+    """(host, token, element, vector, often): tokens on SUPPORT different pages of a host and SHARE of them, by occurrence vector.
 
-    Pages with equal tokens count once. Only vectors that an element has are kept: text that shares
+    often: on TEXT_SUPPORT pages and TEXT_SHARE of them. Pages with equal tokens count once. Only vectors that an element has are kept: text that shares
     its vector with no element is data.
     """
     told = parsed.where("host <> ''").mapInArrow(_tokens, "host string, token long, element boolean, page long, times int")
@@ -335,7 +335,8 @@ def equivalence_classes(parsed: DataFrame) -> DataFrame:
     size = by_token.where("token = 0").select("host", F.col("pages").alias("all"))
     frequent = by_token.where("token <> 0").join(size, "host").where(F.col("pages") >= SHARE * F.col("all"))
     framed = frequent.where("element").select("host", "vector").distinct()
-    return stage(frequent.join(framed, ["host", "vector"], "left_semi").select("host", "token", "element", "vector"), "html-classes")
+    often = (F.col("pages") >= TEXT_SUPPORT) & (F.col("pages") >= TEXT_SHARE * F.col("all"))
+    return stage(frequent.join(framed, ["host", "vector"], "left_semi").select("host", "token", "element", "vector", often.alias("often")), "html-classes")
 
 
 def class_order(page: Page, of: dict[int, int], size: dict[int, int]) -> dict[int, int | None]:
@@ -395,7 +396,7 @@ def _evidence(batches):
 
 
 def templates(parsed: DataFrame) -> DataFrame:
-    """(host, slot, elements, texts) of hosts with a template: the article's element, and the path and text tokens of all valid classes."""
+    """(host, slot, elements, texts) of hosts with a template: the article's element, and the tokens of valid classes: all paths, and text; where a name tells the article's element, only text that is often there, since what two articles share need not be the template's."""
     classes = equivalence_classes(parsed)
     per_host = classes.groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("vector").alias("vectors"))  # a page's tokens / SHARE at most
     per_host = stage(per_host, "html-candidates")
@@ -407,18 +408,19 @@ def templates(parsed: DataFrame) -> DataFrame:
     framed = told.where("token IS NOT NULL AND chars > 0").join(valid, ["host", "vector"], "left_semi")
     whole = framed.groupBy("host").agg(F.max("chars").alias("whole"))
     named = F.col("kind") > OTHER
-    sure = framed.join(whole, "host").where(named | ((F.col("kind") == OTHER) & (F.col("chars") >= MOST * F.col("whole"))))
+    sure = framed.join(whole, "host").where(named | ((F.col("kind") == OTHER) & (F.col("chars") >= F.col("whole"))))
     best = F.struct(F.greatest("kind", F.lit(OTHER)), F.when(named, F.col("n")).otherwise(F.col("depth").cast("long")), "chars", -F.col("token"))
-    slot = sure.groupBy("host").agg(F.max_by("token", best).alias("slot"))
-    members = classes.join(valid, ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_list(F.when(F.col("element"), F.col("token"))).alias("elements"), F.collect_list(F.when(~F.col("element"), F.col("token"))).alias("texts"))
-    return stage(slot.join(members, "host"), "html-templates")
+    slot = sure.groupBy("host").agg(F.max_by("token", best).alias("slot"), F.max_by(named, best).alias("named"))
+    members = classes.join(valid, ["host", "vector"], "left_semi").groupBy("host").agg(F.collect_list(F.when(F.col("element"), F.col("token"))).alias("elements"), F.collect_list(F.when(~F.col("element"), F.col("token"))).alias("texts"), F.collect_list(F.when(~F.col("element") & F.col("often"), F.col("token"))).alias("often"))
+    texts = F.when(F.col("named"), F.col("often")).otherwise(F.col("texts"))
+    return stage(slot.join(members, "host").select("host", "slot", "elements", texts.alias("texts")), "html-templates")
 
 
 def slots(page: Page, slot: int | None, elements: set[int], texts: set[int]) -> list[str]:
     """A page's blocks inside its article slot, less the template's text and marked template elements there.
 
-    Template text goes only where the page's own text is as long, so pages that are copies of each
-    other stay whole.
+    Text of the template is what many pages of the host repeat (see templates); a page that has
+    nothing else in its slot keeps it.
     """
     within = inside(page, slot) if slot is not None else []
     mine = [i for i, a in enumerate(page.at) if page.kept[i] and within and within[a] and page.marks[i] not in elements]
@@ -427,10 +429,7 @@ def slots(page: Page, slot: int | None, elements: set[int], texts: set[int]) ->
         within = inside(page, slot) if slot is not None else [False] * len(page.nodes)
         mine = [i for i, a in enumerate(page.at) if page.kept[i] and within[a]]
     fixed = {i for i in mine if texts and _text_token(page, i) in texts}
-    length = lambda x: sum(len(page.texts[i]) for i in x)
-    if 2 * length(fixed) <= length(mine):
-        mine = [i for i in mine if i not in fixed]
-    return [page.texts[i] for i in mine]
+    return [page.texts[i] for i in mine if i not in fixed or len(fixed) == len(mine)]
 
 
 def _extract(batches):

@@ -147,7 +147,7 @@ SQL: dict[str, str] = {
           SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
         ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
         SELECT page_id, payload_bytes, payload_digest,
-          CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
-          CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+          CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+          CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
         FROM f""",
 }
