@@ -108,3 +108,35 @@ def interval_sequences(intervals: DataFrame, chunks: DataFrame, key: str = "name
     piece = F.substr("seq", (lo + 1).cast("int"), (hi - lo).cast("int"))
     whole = j.groupBy(key, "chrom", "start", "end", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("seq"))
     return whole.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+
+
+def sample_components(counts: DataFrame, gene: str, sample: str, value: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Principal components of log1p of counts(gene, sample, value), samples as rows and genes as columns: scores(sample, pc1, ...) and loadings(gene, pc1, ...) of one fit.
+
+    Values of one cell are summed, missing cells are 0, genes are centred. Genes stay on the cluster:
+    what comes to the driver is the matrix of samples by samples, summed up from outer products of
+    genes; loadings of all genes are a projection of their rows. Samples are few by design, genes are
+    not. Each component's largest score is positive. Components without variance are left out.
+    """
+    import numpy as np
+
+    names = [r[0] for r in counts.select(sample).where(F.col(sample).isNotNull()).distinct().orderBy(sample).collect()]
+    cell = lambda s: F.log1p(F.coalesce(F.sum(F.when(F.col(sample) == s, F.col(value))), F.lit(0)).cast("double"))
+    wide = counts.groupBy(gene).agg(F.array(*[cell(s) for s in names]).alias("_x"))
+    mean = F.aggregate("_x", F.lit(0.0), lambda a, b: a + b) / len(names)
+    wide = written(wide.withColumn("_m", mean).select(gene, F.transform("_x", lambda v: v - F.col("_m")).alias("_x")), "components")
+    pairs = wide.select(F.posexplode("_x").alias("i", "v"), "_x").select("i", "v", F.posexplode("_x").alias("j", "w")).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("g"))
+    gram = np.zeros((len(names), len(names)))
+    for r in pairs.collect():
+        gram[r["i"], r["j"]] = r["g"]
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    held = values > 1e-12 * max(float(np.trace(gram)), 1e-300)
+    values, vectors = values[held], vectors[:, held]
+    if len(names):
+        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(vectors.shape[1])])
+    columns = [f"pc{i + 1}" for i in range(len(values))]
+    scores = [(s, *map(float, vectors[i] * np.sqrt(values))) for i, s in enumerate(names)]
+    kind = counts.schema[sample].dataType.simpleString()
+    dot = lambda i: F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(v)) for v in vectors[:, i] / np.sqrt(values[i])]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return counts.sparkSession.createDataFrame(scores, ", ".join([f"{sample} {kind}", *[f"{c} double" for c in columns]])), wide.select(gene, *[dot(i).alias(c) for i, c in enumerate(columns)])

@@ -157,3 +157,19 @@ def str10_mirna_arms(a):
     kind = F.when(F.col("size") % 3 == 0, "let-").when(F.col("size") % 3 == 1, "miR-").otherwise("LET")
     name = F.concat(F.lit("hsa-"), kind, F.col("size").cast("string"), F.when(F.col("strand") == "+", "-5p").otherwise("-3p"))
     return a.where("bio_type = 'miRNA'").select("gene_id", sequence.mirna_name(name).alias("name"))
+
+
+@query("st12_sample_scores", "counts")
+def st12_sample_scores(c):
+    """Samples on the first two principal components of the log counts of all genes."""
+    scores, _ = composite.sample_components(c, "gene_id", "samplename", "read_count", 2)
+    return scores.select("samplename", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+
+
+@query("st12_top_genes", "counts")
+def st12_top_genes(c):
+    """The 20 genes with the largest loadings on each of the first two components, of all genes."""
+    _, load = composite.sample_components(c, "gene_id", "samplename", "read_count", 2)
+    each = load.unpivot("gene_id", ["pc1", "pc2"], "component", "loading")
+    top = lambda pc: each.where(F.col("component") == pc).orderBy(F.desc(F.abs("loading")), "gene_id").limit(20)
+    return top("pc1").union(top("pc2")).select("component", "gene_id", F.round("loading", 6).alias("loading"))
