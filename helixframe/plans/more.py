@@ -168,8 +168,7 @@ def ann7(p, a, e, f):
 @query("ann8_best_hits", "peaks", ", h AS (SELECT chrom AS q, peakname AS target, pow(10, -log10p / 100) AS evalue, fc AS score FROM peaks) SELECT q, target, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY evalue, score DESC, target) AS k FROM h WHERE evalue < 0.01) WHERE k = 1")
 def ann8(p):
     h = p.select(F.col("chrom").alias("q"), F.col("peakname").alias("target"), F.pow(F.lit(10.0), -F.col("log10p") / 100).alias("evalue"), F.col("fc").alias("score"))
-    best = h.where("evalue < 0.01").groupBy("q").agg(F.min_by(F.struct("target", "score"), F.struct("evalue", -F.col("score"), "target")).alias("b"))
-    return best.select("q", "b.target", "b.score")
+    return annotate.best_hits(h, "q")
 
 
 @query("ann9_packed_annotations", "peaks annotations", f", n AS (SELECT a.peakname, b.gene_name, b.bio_type FROM peaks a JOIN annotations b ON {ON} AND a.strand = b.strand) SELECT peakname, gene_name, bio_type FROM (SELECT *, row_number() OVER (PARTITION BY peakname ORDER BY bio_type, gene_name) AS k FROM n) WHERE k = 1")

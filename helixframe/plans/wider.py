@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence
 from ..functions.statistics import log_beta
-from ..operators import annotate, composite, counting, statistics
+from ..operators import annotate, composite, counting, coverage, statistics
 from ..operators import interval_join as ij
-from .interval import LEN_A, LEN_B, ON, OV
+from .interval import _STEPS, _WIDE, LEN_A, LEN_B, ON, OV
 from .registry import query
 
 _INTRONS = """introns AS (SELECT a.chrom, a."end" AS start, b.start AS "end", a.strand, a.name FROM exons a JOIN exons b ON a.name = b.name AND b.exon_no = a.exon_no + 1 WHERE b.start > a."end")"""
@@ -173,3 +173,32 @@ def st12_top_genes(c):
     each = load.unpivot("gene_id", ["pc1", "pc2"], "component", "loading")
     top = lambda pc: each.where(F.col("component") == pc).orderBy(F.desc(F.abs("loading")), "gene_id").limit(20)
     return top("pc1").union(top("pc2")).select("component", "gene_id", F.round("loading", 6).alias("loading"))
+
+
+_TABLE = f""", {_STEPS}, depth AS (SELECT peakname, max(depth) AS pileup FROM st GROUP BY peakname), many AS (SELECT a.peakname, count(DISTINCT b.sample) AS sample_count FROM peaks a JOIN fragments b ON {ON} GROUP BY a.peakname), {_WIDE}, {_INTRONS}{_PARTS},
+ gs AS (SELECT a.*, a.score / 50.0::DOUBLE AS psi, b.gtype, b.start AS gstart, b."end" AS gend, ({OV}) / {LEN_A} AS share, ({OV}) / {LEN_A} * (({OV}) / {LEN_B}) AS sc, row_number() OVER (PARTITION BY a.peakname ORDER BY round(({OV}) / {LEN_A} * (({OV}) / {LEN_B}), 12) DESC, b.gtype, b.start) AS k FROM peaks a JOIN parts b ON {ON}),
+ gw AS (SELECT *, EXISTS (SELECT 1 FROM introns i WHERE i.chrom = gs.chrom AND i.start < gs."end" AND i."end" > gs.start AND ((i.start - 3 < gend AND gend < i.start + 3 AND i."end" > gs."end") OR (i."end" - 3 < gstart AND gstart < i."end" + 3 AND i.start < gs.start)) AND least(gs."end", i."end") - greatest(gs.start, i.start) > 10) AND share <= 0.6 AS runs_on FROM gs WHERE k = 1),
+ gc AS (SELECT peakname, CASE WHEN gtype = 'intron' AND sc > 0.8 THEN 'Full-length intron' WHEN gtype = 'intron' AND psi < 0.1 THEN 'Within intron' WHEN gtype = 'intron' AND psi <= 0.2 THEN 'intron' WHEN gtype LIKE '%pseudo%' THEN 'Pseudogene' WHEN runs_on THEN 'Exon-intron' ELSE 'Exon' END AS gtype FROM gw),
+ hit AS (SELECT peakname, 'RF' || CAST(score AS VARCHAR) AS target, 1.0::DOUBLE / (1 + log10p * 5) AS evalue, fc AS score FROM peaks UNION ALL SELECT peakname, 'RX' || CAST(score AS VARCHAR), 1.0::DOUBLE / (1 + log10q * 10 + score), fc FROM peaks),
+ rf AS (SELECT peakname, target AS rfam FROM (SELECT *, row_number() OVER (PARTITION BY peakname ORDER BY evalue, score DESC, target) AS k FROM hit WHERE evalue < 0.01) WHERE k = 1),
+ f1 AS (SELECT p.*, pileup, sample_count, CASE WHEN EXISTS (SELECT 1 FROM introns b WHERE p.chrom = b.chrom AND p.start < b."end" AND b.start < p."end" AND p.strand = b.strand AND least(p."end", b."end") - greatest(p.start, b.start) >= 0.9 * (p."end" - p.start) AND least(p."end", b."end") - greatest(p.start, b.start) >= 0.9 * (b."end" - b.start)) THEN '{annotate.FULL_LENGTH_INTRON}' ELSE '.' END AS is_intron FROM peaks p JOIN depth USING (peakname) JOIN many USING (peakname) WHERE pileup >= 2 AND sample_count >= 2),
+ f2 AS (SELECT f1.*, sense_gname, antisense_gname, CASE WHEN sense_gtype = 'RBP' AND is_intron <> '.' THEN 'full-length intron (RBP)' ELSE sense_gtype END AS sense_gtype, coalesce(gc.gtype, '.') AS gtype, coalesce(rfam, '.') AS rfam, CASE WHEN sense_gname <> '.' THEN 'Sense' WHEN antisense_gname <> '.' THEN 'Antisense' ELSE 'Unannotated' END AS is_sense FROM f1 JOIN t USING (peakname) LEFT JOIN gc USING (peakname) LEFT JOIN rf USING (peakname))
+ SELECT chrom || ':' || CAST(start AS VARCHAR) || '-' || CAST("end" AS VARCHAR) AS peak_name, peakname, is_sense, CASE WHEN sense_gname <> '.' THEN sense_gname ELSE antisense_gname END AS gname, sense_gtype, strand, pileup AS fragment_count, sample_count, rfam, is_intron, gtype, EXISTS (SELECT 1 FROM annotations b WHERE b.bio_type = 'tRNA' AND b.chrom = f2.chrom AND b.start < f2."end" AND f2.start < b."end" AND b.strand = f2.strand) AS is_trna
+ FROM f2 WHERE sense_gtype NOT IN ('RBP', 'Simple_repeat') AND """
+
+
+def _characterised(p, a, e, f):
+    """Peaks with their depth and samples through the whole chain; hits are two for each peak, made of its scores."""
+    n = coverage.distinct_covering(p, f, ["peakname"], "sample")
+    peaks = p.withColumn("psi", F.col("score") / 50.0).join(coverage.pileup(p, f, ["peakname"], wide=False), "peakname").join(n, "peakname")
+    hit = lambda tag, evalue: p.select("peakname", F.concat(F.lit(tag), F.col("score").cast("string")).alias("target"), (1 / evalue).alias("evalue"), F.col("fc").alias("score"))
+    hits = hit("RF", 1 + F.col("log10p") * 5).union(hit("RX", 1 + F.col("log10q") * 10 + F.col("score")))
+    introns = _introns(e)
+    part = lambda df, t: df.select("chrom", "start", "end", F.lit(t).alias("gtype"))
+    parts = part(e, "exon").unionByName(part(introns, "intron")).unionByName(part(a.where("bio_type = 'RBP'"), "processed_pseudogene"))
+    return annotate.supplementary(peaks, hits, a, parts, introns.select("chrom", "start", "end", "strand"), {"is_trna": a.where("bio_type = 'tRNA'")}, least=2)
+
+
+@query("ann7_characterised", "peaks annotations exons fragments", f"{_TABLE} NOT (is_sense = 'Sense' AND gtype = 'Exon')")
+def ann7_characterised(p, a, e, f):
+    return _characterised(p, a, e, f)
