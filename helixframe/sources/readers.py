@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranges import RANGE, read_ranges
 
 BED3 = "chrom string, start long, end long"
 BED6 = BED3 + ", name string, score double, strand string"
@@ -94,9 +95,9 @@ def read_bed12(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, description, seq) of each record."""
-    rows = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
-    head, body = F.regexp_extract("value", r"^([^\n]*)", 1), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s", "")
+    """(id, description, seq) of each record, a record a row; a `>` counts at a line's start only. ranges.read_fasta_chunks() is for sequences too long for a row."""
+    rows = spark.read.text(path, lineSep="\n>").where(F.trim("value") != "").select(F.regexp_replace("value", "^>", "").alias("value"))
+    head, body = F.regexp_extract("value", r"^([^\r\n]*)", 1), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s", "")
     return rows.select(F.split_part(head, F.lit(" "), F.lit(1)).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), body.alias("seq"))
 
 
@@ -107,13 +108,10 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").startswith("@") & (F.col("value") != "")).select(*[F.try_element_at(f, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(names, 1)])
 
 
-def read_fastq(spark: SparkSession, path: str, mate: int) -> DataFrame:
-    """(read_id, mate, seq, qual) of four-line records. A file is numbered in one task, as a compressed one is read."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_i"), "value")
-    n = F.row_number().over(Window.partitionBy("file").orderBy("_i")) - 1
-    line = lambda k: F.max(F.when(F.col("_n") % 4 == k, F.col("value")))
-    rec = lines.withColumn("_n", n).groupBy("file", F.floor(F.col("_n") / 4).alias("_r")).agg(line(0).alias("head"), line(1).alias("seq"), line(3).alias("qual"))
-    return rec.where("head LIKE '@%'").select(F.regexp_extract("head", r"^@(\S+?)(/[12])?(\s|$)", 1).alias("read_id"), F.lit(mate).alias("mate"), "seq", "qual")
+def read_fastq(spark: SparkSession, path: str, mate: int, size: int = RANGE) -> DataFrame:
+    """(read_id, mate, seq, qual) of four-line records, a file in ranges of so many bytes (a compressed one as a whole)."""
+    rec = read_ranges(spark, path, "fastq", size)
+    return rec.select(F.regexp_extract("head", r"^(\S+?)(/[12])?(\s|$)", 1).alias("read_id"), F.lit(mate).alias("mate"), "seq", "qual")
 
 
 def read_pairs(spark: SparkSession, path1: str, path2: str) -> DataFrame:
@@ -139,18 +137,18 @@ def read_trnascan(spark: SparkSession, path: str) -> DataFrame:
 
 def read_metrics(spark: SparkSession, path: str, skip: int = 6) -> DataFrame:
     """(file, variable, value): the header and the one row after skip lines of each metrics file."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_i"), "value")
-    n = lines.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("_i")))
-    wide = n.where(F.col("_n").isin(skip + 1, skip + 2)).groupBy("file").agg(F.max(F.when(F.col("_n") == skip + 1, F.split("value", "\t"))).alias("names"), F.max(F.when(F.col("_n") == skip + 2, F.split("value", "\t"))).alias("values"))
+    two = read_ranges(spark, path, "lines").where(F.col("line").isin(skip + 1, skip + 2))
+    row = lambda n: F.max(F.when(F.col("line") == n, F.split("value", "\t")))
+    wide = two.groupBy(F.col("path").alias("file")).agg(row(skip + 1).alias("names"), row(skip + 2).alias("values"))
     return wide.select("file", F.inline(F.arrays_zip(F.col("names").alias("variable"), F.col("values").alias("value"))))
 
 
-def read_trf_reference(spark: SparkSession, path: str, schema: str, keep: str, skip: int = 6) -> DataFrame:
+def read_trf_reference(spark: SparkSession, path: str, schema: str, keep: str, skip: int = 6, size: int = RANGE) -> DataFrame:
     """(id, variable, value): a fragment reference without its first lines and `<` rows, columns chosen by a pattern, melted, nulls dropped."""
     names = [x.split()[0] for x in schema.split(",")]
-    lines = spark.read.text(path).withColumn("_i", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(Window.partitionBy(F.col("_metadata.file_path")).orderBy("_i")))
+    lines = read_ranges(spark, path, "lines", size)
     f = F.split("value", "\t")
-    rows = lines.where((F.col("_n") > skip) & ~F.col("value").startswith("<")).select(*[F.nullif(F.try_element_at(f, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names, 1)])
+    rows = lines.where((F.coalesce("line", F.lit(skip + 1)) > skip) & ~F.col("value").startswith("<")).select(*[F.nullif(F.try_element_at(f, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names, 1)])
     import re
 
     kept = [n for n in names[1:] if re.search(keep, n)]
