@@ -140,3 +140,42 @@ def sample_components(counts: DataFrame, gene: str, sample: str, value: str, k:
     kind = counts.schema[sample].dataType.simpleString()
     dot = lambda i: F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(v)) for v in vectors[:, i] / np.sqrt(values[i])]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     return counts.sparkSession.createDataFrame(scores, ", ".join([f"{sample} {kind}", *[f"{c} double" for c in columns]])), wide.select(gene, *[dot(i).alias(c) for i, c in enumerate(columns)])
+
+
+def per_group(df: DataFrame, by: list[str], f: Callable[[dict, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """A caller's function of each group (its key as a dict, its rows) that returns rows of a schema; by's columns come first in the result.
+
+    A group is in memory as a whole, so groups must be bounded: aggregate before, and group by what
+    keeps them small. Null is a group; an empty table has none.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    whole = StructType([*df.select(*by).schema.fields, *StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(whole)
+
+    def run(key, rows):
+        found = f({c: k.as_py() for c, k in zip(by, key)}, rows.to_pandas())
+        cols = [pa.array([k.as_py()] * len(found), t.type) for k, t in zip(key, arrow)]
+        cols += [pa.array(found[t.name], t.type, from_pandas=True) for t in list(arrow)[len(by) :]]
+        return pa.Table.from_arrays(cols, schema=arrow)
+
+    return df.groupBy(*by).applyInArrow(run, whole)
+
+
+def expand(df: DataFrame, columns: list[str], f: Callable[..., Iterator[tuple]], schema: str, keep: list[str]) -> DataFrame:
+    """A caller's generator of each row's columns: every tuple it yields is a row of a schema, behind the row's columns keep. Rows of which it yields nothing go."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                found = [(i, row) for i, values in enumerate(zip(*(part.column(c).to_pylist() for c in columns))) for row in f(*values)]
+                if found:
+                    at = pa.array([i for i, _ in found], pa.int32())
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in keep), *(pa.array(v, t.type) for v, t in zip(zip(*(r for _, r in found)), made))], names=[*keep, *made.names])
+
+    return df.select(*dict.fromkeys([*keep, *columns])).mapInArrow(run, StructType([*df.select(*keep).schema.fields, *StructType.fromDDL(schema).fields]))

@@ -202,3 +202,35 @@ def _characterised(p, a, e, f):
 @query("ann7_characterised", "peaks annotations exons fragments", f"{_TABLE} NOT (is_sense = 'Sense' AND gtype = 'Exon')")
 def ann7_characterised(p, a, e, f):
     return _characterised(p, a, e, f)
+
+
+@query("udf2_top_samples", "counts", """, n AS (SELECT gene_id, samplename, CAST(sum(read_count) AS BIGINT) AS n FROM counts GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY gene_id ORDER BY n DESC, samplename ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY gene_id) AS total, row_number() OVER (PARTITION BY gene_id ORDER BY n DESC, samplename) AS place FROM n)
+ SELECT gene_id, samplename, n, CAST(place AS BIGINT) AS place FROM c WHERE 2 * before < total""")
+def udf2_top_samples(c):
+    """A caller's function of each gene's samples, of which there are few: those that hold half of its reads or more, the largest first."""
+
+    def top(key, rows):
+        rows = rows.sort_values(["n", "samplename"], ascending=[False, True]).reset_index(drop=True)
+        rows["place"] = range(1, len(rows) + 1)
+        return rows[2 * (rows["n"].cumsum() - rows["n"]) < rows["n"].sum()]
+
+    n = c.groupBy("gene_id", "samplename").agg(F.sum("read_count").alias("n"))
+    return composite.per_group(n, ["gene_id"], top, "samplename string, n long, place long")
+
+
+@query("udf4_aligned_blocks", "fragments", """, f AS (SELECT row_number() OVER () AS r, name, start, cigar FROM fragments), t AS (SELECT r, name, start, unnest(regexp_extract_all(cigar, '[0-9]+[A-Z]')) AS tok, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[A-Z]'), 1) AS i FROM f), s AS (SELECT r, name, start, i, right(tok, 1) AS op, CAST(left(tok, length(tok) - 1) AS BIGINT) AS n FROM t),
+ p AS (SELECT *, start + sum(CASE WHEN op IN ('M', 'D', 'N') THEN n ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS upto FROM s) SELECT name, CAST(upto - n AS BIGINT) AS block_start, CAST(upto AS BIGINT) AS block_end FROM p WHERE op = 'M'""")
+def udf4_aligned_blocks(f):
+    """A caller's generator: the places on the reference of each alignment's aligned stretches."""
+
+    def blocks(start, cigar):
+        n = 0
+        for c in cigar:
+            if c.isdigit():
+                n = n * 10 + int(c)
+                continue
+            if c == "M":
+                yield start, start + n
+            start, n = start + (n if c in "MDN" else 0), 0
+
+    return composite.expand(f, ["start", "cigar"], blocks, "block_start long, block_end long", ["name"])
