@@ -36,17 +36,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that tiles of a benchmark item give away."""
+    """Drops documents that tiles of a benchmark item give away. Null and empty texts leak nothing and stay, as do null and repeated doc_ids with clean texts."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces the secrets in each text; every document stays."""
+    """Replaces the secrets in each text; every document stays, null texts as they are."""
     return secrets.redact(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded bytes."""
+    """doc_id, n_tokens and digests of ids and decoded bytes of every row; null text counts as empty."""
     return bpe.digests(docs, bpe.ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
 
 

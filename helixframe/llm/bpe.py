@@ -247,6 +247,10 @@ def decode(coded: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
 
 
 def digests(docs: DataFrame, vocabulary: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row of docs.
+
+    Null and empty text have no tokens and the digests of no bytes; null and repeated doc_ids stay.
+    Other columns are ignored, an empty table gives no rows.
+    """
     both = encode(docs, vocabulary, pattern, decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -193,7 +193,7 @@ def scan(files: DataFrame) -> DataFrame:
     how: `file` (a licence file by its name, with a notice), `header` (any other file with a notice),
     `inherited` (from the licence file in the nearest ancestor directory, itself included; of several
     there the one with the smallest path) or `none`. Null path: no directory, nothing to inherit.
-    Null text has no notice. Repeated rows stay.
+    Null text has no notice. Repeated rows stay; an empty table gives no rows.
     """
     folder = F.regexp_replace(F.coalesce("path", F.lit("")), r"/?[^/]*$", "")
     name = F.element_at(F.split("path", "/"), -1)

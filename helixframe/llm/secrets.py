@@ -118,7 +118,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "<{}>") -> DataFrame:
-    """docs with each found span of its text replaced by its kind; overlapping spans become one. n_chars, if there, follows."""
+    """docs with each found span of its text replaced by its kind; overlapping spans become one. n_chars, if there, follows.
+
+    Null text stays null; every row and column stays, repeated ones too; an empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def clean(text: str | None) -> str | None:

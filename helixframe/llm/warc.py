@@ -231,7 +231,7 @@ def lookup(spark: SparkSession, root: str, directory: DataFrame, urls: list[str]
 
 
 def read_archive(root: str, directory: DataFrame) -> DataFrame:
-    """Every record of the archives: all keys of each block. An empty directory gives no rows."""
+    """Every record of the archives: all keys of each block. An empty directory gives no rows; a null page_id comes back as null, a null url as empty."""
     spark = directory.sparkSession
     store = lambda: fs.FileSystem.from_uri(root)
 

@@ -38,7 +38,29 @@ def test_repeated_and_null_ids(spark):
     assert got == [(0, "x y z"), (1, "a b c d e f")]
 
 
-@pytest.mark.parametrize("name", ["secret_scan", "near_duplicates"])
-def test_nulls_in_every_column(spark, name):
+@pytest.mark.parametrize("name", ["secret_scan", "near_duplicates", "decontamination", "tokens", "language"])
+def test_nulls_in_every_column(spark, sf_dir, name):
     docs = spark.createDataFrame([(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert dict(corpus_pipeline.STAGES)[name](spark, docs, "").count() == 1
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir).count() == (name != "language")  # a text without letters has no language
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_language_rejects_what_it_cannot_tell(spark, sf_dir):
+    """The stage keeps what identify() tells with LEAST_SCORE or more, and some of these rows fall on either side."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = documents(spark, [(10**6, "ქართული ტექსტი არავინ იცის"), (10**6 + 1, "1234 5678"), (10**6 + 2, None), (10**6 + 3, "")]).withColumn("lang", F.lit(None).cast("string")).select(*docs.columns)
+    both = docs.union(odd)
+    told = {r.doc_id: (r.lang_pred, r.score) for r in corpus_pipeline.langid.identify(both, corpus_pipeline.langid.learn(both)).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, both, sf_dir).collect()}
+    assert kept == {i for i, (lang, score) in told.items() if lang != "und" and score >= corpus_pipeline.LEAST_SCORE}
+    assert not kept & {10**6 + k for k in range(4)} and len(kept) > 0.9 * docs.count()
+
+
+def test_secrets_of_the_table_are_gone(spark, sf_dir):
+    """After redaction no base secret is left in any text, and texts without one are untouched."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})""", re.I)
+    found = lambda t: bool(assign.search(t or "") or re.search(r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", t or ""))
+    after = {r.doc_id: r.text for r in corpus_pipeline.secret_scan(spark, docs, sf_dir).collect()}
+    assert any(map(found, before.values())) and not any(map(found, after.values()))
