@@ -16,7 +16,7 @@ _INTRONS = """introns AS (SELECT a.chrom, a."end" AS start, b.start AS "end", a.
 
 def _introns(e):
     nxt = e.select("name", (F.col("exon_no") - 1).alias("exon_no"), F.col("start").alias("nxt"))
-    return e.join(nxt, ["name", "exon_no"]).where(F.col("nxt") > F.col("end")).select("chrom", F.col("end").alias("start"), F.col("nxt").alias("end"), "strand", "name")
+    return e.join(nxt.hint("merge"), ["name", "exon_no"]).where(F.col("nxt") > F.col("end")).select("chrom", F.col("end").alias("start"), F.col("nxt").alias("end"), "strand", "name")
 
 
 @query("jn21_intervals", "exons abundance", """, x AS (SELECT *, sum("end" - start) OVER (PARTITION BY name ORDER BY CASE WHEN strand = '-' THEN -start ELSE start END ROWS UNBOUNDED PRECEDING) AS t1, "end" - start AS size FROM exons),
