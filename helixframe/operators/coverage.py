@@ -90,8 +90,10 @@ def distinct_covering(regions: DataFrame, fragments: DataFrame, key: list[str],
 def summits(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
     """(key, summit, depth) of each different region with coverage: the first position of the largest depth."""
     steps = region_steps(regions, fragments, key, **flags)
-    found = steps.groupBy(*_own(key, flags)).agg(F.min_by("pos", F.struct(-F.col("depth"), F.col("pos"))).alias("summit"), F.max("depth").alias("depth"))
-    return found.select(*key, "summit", "depth")
+    # depth and place as one number, which is kept in place; a struct would have every step sorted
+    size, place = F.col("end") - F.col("start"), F.col("pos") - F.col("start")
+    found = steps.groupBy(*_own(key, flags)).agg(F.max(F.col("depth") * size + size - 1 - place).alias("_code"))
+    return found.select(*key, (F.col("end") - 1 - F.col("_code") % size).alias("summit"), F.expr("_code DIV (`end` - start)").alias("depth"))
 
 
 def breadth(regions: DataFrame, fragments: DataFrame, key: list[str], cutoff: int, **flags) -> DataFrame:
@@ -133,11 +135,11 @@ def protection(regions: DataFrame, fragments: DataFrame, key: list[str], window:
     parts = fragments.where(e > s).select(*by, F.inline(F.array(part(s - half, s, -1), part(s, e, 1), part(e, e + half, -1))))
     runs = _runs(parts, by, tile).where("depth <> 0")
     regions_ = regions.select(*own).distinct().withColumns({"_end": e, "end": e + window})
-    hits = interval_join(regions_, runs, **flags).groupBy(*own, "_end", F.col("b_depth").alias("score")).agg(F.sum("overlap").alias("n"))
-    w = Window.partitionBy(*own)
-    hits = hits.withColumns({"top": F.max("score").over(w), "covered": F.sum("n").over(w)})
-    top = F.when(F.col("covered") < e - s, F.greatest("top", F.lit(0).cast("long"))).otherwise(F.col("top"))
-    found = hits.groupBy(*own, "_end").agg(F.sum(F.when(F.col("score") > share * top, F.col("n")).otherwise(0)).alias("n"))
+    # regions meet the runs twice, for their highest score and for the bases over its share: either leaves a number or two for each region, kept in place as pairs arise
+    top = interval_join(regions_, runs, **flags).groupBy(*own, "_end").agg(F.max("b_depth").alias("top"), F.sum("overlap").alias("covered"))
+    top = top.withColumn("top", F.when(F.col("covered") < e - s, F.greatest("top", F.lit(0).cast("long"))).otherwise(F.col("top"))).drop("covered")
+    over = F.col("b_depth") > share * F.col("top")
+    found = interval_join(top, runs, where=over, **flags).groupBy(*own, "_end").agg(F.sum("overlap").alias("n"))
     found = found.withColumn("end", F.col("_end")).drop("_end")
     return _back(regions, found, own).select(*key, (F.coalesce("n", F.lit(0)) / (e - s)).alias("protected"))
 
