@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import counting
 from helixframe.operators import interval_join as ij
+from helixframe.plans import registry
 from helixframe.plans.fixtures import fixture
 
 
@@ -76,3 +77,7 @@ def test_quality_rounds_as_the_sql_does(spark, tmp_path):
     row = "1L AS l_orderkey, 1L AS l_partkey, 1L AS l_suppkey, 1 AS l_linenumber, 'F' AS l_linestatus"
     spark.sql(f"SELECT {row}, explode(array(0.5D, 1.5D, 1.4D, 2.6D)) AS l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert sorted(r.quality for r in fixture(spark, str(tmp_path), "dedup").collect()) == [0, 1, 2, 3]
+
+
+def test_exon_filter_broadcasts_nothing(spark, sf_dir):
+    assert "Broadcast" not in registry.QUERIES["cov5_exon_filter"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
