@@ -163,6 +163,51 @@ def per_group(df: DataFrame, by: list[str], f: Callable[[dict, pd.DataFrame], pd
     return df.groupBy(*by).applyInArrow(run, whole)
 
 
+def whole_groups(df: DataFrame, by: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """As per_group, for very many small groups: a caller's function of batches that hold several groups, each whole, with the columns by; it returns by's columns and those of a schema.
+
+    Rows come in the order of by, so a batch is cut where its last group begins, and that group goes
+    on with the next batch. What is in memory is a batch and one group.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    whole = StructType([*df.select(*by).schema.fields, *StructType.fromDDL(schema).fields])
+    arrow = to_arrow_schema(whole)
+
+    def done(batches):
+        found = f(pa.Table.from_batches(batches).to_pandas())
+        cols = [pa.array(found[t.name], t.type, from_pandas=True) for t in arrow]
+        return pa.Table.from_arrays(cols, schema=arrow).to_batches()
+
+    def last_group(batch, key):
+        """Where the rows of this key begin at the end of a batch, which is in order."""
+        same = None
+        for c, v in zip(by, key):
+            one = pc.is_null(batch.column(c)) if v is None else pc.fill_null(pc.equal(batch.column(c), v), False)
+            same = one if same is None else pc.and_(same, one)
+        return batch.num_rows - (pc.sum(same).as_py() or 0)
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(c)[-1].as_py() for c in by]
+            cut = last_group(batch, last)
+            if cut or (held and key != last):
+                if held or cut:
+                    yield from done([*held, *([batch.slice(0, cut)] if cut else [])])
+                held = []
+            held.append(batch.slice(cut))
+            key = last
+        if held:
+            yield from done(held)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, whole)
+
+
 def expand(df: DataFrame, columns: list[str], f: Callable[..., Iterator[tuple]], schema: str, keep: list[str]) -> DataFrame:
     """A caller's generator of each row's columns: every tuple it yields is a row of a schema, behind the row's columns keep. Rows of which it yields nothing go."""
     import pyarrow as pa

@@ -209,13 +209,14 @@ def ann7_characterised(p, a, e, f):
 def udf2_top_samples(c):
     """A caller's function of each gene's samples, of which there are few: those that hold half of its reads or more, the largest first."""
 
-    def top(key, rows):
-        rows = rows.sort_values(["n", "samplename"], ascending=[False, True]).reset_index(drop=True)
-        rows["place"] = range(1, len(rows) + 1)
-        return rows[2 * (rows["n"].cumsum() - rows["n"]) < rows["n"].sum()]
+    def top(rows):
+        rows = rows.sort_values(["gene_id", "n", "samplename"], ascending=[True, False, True])
+        n = rows.groupby("gene_id", dropna=False, sort=False)["n"]
+        rows["place"] = n.cumcount() + 1
+        return rows[2 * (n.cumsum() - rows["n"]) < n.transform("sum")]
 
     n = c.groupBy("gene_id", "samplename").agg(F.sum("read_count").alias("n"))
-    return composite.per_group(n, ["gene_id"], top, "samplename string, n long, place long")
+    return composite.whole_groups(n, ["gene_id"], top, "samplename string, n long, place long")
 
 
 @query("udf4_aligned_blocks", "fragments", """, f AS (SELECT row_number() OVER () AS r, name, start, cigar FROM fragments), t AS (SELECT r, name, start, unnest(regexp_extract_all(cigar, '[0-9]+[A-Z]')) AS tok, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[A-Z]'), 1) AS i FROM f), s AS (SELECT r, name, start, i, right(tok, 1) AS op, CAST(left(tok, length(tok) - 1) AS BIGINT) AS n FROM t),
