@@ -74,14 +74,28 @@ def motif_tag(name: Column) -> Column:
     return F.when(name.rlike(TELOMERE), "Telomere").when(name.rlike(CENTROMERE), "Centromere").otherwise("Tandem repeats")
 
 
-def score_sequences(df: DataFrame, score: Callable[[pd.Series], pd.Series], column: str = "seq") -> DataFrame:
-    """df with `score`, a caller's function of batches of sequences."""
+#: Bytes of sequences that a caller's function gets at once; a longer sequence comes alone.
+BATCH = 4_000_000
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(score=score(batch[column]).astype(float))
 
-    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
+def score_sequences(df: DataFrame, score: Callable[[pd.Series], pd.Series], column: str = "seq", batch: int | None = None) -> DataFrame:
+    """df with `score`, a caller's function of batches of sequences. Spark's batches count rows, so they are bounded and cut by the bytes of their sequences."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    most = batch or BATCH
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            part = pc.cumulative_sum(pc.fill_null(pc.binary_length(rows.column(column)).cast("int64"), 0)).to_numpy() // most
+            starts = [i for i in range(len(part)) if not i or part[i] != part[i - 1]]
+            for i, j in zip(starts, [*starts[1:], len(part)]):
+                few = rows.slice(i, j - i)
+                found = score(few.column(column).to_pandas()).to_numpy(float)
+                yield pa.RecordBatch.from_arrays([*few.columns, pa.array(found, pa.float64(), from_pandas=True)], names=[*few.schema.names, "score"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("score", DoubleType())]))
 
 
 def terminal_mismatches(bases: DataFrame) -> DataFrame:
