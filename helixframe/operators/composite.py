@@ -116,8 +116,11 @@ def interval_sequences(intervals: DataFrame, chunks: DataFrame, key: str = "name
     """intervals with seq from chunks(chrom, chunk, seq) of a fixed size, reverse-complemented on the minus strand."""
     from ..functions.sequence import reverse_complement
 
-    need = intervals.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
-    j = need.join(chunks, ["chrom", "chunk"])
+    low, high = F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size)
+    need = intervals.withColumn("chunk", F.explode(F.sequence(low, high)))
+    # chunks beyond all intervals are left out where they are read, so they are neither cut out nor shuffled
+    first, last = intervals.agg(F.min(low), F.max(high)).first()
+    j = need.join(chunks.where(F.col("chunk").between(first, last)), ["chrom", "chunk"])
     lo, hi = F.greatest(F.col("start") - F.col("chunk") * size, F.lit(0)), F.least(F.col("end") - F.col("chunk") * size, F.lit(size))
     piece = F.substr("seq", (lo + 1).cast("int"), (hi - lo).cast("int"))
     whole = j.groupBy(key, "chrom", "start", "end", "strand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("seq"))
