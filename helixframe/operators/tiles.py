@@ -38,6 +38,44 @@ def by_tiles(regions: DataFrame, intervals: DataFrame, by: list[str], f: Callabl
     return sides[0].cogroup(sides[1]).applyInArrow(run, made)
 
 
+#: Four times a tile's width for each level: regions of a level are at most a quarter of its tiles.
+LEVELS = 16
+
+
+def in_one_tile(regions: DataFrame, intervals: DataFrame, by: list[str], f: Callable[[pa.Table, pa.Table], pa.Table], schema: str, tile: int = TILE, *, different: bool = False) -> DataFrame:
+    """f(regions, intervals) of groups of regions: its rows, of a schema.
+
+    A region is in one group only, of the tile in which it starts, and its group holds every interval that
+    overlaps it, with its whole coordinates. Longer regions lie in wider tiles, into which intervals go only
+    where there are such regions. Empty regions and intervals are in none.
+    different: whether intervals that agree in all columns are one row.
+    """
+    reach = [tile * 4**k // 4 for k in range(LEVELS)]
+    size = F.col("end") - F.col("start")
+    placed = regions.where("`end` > start").withColumn("_level", sum(((size > x).cast("int") for x in reach[:-1]), F.lit(0)))
+    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect())
+    at = lambda pos, k: F.floor(pos / (tile * 4**k))
+    own = F.lit(None).cast("long")
+    for k in levels:
+        own = F.when(F.col("_level") == k, at(F.col("start"), k)).otherwise(own)
+    number = lambda k: lambda t: F.struct(F.lit(k).alias("_level"), t.alias("_tile"))
+    tiles = [F.transform(F.sequence(at(F.col("start") - reach[k] + 1, k), at(F.col("end") - 1, k)), number(k)) for k in levels or [0]]
+    spread = intervals.where("`end` > start").select("*", F.inline(F.concat(*tiles)))
+    keys = [*by, "_level", "_tile"]
+    made = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(made)
+
+    def run(left, right):
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        return f(left, right).select(arrow.names).cast(arrow)
+
+    left, right = (df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)) for df in (placed.withColumn("_tile", own), spread))
+    if different:  # where they lie already, so nothing is shuffled twice
+        right = right.repartition(*keys).distinct()
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, made)
+
+
 def numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
     return [table.column(c).to_numpy() for c in columns]
 
@@ -62,3 +100,14 @@ def dominated(x: np.ndarray, y: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.
         part = np.concatenate([np.flatnonzero(low), np.flatnonzero(~low)])
         rank, w = rank[part], w[part]
     return out
+
+
+def ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges lo to hi one after the other: whose each place is, and the places."""
+    n = np.maximum(hi - lo, 0)
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+
+
+def colours(column: pa.ChunkedArray) -> np.ndarray:
+    """A number from 0 for each different value, -1 for null."""
+    return column.combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
