@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .interval_join import chained, interval_join, merge_intervals, same, without_keys
+from .tiles import colours, dominated, in_one_tile, numbers, ragged
 
 #: Bases of a tile: coverage is summed up within tiles, so no chromosome is one task.
 TILE = 100_000
@@ -70,21 +73,93 @@ def _back(regions: DataFrame, found: DataFrame, own: list[str]) -> DataFrame:
     return without_keys(same(regions.select(*own), found, own, "left"), own)
 
 
+def _by_place(flags: dict) -> list[str] | None:
+    """The columns within whose values regions and fragments meet, or None if more than overlap and strand decide."""
+    if flags.get("strand") not in (None, "same") or set(flags) - {"wide", "strand", "tile"}:
+        return None
+    return ["chrom", *(["strand"] if flags.get("strand") else [])]
+
+
+def _runs_of(regions: DataFrame, fragments: DataFrame, by: list[str], f, schema: str, runs_tile: int = TILE) -> DataFrame:
+    """f(regions, runs) of regions and the runs of coverage that overlap them, tile by tile; the runs of a tile are disjoint and in order."""
+    runs = coverage_runs(fragments, stranded="strand" in by, tile=runs_tile, merged=False)
+
+    def run(r, i):
+        return f(r, i.sort_by("start"))
+
+    return in_one_tile(regions, runs, by, run, schema)
+
+
+def _highest(a: np.ndarray, b: np.ndarray, s: np.ndarray, e: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The largest depth of the disjoint runs [s, e), in order, that overlap each [a, b); 0: none. Two stretches of 2^k runs cover those of any region."""
+    lo, hi = np.searchsorted(e, a, side="right"), np.searchsorted(s, b)
+    out = np.zeros(len(a), np.int64)
+    width = 1
+    while True:
+        here = (hi - lo >= width) & (hi - lo < 2 * width)
+        out[here] = np.maximum(depth[lo[here]], depth[hi[here] - width])
+        if len(depth) <= width:
+            return out
+        depth = np.maximum(depth[:-width], depth[width:])
+        width *= 2
+
+
 def pileup(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
-    """(key, pileup) of each row of regions: the largest depth inside it, 0 where nothing overlaps."""
+    """(key, pileup) of each row of regions: the largest depth inside it, 0 where nothing overlaps. Without fractions and conditions no pair becomes a row."""
     own = _own(key, flags)
-    top = region_steps(regions, fragments, key, **flags).groupBy(*own).agg(F.max("depth").alias("pileup"))
-    return _back(regions, top, own).select(*key, F.coalesce("pileup", F.lit(0).cast("long")).alias("pileup"))
+    by = _by_place(flags)
+    if by is None:
+        top = region_steps(regions, fragments, key, **flags).groupBy(*own).agg(F.max("depth").alias("pileup"))
+        return _back(regions, top, own).select(*key, F.coalesce("pileup", F.lit(0).cast("long")).alias("pileup"))
+    place = [*by, "start", "end"]
+
+    def highest(r, i):
+        top = _highest(*numbers(r, "start", "end"), *numbers(i, "start", "end", "depth"))
+        return r.append_column("pileup", pa.array(top))
+
+    regions = regions.select(*own)
+    places = regions.select(*place).distinct()
+    top = _runs_of(places, fragments, by, highest, _schema(places, place, "pileup long"), flags.get("tile", TILE))
+    return without_keys(same(regions, top, place, "left"), place).select(*key, F.coalesce("pileup", F.lit(0).cast("long")).alias("pileup"))
+
+
+def _schema(df: DataFrame, columns: list[str], more: str) -> str:
+    return ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns], more])
 
 
 def distinct_covering(regions: DataFrame, fragments: DataFrame, key: list[str], column: str, tile: int = TILE) -> DataFrame:
     """(key, <column>_count): in how many samples (or other values of a column) a fragment overlaps each different region; regions without any are left out.
 
-    Each sample's fragments are merged first, so that regions meet islands, not fragments.
+    Each sample's fragments are merged first. A sample misses a region that lies in a gap between its
+    islands, so gaps are counted, and no pair of region and island becomes a row.
     """
-    own = _own(key, {})
-    islands = merge_intervals(fragments, tile=tile, also=[column])
-    return interval_join(regions.select(*own).distinct(), islands).groupBy(*own).agg(F.countDistinct(f"b_{column}").alias(f"{column}_count")).select(*key, f"{column}_count")
+    own, place = _own(key, {}), ["chrom", "start", "end"]
+    # a struct, as missing values would not meet in a join
+    islands = merge_intervals(fragments.where("`end` > start").withColumn("_of", F.struct(column)), tile=tile, also=["_of"]).select(*place, f"_of.{column}")
+
+    def count(r, i):
+        (a, b), (s, e), u = numbers(r, "start", "end"), numbers(i, "start", "end"), colours(i.column(column))
+        order = np.lexsort((s, u))
+        s, e, u = s[order], e[order], u[order]
+        met = np.zeros(len(a), np.int64)  # a missing value is no sample, but its fragments overlap
+        known = u >= 0
+        if known.any():
+            x, y, w = s[known], e[known], u[known]
+            new = np.concatenate([[True], w[1:] != w[:-1]])
+            low, high = min(a.min(), x.min()), max(b.max(), y.max())
+            g0 = np.concatenate([np.where(new, low, np.roll(y, 1)), y[np.concatenate([new[1:], [True]])]])
+            g1 = np.concatenate([x, np.full(new.sum(), high)])
+            met = new.sum() - dominated(g0, -g1, np.ones_like(g0), a + 1, 1 - b)
+        hit = met > 0
+        if not known.all():
+            x, y = np.sort(s[~known]), np.sort(e[~known])
+            hit |= np.searchsorted(x, b) > np.searchsorted(y, a, side="right")
+        return r.append_column("_n", pa.array(met)).filter(pa.array(hit))
+
+    regions = regions.select(*own).distinct()
+    places = regions.select(*place).distinct()
+    found = in_one_tile(places, islands, ["chrom"], count, _schema(places, place, "_n long"))
+    return without_keys(same(regions, found, place, "inner"), place).select(*key, F.col("_n").alias(f"{column}_count"))
 
 
 def summits(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
@@ -107,10 +182,33 @@ def breadth(regions: DataFrame, fragments: DataFrame, key: list[str], cutoff: in
 
 
 def depth_histogram(regions: DataFrame, fragments: DataFrame, key: list[str], **flags) -> DataFrame:
-    """(key, depth, bases) of each different region, for depths over 0."""
+    """(key, depth, bases) of each different region, for depths over 0.
+
+    Without fractions and conditions a region's histogram is made in one tile with the region's names, so
+    nothing as long as the result is shuffled.
+    """
     own = _own(key, flags)
-    steps = region_steps(regions, fragments, key, **flags).where("depth > 0")
-    return steps.groupBy(*own, "depth").agg(F.sum(F.col("to") - F.col("pos")).alias("bases")).select(*key, "depth", "bases")
+    by = _by_place(flags)
+    if by is None:
+        steps = region_steps(regions, fragments, key, **flags).where("depth > 0")
+        return steps.groupBy(*own, "depth").agg(F.sum(F.col("to") - F.col("pos")).alias("bases")).select(*key, "depth", "bases")
+
+    def histogram(r, i):
+        (a, b), (s, e, depth) = numbers(r, "start", "end"), numbers(i, "start", "end", "depth")
+        places, of = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
+        a, b = places
+        at, j = ragged(np.searchsorted(e, a, side="right"), np.searchsorted(s, b))
+        bases = np.minimum(e[j], b[at]) - np.maximum(s[j], a[at])
+        order = np.lexsort((depth[j], at))
+        at, d, bases = at[order], depth[j][order], bases[order]
+        new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (d[1:] != d[:-1])])) if len(at) else at
+        at, d, bases = at[new], d[new], np.add.reduceat(bases, new) if len(new) else bases
+        ends = np.searchsorted(at, np.arange(len(a) + 1))
+        row, k = ragged(ends[of.ravel()], ends[of.ravel() + 1])
+        return pa.table([*[r.column(c).take(pa.array(row)) for c in key], pa.array(d[k]), pa.array(bases[k])], names=[*key, "depth", "bases"])
+
+    different = regions.select(*own).distinct()
+    return _runs_of(different, fragments, by, histogram, _schema(different, key, "depth long, bases long"), flags.get("tile", TILE))
 
 
 def mean_signal(regions: DataFrame, track: DataFrame, key: list[str], **flags) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from helixframe.operators import counting, tiles
+from helixframe.operators import counting, coverage, tiles
 from helixframe.plans import registry
 
 
@@ -81,3 +81,34 @@ def test_positions(spark, sf_dir, size, width):
     found = counting.positions(spark.createDataFrame(f, PLACE), spark.createDataFrame(g, PLACE), width)
     assert {(r.s, r.e): r.n for r in found.collect()} == expected
     assert " Join " not in plan(registry.QUERIES["cnt8_positions"](spark, sf_dir))
+
+
+@pytest.mark.parametrize("strand", [None, "same"])
+def test_depth_of_regions(spark, sf_dir, strand):
+    rng = random.Random(7)
+    f, g = places(rng, 200, 40), places(rng, 90, 50)
+    x, y = spark.createDataFrame(f, PLACE), spark.createDataFrame(g, PLACE)
+    tops, bases = Counter(), Counter()
+    for q in g:
+        hits = [p for p in f if meet(p, q) and (not strand or p[4] == q[4] and q[4])]
+        depth = [sum(p[1] <= i < p[2] for p in hits) for i in range(q[1], q[2])]
+        tops[q[3], max(depth, default=0)] += 1
+        bases.update((q, d) for d in depth if d)
+    assert Counter((r.name, r.pileup) for r in coverage.pileup(y, x, ["name"], strand=strand, tile=32).collect()) == tops
+    found = Counter({((r.chrom, r.start, r.end, r["name"], r.strand), r.depth): r.bases for r in coverage.depth_histogram(y, x, ["chrom", "start", "end", "name", "strand"], strand=strand).collect()})
+    assert found == bases
+    assert " Join " not in plan(registry.QUERIES["ag13_depth_histogram"](spark, sf_dir))
+
+
+def test_samples_of_regions(spark):
+    rng = random.Random(8)
+    f, g = places(rng, 120, 30), places(rng, 90, 50)
+    f = [(*p[:4], rng.choice(["a", "b", "c", None])) for p in f]
+    expected = {}
+    for q in g:
+        hits = {p[4] for p in f if meet(p, q)}
+        if hits:
+            expected[q[:4]] = len(hits - {None})
+    found = coverage.distinct_covering(spark.createDataFrame(g, PLACE), spark.createDataFrame(f, PLACE), ["chrom", "start", "end", "name"], "strand", tile=50)
+    assert {(r.chrom, r.start, r.end, r["name"]): r.strand_count for r in found.collect()} == expected
+    assert "b_strand" not in plan(found)
