@@ -36,7 +36,7 @@ def test_pairs_by_brute_force(spark, width, a_sizes, b_sizes, strand, frac):
     assert sorted(left) == sorted(expected + [(n, "", 0) for n in {r[3] for r in a} - {p[0] for p in expected}])
 
 
-@pytest.mark.parametrize("name", ["flt8_relative_size", "jn1_inner", "jn4_fractions", "jn5_same_strand", "jn5_opposite_strand"])
+@pytest.mark.parametrize("name", ["flt8_relative_size", "jn1_inner", "jn2_left", "jn4_fractions", "jn5_same_strand", "jn5_opposite_strand"])
 def test_only_one_side_is_spread(spark, sf_dir, name):
     """The larger side goes to its bins without a Generate, and one join makes all rows."""
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
