@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,25 +43,30 @@ def by_tiles(regions: DataFrame, intervals: DataFrame, by: list[str], f: Callabl
 LEVELS = 16
 
 
-def in_one_tile(regions: DataFrame, intervals: DataFrame, by: list[str], f: Callable[[pa.Table, pa.Table], pa.Table], schema: str, tile: int = TILE, *, different: bool = False) -> DataFrame:
-    """f(regions, intervals) of groups of regions: its rows, of a schema.
-
-    A region is in one group only, of the tile in which it starts, and its group holds every interval that
-    overlaps it, with its whole coordinates. Longer regions lie in wider tiles, into which intervals go only
-    where there are such regions. Empty regions and intervals are in none.
-    different: whether intervals that agree in all columns are one row.
-    """
+def _placed(regions: DataFrame, intervals: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Both with _level and _tile: a region with those of its start (none if it is empty), an interval with all from which a region may reach it."""
     reach = [tile * 4**k // 4 for k in range(LEVELS)]
     size = F.col("end") - F.col("start")
-    placed = regions.where("`end` > start").withColumn("_level", sum(((size > x).cast("int") for x in reach[:-1]), F.lit(0)))
-    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect())
+    placed = regions.withColumn("_level", F.when(size > 0, sum(((size > x).cast("int") for x in reach[:-1]), F.lit(0))))
+    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect() if r["_level"] is not None)
     at = lambda pos, k: F.floor(pos / (tile * 4**k))
     own = F.lit(None).cast("long")
     for k in levels:
         own = F.when(F.col("_level") == k, at(F.col("start"), k)).otherwise(own)
     number = lambda k: lambda t: F.struct(F.lit(k).alias("_level"), t.alias("_tile"))
     tiles = [F.transform(F.sequence(at(F.col("start") - reach[k] + 1, k), at(F.col("end") - 1, k)), number(k)) for k in levels or [0]]
-    spread = intervals.where("`end` > start").select("*", F.inline(F.concat(*tiles)))
+    return placed.withColumn("_tile", own), intervals.where("`end` > start").select("*", F.inline(F.concat(*tiles)))
+
+
+def in_one_tile(regions: DataFrame, intervals: DataFrame, by: list[str], f: Callable[[pa.Table, pa.Table], pa.Table], schema: str, tile: int = TILE, *, different: bool = False) -> DataFrame:
+    """f(regions, intervals) of groups of regions: its rows, of a schema.
+
+    A region is in one group only, of the tile in which it starts, and its group holds every interval that
+    overlaps it, with its whole coordinates. Longer regions lie in wider tiles, into which intervals go only
+    where there are such regions. Empty regions and intervals are in none.
+    different: whether intervals that agree in all columns are one row.
+    """
+    placed, spread = _placed(regions.where("`end` > start"), intervals, tile)
     keys = [*by, "_level", "_tile"]
     made = StructType.fromDDL(schema)
     arrow = to_arrow_schema(made)
@@ -70,12 +76,57 @@ def in_one_tile(regions: DataFrame, intervals: DataFrame, by: list[str], f: Call
             return arrow.empty_table()
         return f(left, right).select(arrow.names).cast(arrow)
 
-    left, right = (df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)) for df in (placed.withColumn("_tile", own), spread))
+    left, right = (df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)) for df in (placed, spread))
     if different:  # where they lie already, so nothing is shuffled twice
         right = right.repartition(*keys).distinct()
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, made)
 
 
+def past(rows: DataFrame, features: DataFrame, by: list[str], index: Callable[[pa.Table], object], answer: Callable[[object, pa.Table], pa.Table], schema: str, tile: int = TILE) -> DataFrame:
+    """answer(index(features), rows) of every row, a batch of them at a time: its rows, of a schema.
+
+    Rows lie in tiles as the regions of in_one_tile() do, and stream past all features that may overlap them,
+    so a task holds the features of one tile and one batch of rows, however many rows lie there. Rows that have no
+    features near them, are empty or have nulls in by are answered with None for an index.
+    """
+    placed, spread = _placed(rows, features, tile)
+    keys = [*by, "_level", "_tile"]
+    ours, theirs, named = rows.columns, [f"_f_{c}" for c in features.columns], features.columns
+    spread = spread.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by))
+    both = placed.select(*keys, *[c for c in ours if c not in by], F.lit(1).alias("_kind")).unionByName(spread.select(*keys, *[F.col(c).alias(f"_f_{c}") for c in named], F.lit(0).alias("_kind")), allowMissingColumns=True)
+    made = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(made)
+
+    def run(batches):
+        at, held, found = None, [], None
+        for batch in batches:
+            for part in _stretches(pa.Table.from_batches([batch]), [*keys, "_kind"]):
+                here = tuple(part.column(c)[0].as_py() for c in keys)
+                if here != at:
+                    at, held, found = here, [], None
+                if part.column("_kind")[0].as_py() == 0:
+                    held.append(part.select(theirs).rename_columns(named))
+                    continue
+                if held:
+                    found, held = index(pa.concat_tables(held)), []
+                yield from answer(found, part.select(ours)).select(arrow.names).cast(arrow).to_batches()
+
+    return both.repartition(*keys).sortWithinPartitions(*keys, "_kind").mapInArrow(run, made)
+
+
+def _stretches(table: pa.Table, keys: list[str]) -> Iterator[pa.Table]:
+    """A table cut where any of the keys changes; nulls are alike."""
+    new = np.zeros(max(len(table) - 1, 0), bool)
+    for c in keys:
+        x = table.column(c).combine_chunks()
+        x, y = x[:-1], x[1:]
+        new |= pc.or_(pc.fill_null(pc.not_equal(x, y), False), pc.xor(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(table)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        if hi > lo:
+            yield table.slice(lo, hi - lo)
+
+
 def numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
     return [table.column(c).to_numpy() for c in columns]
 
