@@ -50,7 +50,7 @@ def test_best_assignment_by_brute_force(spark, strand):
     assert {r.name: r.gene_id for r in got.collect()} == {n: v[1] for n, v in expected.items()}
 
 
-@pytest.mark.parametrize("name", ["cnt1_best_assignment", "ann5_genic_classes"])
+@pytest.mark.parametrize("name", ["cnt1_best_assignment", "ann5_genic_class", "ann5_genic_classes"])
 def test_no_pair_is_joined(spark, sf_dir, name):
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     # before rows stream past features, introns are made of an exon and the next one
@@ -83,3 +83,18 @@ def test_genic_classes_by_brute_force(spark):
     got = annotate.genic_classes(spark.createDataFrame(peaks, f"{place}, psi double"), spark.createDataFrame(parts, f"{place}, gtype string"), spark.createDataFrame(introns, place))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
     assert {x[-1] for x in expected} >= {".", "Exon", "Exon-intron", "Pseudogene", "intron", "Within intron", "Full-length intron"}
+
+
+def test_largest_parts_by_brute_force(spark):
+    rng = random.Random(5)
+    rows = lambda n, sizes, *more: [(rng.choice(["c", "d", None]), s, s + rng.choice(sizes), *[f() for f in more]) for _ in range(n) for s in [rng.randint(0, 900)]]
+    peaks, parts = rows(500, [0, 12, 40, 2000]), rows(150, [0, 20, 50, 100, 3000], lambda: rng.choice(["exon", "intron"]))
+    expected = []
+    for c, s, e in peaks:
+        found = [(-min(e, pe) + max(s, ps), t, ps, pe) for pc, ps, pe, t in parts if c is not None and c == pc and s < pe and ps < e and s < e and ps < pe]
+        if found:
+            over, *part = min(found)
+            expected.append((c, s, e, *part, -over))
+    place = "chrom string, start long, end long"
+    got = annotate.largest_parts(spark.createDataFrame(peaks, place), spark.createDataFrame(parts, f"{place}, part string"))
+    assert sorted(map(tuple, got.collect())) == sorted(expected) and expected
