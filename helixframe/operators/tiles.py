@@ -82,8 +82,8 @@ def in_one_tile(regions: DataFrame, intervals: DataFrame, by: list[str], f: Call
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, made)
 
 
-def past(rows: DataFrame, features: DataFrame, by: list[str], index: Callable[[pa.Table], object], answer: Callable[[object, pa.Table], pa.Table], schema: str, tile: int = TILE) -> DataFrame:
-    """answer(index(features), rows) of every row, a batch of them at a time: its rows, of a schema.
+def past(rows: DataFrame, features: DataFrame, by: list[str], index: Callable[[pa.Table], object], answer: Callable[[object, pa.Table], pa.Table], schema: str, tile: int = TILE, *, finish: Callable[[object], pa.Table] | None = None) -> DataFrame:
+    """answer(index(features), rows) of every row, a batch of them at a time: its rows, of a schema; and finish(index) after the last rows of a tile, if given.
 
     Rows lie in tiles as the regions of in_one_tile() do, and stream past all features that may overlap them,
     so a task holds the features of one tile and one batch of rows, however many rows lie there. Rows that have no
@@ -99,17 +99,22 @@ def past(rows: DataFrame, features: DataFrame, by: list[str], index: Callable[[p
 
     def run(batches):
         at, held, found = None, [], None
+        given = lambda t: t.select(arrow.names).cast(arrow).to_batches()
         for batch in batches:
             for part in _stretches(pa.Table.from_batches([batch]), [*keys, "_kind"]):
                 here = tuple(part.column(c)[0].as_py() for c in keys)
                 if here != at:
+                    if finish and found is not None:
+                        yield from given(finish(found))
                     at, held, found = here, [], None
                 if part.column("_kind")[0].as_py() == 0:
                     held.append(part.select(theirs).rename_columns(named))
                     continue
                 if held:
                     found, held = index(pa.concat_tables(held)), []
-                yield from answer(found, part.select(ours)).select(arrow.names).cast(arrow).to_batches()
+                yield from given(answer(found, part.select(ours)))
+        if finish and found is not None:
+            yield from given(finish(found))
 
     return both.repartition(*keys).sortWithinPartitions(*keys, "_kind").mapInArrow(run, made)
 

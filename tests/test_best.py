@@ -1,6 +1,7 @@
 """The best feature of each row without pairs, against brute force, and that no pair is joined."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -50,7 +51,7 @@ def test_best_assignment_by_brute_force(spark, strand):
     assert {r.name: r.gene_id for r in got.collect()} == {n: v[1] for n, v in expected.items()}
 
 
-@pytest.mark.parametrize("name", ["cnt1_best_assignment", "ann5_genic_class", "ann5_genic_classes"])
+@pytest.mark.parametrize("name", ["cnt1_best_assignment", "cnt2_gene_counts", "ann5_genic_class", "ann5_genic_classes"])
 def test_no_pair_is_joined(spark, sf_dir, name):
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     # before rows stream past features, introns are made of an exon and the next one
@@ -98,3 +99,22 @@ def test_largest_parts_by_brute_force(spark):
     place = "chrom string, start long, end long"
     got = annotate.largest_parts(spark.createDataFrame(peaks, place), spark.createDataFrame(parts, f"{place}, part string"))
     assert sorted(map(tuple, got.collect())) == sorted(expected) and expected
+
+
+@pytest.mark.parametrize("keep", [True, False])
+def test_gene_counts_by_brute_force(spark, keep):
+    rng = random.Random(7)
+    rows = lambda n, sizes, *more: [(rng.choice(["c", "d", None]), s, s + rng.choice(sizes), rng.choice(["+", "-", None]), *[f() for f in more]) for _ in range(n) for s in [rng.randint(-9000, 9000)]]
+    f = rows(400, [0, 1, 90, 4000], lambda: rng.choice(["s1", "s2", None])) + [(None, None, 3, "+", "s1"), ("c", None, 3, "+", "s1")]
+    g = rows(60, [0, 3, 700, 9000], lambda: rng.choice(["g1", "g2", None]), lambda: rng.choice(["x", None]), lambda: "t")
+    expected = Counter()
+    for c, s, e, st, sample in f:
+        met = [(n, t, b, bst) for bc, bs, be, bst, n, t, b in g if None not in (c, s) and c == bc and s < be and bs < e and s < e and bs < be]
+        for n, t, b, bst in met or ([(None, None, None, None)] if keep else []):
+            for o in ("sense", "antisense"):
+                if bst is None or (st is not None and (st == bst) == (o == "sense")):
+                    expected[sample, o, n or ".", t or ".", b or "No features"] += 1
+    x = spark.createDataFrame(f, "chrom string, start long, end long, strand string, sample string")
+    y = spark.createDataFrame(g, "chrom string, start long, end long, strand string, gene_id string, gene_name string, bio_type string")
+    got = {tuple(r)[:5]: r.read_count for r in counting.gene_counts(x, y, keep).select("sample", "orientation", "gene_id", "gene_name", "bio_type", "read_count").collect()}
+    assert got == dict(expected) and expected
