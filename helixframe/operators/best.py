@@ -41,7 +41,7 @@ class Features:
     def windows(self, s: np.ndarray, e: np.ndarray, value: Callable[..., np.ndarray]) -> tuple[np.ndarray, ...]:
         """The most that a feature is worth for each row [s, e) (-1: none overlaps), and the places of all features worth that: rows, first places, places beyond.
 
-        value(shared, length of the row, length of the feature): 0 or more, not smaller for more bases shared.
+        value(shared, length of the row, length of the feature): not smaller for more bases shared; less than 0: not enough to count.
         """
         best = np.full(len(s), -1.0)
         found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
@@ -55,7 +55,7 @@ class Features:
             for step in range(len(self.sizes)):
                 row = of[active] - part
                 m = order[row, step]
-                open_ = most[row, m] >= best[active]
+                open_ = most[row, m] >= np.maximum(best[active], 0)
                 active, m = active[open_], m[open_]
                 if not len(active):
                     break
@@ -84,7 +84,7 @@ class Features:
         any_ = most > 0
         worth = np.where(any_, value(np.maximum(most, 1), e - s, size), -1.0)
         # fewer bases may be worth as much, as values are rounded
-        more = np.flatnonzero((most > 1) & (value(np.maximum(most - 1, 1), e - s, size) == worth))
+        more = np.flatnonzero((most > 1) & (worth >= 0) & (value(np.maximum(most - 1, 1), e - s, size) == worth))
         if len(more):
             x, y, n, w, least, upto = s[more], e[more], size[more], worth[more], np.ones(len(more), np.int64), most[more] - 1
             while (least < upto).any():

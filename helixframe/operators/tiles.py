@@ -43,19 +43,19 @@ def by_tiles(regions: DataFrame, intervals: DataFrame, by: list[str], f: Callabl
 LEVELS = 16
 
 
-def _placed(regions: DataFrame, intervals: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
-    """Both with _level and _tile: a region with those of its start (none if it is empty), an interval with all from which a region may reach it."""
+def _placed(regions: DataFrame, intervals: DataFrame, tile: int, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both with _level and _tile: a region with those of its start (none if it is empty), an interval with all from which a region may reach it. sized: see past()."""
     reach = [tile * 4**k // 4 for k in range(LEVELS)]
     size = F.col("end") - F.col("start")
-    placed = regions.withColumn("_level", F.when(size > 0, sum(((size > x).cast("int") for x in reach[:-1]), F.lit(0))))
-    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect() if r["_level"] is not None)
+    level = F.when(size > 0, sum(((size > x).cast("int") for x in reach[:-1]), F.lit(0))).alias("_level")
+    levels = sorted(r["_level"] for r in (regions if sized is None else sized).select(level).distinct().collect() if r["_level"] is not None)
     at = lambda pos, k: F.floor(pos / (tile * 4**k))
     own = F.lit(None).cast("long")
     for k in levels:
         own = F.when(F.col("_level") == k, at(F.col("start"), k)).otherwise(own)
     number = lambda k: lambda t: F.struct(F.lit(k).alias("_level"), t.alias("_tile"))
     tiles = [F.transform(F.sequence(at(F.col("start") - reach[k] + 1, k), at(F.col("end") - 1, k)), number(k)) for k in levels or [0]]
-    return placed.withColumn("_tile", own), intervals.where("`end` > start").select("*", F.inline(F.concat(*tiles)))
+    return regions.select("*", level).withColumn("_tile", own), intervals.where("`end` > start").select("*", F.inline(F.concat(*tiles)))
 
 
 def in_one_tile(regions: DataFrame, intervals: DataFrame, by: list[str], f: Callable[[pa.Table, pa.Table], pa.Table], schema: str, tile: int = TILE, *, different: bool = False) -> DataFrame:
@@ -82,14 +82,15 @@ def in_one_tile(regions: DataFrame, intervals: DataFrame, by: list[str], f: Call
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, made)
 
 
-def past(rows: DataFrame, features: DataFrame, by: list[str], index: Callable[[pa.Table], object], answer: Callable[[object, pa.Table], pa.Table], schema: str, tile: int = TILE, *, finish: Callable[[object], pa.Table] | None = None) -> DataFrame:
+def past(rows: DataFrame, features: DataFrame, by: list[str], index: Callable[[pa.Table], object], answer: Callable[[object, pa.Table], pa.Table], schema: str, tile: int = TILE, *, finish: Callable[[object], pa.Table] | None = None, sized: DataFrame | None = None) -> DataFrame:
     """answer(index(features), rows) of every row, a batch of them at a time: its rows, of a schema; and finish(index) after the last rows of a tile, if given.
 
     Rows lie in tiles as the regions of in_one_tile() do, and stream past all features that may overlap them,
     so a task holds the features of one tile and one batch of rows, however many rows lie there. Rows that have no
-    features near them, are empty or have nulls in by are answered with None for an index.
+    features near them, are empty or have nulls in by are answered with None for an index. The sizes in use are looked
+    up first; sized: a table at hand with the starts and ends of all rows, where rows themselves take long to make.
     """
-    placed, spread = _placed(rows, features, tile)
+    placed, spread = _placed(rows, features, tile, sized)
     keys = [*by, "_level", "_tile"]
     ours, theirs, named = rows.columns, [f"_f_{c}" for c in features.columns], features.columns
     spread = spread.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by))

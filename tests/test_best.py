@@ -118,3 +118,28 @@ def test_gene_counts_by_brute_force(spark, keep):
     y = spark.createDataFrame(g, "chrom string, start long, end long, strand string, gene_id string, gene_name string, bio_type string")
     got = {tuple(r)[:5]: r.read_count for r in counting.gene_counts(x, y, keep).select("sample", "orientation", "gene_id", "gene_name", "bio_type", "read_count").collect()}
     assert got == dict(expected) and expected
+
+
+def test_sides_are_those_of_all_pairs(spark):
+    rng = random.Random(13)
+    strand, kind = lambda: rng.choice(["+", "-", None]), lambda: rng.choice(["miRNA", "RBP", "RBP", "Simple_repeat", "lncRNA", "other", "else", None])
+    peaks = [(f"p{i}", rng.choice(["c", "d", None]), s, s + rng.choice([0, 20, 40]), strand()) for i in range(500) for s in [rng.randint(0, 600)]]
+    notes = [(rng.choice(["c", "d"]), s, s + rng.choice([0, 20, 30, 60]), strand(), rng.choice(["a", "b", "x", None]), kind()) for _ in range(90) for s in [rng.randint(0, 600)]]
+    notes += [(c, s, e, st, n, t) for c, s, e, st, _, t in notes if t == "RBP" for n in "ab"]
+    place = "chrom string, start long, end long, strand string"
+    x, y = spark.createDataFrame(peaks, f"peakname string, {place}"), spark.createDataFrame(notes, f"{place}, gene_name string, bio_type string")
+    columns = [*x.columns, "sense_gname", "sense_gtype", "antisense_gname", "antisense_gtype"]
+    expected = annotate.sense_antisense(x, annotate.resolve(annotate.score_overlaps(x, y)))
+    found = [sorted(map(str, map(tuple, df.select(*columns).collect()))) for df in (annotate.sides(x, y), expected)]
+    assert found[0] == found[1] and any("a,b" in r for r in found[0])
+
+
+def test_intron_flag_by_brute_force(spark):
+    rng = random.Random(17)
+    rows = lambda n, sizes: [(rng.choice(["c", None]), s, s + rng.choice(sizes), rng.choice(["+", "-", None])) for _ in range(n) for s in [rng.randint(0, 400)]]
+    peaks, introns = rows(500, [0, 19, 20, 40]), rows(80, [0, 20, 21, 22, 44, 45])
+    met = lambda p, i: None not in (p[0], p[3]) and (p[0], p[3]) == (i[0], i[3]) and min(p[2], i[2]) - max(p[1], i[1]) >= max(0.9 * (p[2] - p[1]), 0.9 * (i[2] - i[1]), 1)
+    expected = [(*p, annotate.FULL_LENGTH_INTRON if any(met(p, i) for i in introns) else ".") for p in peaks]
+    place = "chrom string, start long, end long, strand string"
+    got = annotate.intron_flag(spark.createDataFrame(peaks, place), spark.createDataFrame(introns, place))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected)) and len({x[-1] for x in expected}) == 2
